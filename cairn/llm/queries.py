@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, token_counts
+from . import bpe, packing, token_counts
 
 
 def _vocabulary(name: str) -> str:
@@ -19,6 +19,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFr
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents", "doc_id", "text"), _vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=2)
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(_read(spark, sf_dir, "documents", "doc_id", "text"), _vocabulary("byte_bpe_50k.tiktoken"))
 
@@ -28,6 +32,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op4_byte_bpe": op4_byte_bpe,
     "op7_token_counts": op7_token_counts,
 }
