@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lang_id, packing, simhash, token_counts
+from . import audio_features, bpe, lang_id, packing, simhash, token_counts
 
 
 def _vocabulary(name: str) -> str:
@@ -39,12 +39,17 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_read(spark, sf_dir, "documents", "doc_id", "text"), _vocabulary("byte_bpe_50k.json"), limit=512)
 
 
+def op9_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio_features.media_digests(_read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op7_token_counts": op7_token_counts,
+    "op9_audio_features": op9_audio_features,
 }
 
 ORACLE_SQL: dict[str, str] = {}
