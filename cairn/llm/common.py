@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Rows a table may have to be broadcast; counted from the staged table, never assumed.
 BROADCAST_ROWS = 50_000
+#: Bytes of its files, which are compressed.
+BROADCAST_BYTES = 4 << 20
 
 #: Unicode White_Space, fixed values; Python's own \s also takes U+001C to U+001F, which the tokenizers do not.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -42,13 +44,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sized(df: DataFrame, name: str, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Stage `df` and mark it for broadcast only if its counted rows are at most `limit`.
+def sized(df: DataFrame, name: str, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Stage `df` and mark it for broadcast only if its counted rows and stored bytes are few.
 
     A larger table is returned as it is: Spark then shuffles both sides and AQE splits skew.
     """
     table = staged(df, name)
-    return F.broadcast(table) if table.count() <= limit else table
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(table.inputFiles()[0]).getParent() if table.inputFiles() else None
+    if path is None:
+        return table
+    stored = path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return F.broadcast(table) if stored <= size and table.count() <= rows else table
 
 
 def balanced(batches: Iterator[pa.RecordBatch], column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:

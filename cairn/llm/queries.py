@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio_features, bpe, lang_id, packing, simhash, token_counts
+from . import audio_features, bpe, lang_id, line_dedup, packing, simhash, token_counts
 
 
 def _vocabulary(name: str) -> str:
@@ -23,6 +23,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(_read(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _read(spark, sf_dir, "documents", "doc_id", "source", "text")
+    return line_dedup.drop_boilerplate(documents, dropped_col="n_dropped").drop("source")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents", "doc_id", "text"), _vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
@@ -45,6 +50,7 @@ def op9_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_line_dedup": op2_line_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
@@ -52,4 +58,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_audio_features": op9_audio_features,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": line_dedup.ORACLE_SQL,
+}
