@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from .bpe import coder
 from .common import balanced, staged
 
-#: Rows of one rank group, about; more rows make more groups, not larger ones.
-GROUP_ROWS = 100_000
+#: Rows of one rank group, about; a length with more pieces has more groups, not larger ones.
+GROUP_ROWS = 512
 
 
 @dataclass
@@ -162,13 +162,14 @@ def pack(df: DataFrame, tokenizer_file: str, capacity: int = 1024, end_id: int =
     read. An empty table gives an empty one. sequence_id is negative for a piece that fills a sequence.
     """
     items = staged(tokenized(df, tokenizer_file, end_id, capacity, id_col, text_col), "pieces")
-    rows = items.count()
-    groups = max(1, -(-rows // GROUP_ROWS))
-    items = items.withColumn("rest", (F.col("n_ids") % capacity).cast("int")).withColumn("salt", F.pmod(F.xxhash64("id", "n_ids", "crcs"), F.lit(groups)).cast("int"))
+    items = items.withColumn("rest", (F.col("n_ids") % capacity).cast("int"))
+    # At most `capacity` rows, whatever the corpus holds.
+    counts = {r["rest"]: r["count"] for r in items.groupBy("rest").count().collect()}
+    groups = F.array(*[F.lit(max(1, -(-counts.get(s, 0) // GROUP_ROWS))) for s in range(capacity)])
+    items = items.withColumn("salt", F.pmod(F.xxhash64("id", "n_ids", "crcs"), F.element_at(groups, F.col("rest") + 1)).cast("int"))
     sizes = items.groupBy("rest", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.withColumn("before", F.sum("n").over(W.partitionBy("rest").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)))
-    # At most `capacity` rows, whatever the corpus holds.
-    counts = {r["rest"]: r["n"] for r in sizes.groupBy("rest").agg(F.sum("n").alias("n")).collect() if r["rest"]}
+    counts.pop(0, None)
     places = slots(plan(counts, capacity), capacity)
     ranked = items.withColumn("rank", F.row_number().over(W.partitionBy("rest", "salt").orderBy("id", "n_ids", "crcs")))
     ranked = ranked.join(before.select("rest", "salt", "before"), ["rest", "salt"]).withColumn("rank", F.col("rank") - 1 + F.coalesce("before", F.lit(0)))
