@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio_features, bpe, lang_id, line_dedup, packing, simhash, token_counts
+from . import audio_features, bpe, cws, lang_id, line_dedup, packing, simhash, token_counts
 
 
 def _vocabulary(name: str) -> str:
@@ -40,6 +40,10 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents", "doc_id", "text"), words=3, radius=2)
 
 
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cws.edit_likeness(_read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_read(spark, sf_dir, "documents", "doc_id", "text"), _vocabulary("byte_bpe_50k.json"), limit=512)
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_document_fingerprints": op6_document_fingerprints,
     "op7_token_counts": op7_token_counts,
     "op9_audio_features": op9_audio_features,
 }
