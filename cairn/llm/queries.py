@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio_features, bpe, cws, lang_id, line_dedup, packing, simhash, token_counts
+from . import audio_features, bpe, cws, html_extract, lang_id, line_dedup, packing, simhash, token_counts
 
 
 def _vocabulary(name: str) -> str:
@@ -48,6 +48,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_read(spark, sf_dir, "documents", "doc_id", "text"), _vocabulary("byte_bpe_50k.json"), limit=512)
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_read(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op9_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio_features.media_digests(_read(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_document_fingerprints": op6_document_fingerprints,
     "op7_token_counts": op7_token_counts,
+    "op8_html_extraction": op8_html_extraction,
     "op9_audio_features": op9_audio_features,
 }
 
