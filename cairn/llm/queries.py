@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio_features, bpe, cws, html_extract, lang_id, line_dedup, packing, simhash, token_counts
+from . import audio_features, bpe, cws, html_extract, lang_id, license_scan, line_dedup, packing, simhash, token_counts
 
 
 def _vocabulary(name: str) -> str:
@@ -56,6 +56,10 @@ def op9_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio_features.media_digests(_read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
@@ -66,8 +70,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_counts": op7_token_counts,
     "op8_html_extraction": op8_html_extraction,
     "op9_audio_features": op9_audio_features,
+    "op10_license_scans": op10_license_scans,
 }
 
-ORACLE_SQL: dict[str, str] = {
-    "op2_line_dedup": line_dedup.ORACLE_SQL,
-}
+
+def oracle_sql() -> dict[str, str]:
+    """DuckDB SQL for the queries that SQL can express; made when asked for, as one holds a trained model."""
+    return {"op2_line_dedup": line_dedup.ORACLE_SQL, "op10_license_scans": license_scan.oracle_sql()}
