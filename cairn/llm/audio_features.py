@@ -70,7 +70,7 @@ def _phases(taps: int = 16) -> np.ndarray:
     n = np.arange(UP * taps) - (UP * taps - 1) / 2
     h = np.sinc(n / max(UP, DOWN)) * np.hamming(UP * taps)
     h *= UP / h.sum()
-    return h.reshape(taps, UP).T[:, ::-1].astype(np.float32).copy()
+    return h.reshape(taps, UP).T[:, ::-1].copy()
 
 
 def resample(x: np.ndarray) -> np.ndarray:
@@ -78,9 +78,9 @@ def resample(x: np.ndarray) -> np.ndarray:
     bank = _phases()
     taps = bank.shape[1]
     n = -(-len(x) * UP // DOWN)
-    padded = np.concatenate([np.zeros(taps // 2, np.float32), x, np.zeros(taps + DOWN, np.float32)])
+    padded = np.concatenate([np.zeros(taps // 2), x, np.zeros(taps + DOWN)])
     windows = np.lib.stride_tricks.sliding_window_view(padded, taps)
-    out = np.empty(n, np.float32)
+    out = np.empty(n)
     # Outputs m, m + UP, m + 2 UP, ... share a phase and advance by DOWN input samples.
     for first in range(min(UP, n)):
         at, phase = divmod(first * DOWN, UP)
@@ -99,18 +99,18 @@ def _mel_bank() -> np.ndarray:
     edge = 700 * (10 ** (mel / 2595) - 1)
     f = np.arange(FFT // 2 + 1)[:, None] * rate / FFT
     up, down = (f - edge[:-2]) / (edge[1:-1] - edge[:-2]), (edge[2:] - f) / (edge[2:] - edge[1:-1])
-    return np.maximum(0, np.minimum(up, down)).astype(np.float32)
+    return np.maximum(0, np.minimum(up, down))
 
 
 def log_mel(x: np.ndarray) -> Iterator[np.ndarray]:
     """Portions of (frames, MELS) in dB of overlapping Hann-windowed frames; a short sound is padded to one frame."""
     if len(x) < FRAME:
-        x = np.concatenate([x, np.zeros(FRAME - len(x), np.float32)])
+        x = np.concatenate([x, np.zeros(FRAME - len(x))])
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
-    window, bank = np.hanning(FRAME).astype(np.float32), _mel_bank()
+    window, bank = np.hanning(FRAME), _mel_bank()
     for at in range(0, len(frames), PORTION):
         power = np.abs(np.fft.rfft(frames[at : at + PORTION] * window, FFT, axis=1)) ** 2
-        yield (10 * np.log10(power.astype(np.float32) @ bank + 1e-6)).astype(np.float32)
+        yield 10 * np.log10(power @ bank + 1e-6)
 
 
 def segments(energy: np.ndarray) -> list[tuple[int, int]]:
@@ -124,10 +124,14 @@ def segments(energy: np.ndarray) -> list[tuple[int, int]]:
 
 
 def features(samples: bytes) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """All mel frames of a sound and its segments in frames."""
-    x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
-    mel = np.concatenate(list(log_mel(resample(x))))
-    return mel, segments(mel.mean(axis=1))
+    """All mel frames of a sound and its segments in frames.
+
+    In double precision and rounded: products of the same sound may differ in their last bits from one worker
+    to another, and what is stored must not.
+    """
+    x = (np.frombuffer(samples, np.uint8).astype(np.float64) - 128) / 128
+    mel = np.round(np.concatenate(list(log_mel(resample(x)))), 4).astype(np.float32)
+    return mel, segments(np.round(mel.astype(np.float64).mean(axis=1), 6))
 
 
 def span_ms(first: int, last: int) -> tuple[float, float]:
