@@ -11,10 +11,10 @@ import time
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import Config, ratio_threshold
-from ..operators import cloud, geometry as G, matching, neighbors, scene, tracks
+from ..operators import cloud, geometry as G, matching, neighbors, scene, stereo, tracks
 from ..tables import staged
 
 
@@ -186,11 +186,11 @@ def cleanup(df: DataFrame, cfg: Config, order: list[str]) -> DataFrame:
     return cloud.voxel_downsample(out, cfg.voxel_size)
 
 
-def reconstruct(spark: SparkSession, features: DataFrame, intrinsics: DataFrame, cfg: Config, out: str | None = None, dense: DataFrame | None = None) -> dict:
+def reconstruct(spark: SparkSession, features: DataFrame, intrinsics: DataFrame, cfg: Config, out: str | None = None, images: DataFrame | None = None) -> dict:
     """From features (img, feat, u, v, desc) and intrinsics (img, fx, fy, cx, cy) to cameras, points and a clean cloud.
 
-    `dense` is a cloud from elsewhere (point_id, x, y, z, ...); without one the sparse points are cleaned. With
-    `out`, clouds and scene.json are written there.
+    With `images` (see operators.stereo) the cloud is a dense one from pairs of near views; without, or where no
+    pair matches, it is made of the sparse points. With `out`, clouds and scene.json are written there.
     """
     from ..sources.writer import write_scene
 
@@ -202,14 +202,18 @@ def reconstruct(spark: SparkSession, features: DataFrame, intrinsics: DataFrame,
     track_table = staged(tracks.build_tracks(good, cfg.min_track_length), "tracks")
     s = grow(scene_of(features, good, track_table, intrinsics), cfg)
     cameras, points = scene_tables(spark, s)
-    raw = dense if dense is not None else points.selectExpr("pid AS point_id", "x", "y", "z")
-    bound = scene_bound(points)
-    clean = cleanup(cloud.radius_clip(raw, bound), cfg, ["point_id"])
+    raw = None
+    bound = cloud.sparse_bound(points)
+    if images is not None:
+        pairs = scene.view_neighbors(cameras, cfg.dense_neighbors, cfg.dense_max_angle).select("img", "other")
+        made = stereo.dense_cloud(images, cameras, pairs, points, bound, cfg.block_size, cfg.uniqueness)
+        # Staged first: ids must not change when a lost task is run again.
+        raw = staged(staged(made, "dense").select(F.monotonically_increasing_id().alias("point_id"), "x", "y", "z", "r", "g", "b"), "numbered")
+    if raw is None or raw.isEmpty():
+        raw = cloud.radius_clip(points.selectExpr("pid AS point_id", "x", "y", "z"), bound)
+    clean = cleanup(raw, cfg, ["point_id"])
     made = {"cameras": cameras, "points": points, "tracks": track_table, "matches": good, "cloud": clean, "summary": scene.scene_summary(cameras, points)}
     if out:
         made["scene"] = write_scene(cameras, points, out, time.time() - began, clean)
     return made
 
-
-def scene_bound(points: DataFrame) -> DataFrame:
-    return cloud.sparse_bound(points)
