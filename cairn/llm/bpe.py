@@ -30,8 +30,10 @@ from pyspark.sql import DataFrame
 from .common import WHITE, balanced
 
 U64 = np.uint64
-#: Code points handled at once; bounds the memory of a worker. A longer text is one such portion by itself.
-PORTION = 1 << 20
+#: Code points handled at once, which bounds the memory of a worker; longer texts are cut at safe boundaries.
+PORTION = 1 << 19
+#: Pre-tokens looked up at once: far fewer than the table holds, so one call cannot fill it.
+LOOKUPS = 1 << 18
 #: States: runs of letters, numbers, others, white space; a space that opens the next token; 1 or 2
 #: letters left of a contraction; between tokens.
 LETTER, NUMBER, OTHER, WHITES, SPACE, LEFT1, LEFT2, FREE = range(8)
@@ -158,6 +160,27 @@ def pre_tokens(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.flatnonzero(_machine()[2][symbols.astype(np.int64) * 8 + scan(symbols)])
 
 
+def pieces(text: str, most: int) -> list[str]:
+    """A long text in pieces of about `most` code points, cut before spaces that follow something visible.
+
+    No token spans such a place and none depends on what is beyond it. Without one, a piece is longer.
+    """
+    out, at = [], 0
+    while len(text) - at > most:
+        cut = text.rfind(" ", at + 1, at + most)
+        while cut > 0 and text[cut - 1] in WHITE:
+            cut = text.rfind(" ", at + 1, cut)
+        if cut < 0:
+            cut = text.find(" ", at + most)
+            while cut > 0 and text[cut - 1] in WHITE:
+                cut = text.find(" ", cut + 1)
+            if cut < 0:
+                break
+        out.append(text[at:cut])
+        at = cut
+    return [*out, text[at:]]
+
+
 def _mix(lo: np.ndarray, mid: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """A 64-bit hash of three-word keys."""
     with np.errstate(over="ignore"):
@@ -214,7 +237,9 @@ class Spans(NamedTuple):
 class PreTokens:
     """An open-addressing table of pre-tokens of up to SHORT bytes; what is stored for each is up to a subclass."""
 
-    TABLE_BITS, SHORT = 21, 23
+    TABLE_BITS, SHORT = 20, 23
+    #: The table is emptied beyond this many entries, two thirds of its slots.
+    MOST = 700_000
 
     def __init__(self):
         self._reset()
@@ -239,7 +264,7 @@ class PreTokens:
 
     def lookup(self, buf: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where what is known of each short pre-token is stored, and its number of ids."""
-        if self.held > 1 << (self.TABLE_BITS - 1):
+        if self.held > self.MOST:
             self._reset()
         words = np.ndarray((len(buf) - 7,), "<u8", buffer=buf, strides=(1,))
         keep = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], U64)
@@ -425,32 +450,33 @@ class ByteBPE(PreTokens):
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts laid end to end, and each text's number of ids."""
         spans = self.spans(texts)
-        raw, start, length = spans.raw, spans.start, spans.length
-        if not len(start):
-            return np.empty(0, np.int32), np.zeros(len(texts), np.int64)
+        n = len(spans.start)
+        made = [self._ids(spans, a, min(n, a + LOOKUPS)) for a in range(0, n, LOOKUPS)]
+        num = np.concatenate([np.empty(0, np.int64), *[m[1] for m in made]])
+        ids = np.concatenate([np.empty(0, np.int32), *[m[0] for m in made]])
+        return ids, np.diff(np.concatenate([[0], np.cumsum(num)])[spans.text_token])
+
+    def _ids(self, spans: Spans, a: int, z: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens a to z - 1 laid end to end, and how many each has."""
+        raw, start, length = spans.raw, spans.start[a:z], spans.length[a:z]
         short = length <= self.SHORT
-        num = np.empty(len(start), np.int64)
-        at = np.zeros(len(start), np.int64)
-        if short.all():
-            at, num = self.lookup(spans.buf, start, length)
-            num = num.astype(np.int64)
-        else:
-            at[short], num[short] = self.lookup(spans.buf, start[short], length[short])
+        num, at = np.empty(len(start), np.int64), np.zeros(len(start), np.int64)
+        at[short], num[short] = self.lookup(spans.buf, start[short], length[short])
         long = {}
         for i in np.flatnonzero(~short):
             ids = long[i] = self._long(raw[start[i] : start[i] + length[i]])
             num[i] = len(ids)
         end = np.cumsum(num)
         out = np.empty(int(end[-1]), np.int32)
-        if long:
-            num_short = np.where(short, num, 0)
-            place = np.repeat(end - num, num_short) + _within(num_short)
-            out[place] = self.store[np.repeat(at, num_short) + _within(num_short)]
-            for i, ids in long.items():
-                out[end[i] - num[i] : end[i]] = ids
-        else:
+        if not long:
             out[:] = self.store[np.repeat(at - (end - num), num) + np.arange(len(out))]
-        return out, np.diff(np.concatenate([[0], end])[spans.text_token])
+            return out, num
+        num_short = np.where(short, num, 0)
+        within = _within(num_short)
+        out[np.repeat(end - num, num_short) + within] = self.store[np.repeat(at, num_short) + within]
+        for i, ids in long.items():
+            out[end[i] - num[i] : end[i]] = ids
+        return out, num
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text (null: empty), in order. Strings of added tokens become their ids."""
@@ -461,9 +487,11 @@ class ByteBPE(PreTokens):
                 size += len(texts[end] or "")
                 end += 1
             part = [t or "" for t in texts[at:end]]
-            if self.special and any(s in t for t in part for s in self.special):
+            if len(part) == 1 and size > PORTION:
+                yield np.concatenate([self._one(p) for p in pieces(part[0], PORTION)])
+            elif self.special and any(s in t for t in part for s in self.special):
                 for t in part:
-                    yield self._encode_special(t)
+                    yield self._one(t)
             else:
                 ids, n = self._encode(part)
                 stop = np.cumsum(n)
@@ -471,7 +499,8 @@ class ByteBPE(PreTokens):
                     yield ids[a:z]
             at = end
 
-    def _encode_special(self, text: str) -> np.ndarray:
+    def _one(self, text: str) -> np.ndarray:
+        """Ids of a text that may spell added tokens."""
         parts: list[str | int] = [text]
         for s, i in self.special.items():
             parts = [y for x in parts for y in ([x] if isinstance(x, int) else [z for k, w in enumerate(x.split(s)) for z in ([i] if k else []) + [w]])]

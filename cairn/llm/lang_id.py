@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import balanced
 
 #: Labelled rows of each language that training takes at most, and the number of languages it may learn.
-PER_LANGUAGE, LANGUAGES = 600, 200
+PER_LANGUAGE, LANGUAGES = 400, 200
 #: Hashed features.
 WIDTH = 1 << 12
 #: Families of languages, fixed values; a language that is in none is a family of its own.
@@ -36,8 +36,8 @@ FAMILIES = {
     "sinitic": ("zh", "yue"),
 }
 FAMILY = {lang: family for family, langs in FAMILIES.items() for lang in langs}
-#: Code points whose n-grams are counted at once.
-PORTION = 1 << 18
+#: Code points whose n-grams are counted at once, and bytes of text whose features are held at once.
+PORTION, SLICE = 1 << 17, 2 << 20
 
 
 def _hashes(codes: np.ndarray) -> Iterator[np.ndarray]:
@@ -200,7 +200,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     some = known.withColumn("place", place).where(F.col("place") < F.coalesce(F.element_at(rate, F.col("lang")), F.lit(0.0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in balanced(batches, 0):
+        for batch in balanced(batches, 0, SLICE):
             made = [features(t) for t in batch.column(0).to_pylist()]
             there = [k for k, x in enumerate(made) if x is not None]
             yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(there, pa.int64())), batch.column(2).take(pa.array(there, pa.int64())), pa.array([made[k].tobytes() for k in there], pa.binary())], ["lang", "place", "x"])
@@ -220,7 +220,7 @@ def language(df: DataFrame, model: Model | None, columns: list[str], text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text = len(columns)
-        for batch in balanced(batches, text):
+        for batch in balanced(batches, text, SLICE):
             langs, scores = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
             made = [features(t) for t in batch.column(text).to_pylist()] if model else []
             there = [k for k, x in enumerate(made) if x is not None]

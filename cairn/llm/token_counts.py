@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .bpe import PreTokens
+from .bpe import LOOKUPS, PORTION, PreTokens, pieces
 from .common import balanced
 
 #: UTF-8 bytes encoded by one call of the library at most, unless a single segment is longer.
@@ -42,10 +42,12 @@ class _Lengths(PreTokens):
     def counts(self, texts: list[str]) -> list[int]:
         spans = self.spans(texts)
         num = np.zeros(len(spans.start), np.int64)
-        short = spans.length <= self.SHORT
-        _, num[short] = self.lookup(spans.buf, spans.start[short], spans.length[short])
-        rest = np.flatnonzero(~short)
-        num[rest] = self.library([spans.raw[spans.start[i] : spans.start[i] + spans.length[i]].decode() for i in rest])
+        for a in range(0, len(num), LOOKUPS):
+            start, length = spans.start[a : a + LOOKUPS], spans.length[a : a + LOOKUPS]
+            short = length <= self.SHORT
+            own = num[a : a + LOOKUPS]
+            _, own[short] = self.lookup(spans.buf, start[short], length[short])
+            own[~short] = self.library([spans.raw[b : b + n].decode() for b, n in zip(start[~short].tolist(), length[~short].tolist(), strict=True)])
         return np.diff(np.concatenate([[0], np.cumsum(num)])[spans.text_token]).tolist()
 
 
@@ -93,6 +95,8 @@ class TokenCounter:
         for part in by_bytes([t or "" for t in texts], 4 * BATCH_BYTES):
             if self.lengths is None or any(a in t for t in part for a in self.added):
                 yield from self.batch(part)
+            elif len(part) == 1 and len(part[0]) > PORTION:
+                yield sum(sum(self.lengths.counts([p])) for p in pieces(part[0], PORTION))
             else:
                 yield from self.lengths.counts(part)
 

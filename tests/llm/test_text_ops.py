@@ -51,6 +51,26 @@ def test_ids_match_both_libraries(rng):
     assert [g.tolist() for g in bpe.ByteBPE(JSON).encode(texts)] == want
 
 
+def test_long_texts_are_cut_safely(rng, monkeypatch):
+    texts = [t for t in strange(rng) if t] + [prose(rng, 3000), "x" * 3000, ("ab  c\n d'll " * 300)]
+    enc = tik()
+    want = [enc.encode_ordinary(t) for t in texts]
+    monkeypatch.setattr(bpe, "PORTION", 40)
+    monkeypatch.setattr(bpe, "LOOKUPS", 7)
+    monkeypatch.setattr(token_counts, "PORTION", 40)
+    monkeypatch.setattr(token_counts, "BATCH_BYTES", 16)
+    assert [g.tolist() for g in bpe.ByteBPE(RANKS).encode(texts)] == want
+    want = [len(e.ids) for e in library().encode_batch(texts, add_special_tokens=False)]
+    assert list(token_counts.TokenCounter(JSON).counts(texts)) == want
+
+
+def test_a_full_table_is_emptied(rng, monkeypatch):
+    texts = [prose(rng, 300) for _ in range(20)]
+    enc = tik()
+    monkeypatch.setattr(bpe.PreTokens, "MOST", 50)
+    assert [g.tolist() for g in bpe.ByteBPE(RANKS).encode(texts)] == [enc.encode_ordinary(t) for t in texts]
+
+
 def test_every_code_point(rng):
     codes = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     texts = ["a" + "a".join(codes[k : k + 997]) for k in range(0, len(codes), 997 * 7)]
