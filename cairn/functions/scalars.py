@@ -120,6 +120,12 @@ def delimiter(row: Column) -> Column:
     return F.when(most == 0, F.lit(None).cast("string")).when(n[0] == most, ",").when(n[1] == most, "\t").otherwise(";")
 
 
+def merge_maps(base: Column, over: Column) -> Column:
+    """A map with the entries of both; those of `over` win."""
+    kept = F.map_filter(base, lambda k, v: ~F.array_contains(F.map_keys(over), k))
+    return F.map_concat(kept, over)
+
+
 def draw_count(cost_ms: Column, points: Column, target_ms: float, ceiling: int, floor: int = 15_000) -> Column:
     """How many points to draw in `target_ms` at `cost_ms` a point; an eighth of the cloud before the cost is known."""
     top = F.greatest(F.lit(floor), F.least(F.lit(ceiling), points)).cast("bigint")

@@ -5,6 +5,7 @@ Doubles are rounded to six places on both sides, as sums may be taken in another
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
@@ -13,8 +14,10 @@ from ..config import PRESETS
 from ..functions import camera as C, scalars as S
 from ..functions.vectors import norm, rotate, vec
 from ..operators import cloud, matching, mesh, neighbors, scene, tracks
+from ..sources import detect, read_cloud
+from ..sources.writer import write_ply
 from ..streaming import progress
-from ..tables import staged
+from ..tables import shared_dir, staged
 from . import views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -658,6 +661,34 @@ def triangle_norms(spark: SparkSession, sf: str) -> DataFrame:
     return V.points(spark, sf).select("pid", r6(norm(vec("x", "y", "z")), "length"))
 
 
+@query(
+    "merge_maps",
+    """WITH t AS (SELECT event_id, json_extract_string(props, '$.' || k) AS v, k FROM events, (SELECT unnest(json_keys(props)) AS k, event_id AS e FROM events) WHERE e = event_id)
+    SELECT event_id, string_agg(k || '=' || CASE WHEN k = event_type THEN 'own' ELSE v END, ',' ORDER BY k) AS merged
+    FROM (SELECT t.event_id, t.k, t.v, '' AS event_type FROM t UNION ALL SELECT event_id, event_type, 'own', event_type FROM events) GROUP BY event_id""",
+)
+def merge_maps(spark: SparkSession, sf: str) -> DataFrame:
+    own = F.create_map(F.col("event_type"), F.lit("own"))
+    merged = S.merge_maps(F.from_json("props", "map<string,string>"), own)
+    pairs = F.array_sort(F.transform(F.map_entries(merged), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return V.table(spark, sf, "events").select("event_id", F.array_join(pairs, ",").alias("merged"))
+
+
+@query(
+    "ply_roundtrip",
+    f"WITH {V.NUMBERED} SELECT {', '.join(f'round(CAST(CAST({c} AS REAL) AS DOUBLE), 6) + 0 AS {c}' for c in 'xyz')}, CAST(least(r, 255) AS SMALLINT) AS r, CAST(g AS SMALLINT) AS g, CAST(b AS SMALLINT) AS b FROM numbered",
+)
+def ply_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}.ply"
+    write_ply(V.cloud_numbered(spark, sf), path, ["point_id"])
+    return read_cloud(spark, path).select(*[r6(F.col(c).cast("double"), c) for c in "xyz"], "r", "g", "b")
+
+
+@query("formats")
+def formats(spark: SparkSession, sf: str) -> DataFrame:
+    return detect.formats(spark)
+
+
 # Logs
 
 LOG_SQL = """line AS (
