@@ -15,7 +15,7 @@ from cairn.llm import lang_id, line_dedup, packing, simhash
 from cairn.llm.common import staged
 
 #: Documents whose predicted language has a lower score are rejected, as are those without a letter (`und`).
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.4
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
