@@ -119,6 +119,11 @@ PLAIN = [
     "As a rule, what is said under such conditions should not be taken as the final word.",
     "They should have been there at 1 or 2, but no one had any later information about it.",
     "He did all he could to make the public aware of this, and all that he got was a shrug.",
+    "There are only a few of its kind left, and those were seen before or after your last visit, if at all.",
+    "We need a good text in the form that the author gave it, and the style of a project or program is related to it by law.",
+    "Sie kam mit dem Zug in die Stadt, und er fuhr mit dem Rad, aber nur bis zum Fluss.",
+    "Elle est venue de la gare sans bagages, et les autres avaient pris le bus pour la ville.",
+    "La casa era de su padre, y los dos fueron a verla por la tarde con sus amigos.",
 ]
 HARD = [
     "His driving license was revoked after the accident.",
