@@ -48,7 +48,7 @@ def nearest_two_blocked(features: DataFrame, block: int = BLOCK) -> DataFrame:
     task-sized product, its two best per feature are kept, and the best two of all blocks are the answer.
     """
     counts = features.groupBy("img").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
-    dealt = features.join(F.broadcast(counts), "img").withColumn("part", F.pmod(F.xxhash64("feat"), F.col("blocks")).cast("int")).select("img", "part", "feat", "desc")
+    dealt = features.join(counts, "img").withColumn("part", F.pmod(F.xxhash64("feat"), F.col("blocks")).cast("int")).select("img", "part", "feat", "desc")
     parts = dealt.groupBy("img", "part").agg(F.collect_list(F.struct("feat", "desc")).alias("rows"))
     a = parts.select(*[F.col(c).alias(f"a_{c}") for c in parts.columns])
     b = parts.select(*[F.col(c).alias(f"b_{c}") for c in parts.columns])

@@ -38,7 +38,7 @@ def tracks_without_point(tracks: DataFrame, points: DataFrame) -> DataFrame:
 
 def observation_errors(points: DataFrame, tracks: DataFrame, features: DataFrame, cameras: DataFrame) -> DataFrame:
     """(pid, img, feat, error): reprojection error of each observation in a registered image."""
-    rows = points.select("pid", "track_id", "x", "y", "z").join(tracks, "track_id").join(features.select("img", "feat", "u", "v"), ["img", "feat"]).join(F.broadcast(cameras), "img")
+    rows = points.select("pid", "track_id", "x", "y", "z").join(tracks, "track_id").join(features.select("img", "feat", "u", "v"), ["img", "feat"]).join(cameras, "img")
     error = C.reprojection_error(*[F.col(c) for c in CAMERA], vec("x", "y", "z"), F.col("u"), F.col("v"))
     return rows.select("pid", "img", "feat", error.alias("error"))
 
