@@ -1,4 +1,4 @@
-"""The corpus pipeline: language identification, line dedup, SimHash near-dedup, best-fit packing.
+"""The corpus pipeline: language identification, line dedup, near-dedup on shingles, best-fit packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept; every stage is written
 as Parquet in the folder that the cluster shares and read again. All but the last return the columns of
@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cairn.llm import lang_id, line_dedup, packing, simhash
+from cairn.llm import lang_id, line_dedup, packing, shingle_dedup
 from cairn.llm.common import staged
 
 #: Documents whose predicted language has a lower score are rejected, as are those without a letter (`und`).
@@ -35,8 +35,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that of the least doc_id."""
-    return simhash.keep_one(docs, words=3, radius=2)
+    """One document of each group of near-duplicates stays, that of the least doc_id: five-word shingles, similarity 0.8 or more."""
+    return shingle_dedup.keep_one(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -323,3 +323,25 @@ def test_pipeline_stages(spark, rng):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, "").count() == 0
+
+
+def test_near_stage_drops_what_is_similar_and_nothing_else(spark, rng):
+    """Texts with one or two changed words go (Jaccard of 0.8 or more), those with many changed words stay."""
+    import corpus_pipeline
+
+    texts = [prose(rng, 150) for _ in range(40)]
+    for k, changes in enumerate([1, 2, 3, 5, 8, 12] * 10):
+        words = texts[k % 40].split()
+        for at in rng.choice(150, changes, replace=False):
+            words[at] = f"changed{k}"
+        texts.append(" ".join(words))
+    texts += [texts[1].upper(), texts[2] + " tail", "a b", "a b", "A  b"]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    near = [(a, b) for b in range(len(texts)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    root = list(range(len(texts)))
+    for _ in texts:
+        for a, b in near:
+            root[a] = root[b] = min(root[a], root[b])
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], DOC)
+    made = {r.doc_id for r in corpus_pipeline.near_stage(spark, docs, "").collect()}
+    assert made == {k for k in range(len(texts)) if root[k] == k} and 40 < len(made) < 90
