@@ -9,26 +9,28 @@ unique runs kept. Copies of a page count once, so a copied article is no templat
 Chrome goes whatever it says. Outside main containers a run is template on NEUTRAL of the pages; inside
 them only on MAIN of them, as passages of articles do repeat. If a page has main containers, the rest goes.
 
-Hosts of more than SHARD_PAGES pages are dealt by hash into shards of about that size, each with an array of
-its own: template text is by definition in every shard, and no task grows with a host.
+Different pages of a host of more than SHARD_PAGES are dealt by hash into shards of about that size, each with
+an array of its own, so no task grows with a host. What has a share of a host has it in some shard: such runs are
+candidates, are counted again over all pages of the host, and the host's thresholds hold once for all its pages.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections.abc import Iterator
 from html import unescape
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import sized
+from .common import sized, staged
 from .line_dedup import host_of
 
 #: Words of a run, at least; pages of a shard, about.
 RUN, SHARD_PAGES = 4, 128
+#: Words and pages that a task remembers.
+KNOWN = 1 << 18
 #: (Different pages at least, share of the shard's different pages) that make a run template text.
 NEUTRAL, MAIN = (3, 0.05), (10, 0.5)
 
@@ -139,8 +141,8 @@ def suffixes(tokens: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
         rank, known = new, known + step
 
 
-def repeats(streams: list[np.ndarray], run: int = RUN) -> tuple[list[np.ndarray], int]:
-    """For each word of each stream, on how many different streams a run of `run` words around it is; and how many differ."""
+def starts(streams: list[np.ndarray], run: int = RUN) -> tuple[np.ndarray, np.ndarray, int]:
+    """For each word, on how many different streams the run that begins there is (0 at an end), in one array; the sizes; and how many differ."""
     copies: dict[bytes, int] = {}
     content = np.array([copies.setdefault(s.tobytes(), len(copies)) for s in streams], np.int64)
     sizes = np.array([len(s) for s in streams], np.int64)
@@ -154,36 +156,157 @@ def repeats(streams: list[np.ndarray], run: int = RUN) -> tuple[list[np.ndarray]
     pages = np.bincount(pairs, minlength=len(tokens))
     # A run counts only if it ends before the stream does.
     left = np.repeat(np.cumsum(sizes + 1), sizes + 1) - np.arange(len(tokens)) - 1
-    here = np.where(left >= run, pages[rank], 0)
+    return np.where(left >= run, pages[rank], 0), sizes, len(copies)
+
+
+def repeats(streams: list[np.ndarray], run: int = RUN) -> tuple[list[np.ndarray], int]:
+    """For each word of each stream, on how many different streams a run of `run` words around it is; and how many differ."""
+    here, sizes, different = starts(streams, run)
     most = here.copy()
     for k in range(1, run):
         most[k:] = np.maximum(most[k:], here[:-k])
     cut = np.cumsum(sizes + 1)
-    return [most[z - 1 - n : z - 1] for n, z in zip(sizes, cut, strict=True)], len(copies)
+    return [most[z - 1 - n : z - 1] for n, z in zip(sizes, cut, strict=True)], different
 
 
-def main_texts(pages: list[str | None]) -> list[str]:
-    """The main text of each page of one host (or shard of it)."""
-    parsed = [blocks(p) if p else [] for p in pages]
-    number: defaultdict[str, int] = defaultdict(count().__next__)
-    streams = [np.array([n for _, _, words in page for n in map(number.__getitem__, words)], np.int64) for page in parsed]
+Page = list[tuple[bool, bool, list[str]]]
+
+
+def words_of(page: Page, known: dict[str, int]) -> np.ndarray:
+    """The hashes of a page's words, in page order."""
+    from xxhash import xxh64_intdigest
+
+    if len(known) > KNOWN:
+        known.clear()
+    for w in {w for _, _, words in page for w in words} - known.keys():
+        known[w] = xxh64_intdigest(w)
+    return np.array([known[w] for _, _, words in page for w in words], np.uint64)
+
+
+def digest(stream: np.ndarray) -> int:
+    """A signed 64-bit hash of a page's words."""
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(stream.tobytes()) - (1 << 63)
+
+
+def runs(stream: np.ndarray, run: int = RUN) -> np.ndarray:
+    """A hash of the `run` words that begin at each word, as far as they go."""
+    out = np.zeros(max(0, len(stream) - run + 1), np.uint64)
+    for k in range(run if len(out) else 0):
+        out = ((out ^ (out >> np.uint64(29))) + stream[k : k + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
+    return out.view(np.int64)
+
+
+def shared(streams: list[np.ndarray], share: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """Runs on at least `share` of the different streams, on how many each is, and how many streams differ."""
     if not streams:
-        return []
-    often, different = repeats(streams)
-    least = [max(n, share * different) for n, share in (NEUTRAL, MAIN)]
-    out = []
-    for page, counts in zip(parsed, often, strict=True):
-        only_main = any(main and not chrome for chrome, main, _ in page)
-        kept, at = [], 0
-        for chrome, main, words in page:
-            there = counts[at : at + len(words)]
-            at += len(words)
-            if chrome or only_main and not main:
-                continue
-            template = there >= least[main]
-            kept += words if not template.any() else [w for w, t in zip(words, template.tolist(), strict=True) if not t]
-        out.append(" ".join(kept))
-    return out
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+    numbers = np.unique(np.concatenate(streams), return_inverse=True)[1].astype(np.int64)
+    here, sizes, different = starts(np.split(numbers, np.cumsum([len(x) for x in streams])[:-1]))
+    least, found, at = max(1, share * different), [], 0
+    for stream, n in zip(streams, sizes.tolist(), strict=True):
+        count_ = here[at : at + max(0, n - RUN + 1)]
+        at += n + 1
+        enough = np.flatnonzero(count_ >= least)
+        found.append(np.stack([runs(stream)[enough], count_[enough]]))
+    both = np.unique(np.concatenate(found, axis=1), axis=1)
+    return both[0], both[1], different
+
+
+def stripped(page: Page, stream: np.ndarray, template: tuple[np.ndarray, np.ndarray]) -> str:
+    """The main text of a page, given the template runs of its host outside and inside main containers."""
+    begins = runs(stream)
+    covered = []
+    for listed in template:
+        edge = np.zeros(len(stream) + 1, np.int64)
+        at = np.flatnonzero(np.isin(begins, listed))
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + RUN, -1)
+        covered.append(np.cumsum(edge)[:-1] > 0)
+    only_main = any(main and not chrome for chrome, main, _ in page)
+    kept, at = [], 0
+    for chrome, main, words in page:
+        there = covered[main][at : at + len(words)]
+        at += len(words)
+        if chrome or only_main and not main:
+            continue
+        kept += words if not there.any() else [w for w, t in zip(words, there.tolist(), strict=True) if not t]
+    return " ".join(kept)
+
+
+def main_texts(pages: list[str | None]) -> list[str]:
+    """The main text of each page of one host."""
+    parsed, known = [blocks(p) if p else [] for p in pages], {}
+    streams = [words_of(page, known) for page in parsed]
+    units, pages_of, different = shared(streams, NEUTRAL[1])
+    template = tuple(units[pages_of >= max(n, share * different)] for n, share in (NEUTRAL, MAIN))
+    return [stripped(page, stream, template) for page, stream in zip(parsed, streams, strict=True)]
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """(host, neutral, inside): the template runs of each host that has any, as bytes of 64-bit hashes; `pages` have host and html."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            streams = [digest(words_of(blocks(h) if h else [], known)) for h in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(streams, pa.int64())], ["host", "stream"])
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        seen: set[tuple[str, int]] = set()
+        for batch in batches:
+            rows = []
+            for host, html, shards in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                page = blocks(html) if html else []
+                stream = digest(words_of(page, known))
+                # Copies of a page go to the same shard: one of a task is enough.
+                if len(seen) > KNOWN:
+                    seen.clear()
+                if (host, stream) not in seen:
+                    seen.add((host, stream))
+                    rows.append((host, stream % shards, shards, "\n".join(" ".join(words) for _, _, words in page)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string()))], ["host", "shard", "shards", "words"])
+
+    def candidates(table: pa.Table) -> pa.Table:
+        known: dict[str, int] = {}
+        texts = dict.fromkeys(table.column("words").to_pylist())
+        units, n, _ = shared([words_of([(False, False, t.split())], known) for t in texts], NEUTRAL[1])
+        rows = len(units)
+        return pa.table([table.column("host").take(pa.array(np.zeros(rows, np.int64))), pa.array(units), pa.array(n), table.column("shards").take(pa.array(np.zeros(rows, np.int64)))], ["host", "unit", "n", "shards"])
+
+    def occur(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            hosts, streams, units = [], [], [np.zeros(0, np.int64)]
+            for k, (html, listed) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                stream = words_of(blocks(html) if html else [], known)
+                found = np.intersect1d(runs(stream), np.frombuffer(listed, np.int64))
+                hosts.append(np.full(len(found), k))
+                streams.append(np.full(len(found), digest(stream), np.int64))
+                units.append(found)
+            if hosts:
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(hosts))), pa.array(np.concatenate(streams)), pa.array(np.concatenate(units))], ["host", "stream", "unit"])
+
+    def pack(table: pa.Table) -> pa.Table:
+        listed = [np.sort(table.column("unit").filter(table.column(c)).to_numpy()).tobytes() for c in ("is_neutral", "is_inside")]
+        return pa.table([table.column("host").slice(0, 1), *[pa.array([b], pa.binary()) for b in listed]], ["host", "neutral", "inside"])
+
+    different = pages.mapInArrow(mark, "host string, stream long").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    different = sized(different, "hosts")
+    least = [F.greatest(F.lit(float(n)), share * F.col("pages")) for n, share in (NEUTRAL, MAIN)]
+    # A host of less pages than make a template has none.
+    some = different.where(F.col("pages") >= NEUTRAL[0]).select("host", F.ceil(F.col("pages") / SHARD_PAGES).cast("bigint").alias("shards"))
+    spelt = pages.join(some, "host").select("host", "html", "shards").mapInArrow(spell, "host string, shard long, shards long, words string")
+    found = staged(spelt.groupBy("host", "shard").applyInArrow(candidates, "host string, unit long, n long, shards long"), "candidates")
+    # Hosts of several shards: each candidate is counted over the different pages of the whole host.
+    lists = found.where("shards > 1").select("host", "unit", F.lit(True).alias("is_neutral"), F.lit(True).alias("is_inside")).distinct()
+    lists = sized(lists.groupBy("host").applyInArrow(pack, "host string, neutral binary, inside binary").select("host", "neutral"), "candidates")
+    whole = pages.join(lists, "host").select("host", "html", "neutral").mapInArrow(occur, "host string, stream long, unit long").distinct()
+    counts = found.where("shards = 1").select("host", "unit", "n").union(whole.groupBy("host", "unit").agg(F.count(F.lit(1)).alias("n")))
+    units = counts.join(different, "host").select("host", "unit", (F.col("n") >= least[0]).alias("is_neutral"), (F.col("n") >= least[1]).alias("is_inside")).where("is_neutral OR is_inside")
+    return units.groupBy("host").applyInArrow(pack, "host string, neutral binary, inside binary")
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -193,14 +316,17 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     evidence and each gets its text. Other columns are not read. An empty table gives an empty one.
     """
     pages = df.select(df[id_col].alias("id"), df[url_col].alias("url"), df[html_col].alias("html")).withColumn("host", F.coalesce(host_of("url"), F.lit("")))
-    large = pages.groupBy("host").count().where(F.col("count") > SHARD_PAGES)
-    large = sized(large.select(F.col("host").alias("large"), F.ceil(F.col("count") / SHARD_PAGES).alias("shards")), "hosts")
-    dealt = pages.join(large, pages["host"] == large["large"], "left").withColumn("shard", F.pmod(F.xxhash64("id", "url"), F.coalesce("shards", F.lit(1).cast("bigint"))))
+    listed = sized(templates(pages.select("host", "html")), "templates")
+    kind, link = (t for _, t in df.select(id_col, url_col).dtypes)
 
-    def run(table: pa.Table) -> pa.Table:
-        texts = main_texts(table.column("html").to_pylist())
-        return pa.table([table.column("id"), table.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            texts = []
+            for html, *template in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+                page = blocks(html) if html else []
+                texts.append(stripped(page, words_of(page, known), tuple(np.frombuffer(b or b"", np.int64) for b in template)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
 
-    kind, link = (t for _, t in df.select(id_col, url_col).dtypes)
-    out = dealt.select("id", "url", "html", "host", "shard").groupBy("host", "shard").applyInArrow(run, f"id {kind}, url {link}, text string, n_chars long")
+    out = pages.join(listed, "host", "left").select("id", "url", "html", "neutral", "inside").mapInArrow(run, f"id {kind}, url {link}, text string, n_chars long")
     return out.withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)

@@ -223,6 +223,20 @@ def test_extract_table(spark, rng):
         html_extract.SHARD_PAGES = before
 
 
+def test_template_share_is_of_the_whole_host(spark, rng):
+    """A host of many shards and many copies of one page gives the texts of the same pages in one array."""
+    html_extract.SHARD_PAGES, before = 16, html_extract.SHARD_PAGES
+    try:
+        extra = lambda k: "<div>" + "Read more of our special offers every week and every month of the whole year here now " * (k % 4 == 0) + "</div>"
+        pages = [f"<div>{prose(rng, 40)}</div>{extra(k)}" for k in range(120)] + [f"<div>{prose(rng, 40)}</div>"] * 400
+        rows = [(k, f"http://big.example.org/{k}", p) for k, p in enumerate(pages)]
+        made = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert [made[k] for k in range(len(pages))] == html_extract.main_texts(pages)
+        assert not any("special offers" in t for t in made.values()) and made[200] == made[519] != ""
+    finally:
+        html_extract.SHARD_PAGES = before
+
+
 # Sound
 
 
