@@ -2,8 +2,9 @@
 
 A page becomes blocks of words, each with what the markup says of it: chrome (menus, headers, footers,
 sidebars, notices, adverts, forms, comments), inside a main container, or neither. The words of all pages of
-a host are laid end to end; sorting their suffixes brings repeated runs of words together, and runs of RUN or
-more words that enough different pages share are template text. Words so covered are removed and the
+a host are laid end to end; sorting their suffixes brings repeated runs of words together. Template text is what
+enough different pages share: runs of RUN or more words, and whole blocks, or neighbouring whole blocks, of BLOCK or
+more. Fewer words in the middle of a block are language, not template. Words so covered are removed and the
 unique runs kept. Copies of a page count once, so a copied article is no template.
 
 Chrome goes whatever it says. Outside main containers a run is template on NEUTRAL of the pages; inside
@@ -16,7 +17,9 @@ candidates, are counted again over all pages of the host, and the host's thresho
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -27,12 +30,12 @@ from pyspark.sql import DataFrame, functions as F
 from .common import sized, staged
 from .line_dedup import host_of
 
-#: Words of a run, at least; pages of a shard, about.
-RUN, SHARD_PAGES = 4, 128
+#: Words of a run inside blocks and of whole blocks, at least; pages of a shard, about.
+RUN, BLOCK, SHARD_PAGES = 16, 4, 128
 #: Words and pages that a task remembers.
 KNOWN = 1 << 18
 #: (Different pages at least, share of the shard's different pages) that make a run template text.
-NEUTRAL, MAIN = (3, 0.05), (10, 0.5)
+NEUTRAL, MAIN = (3, 0.2), (10, 0.5)
 
 #: Names of elements, fixed values.
 RAW = ("script", "style", "noscript", "template", "iframe", "svg", "canvas", "object", "textarea", "title", "math", "audio", "video")
@@ -178,9 +181,14 @@ def words_of(page: Page, known: dict[str, int]) -> np.ndarray:
 
     if len(known) > KNOWN:
         known.clear()
-    for w in {w for _, _, words in page for w in words} - known.keys():
-        known[w] = xxh64_intdigest(w)
-    return np.array([known[w] for _, _, words in page for w in words], np.uint64)
+    out = []
+    for _, _, words in page:
+        for w in words:
+            h = known.get(w)
+            if h is None:
+                h = known[w] = xxh64_intdigest(w)
+            out.append(h)
+    return np.array(out, np.uint64)
 
 
 def digest(stream: np.ndarray) -> int:
@@ -198,8 +206,22 @@ def runs(stream: np.ndarray, run: int = RUN) -> np.ndarray:
     return out.view(np.int64)
 
 
-def shared(streams: list[np.ndarray], share: float) -> tuple[np.ndarray, np.ndarray, int]:
-    """Runs on at least `share` of the different streams, on how many each is, and how many streams differ."""
+def whole_blocks(page: Page, stream: np.ndarray) -> list[tuple[int, int, int]]:
+    """(hash, first word, end) of the fewest whole blocks from each block on that have BLOCK words."""
+    from xxhash import xxh64_intdigest
+
+    edges = np.cumsum([0] + [len(words) for _, _, words in page])
+    ends = np.searchsorted(edges, edges[:-1] + BLOCK)
+    return [(xxh64_intdigest(stream[a : edges[z]].tobytes(), 1) - (1 << 63), a, int(edges[z])) for a, z in zip(edges.tolist(), ends.tolist(), strict=False) if z < len(edges)]
+
+
+def units_of(page: Page, stream: np.ndarray) -> np.ndarray:
+    """The hashes of all runs and whole blocks of a page."""
+    return np.concatenate([runs(stream), np.array([h for h, _, _ in whole_blocks(page, stream)], np.int64)])
+
+
+def shared(parsed: list[Page], streams: list[np.ndarray], share: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """Runs and whole blocks on at least `share` of the different streams, on how many each is, and how many streams differ."""
     if not streams:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), 0
     numbers = np.unique(np.concatenate(streams), return_inverse=True)[1].astype(np.int64)
@@ -210,6 +232,14 @@ def shared(streams: list[np.ndarray], share: float) -> tuple[np.ndarray, np.ndar
         at += n + 1
         enough = np.flatnonzero(count_ >= least)
         found.append(np.stack([runs(stream)[enough], count_[enough]]))
+    # Pages with the same words may split them differently: they are one page, and each way counts.
+    on: defaultdict[int, set[bytes]] = defaultdict(set)
+    for page, stream in zip(parsed, streams, strict=True):
+        key = hashlib.blake2b(stream.tobytes(), digest_size=16).digest()
+        for h, _, _ in whole_blocks(page, stream):
+            on[h].add(key)
+    often = [(h, len(keys)) for h, keys in on.items() if len(keys) >= least]
+    found.append(np.array(often, np.int64).reshape(-1, 2).T)
     both = np.unique(np.concatenate(found, axis=1), axis=1)
     return both[0], both[1], different
 
@@ -223,6 +253,10 @@ def stripped(page: Page, stream: np.ndarray, template: tuple[np.ndarray, np.ndar
         at = np.flatnonzero(np.isin(begins, listed))
         np.add.at(edge, at, 1)
         np.add.at(edge, at + RUN, -1)
+        spans = whole_blocks(page, stream) if len(listed) else []
+        for (_, a, z), there in zip(spans, np.isin([h for h, _, _ in spans], listed).tolist(), strict=True):
+            edge[a] += there
+            edge[z] -= there
         covered.append(np.cumsum(edge)[:-1] > 0)
     only_main = any(main and not chrome for chrome, main, _ in page)
     kept, at = [], 0
@@ -239,7 +273,7 @@ def main_texts(pages: list[str | None]) -> list[str]:
     """The main text of each page of one host."""
     parsed, known = [blocks(p) if p else [] for p in pages], {}
     streams = [words_of(page, known) for page in parsed]
-    units, pages_of, different = shared(streams, NEUTRAL[1])
+    units, pages_of, different = shared(parsed, streams, NEUTRAL[1])
     template = tuple(units[pages_of >= max(n, share * different)] for n, share in (NEUTRAL, MAIN))
     return [stripped(page, stream, template) for page, stream in zip(parsed, streams, strict=True)]
 
@@ -271,8 +305,8 @@ def templates(pages: DataFrame) -> DataFrame:
 
     def candidates(table: pa.Table) -> pa.Table:
         known: dict[str, int] = {}
-        texts = dict.fromkeys(table.column("words").to_pylist())
-        units, n, _ = shared([words_of([(False, False, t.split())], known) for t in texts], NEUTRAL[1])
+        parsed = [[(False, False, line.split()) for line in t.split("\n")] for t in dict.fromkeys(table.column("words").to_pylist())]
+        units, n, _ = shared(parsed, [words_of(page, known) for page in parsed], NEUTRAL[1])
         rows = len(units)
         return pa.table([table.column("host").take(pa.array(np.zeros(rows, np.int64))), pa.array(units), pa.array(n), table.column("shards").take(pa.array(np.zeros(rows, np.int64)))], ["host", "unit", "n", "shards"])
 
@@ -281,8 +315,9 @@ def templates(pages: DataFrame) -> DataFrame:
         for batch in batches:
             hosts, streams, units = [], [], [np.zeros(0, np.int64)]
             for k, (html, listed) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                stream = words_of(blocks(html) if html else [], known)
-                found = np.intersect1d(runs(stream), np.frombuffer(listed, np.int64))
+                page = blocks(html) if html else []
+                stream = words_of(page, known)
+                found = np.intersect1d(units_of(page, stream), np.frombuffer(listed, np.int64))
                 hosts.append(np.full(len(found), k))
                 streams.append(np.full(len(found), digest(stream), np.int64))
                 units.append(found)

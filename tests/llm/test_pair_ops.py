@@ -237,6 +237,16 @@ def test_template_share_is_of_the_whole_host(spark, rng):
         html_extract.SHARD_PAGES = before
 
 
+def test_articles_outside_containers_keep_phrases(rng):
+    """Phrases of a few words inside the sentences of plain blocks stay, repeated whole blocks go, menus of short blocks too."""
+    phrase = "it was one of the first of its kind"
+    articles = [f"{prose(rng, 30)} {phrase} {prose(rng, 30)}" for _ in range(12)]
+    menu = "<div>Home</div><div>News</div><div>Sport</div><div>Weather</div><div>Imprint</div>"
+    assert html_extract.main_texts([f"{menu}<div>{a}</div><div>Follow us on every network</div>" for a in articles]) == articles
+    few = [f"<div>{a}</div>" + "<p>This line is on two pages of twenty alone</p>" * (k < 3) for k, a in enumerate(prose(rng, 40) for _ in range(20))]
+    assert sum("This line" in t for t in html_extract.main_texts(few)) == 3
+
+
 # Sound
 
 
