@@ -36,6 +36,7 @@ NOTICES: dict[str, list[str]] = {
     ],
     "mit": [
         "Released under the MIT License.",
+        "This project is under MIT.",
         "Licensed under the MIT license.",
         "This software is distributed under the terms of the MIT License.",
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
@@ -105,7 +106,8 @@ NOTICES: dict[str, list[str]] = {
         "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited.",
     ],
 }
-#: Sentences that are no notices, fixed values. The first group sets the words that are ordinary; the second uses words of notices.
+#: Sentences that are no notices, fixed values. The first group sets the words that are ordinary, and must not hold
+#: a name of a family; the second uses words of notices, German "mit" among them, which its neighbours tell apart.
 PLAIN = [
     "The weather was fine and we walked along the river until the sun went down.",
     "In this version of the story the captain comes home with all of his men.",
@@ -121,7 +123,8 @@ PLAIN = [
     "He did all he could to make the public aware of this, and all that he got was a shrug.",
     "There are only a few of its kind left, and those were seen before or after your last visit, if at all.",
     "We need a good text in the form that the author gave it, and the style of a project or program is related to it by law.",
-    "Sie kam mit dem Zug in die Stadt, und er fuhr mit dem Rad, aber nur bis zum Fluss.",
+    "Sie kam dem Zug in der Stadt nach, und er fuhr das Rad die Allee hinab, aber nur bis zum Fluss.",
+    "Ein Mann und eine Frau sind von einem Haus zu einer Wiese gegangen, den Hund an der Leine, und er hat sich sehr gefreut.",
     "Elle est venue de la gare sans bagages, et les autres avaient pris le bus pour la ville.",
     "La casa era de su padre, y los dos fueron a verla por la tarde con sus amigos.",
 ]
@@ -151,6 +154,11 @@ HARD = [
     "Modification of the house needs a permit.",
     "Redistribution of wealth was the main theme of the debate.",
     "Warranty claims must be made in writing.",
+    "Sie kam mit dem Zug in die Stadt, und er fuhr mit dem Rad, aber nur bis zum Fluss.",
+    "Ein Mann mit einem Hund und eine Frau mit einer Leine sind mit der Stadt und mit den Haus gegangen.",
+    "Er hat sich mit einer Frau gefreut, und sie kam mit ein und mit eine und mit die Wiese.",
+    "Und mit dem Hund, und er mit der Frau, hat mit den Mann und sich mit das und zu mit von.",
+    "Nur mit dem Rad aber mit dem Zug, bis mit der Allee, sehr mit und in mit die.",
 ]
 
 

@@ -325,6 +325,15 @@ def test_licence_scores_against_numpy(spark):
         assert abs(p.max() / p.sum() - r.probability) < 1e-6
 
 
+def test_family_names_alone_tell(spark):
+    """A line that names only its licence is scored; German "mit" is no licence."""
+    plain = {w for t in license_scan.PLAIN for w in license_scan.tokens(t)}
+    assert not plain & {"mit", "apache", "gpl", "lgpl", "agpl", "bsd", "mpl", "cc", "cc0", "gnu", "mozilla", "license", "licensed", "spdx"}
+    lines = ["This project is under MIT", "Our code is under MIT", "Er kam mit dem Hund in die Stadt", "Das Haus mit einer Wiese und mit der Allee ist alt", "Das Kind spielt mit Freude und mit Freunden im Garten"]
+    made = {r.paragraph: r.family for r in license_scan.scan(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")).collect()}
+    assert made == {0: "mit", 1: "mit", 2: "unknown", 3: "unknown", 4: "unknown"}
+
+
 # Pipeline
 
 
