@@ -18,7 +18,6 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -27,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import WHITE, balanced
+from .common import balanced
 
 U64 = np.uint64
 #: Code points handled at once, which bounds the memory of a worker; longer texts are cut at safe boundaries.
@@ -85,13 +84,25 @@ def _machine() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(rows, np.uint8).ravel(), np.array(elements, np.uint8).ravel(), begins.ravel()
 
 
-@lru_cache(maxsize=1)
-def _classes() -> np.ndarray:
-    """The symbol of each code point by itself: letter, number, white space or other."""
+@lru_cache(maxsize=2)
+def classes(library: str) -> np.ndarray:
+    """The symbol of each code point by itself: letter, number, white space or other.
+
+    The library (tiktoken or tokenizers) is asked, once a worker: its Unicode version is not the interpreter's.
+    """
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
     table = np.full(0x110000, SYM_O, np.uint8)
-    category = unicodedata.category
-    table[:] = np.frombuffer(bytes({"L": SYM_L, "N": SYM_N}.get(category(chr(c))[0], SYM_O) for c in range(0x110000)), np.uint8)
-    table[[ord(c) for c in WHITE]] = SYM_W
+    for kind, symbol in ((r"\p{L}", SYM_L), (r"\p{N}", SYM_N), (r"\s", SYM_W)):
+        if library == "tiktoken":
+            import tiktoken
+
+            # What no match of the pattern covers has no token.
+            found = bytes(tiktoken.Encoding("classes", pat_str=kind, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={}).encode_ordinary(every)).decode()
+        else:
+            from tokenizers import Regex, pre_tokenizers
+
+            found = "".join(part for part, _ in pre_tokenizers.Split(Regex(kind + "+"), "removed", invert=True).pre_tokenize_str(every))
+        table[np.frombuffer(found.encode("utf-32-le"), np.uint32)] = symbol
     return table
 
 
@@ -137,11 +148,11 @@ def _scan_blocks(total: np.ndarray, n: int, width: int = 64) -> np.ndarray:
     return apply[prefix * 8 + carry].T.ravel()[: len(total)]
 
 
-def pre_tokens(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Positions at which tokens begin, in the code points of texts laid end to end; `first`: where texts begin."""
+def pre_tokens(codes: np.ndarray, first: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Positions at which tokens begin, in the code points of texts laid end to end; `first`: where texts begin; `table`: classes()."""
     if not len(codes):
         return np.empty(0, np.int64)
-    symbols = _classes()[codes]
+    symbols = table[codes]
     ends = np.zeros(len(codes) + 2, bool)  # is there no more of the text from here on
     ends[first] = True
     ends[len(codes) :] = True
@@ -150,35 +161,37 @@ def pre_tokens(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
     last[:-1] &= ~white[1:]
     symbols[last] = SYM_WLAST
     symbols[last & (codes == 32)] = SYM_SLAST
-    for p in np.flatnonzero(codes == 39):
-        if not ends[p + 1]:
-            if chr(codes[p + 1]) in SHORT:
-                symbols[p] = SYM_A1
-            elif not ends[p + 2] and chr(codes[p + 1]) + chr(codes[p + 2]) in LONG:
-                symbols[p] = SYM_A2
+    quote = np.flatnonzero(codes == 39)
+    quote = quote[~ends[quote + 1]]
+    a, b = codes[quote + 1], codes[np.minimum(quote + 2, len(codes) - 1)]
+    short = np.isin(a, [ord(c) for c in SHORT])
+    long = ~ends[quote + 2] & np.logical_or.reduce([(a == ord(x)) & (b == ord(y)) for x, y in LONG])
+    symbols[quote[short]] = SYM_A1
+    symbols[quote[long]] = SYM_A2
     symbols[first] += 8
     return np.flatnonzero(_machine()[2][symbols.astype(np.int64) * 8 + scan(symbols)])
 
 
-def pieces(text: str, most: int) -> list[str]:
-    """A long text in pieces of about `most` code points, cut before spaces that follow something visible.
+def pieces(text: str, most: int, table: np.ndarray) -> Iterator[str]:
+    """A long text in pieces of about `most` code points, cut where tokens begin that follow something visible.
 
-    No token spans such a place and none depends on what is beyond it. Without one, a piece is longer.
+    What is left of such a place ends there whatever follows, and no token depends on what is left of its begin. A
+    begin is certain if the two code points after it were seen. A single longer token makes a longer piece.
     """
-    out, at = [], 0
+    at = 0
     while len(text) - at > most:
-        cut = text.rfind(" ", at + 1, at + most)
-        while cut > 0 and text[cut - 1] in WHITE:
-            cut = text.rfind(" ", at + 1, cut)
-        if cut < 0:
-            cut = text.find(" ", at + most)
-            while cut > 0 and text[cut - 1] in WHITE:
-                cut = text.find(" ", cut + 1)
-            if cut < 0:
-                break
-        out.append(text[at:cut])
-        at = cut
-    return [*out, text[at:]]
+        size, cut = most, np.empty(0, np.int64)
+        while not len(cut) and at + size < len(text):
+            codes = np.frombuffer(text[at : at + size].encode("utf-32-le"), np.uint32)
+            cut = pre_tokens(codes, np.zeros(1, np.int64), table)
+            cut = cut[(cut > 0) & (cut + 2 < len(codes))]
+            cut = cut[table[codes[cut - 1]] != SYM_W]
+            size *= 2
+        if not len(cut):
+            break
+        yield text[at : at + int(cut[-1])]
+        at += int(cut[-1])
+    yield text[at:]
 
 
 def _mix(lo: np.ndarray, mid: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -241,7 +254,8 @@ class PreTokens:
     #: The table is emptied beyond this many entries, two thirds of its slots.
     MOST = 700_000
 
-    def __init__(self):
+    def __init__(self, library: str):
+        self.classes = classes(library)
         self._reset()
 
     def _reset(self) -> None:
@@ -255,7 +269,7 @@ class PreTokens:
         joined = "".join(texts)
         codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         text_first = np.cumsum(sizes) - sizes
-        begin = pre_tokens(codes, text_first[sizes > 0])
+        begin = pre_tokens(codes, text_first[sizes > 0], self.classes)
         raw = joined.encode()
         buf = np.zeros(len(raw) + 24, np.uint8)
         buf[: len(raw)] = np.frombuffer(raw, np.uint8)
@@ -348,7 +362,7 @@ class ByteBPE(PreTokens):
         self.token_buf = np.frombuffer(b"".join(self.token_bytes), np.uint8)
         single = {t: i for i, t in token.items() if len(t) == 1}
         self.byte_id = np.array([single[bytes([b])] for b in range(256)], np.int32)
-        super().__init__()
+        super().__init__("tokenizers" if path.endswith(".json") else "tiktoken")
 
     def _reset(self) -> None:
         super()._reset()
@@ -488,7 +502,7 @@ class ByteBPE(PreTokens):
                 end += 1
             part = [t or "" for t in texts[at:end]]
             if len(part) == 1 and size > PORTION:
-                yield np.concatenate([self._one(p) for p in pieces(part[0], PORTION)])
+                yield self._one(part[0])
             elif self.special and any(s in t for t in part for s in self.special):
                 for t in part:
                     yield self._one(t)
@@ -504,10 +518,7 @@ class ByteBPE(PreTokens):
         parts: list[str | int] = [text]
         for s, i in self.special.items():
             parts = [y for x in parts for y in ([x] if isinstance(x, int) else [z for k, w in enumerate(x.split(s)) for z in ([i] if k else []) + [w]])]
-        plain = [x for x in parts if not isinstance(x, int)]
-        ids, n = self._encode(plain)
-        cut = iter(np.split(ids, np.cumsum(n)[:-1]))
-        return np.concatenate([np.array([x], np.int32) if isinstance(x, int) else next(cut) for x in parts])
+        return np.concatenate([np.array([x], np.int32) if isinstance(x, int) else self._encode([p])[0] for x in parts for p in ([x] if isinstance(x, int) or len(x) <= PORTION else pieces(x, PORTION, self.classes))])
 
     # Decoding
 

@@ -30,7 +30,7 @@ class _Lengths(PreTokens):
     """Remembers the number of tokens of each pre-token, asked of the library in batches."""
 
     def __init__(self, library):
-        super().__init__()
+        super().__init__("tokenizers")
         self.library = library
 
     def _merge_new(self, buf: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,18 +96,19 @@ class TokenCounter:
             if self.lengths is None or any(a in t for t in part for a in self.added):
                 yield from self.batch(part)
             elif len(part) == 1 and len(part[0]) > PORTION:
-                yield sum(sum(self.lengths.counts([p])) for p in pieces(part[0], PORTION))
+                yield sum(sum(self.lengths.counts([p])) for p in pieces(part[0], PORTION, self.lengths.classes))
             else:
                 yield from self.lengths.counts(part)
 
 
 def by_bytes(texts: list[str], most: int = BATCH_BYTES) -> Iterator[list[str]]:
-    """Consecutive texts in batches of about `most` characters each; a longer text is a batch by itself."""
+    """Consecutive texts in batches of at most `most` UTF-8 bytes each; a longer text is a batch by itself."""
+    sizes = [len(t) if t.isascii() else len(t.encode()) for t in texts]
     at = 0
     while at < len(texts):
         end, size = at, 0
-        while end < len(texts) and (end == at or size + len(texts[end]) <= most):
-            size += len(texts[end])
+        while end < len(texts) and (end == at or size + sizes[end] <= most):
+            size += sizes[end]
             end += 1
         yield texts[at:end]
         at = end

@@ -71,11 +71,36 @@ def test_a_full_table_is_emptied(rng, monkeypatch):
     assert [g.tolist() for g in bpe.ByteBPE(RANKS).encode(texts)] == [enc.encode_ordinary(t) for t in texts]
 
 
-def test_every_code_point(rng):
+def test_every_code_point():
+    """All 1,112,064 code points beside spaces, letters, digits, signs and apostrophes: the ids of both libraries, for both files."""
     codes = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    texts = ["a" + "a".join(codes[k : k + 997]) for k in range(0, len(codes), 997 * 7)]
-    enc = tik()
+    texts = ["".join(f"a{c} {c}1{c}'s!{c}\n'{c}" for c in codes[k : k + 2048]) for k in range(0, len(codes), 2048)]
+    enc, lib = tik(), library()
+    for t, got in zip(texts, bpe.ByteBPE(RANKS).encode(texts), strict=True):
+        assert got.tolist() == enc.encode_ordinary(t)
+    want = [e.ids for e in lib.encode_batch_fast(texts, add_special_tokens=False)]
+    for ids, got in zip(want, bpe.ByteBPE(JSON).encode(texts), strict=True):
+        assert got.tolist() == ids
+    assert list(token_counts.TokenCounter(JSON).counts(texts)) == [len(ids) for ids in want]
+
+
+def test_long_texts_without_spaces(rng, monkeypatch):
+    """Base64, Chinese and one endless word are cut at token begins alone; the last is one piece."""
+    import base64 as b64
+
+    texts = [b64.b64encode(rng.bytes(3000)).decode(), "".join(map(chr, rng.integers(0x4E00, 0x9000, 2000))) + "。" + "好" * 500, "x" * 3000, "\n".join("ab" for _ in range(500)), ("a \n" * 400) + "b", "<|endoftext|>" * 60]
+    table = bpe.classes("tokenizers")
+    for t in texts:
+        parts = list(bpe.pieces(t, 64, table))
+        assert "".join(parts) == t and (len(parts) > 1 or t[0] == "x")
+    monkeypatch.setattr(bpe, "PORTION", 64)
+    monkeypatch.setattr(token_counts, "PORTION", 64)
+    monkeypatch.setattr(token_counts, "BATCH_BYTES", 16)
+    enc, lib = tik(), library()
     assert [g.tolist() for g in bpe.ByteBPE(RANKS).encode(texts)] == [enc.encode_ordinary(t) for t in texts]
+    want = [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+    assert [g.tolist() for g in bpe.ByteBPE(JSON).encode(texts)] == want
+    assert list(token_counts.TokenCounter(JSON).counts(texts)) == list(map(len, want))
 
 
 def test_scan_is_the_automaton(rng):
