@@ -1,41 +1,46 @@
-"""Main text of web pages: page structure, and a suffix array over each host's pages.
+"""Main text of web pages: a suffix array over each host's pages, and page structure.
 
-A page becomes blocks of words, each with what the markup says of it: chrome (menus, headers, footers,
-sidebars, notices, adverts, forms, comments), inside a main container, or neither. The words of all pages of
-a host are laid end to end; sorting their suffixes brings repeated runs of words together. Template text is what
-enough different pages share: runs of RUN or more words, and whole blocks, or neighbouring whole blocks, of BLOCK or
-more. Fewer words in the middle of a block are language, not template. Words so covered are removed and the
-unique runs kept. Copies of a page count once, so a copied article is no template.
+A page is parsed once into blocks of words, each with what the markup says of it: chrome (menus, headers, footers,
+sidebars, notices, adverts, forms, comments), inside a main container, or neither. The words of all different pages of
+a host are laid end to end, and their suffix array with its common prefixes gives the runs that pages share.
 
-Chrome goes whatever it says. Outside main containers a run is template on NEUTRAL of the pages; inside
-them only on MAIN of them, as passages of articles do repeat. If a page has main containers, the rest goes.
+Template text is what enough different pages share: runs of 16 words or more on a fifth of the host's pages, of 64 or
+more on a tenth (RUNS), and whole blocks, or neighbouring whole blocks, of BLOCK words or more. Fewer words in the middle
+of a block are language. Inside main containers it takes MAIN of the pages, as passages of articles do repeat. Words so
+covered go, whatever the markup says; unique runs stay. Copies of a page count once, so a copied article is no template.
 
-Different pages of a host of more than SHARD_PAGES are dealt by hash into shards of about that size, each with
-an array of its own, so no task grows with a host. What has a share of a host has it in some shard: such runs are
-candidates, are counted again over all pages of the host, and the host's thresholds hold once for all its pages.
+The markup is asked for what no other page repeats: chrome goes, and if main containers hold most of what is left, the
+rest goes too. `n_repeated` and `n_marked` tell how many words each of the two took.
+
+The pages of a host are dealt by hash to shards of about SHARD_WORDS words, each with an array of its own, so no task
+grows with a host. What has a share of a host has it in some shard: such units are candidates, are counted again over
+all pages of the host, and the thresholds hold once for all its pages, however many shards there are.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import sized, staged
+from .common import balanced, sized, staged
 from .line_dedup import host_of
 
-#: Words of a run inside blocks and of whole blocks, at least; pages of a shard, about.
-RUN, BLOCK, SHARD_PAGES = 16, 4, 128
-#: Words and pages that a task remembers.
-KNOWN = 1 << 18
-#: (Different pages at least, share of the shard's different pages) that make a run template text.
-NEUTRAL, MAIN = (3, 0.2), (10, 0.5)
+#: Runs: (words at least, share of the host's different pages at least); whole blocks of at least BLOCK words take the first share.
+RUNS, BLOCK = ((16, 0.2), (64, 0.1)), 4
+#: Different pages at least, outside and inside main containers, and the share of pages inside them.
+NEUTRAL, MAIN = 3, (10, 0.5)
+#: Words of a shard, about, and its pages, at least: with fewer pages a share is too few of them to mean anything.
+SHARD_WORDS, SHARD_PAGES = 1 << 19, 32
+#: What the markup says of a block. Blocks are kept as text: a line feed and one of these, then the words, all with one space between.
+MARKS = CHROME_MARK, MAIN_MARK, OTHER_MARK = ("\nc", "\nm", "\no")
 
 #: Names of elements, fixed values.
 RAW = ("script", "style", "noscript", "template", "iframe", "svg", "canvas", "object", "textarea", "title", "math", "audio", "video")
@@ -82,6 +87,7 @@ def blocks(html: str) -> list[tuple[bool, bool, list[str]]]:
     """(chrome, inside a main container, words) of each block of a page with words, in page order."""
     out: list[tuple[bool, bool, list[str]]] = []
     stack: list[tuple[str, bool, bool]] = []
+    opened: Counter[str] = Counter()
     chrome = main = 0
     text: list[str] = []
 
@@ -102,15 +108,15 @@ def blocks(html: str) -> list[tuple[bool, bool, list[str]]]:
         if name not in INLINE:
             close()
         if m["end"]:
-            if any(entry[0] == name for entry in stack):
-                while True:
-                    tag, was_chrome, was_main = stack.pop()
-                    if was_chrome or was_main:
-                        close()
-                        chrome -= was_chrome
-                        main -= was_main
-                    if tag == name:
-                        break
+            while opened[name]:
+                tag, was_chrome, was_main = stack.pop()
+                opened[tag] -= 1
+                if was_chrome or was_main:
+                    close()
+                    chrome -= was_chrome
+                    main -= was_main
+                if tag == name:
+                    break
         elif name not in VOID:
             is_chrome, is_main = _role(name, m["attrs"], main > 0)
             if is_chrome or is_main:
@@ -119,249 +125,330 @@ def blocks(html: str) -> list[tuple[bool, bool, list[str]]]:
                 main += is_main
             if name not in INLINE or is_chrome or m["attrs"]:
                 stack.append((name, is_chrome, is_main))
+                opened[name] += 1
     text.append(html[at:])
     close()
     return out
 
 
-def suffixes(tokens: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
-    """The suffixes of `tokens` sorted by their first `run` tokens, then by place, and the rank of each by these tokens.
+def spelt(html: str | None) -> str | None:
+    """The blocks of a page as text, see MARKS; null if it has no words."""
+    return " ".join(f"{CHROME_MARK if c else MAIN_MARK if m else OTHER_MARK} {' '.join(words)}" for c, m, words in blocks(html or "")) or None
+
+
+# Pages laid end to end
+
+
+BASE = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64)] * 2
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n of BASE and of its inverse, modulo 2^64."""
+    if len(_POWERS[0]) <= n:
+        for k, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+            _POWERS[k] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(2 * n, base, np.uint64)]))
+    return _POWERS[0][: n + 1], _POWERS[1][: n + 1]
+
+
+class Pages(NamedTuple):
+    """Words of pages laid end to end: words (a dictionary array), sums of word hashes, first word of each page and block
+    (and the end), the page and the mark (0 to 2, as MARKS) of each block."""
+
+    words: pa.DictionaryArray
+    sums: np.ndarray
+    first: np.ndarray
+    block: np.ndarray
+    block_page: np.ndarray
+    block_mark: np.ndarray
+
+    def hashes(self, a: np.ndarray, z: np.ndarray, kind: int) -> np.ndarray:
+        """Hashes of the words a to z - 1, equal for equal words wherever they are; the lowest bit is `kind`."""
+        with np.errstate(over="ignore"):
+            h = (self.sums[z] - self.sums[a]) * _powers(len(self.sums))[1][a] + (z - a).astype(np.uint64)
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        return (h ^ (h >> np.uint64(29))).view(np.int64) & -2 | kind
+
+    def runs(self, length: int) -> np.ndarray:
+        """Where runs of `length` words begin that end within their page."""
+        if not self.first[-1]:
+            return np.zeros(0, np.int64)
+        at = np.arange(self.first[-1])
+        return at[at + length <= np.repeat(self.first[1:], np.diff(self.first))]
+
+    def whole(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first word, end, page) of the fewest whole blocks from each block on that have BLOCK words on the page."""
+        end = self.block[np.minimum(np.searchsorted(self.block, self.block[:-1] + BLOCK), len(self.block) - 1)]
+        fits = (end - self.block[:-1] >= BLOCK) & (end <= self.first[1:][self.block_page])
+        return self.block[:-1][fits], end[fits], self.block_page[fits]
+
+    def units(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, first word, end) of all runs and whole blocks."""
+        found = []
+        for kind, (length, _) in enumerate(RUNS):
+            a = self.runs(length)
+            found.append((self.hashes(a, a + length, kind), a, a + length))
+        a, z, _ = self.whole()
+        found.append((self.hashes(a, z, 0), a, z))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def streams(self) -> np.ndarray:
+        """A hash of all words of each page."""
+        return self.hashes(self.first[:-1], self.first[1:], 0)
+
+
+def lay(texts: pa.Array) -> Pages:
+    """Pages from the texts of spelt(); null: a page without words."""
+    from xxhash import xxh64_digest
+
+    lists = pc.split_pattern(texts.cast(pa.string()), " ")
+    sizes = pc.list_value_length(lists).fill_null(0).to_numpy().astype(np.int64)
+    flat = pc.list_flatten(lists).dictionary_encode()
+    flat = flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat
+    names = flat.dictionary
+    cut = np.frombuffer(names.buffers()[1], np.int32)[names.offset : names.offset + len(names) + 1].tolist() if len(names) else []
+    raw = names.buffers()[2].to_pybytes() if len(names) else b""
+    digests = np.frombuffer(b"".join([xxh64_digest(raw[a:z]) for a, z in zip(cut, cut[1:])]), ">u8").astype(np.uint64)
+    code = flat.indices.to_numpy().astype(np.int64)
+    mark = pc.fill_null(pc.index_in(names, value_set=pa.array(MARKS)), -1).to_numpy()
+    is_mark = mark[code] >= 0
+    word = flat.filter(pa.array(~is_mark))
+    hashed = digests[code[~is_mark]]
+    before = np.concatenate([[0], np.cumsum(~is_mark)])  # words before each token
+    edge = np.concatenate([[0], np.cumsum(sizes)])
+    marks = np.flatnonzero(is_mark)
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashed * _powers(len(hashed))[0][1:])])
+    return Pages(word, sums, before[edge], np.concatenate([before[marks], before[-1:]]), np.searchsorted(edge, marks, "right") - 1, mark[code[marks]])
+
+
+# Suffix array
+
+
+def _dense(key: np.ndarray) -> np.ndarray:
+    """The number of each key among the different keys, ascending."""
+    order = np.argsort(key, kind="stable")
+    out = np.empty(len(key), np.int64)
+    out[order] = np.cumsum(np.concatenate([[0], key[order][1:] != key[order][:-1]])) if len(key) else 0
+    return out
+
 
-    Prefix doubling, which stops at `run`: longer common prefixes are unions of the runs that it finds.
+def suffix_array(tokens: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes in order, and how many tokens each has in common with the one before (0 if fewer than `least`).
+
+    `tokens`: pages, each followed by a negative number of its own, so that no run crosses pages. Prefix doubling over all
+    suffixes up to `least` tokens, then over those alone that still have an equal.
     """
-    rank = tokens - tokens.min(initial=0)
-    known = 1
-    while True:
-        step = min(known, run - known)
-        if not step:
-            return np.argsort(rank, kind="stable"), rank
-        second = np.zeros_like(rank)
+    n, rank, known = len(tokens), _dense(tokens), 1
+    while known < least:
+        step = min(known, least - known)
+        second = np.zeros(n, np.int64)
         second[:-step] = rank[step:] + 1
-        key = rank * (int(second.max(initial=0)) + 1) + second
-        order = np.argsort(key, kind="stable")
-        new = np.empty(len(key), np.int64)
-        new[order] = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])]) if len(key) else 0
-        rank, known = new, known + step
-
-
-def starts(streams: list[np.ndarray], run: int = RUN) -> tuple[np.ndarray, np.ndarray, int]:
-    """For each word, on how many different streams the run that begins there is (0 at an end), in one array; the sizes; and how many differ."""
-    copies: dict[bytes, int] = {}
-    content = np.array([copies.setdefault(s.tobytes(), len(copies)) for s in streams], np.int64)
-    sizes = np.array([len(s) for s in streams], np.int64)
-    # A number of its own ends each stream, so that no run crosses pages.
-    ends = -1 - np.arange(len(streams))
-    tokens = np.concatenate([x for s, e in zip(streams, ends, strict=True) for x in (s, [e])])
-    order, rank = suffixes(tokens, run)
-    owner = np.repeat(content, sizes + 1)
-    pairs = np.sort(rank * len(copies) + owner)
-    pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] // len(copies)
-    pages = np.bincount(pairs, minlength=len(tokens))
-    # A run counts only if it ends before the stream does.
-    left = np.repeat(np.cumsum(sizes + 1), sizes + 1) - np.arange(len(tokens)) - 1
-    return np.where(left >= run, pages[rank], 0), sizes, len(copies)
-
-
-def repeats(streams: list[np.ndarray], run: int = RUN) -> tuple[list[np.ndarray], int]:
-    """For each word of each stream, on how many different streams a run of `run` words around it is; and how many differ."""
-    here, sizes, different = starts(streams, run)
-    most = here.copy()
-    for k in range(1, run):
-        most[k:] = np.maximum(most[k:], here[:-k])
-    cut = np.cumsum(sizes + 1)
-    return [most[z - 1 - n : z - 1] for n, z in zip(sizes, cut, strict=True)], different
-
-
-Page = list[tuple[bool, bool, list[str]]]
-
-
-def words_of(page: Page, known: dict[str, int]) -> np.ndarray:
-    """The hashes of a page's words, in page order."""
-    from xxhash import xxh64_intdigest
-
-    if len(known) > KNOWN:
-        known.clear()
-    out = []
-    for _, _, words in page:
-        for w in words:
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxh64_intdigest(w)
-            out.append(h)
-    return np.array(out, np.uint64)
-
-
-def digest(stream: np.ndarray) -> int:
-    """A signed 64-bit hash of a page's words."""
-    from xxhash import xxh64_intdigest
-
-    return xxh64_intdigest(stream.tobytes()) - (1 << 63)
-
-
-def runs(stream: np.ndarray, run: int = RUN) -> np.ndarray:
-    """A hash of the `run` words that begin at each word, as far as they go."""
-    out = np.zeros(max(0, len(stream) - run + 1), np.uint64)
-    for k in range(run if len(out) else 0):
-        out = ((out ^ (out >> np.uint64(29))) + stream[k : k + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
-    return out.view(np.int64)
-
-
-def whole_blocks(page: Page, stream: np.ndarray) -> list[tuple[int, int, int]]:
-    """(hash, first word, end) of the fewest whole blocks from each block on that have BLOCK words."""
-    from xxhash import xxh64_intdigest
-
-    edges = np.cumsum([0] + [len(words) for _, _, words in page])
-    ends = np.searchsorted(edges, edges[:-1] + BLOCK)
-    return [(xxh64_intdigest(stream[a : edges[z]].tobytes(), 1) - (1 << 63), a, int(edges[z])) for a, z in zip(edges.tolist(), ends.tolist(), strict=False) if z < len(edges)]
-
-
-def units_of(page: Page, stream: np.ndarray) -> np.ndarray:
-    """The hashes of all runs and whole blocks of a page."""
-    return np.concatenate([runs(stream), np.array([h for h, _, _ in whole_blocks(page, stream)], np.int64)])
-
-
-def shared(parsed: list[Page], streams: list[np.ndarray], share: float) -> tuple[np.ndarray, np.ndarray, int]:
-    """Runs and whole blocks on at least `share` of the different streams, on how many each is, and how many streams differ."""
-    if not streams:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-    numbers = np.unique(np.concatenate(streams), return_inverse=True)[1].astype(np.int64)
-    here, sizes, different = starts(np.split(numbers, np.cumsum([len(x) for x in streams])[:-1]))
-    least, found, at = max(1, share * different), [], 0
-    for stream, n in zip(streams, sizes.tolist(), strict=True):
-        count_ = here[at : at + max(0, n - RUN + 1)]
-        at += n + 1
-        enough = np.flatnonzero(count_ >= least)
-        found.append(np.stack([runs(stream)[enough], count_[enough]]))
-    # Pages with the same words may split them differently: they are one page, and each way counts.
-    on: defaultdict[int, set[bytes]] = defaultdict(set)
-    for page, stream in zip(parsed, streams, strict=True):
-        key = hashlib.blake2b(stream.tobytes(), digest_size=16).digest()
-        for h, _, _ in whole_blocks(page, stream):
-            on[h].add(key)
-    often = [(h, len(keys)) for h, keys in on.items() if len(keys) >= least]
-    found.append(np.array(often, np.int64).reshape(-1, 2).T)
-    both = np.unique(np.concatenate(found, axis=1), axis=1)
-    return both[0], both[1], different
-
-
-def stripped(page: Page, stream: np.ndarray, template: tuple[np.ndarray, np.ndarray]) -> str:
-    """The main text of a page, given the template runs of its host outside and inside main containers."""
-    begins = runs(stream)
+        rank, known = _dense(rank * (int(second.max(initial=0)) + 1) + second), known + step
+    order = np.argsort(rank, kind="stable")
+    changes = np.concatenate([[True], rank[order][1:] != rank[order][:-1]])[:n]
+    equal = ~changes
+    place = np.maximum.accumulate(np.where(changes, np.arange(n), 0))  # of the first of equals
+    rank[order] = place
+    while True:
+        alone = changes & np.concatenate([changes[1:], [True]])[:n]
+        some = np.flatnonzero(~alone)
+        if not len(some):
+            break
+        who = order[some]
+        key = place[some] * (n + 1) + rank[who + known]
+        by = np.argsort(key, kind="stable")
+        order[some], key = who[by], key[by]
+        changes[some] = np.concatenate([[True], key[1:] != key[:-1]])
+        place = np.maximum.accumulate(np.where(changes, np.arange(n), 0))
+        rank[order] = place
+        known *= 2
+    common = np.zeros(n, np.int64)
+    pair = np.flatnonzero(equal)
+    a, b = order[pair - 1], order[pair]
+    with np.errstate(over="ignore"):
+        power, inverse = _powers(n)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((tokens.astype(np.uint64) * np.uint64(BASE) ^ np.uint64(0x5851F42D4C957F2D)) * power[1:])])
+        same, step = np.full(len(pair), least), 1 << max(0, n.bit_length() - 1)
+        while step:
+            ends = np.maximum(a, b) + same + step
+            ok = ends <= n
+            i, j = a[ok] + same[ok], b[ok] + same[ok]
+            ok[ok] = (sums[i + step] - sums[i]) * inverse[i] == (sums[j + step] - sums[j]) * inverse[j]
+            same[ok] += step
+            step //= 2
+    common[pair] = same
+    return order, common
+
+
+def spread(order: np.ndarray, common: np.ndarray, page: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a first token, pages) of each run of `length` tokens that occurs more than once; `page` of each token."""
+    group = np.cumsum(common < length) - 1
+    often = np.flatnonzero(np.bincount(group)[group] > 1) if len(group) else np.zeros(0, np.int64)
+    pages = int(page.max(initial=0)) + 1
+    pairs = np.unique(group[often] * pages + page[order[often]]) // pages
+    first, count = np.unique(pairs, return_counts=True)
+    return order[np.searchsorted(group, first)], count
+
+
+def candidates(texts: pa.Array) -> np.ndarray:
+    """Hashes of the units that have their share of these different pages, each page once."""
+    pages = lay(texts)
+    n, words = len(pages.first) - 1, pages.first[-1]
+    if not words:
+        return np.zeros(0, np.int64)
+    # A number of its own ends each page.
+    at = np.arange(words) + np.repeat(np.arange(n), np.diff(pages.first))
+    tokens, page = np.empty(words + n, np.int64), np.repeat(np.arange(n), np.diff(pages.first) + 1)
+    tokens[pages.first[1:] + np.arange(n)] = -1 - np.arange(n)
+    tokens[at] = pages.words.indices.to_numpy()
+    order, common = suffix_array(tokens, RUNS[0][0])
+    found = []
+    for kind, (length, share) in enumerate(RUNS):
+        start, count = spread(order, common, page, length)
+        start = start[count >= share * n]
+        start -= page[start]
+        found.append(pages.hashes(start, start + length, kind))
+    a, z, block_page = pages.whole()
+    pairs = np.unique(np.stack([pages.hashes(a, z, 0), block_page]), axis=1)[0]
+    unit, count = np.unique(pairs, return_counts=True)
+    found.append(unit[count >= RUNS[0][1] * n])
+    return np.unique(np.concatenate(found))
+
+
+def counted(texts: pa.Array, listed: np.ndarray) -> np.ndarray:
+    """The units of `listed` (sorted) on each of these pages, once a page, laid end to end."""
+    pages = lay(texts)
+    unit, a, _ = pages.units()
+    there = np.isin(unit, listed)
+    page = np.searchsorted(pages.first, a[there], "right") - 1
+    return np.unique(np.stack([page, unit[there]]), axis=1)[1]
+
+
+def strip(texts: pa.Array, neutral: np.ndarray, inside: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The main text of each of a host's pages, given the template units outside and inside main containers, and how many
+    words they covered and the markup took."""
+    pages = lay(texts)
+    n, words = len(pages.first) - 1, int(pages.first[-1])
+    unit, a, z = pages.units()
     covered = []
-    for listed in template:
-        edge = np.zeros(len(stream) + 1, np.int64)
-        at = np.flatnonzero(np.isin(begins, listed))
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + RUN, -1)
-        spans = whole_blocks(page, stream) if len(listed) else []
-        for (_, a, z), there in zip(spans, np.isin([h for h, _, _ in spans], listed).tolist(), strict=True):
-            edge[a] += there
-            edge[z] -= there
-        covered.append(np.cumsum(edge)[:-1] > 0)
-    only_main = any(main and not chrome for chrome, main, _ in page)
-    kept, at = [], 0
-    for chrome, main, words in page:
-        there = covered[main][at : at + len(words)]
-        at += len(words)
-        if chrome or only_main and not main:
-            continue
-        kept += words if not there.any() else [w for w, t in zip(words, there.tolist(), strict=True) if not t]
-    return " ".join(kept)
+    for listed in (neutral, inside):
+        there = np.isin(unit, listed)
+        edge = np.bincount(a[there], minlength=words + 1) - np.bincount(z[there], minlength=words + 1)
+        covered.append(np.cumsum(edge)[:words] > 0)
+    mark = np.repeat(pages.block_mark, np.diff(pages.block))
+    page = np.repeat(np.arange(n), np.diff(pages.first))
+    repeated = np.where(mark == 1, covered[1], covered[0])
+    left = [np.bincount(page[~repeated & (mark == m)], minlength=n) for m in (1, 2)]
+    marked = ~repeated & ((mark == 0) | (mark == 2) & ((left[0] > 0) & (left[0] >= left[1]))[page])
+    keep = ~repeated & ~marked
+    size = np.bincount(page[keep], minlength=n)
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pages.words.filter(pa.array(keep)).dictionary_decode())
+    return pc.binary_join(lists, " "), np.bincount(page[repeated], minlength=n), np.bincount(page[marked], minlength=n)
+
+
+def thresholds(pages: int) -> tuple[dict[int, float], dict[int, float]]:
+    """The pages that a unit must be on, by its lowest bit, outside and inside main containers of a host of `pages` different ones."""
+    return {k: max(NEUTRAL, s * pages) for k, (_, s) in enumerate(RUNS)}, dict.fromkeys(range(len(RUNS)), max(MAIN[0], MAIN[1] * pages))
 
 
 def main_texts(pages: list[str | None]) -> list[str]:
-    """The main text of each page of one host."""
-    parsed, known = [blocks(p) if p else [] for p in pages], {}
-    streams = [words_of(page, known) for page in parsed]
-    units, pages_of, different = shared(parsed, streams, NEUTRAL[1])
-    template = tuple(units[pages_of >= max(n, share * different)] for n, share in (NEUTRAL, MAIN))
-    return [stripped(page, stream, template) for page, stream in zip(parsed, streams, strict=True)]
-
-
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, neutral, inside): the template runs of each host that has any, as bytes of 64-bit hashes; `pages` have host and html."""
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
-        for batch in batches:
-            streams = [digest(words_of(blocks(h) if h else [], known)) for h in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(streams, pa.int64())], ["host", "stream"])
-
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
-        seen: set[tuple[str, int]] = set()
-        for batch in batches:
-            rows = []
-            for host, html, shards in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                page = blocks(html) if html else []
-                stream = digest(words_of(page, known))
-                # Copies of a page go to the same shard: one of a task is enough.
-                if len(seen) > KNOWN:
-                    seen.clear()
-                if (host, stream) not in seen:
-                    seen.add((host, stream))
-                    rows.append((host, stream % shards, shards, "\n".join(" ".join(words) for _, _, words in page)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string()))], ["host", "shard", "shards", "words"])
-
-    def candidates(table: pa.Table) -> pa.Table:
-        known: dict[str, int] = {}
-        parsed = [[(False, False, line.split()) for line in t.split("\n")] for t in dict.fromkeys(table.column("words").to_pylist())]
-        units, n, _ = shared(parsed, [words_of(page, known) for page in parsed], NEUTRAL[1])
-        rows = len(units)
-        return pa.table([table.column("host").take(pa.array(np.zeros(rows, np.int64))), pa.array(units), pa.array(n), table.column("shards").take(pa.array(np.zeros(rows, np.int64)))], ["host", "unit", "n", "shards"])
+    """The main text of each page of one host, in one array."""
+    texts = pa.array([spelt(p) for p in pages], pa.string())
+    _, own = np.unique(lay(texts).streams(), return_index=True)
+    own = texts.take(pa.array(np.sort(own))).drop_null()
+    unit, count = np.unique(counted(own, candidates(own)), return_counts=True)
+    lists = [unit[count >= np.array([t[k] for k in range(len(RUNS))])[unit & 1]] for t in thresholds(len(own))]
+    return strip(texts, *lists)[0].to_pylist()
+
+
+# Tables
+
+
+def by_host(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
+    """(row numbers, rows) of each host of a batch, whose first column it is."""
+    code = batch.column(0).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(code, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(code[order])) + 1):
+        if len(rows):
+            yield rows, batch.take(pa.array(rows))
+
+
+def parse(pages: DataFrame) -> DataFrame:
+    """host, id, url, words (see spelt), stream, n_words of each row of host, id, url, html."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in balanced(batches, 3):
+            texts = pa.array([spelt(h) for h in batch.column(3).to_pylist()], pa.string())
+            laid = lay(texts)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], texts, pa.array(laid.streams()), pa.array(np.diff(laid.first))], ["host", "id", "url", "words", "stream", "n_words"])
+
+    kinds = dict(pages.dtypes)
+    return pages.select("host", "id", "url", "html").mapInArrow(run, f"host string, id {kinds['id']}, url {kinds['url']}, words string, stream long, n_words long")
+
+
+def templates(parsed: DataFrame) -> DataFrame:
+    """(host, neutral, inside): the template units of each host that has any, as bytes of 64-bit hashes; `parsed` also has `row`."""
+
+    def propose(table: pa.Table) -> pa.Table:
+        units = candidates(table.column("words").combine_chunks())
+        return pa.table([table.column("host").take(pa.array(np.zeros(len(units), np.int64))), pa.array(units)], ["host", "unit"])
 
     def occur(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
-        for batch in batches:
-            hosts, streams, units = [], [], [np.zeros(0, np.int64)]
-            for k, (html, listed) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                page = blocks(html) if html else []
-                stream = words_of(page, known)
-                found = np.intersect1d(units_of(page, stream), np.frombuffer(listed, np.int64))
-                hosts.append(np.full(len(found), k))
-                streams.append(np.full(len(found), digest(stream), np.int64))
-                units.append(found)
-            if hosts:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(hosts))), pa.array(np.concatenate(streams)), pa.array(np.concatenate(units))], ["host", "stream", "unit"])
-
-    def pack(table: pa.Table) -> pa.Table:
-        listed = [np.sort(table.column("unit").filter(table.column(c)).to_numpy()).tobytes() for c in ("is_neutral", "is_inside")]
-        return pa.table([table.column("host").slice(0, 1), *[pa.array([b], pa.binary()) for b in listed]], ["host", "neutral", "inside"])
-
-    different = pages.mapInArrow(mark, "host string, stream long").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    different = sized(different, "hosts")
-    least = [F.greatest(F.lit(float(n)), share * F.col("pages")) for n, share in (NEUTRAL, MAIN)]
+        for batch in balanced(batches, 1):
+            for _, part in by_host(batch):
+                found = counted(part.column(1), np.frombuffer(part.column(2)[0].as_py(), np.int64))
+                # Partial counts: one row a unit and batch.
+                unit, n = np.unique(found, return_counts=True)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.zeros(len(unit), np.int64))), pa.array(unit), pa.array(n)], ["host", "unit", "n"])
+
+    def listed(units: DataFrame, *conditions: str) -> DataFrame:
+        """The units of each host that meet each of the conditions, as bytes."""
+
+        def pack(table: pa.Table) -> pa.Table:
+            lists = [np.sort(table.column("unit").filter(table.column(f"is{k}")).to_numpy()).tobytes() for k in range(len(conditions))]
+            return pa.table([table.column("host").slice(0, 1), *[pa.array([b], pa.binary()) for b in lists]], ["host", *[f"list{k}" for k in range(len(conditions))]])
+
+        marked = units.select("host", "unit", *[F.expr(c).alias(f"is{k}") for k, c in enumerate(conditions)])
+        return marked.groupBy("host").applyInArrow(pack, "host string, " + ", ".join(f"list{k} binary" for k in range(len(conditions))))
+
+    # Copies of a page: the one with the least blocks' hash speaks for all.
+    different = parsed.where("n_words > 0").groupBy("host", "stream").agg(F.min(F.struct(F.xxhash64("words"), "row")).alias("least"), F.first("n_words").alias("n_words"), F.count(F.lit(1)).alias("n"))
+    different = staged(different.select("host", "stream", F.col("least.row").alias("keep"), "n_words", "n"), "different")
+    hosts = different.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.sum("n_words").alias("host_words"))
     # A host of less pages than make a template has none.
-    some = different.where(F.col("pages") >= NEUTRAL[0]).select("host", F.ceil(F.col("pages") / SHARD_PAGES).cast("bigint").alias("shards"))
-    spelt = pages.join(some, "host").select("host", "html", "shards").mapInArrow(spell, "host string, shard long, shards long, words string")
-    found = staged(spelt.groupBy("host", "shard").applyInArrow(candidates, "host string, unit long, n long, shards long"), "candidates")
-    # Hosts of several shards: each candidate is counted over the different pages of the whole host.
-    lists = found.where("shards > 1").select("host", "unit", F.lit(True).alias("is_neutral"), F.lit(True).alias("is_inside")).distinct()
-    lists = sized(lists.groupBy("host").applyInArrow(pack, "host string, neutral binary, inside binary").select("host", "neutral"), "candidates")
-    whole = pages.join(lists, "host").select("host", "html", "neutral").mapInArrow(occur, "host string, stream long, unit long").distinct()
-    counts = found.where("shards = 1").select("host", "unit", "n").union(whole.groupBy("host", "unit").agg(F.count(F.lit(1)).alias("n")))
-    units = counts.join(different, "host").select("host", "unit", (F.col("n") >= least[0]).alias("is_neutral"), (F.col("n") >= least[1]).alias("is_inside")).where("is_neutral OR is_inside")
-    return units.groupBy("host").applyInArrow(pack, "host string, neutral binary, inside binary")
+    shards = F.greatest(F.lit(1), F.least(F.ceil(F.col("host_words") / SHARD_WORDS), F.floor(F.col("pages") / SHARD_PAGES))).cast("bigint")
+    hosts = sized(hosts.where(F.col("pages") >= NEUTRAL).select("host", "pages", shards.alias("shards")), "hosts")
+    copies = sized(different.where("n > 1").select("host", "stream", "keep"), "copies")
+    own = parsed.where("n_words > 0").join(hosts, "host").join(copies, ["host", "stream"], "left").where("keep IS NULL OR keep = row")
+    proposed = own.select("host", F.pmod("stream", "shards").alias("shard"), "words").groupBy("host", "shard").applyInArrow(propose, "host string, unit long").distinct()
+    lists = sized(listed(proposed, "true"), "candidates")
+    counts = own.join(lists, "host").select("host", "words", "list0").mapInArrow(occur, "host string, unit long, n long").groupBy("host", "unit").agg(F.sum("n").alias("n"))
+    share = F.element_at(F.array(*[F.lit(s) for _, s in RUNS]), (F.col("unit").bitwiseAND(F.lit(1)) + 1).cast("int"))
+    counts = counts.join(hosts, "host").withColumn("least", F.greatest(F.lit(float(NEUTRAL)), share * F.col("pages"))).withColumn("least_inside", F.greatest(F.lit(float(MAIN[0])), MAIN[1] * F.col("pages")))
+    made = listed(counts.where("n >= least OR n >= least_inside"), "n >= least", "n >= least_inside")
+    return made.select("host", F.col("list0").alias("neutral"), F.col("list1").alias("inside"))
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per row: id, url, text (empty if the page has none), n_chars (its code points).
+    """One row per row: id, url, text (empty if the page has none), n_chars (its code points), n_repeated, n_marked.
 
-    Null html: as if empty. Pages without a host are one host. Rows may repeat; copies of a page count once as
-    evidence and each gets its text. Other columns are not read. An empty table gives an empty one.
+    n_repeated: words that went as template text of the host; n_marked: words that went for their markup alone. Null
+    html: as if empty. Pages without a host are one host. Rows may repeat; copies of a page count once as evidence and
+    each gets its text. Other columns are not read. An empty table gives an empty one.
     """
     pages = df.select(df[id_col].alias("id"), df[url_col].alias("url"), df[html_col].alias("html")).withColumn("host", F.coalesce(host_of("url"), F.lit("")))
-    listed = sized(templates(pages.select("host", "html")), "templates")
-    kind, link = (t for _, t in df.select(id_col, url_col).dtypes)
+    parsed = staged(parse(pages).withColumn("row", F.monotonically_increasing_id()), "parsed")
+    lists = sized(templates(parsed), "templates")
+    kinds = dict(parsed.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
-        for batch in batches:
-            texts = []
-            for html, *template in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
-                page = blocks(html) if html else []
-                texts.append(stripped(page, words_of(page, known), tuple(np.frombuffer(b or b"", np.int64) for b in template)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
-
-    out = pages.join(listed, "host", "left").select("id", "url", "html", "neutral", "inside").mapInArrow(run, f"id {kind}, url {link}, text string, n_chars long")
+        for batch in balanced(batches, 3):
+            for _, part in by_host(batch):
+                units = [np.frombuffer(part.column(k)[0].as_py() or b"", np.int64) for k in (4, 5)]
+                texts, repeated, marked = strip(part.column(3), *units)
+                yield pa.RecordBatch.from_arrays([*part.columns[1:3], texts, pc.utf8_length(texts).cast(pa.int64()), pa.array(repeated, pa.int64()), pa.array(marked, pa.int64())], ["id", "url", "text", "n_chars", "n_repeated", "n_marked"])
+
+    out = parsed.join(lists, "host", "left").select("host", "id", "url", "words", "neutral", "inside")
+    out = out.mapInArrow(run, f"id {kinds['id']}, url {kinds['url']}, text string, n_chars long, n_repeated long, n_marked long")
     return out.withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)

@@ -184,18 +184,109 @@ def test_structure():
     assert html_extract.main_texts(["<nav>no<div>yes</nav><p>1 &lt; 2</p>"]) == ["1 < 2"]
 
 
-def test_repeats_against_brute_force(rng):
-    streams = [rng.integers(0, 6, int(n)) for n in rng.integers(0, 60, 40)] + [np.arange(10), np.arange(10)]
-    often, different = html_extract.repeats(streams, 4)
-    content = {s.tobytes() for s in streams}
-    assert different == len(content)
-    on = {}
-    for s in streams:
-        for k in range(len(s) - 3):
-            on.setdefault(tuple(s[k : k + 4]), set()).add(s.tobytes())
-    for s, got in zip(streams, often):
-        want = [max([len(on[tuple(s[a : a + 4])]) for a in range(max(0, k - 3), k + 1) if a + 4 <= len(s)], default=0) for k in range(len(s))]
-        assert got.tolist() == want
+def test_suffix_array_against_brute_force(rng):
+    """Order, common prefixes and page counts, on pages that repeat runs of every length."""
+    long = rng.integers(0, 50, 90)
+    pages = [rng.integers(0, 4, int(n)) for n in rng.integers(0, 60, 30)] + [np.arange(10), np.arange(10), long, np.concatenate([long[:70], long[:30]])]
+    tokens = np.concatenate([x for k, p in enumerate(pages) for x in (p, [-1 - k])])
+    page = np.repeat(np.arange(len(pages)), [len(p) + 1 for p in pages])
+    order, common = html_extract.suffix_array(tokens, 4)
+    tails = [tuple(tokens[k:]) for k in range(len(tokens))]
+    want = sorted(range(len(tokens)), key=lambda k: tails[k])
+    assert order.tolist() == want
+    for k in range(1, len(want)):
+        n = next(i for i, (x, y) in enumerate(zip(tails[want[k - 1]], tails[want[k]])) if x != y)
+        assert common[k] == (n if n >= 4 else 0)
+    assert common.max() >= 70
+    for length in (4, 7, 40):
+        on = {}
+        for k, p in enumerate(pages):
+            for j in range(len(p) - length + 1):
+                on.setdefault(tuple(p[j : j + length]), []).append(k)
+        start, count = html_extract.spread(order, common, page, length)
+        assert {tuple(tokens[a : a + length]): n for a, n in zip(start.tolist(), count.tolist())} == {r: len(set(w)) for r, w in on.items() if len(w) > 1}
+
+
+def brute_extract(pages):
+    """Template words by sets of word tuples, then the markup's say: (text, words taken by each) of each page of one host."""
+    parsed = [html_extract.blocks(p or "") for p in pages]
+    streams = [[w for _, _, words in p for w in words] for p in parsed]
+    different = {tuple(s): k for k, s in reversed(list(enumerate(streams))) if s}
+
+    def units(k):
+        s, cuts = streams[k], np.cumsum([0] + [len(words) for _, _, words in parsed[k]]).tolist()
+        out = [(c, a, a + n) for c, (n, _) in enumerate(html_extract.RUNS) for a in range(len(s) - n + 1)]
+        for a in cuts[:-1]:
+            z = next((z for z in cuts if z >= a + html_extract.BLOCK), None)
+            out += [] if z is None else [(0, a, z)]
+        return out
+
+    on = Counter(u for k in different.values() for u in {(c, tuple(streams[k][a:z])) for c, a, z in units(k)})
+    n, made = len(different), []
+    for k, p in enumerate(parsed):
+        s, rows = streams[k], []
+        flags = [(c, m) for c, m, words in p for _ in words]
+        covered = [set(), set()]
+        for c, a, z in units(k):
+            often = on[c, tuple(s[a:z])]
+            if often >= max(3, html_extract.RUNS[c][1] * n):
+                covered[0] |= set(range(a, z))
+            if often >= max(10, 0.5 * n):
+                covered[1] |= set(range(a, z))
+        gone = {i for i, (c, m) in enumerate(flags) if i in covered[m and not c]}
+        inside = sum(m and not c and i not in gone for i, (c, m) in enumerate(flags))
+        outside = sum(not m and not c and i not in gone for i, (c, m) in enumerate(flags))
+        keep = [i for i, (c, m) in enumerate(flags) if i not in gone and not c and (m or not inside or inside < outside)]
+        made.append((" ".join(s[i] for i in keep), len(gone), len(s) - len(gone) - len(keep)))
+    return made
+
+
+def host_pages(rng, n, wrap):
+    """Pages with a menu, a teaser, an aside with words of its own, long notices on some pages and a phrase in every article."""
+    notice, long = prose(rng, 20), prose(rng, 70)
+    out = []
+    for k in range(n):
+        body = f"<p>{prose(rng, int(rng.integers(5, 60)))} it was one of the first of its kind {prose(rng, 20)}</p>"
+        body += f"<p>before {notice} after</p>" * (k % 4 == 0) + f"<p>{prose(rng, 3)} {long}</p>" * (k % 9 == 0)
+        out.append(f"<nav>Home News Sport Weather</nav><div>Read on</div><div>and more</div><{wrap}>{body}</{wrap}><aside>{prose(rng, 5)}</aside><div>Follow us on every network</div>")
+    return out + out[:2] + ["", None]
+
+
+@pytest.mark.parametrize("wrap", ["article", "div"])
+def test_extraction_against_brute_force(spark, rng, monkeypatch, wrap):
+    """Texts and who took how many words, on hosts of one shard and of many."""
+    monkeypatch.setattr(html_extract, "SHARD_WORDS", 400)
+    monkeypatch.setattr(html_extract, "SHARD_PAGES", 5)
+    hosts = {f"h{k}.example.org": host_pages(rng, n, wrap) for k, n in enumerate((1, 2, 4, 30, 90))}
+    rows = [(100 * k + j, f"http://{h}/{j}", p) for k, (h, pages) in enumerate(hosts.items()) for j, p in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    made = {r.page_id: (r.text, r.n_repeated, r.n_marked) for r in html_extract.extract(df).collect()}
+    for k, pages in enumerate(hosts.values()):
+        want = brute_extract(pages)
+        assert [made[100 * k + j] for j in range(len(pages))] == want
+        assert html_extract.main_texts(pages) == [t for t, _, _ in want]
+    # The array takes the notices and menus of plain blocks, and nothing from the middle of sentences.
+    if wrap == "div":
+        assert sum(r for _, r, _ in made.values()) > 1000 and all("first of its kind" in made[400 + j][0] for j in range(90))
+
+
+def test_main_container_with_a_teaser():
+    """A main container that holds less than what is beside it is no reason to drop that."""
+    assert html_extract.main_texts(["<div>real article text here</div><main><p>teaser</p></main>"]) == ["real article text here teaser"]
+    assert html_extract.main_texts(["<div>one</div><main><p>real article text</p></main>"]) == ["real article text"]
+
+
+def test_deep_nesting_is_linear():
+    import time
+
+    def cost(n):
+        html = "<div><span class=x>" * n + "</p>" * n + "word"
+        at = time.perf_counter()
+        assert html_extract.main_texts([html]) == ["word"]
+        return time.perf_counter() - at
+
+    cost(10)
+    assert cost(32_000) < 12 * cost(8_000) + 0.5
 
 
 def test_template_text_without_markup(rng):
@@ -208,7 +299,7 @@ def test_template_text_without_markup(rng):
 
 
 def test_extract_table(spark, rng):
-    html_extract.SHARD_PAGES, before = 16, html_extract.SHARD_PAGES
+    (html_extract.SHARD_WORDS, html_extract.SHARD_PAGES), before = (300, 16), (html_extract.SHARD_WORDS, html_extract.SHARD_PAGES)
     try:
         rows = [(k, f"http://h{k % 3 if k % 2 else 0}.example.org/{k}", page(f"t{k}", f"<p>{prose(rng, 30)}</p>")) for k in range(120)]
         rows += [(500, None, "<p>x</p>"), (501, "odd", None), (None, "http://h0.example.org/", ""), (0, rows[0][1], rows[0][2])]
@@ -220,12 +311,12 @@ def test_extract_table(spark, rng):
             assert got[k, url].text == (want if want else {500: "x"}.get(k, "")) and got[k, url].n_chars == len(got[k, url].text)
         assert html_extract.extract(made.selectExpr("page_id", "url", "text AS html").limit(0)).count() == 0
     finally:
-        html_extract.SHARD_PAGES = before
+        html_extract.SHARD_WORDS, html_extract.SHARD_PAGES = before
 
 
 def test_template_share_is_of_the_whole_host(spark, rng):
     """A host of many shards and many copies of one page gives the texts of the same pages in one array."""
-    html_extract.SHARD_PAGES, before = 16, html_extract.SHARD_PAGES
+    (html_extract.SHARD_WORDS, html_extract.SHARD_PAGES), before = (300, 16), (html_extract.SHARD_WORDS, html_extract.SHARD_PAGES)
     try:
         extra = lambda k: "<div>" + "Read more of our special offers every week and every month of the whole year here now " * (k % 4 == 0) + "</div>"
         pages = [f"<div>{prose(rng, 40)}</div>{extra(k)}" for k in range(120)] + [f"<div>{prose(rng, 40)}</div>"] * 400
@@ -234,7 +325,7 @@ def test_template_share_is_of_the_whole_host(spark, rng):
         assert [made[k] for k in range(len(pages))] == html_extract.main_texts(pages)
         assert not any("special offers" in t for t in made.values()) and made[200] == made[519] != ""
     finally:
-        html_extract.SHARD_PAGES = before
+        html_extract.SHARD_WORDS, html_extract.SHARD_PAGES = before
 
 
 def test_articles_outside_containers_keep_phrases(rng):
