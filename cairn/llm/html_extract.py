@@ -38,9 +38,11 @@ RUNS, BLOCK = ((16, 0.2), (64, 0.1)), 4
 #: Different pages at least, outside and inside main containers, and the share of pages inside them.
 NEUTRAL, MAIN = 3, (10, 0.5)
 #: Words of a shard, about, and its pages, at least: with fewer pages a share is too few of them to mean anything.
-SHARD_WORDS, SHARD_PAGES = 1 << 19, 32
+SHARD_WORDS, SHARD_PAGES = 1 << 17, 32
 #: What the markup says of a block. Blocks are kept as text: a line feed and one of these, then the words, all with one space between.
 MARKS = CHROME_MARK, MAIN_MARK, OTHER_MARK = ("\nc", "\nm", "\no")
+#: Between pages of a bundle.
+PAGE_MARK = "\n;"
 
 #: Names of elements, fixed values.
 RAW = ("script", "style", "noscript", "template", "iframe", "svg", "canvas", "object", "textarea", "title", "math", "audio", "video")
@@ -390,8 +392,19 @@ def parse(pages: DataFrame) -> DataFrame:
 def templates(parsed: DataFrame) -> DataFrame:
     """(host, neutral, inside): the template units of each host that has any, as bytes of 64-bit hashes; `parsed` also has `row`."""
 
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in balanced(batches, 2):
+            for _, part in by_host(batch):
+                shard = part.column(1).to_numpy()
+                order = np.argsort(shard, kind="stable")
+                rows = np.split(order, np.flatnonzero(np.diff(shard[order])) + 1)
+                raw = [PAGE_MARK.join(part.column(2).take(pa.array(r)).to_pylist()).encode() for r in rows]
+                first = pa.array([int(r[0]) for r in rows])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(first), part.column(1).take(first), pa.array(map(len, raw), pa.int64()), pa.array([pa.compress(x, "zstd", asbytes=True) for x in raw], pa.binary())], ["host", "shard", "size", "pages"])
+
     def propose(table: pa.Table) -> pa.Table:
-        units = candidates(table.column("words").combine_chunks())
+        raw = [pa.decompress(x, n, "zstd", asbytes=True).decode() for x, n in zip(table.column("pages").to_pylist(), table.column("size").to_pylist(), strict=True)]
+        units = candidates(pa.array([t for x in raw for t in x.split(PAGE_MARK)], pa.string()))
         return pa.table([table.column("host").take(pa.array(np.zeros(len(units), np.int64))), pa.array(units)], ["host", "unit"])
 
     def occur(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -421,7 +434,9 @@ def templates(parsed: DataFrame) -> DataFrame:
     hosts = sized(hosts.where(F.col("pages") >= NEUTRAL).select("host", "pages", shards.alias("shards")), "hosts")
     copies = sized(different.where("n > 1").select("host", "stream", "keep"), "copies")
     own = parsed.where("n_words > 0").join(hosts, "host").join(copies, ["host", "stream"], "left").where("keep IS NULL OR keep = row")
-    proposed = own.select("host", F.pmod("stream", "shards").alias("shard"), "words").groupBy("host", "shard").applyInArrow(propose, "host string, unit long").distinct()
+    # The words of a task's pages of a shard travel as one compressed bundle.
+    bundles = own.select("host", F.pmod("stream", "shards").alias("shard"), "words").mapInArrow(bundle, "host string, shard long, size long, pages binary")
+    proposed = bundles.groupBy("host", "shard").applyInArrow(propose, "host string, unit long").distinct()
     lists = sized(listed(proposed, "true"), "candidates")
     counts = own.join(lists, "host").select("host", "words", "list0").mapInArrow(occur, "host string, unit long, n long").groupBy("host", "unit").agg(F.sum("n").alias("n"))
     share = F.element_at(F.array(*[F.lit(s) for _, s in RUNS]), (F.col("unit").bitwiseAND(F.lit(1)) + 1).cast("int"))
