@@ -399,16 +399,17 @@ def test_licences(spark, odd):
     df = spark.createDataFrame([(1, text), (2, "nothing here"), (3, None)], "doc_id long, text string").selectExpr("*", "1 AS line", "2 AS words", "3 AS family")
     made = {r.paragraph: r for r in license_scan.scan(df).collect()}
     assert [made[k].family for k in range(1, 6)] == ["apache", "mit", "gpl", "cc-by-nc", "proprietary"] and all(made[k].confirmed for k in range(1, 6))
-    assert made[6].family == "unknown" and not made[6].confirmed and 0 not in made
+    assert made[6].family == made[0].family == "unknown" and not made[6].confirmed and sorted(made) == list(range(7))
     assert all(0 <= r.probability <= 1 for r in made.values())
     assert license_scan.scan(odd).where("confirmed").count() == 0 and license_scan.scan(odd.limit(0)).count() == 0
 
 
 def test_licence_scores_against_numpy(spark):
     m = license_scan.model()
-    text = "Copyright 2021 Acme. All rights reserved under the MIT license\nfree software public license"
-    made = license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("paragraph").collect()
-    for line, r in zip(text.split("\n"), made):
+    text = "Copyright 2021 Acme. All rights reserved under the MIT license\n\nfree software public license\n \n\nno word of it"
+    made = license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("block").collect()
+    assert [r.block for r in made] == [0, 1, 2]
+    for line, r in zip([x for x in text.split("\n") if x.strip()], made, strict=True):
         z = np.array(m["bias"])
         for g in license_scan.grams(license_scan.tokens(line)):
             z = z + np.array(m["weights"].get(g, np.zeros(len(z))))
@@ -421,10 +422,76 @@ def test_family_names_alone_tell(spark):
     plain = {w for t in license_scan.PLAIN for w in license_scan.tokens(t)}
     assert not plain & {"mit", "apache", "gpl", "lgpl", "agpl", "bsd", "mpl", "cc", "cc0", "gnu", "mozilla", "license", "licensed", "spdx"}
     lines = ["This project is under MIT", "Our code is under MIT", "Er kam mit dem Hund in die Stadt", "Das Haus mit einer Wiese und mit der Allee ist alt", "Das Kind spielt mit Freude und mit Freunden im Garten"]
-    made = {r.paragraph: r.family for r in license_scan.scan(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")).collect()}
+    made = {r.block: r.family for r in license_scan.scan(spark.createDataFrame([(1, "\n\n".join(lines))], "doc_id long, text string")).collect()}
     assert made == {0: "mit", 1: "mit", 2: "unknown", 3: "unknown", 4: "unknown"}
 
 
+WRAPPED = {
+    "mit": license_scan.NOTICES["mit"][7],
+    "bsd": license_scan.NOTICES["bsd"][6],
+    "gpl": license_scan.NOTICES["gpl"][1],
+    "apache": license_scan.NOTICES["apache"][7],
+}
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// "])
+def test_wrapped_notices_are_paragraphs(spark, mark):
+    """Notices wrapped at 72 columns, with comment marks and a copyright line above, are one paragraph each and confirmed."""
+    import textwrap
+
+    text = "\n\n".join(textwrap.fill(t, 72, initial_indent=mark, subsequent_indent=mark) for t in WRAPPED.values())
+    text = f"{mark}Copyright (c) 2021 Some Body\n" + text + "\n\nA short line.\nAnother short line that is longer.\nReleased under the MIT License.\nThe end."
+    made = license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("block", "paragraph").collect()
+    assert [(r.block, r.paragraph, r.family) for r in made if r.confirmed] == [(0, 1, "mit"), (1, 0, "bsd"), (2, 0, "gpl"), (3, 0, "apache"), (4, 2, "mit")]
+    assert [(r.block, r.paragraph) for r in made] == [(0, 0), (0, 1), (1, 0), (2, 0), (3, 0), (4, 0), (4, 1), (4, 2), (4, 3)]
+
+
+def test_licences_of_no_family_are_unknown(spark):
+    """Names that training never saw; what models say of notices that they were not trained on."""
+    lines = ["Eclipse Public License 2.0", "Licensed under the Eclipse Public License, version 2.0.", "Distributed under the Boost Software License, Version 1.0.", "Released under the ISC License.", "Licensed under the Artistic License 2.0.", "SPDX-License-Identifier: BSL-1.0"]
+    seen = {w for group in [license_scan.OTHERS, license_scan.HARD, license_scan.PLAIN, *license_scan.NOTICES.values()] for t in group for w in license_scan.tokens(t)}
+    assert not seen & {"eclipse", "boost", "isc", "artistic", "bsl"}
+    made = license_scan.scan(spark.createDataFrame([(1, "\n\n".join(lines))], "doc_id long, text string")).collect()
+    assert len(made) == 6 and {r.family for r in made} == {"unknown"}
+    assert license_scan.model()["unseen"] > 0.65
+
+
+def test_feature_table(spark):
+    shifts, keys, names = license_scan.table()
+    assert sorted(n for n in names if n) == sorted(license_scan.model()["weights"])
+    grams = ["mit", "mit license", "gnu", "é"]
+    got = spark.createDataFrame([(g,) for g in grams], "g string").selectExpr("xxhash64(g) AS h", "pmod(xxhash64(3, xxhash64(g)), 1024) AS s").collect()
+    assert [(r.h, r.s) for r in got] == [(license_scan.hash_of(g), license_scan._slot(3, license_scan.hash_of(g), 1024)) for g in grams]
+    for k, n in enumerate(names):
+        if n:
+            h = license_scan.hash_of(n)
+            assert keys[k] == h and license_scan._slot(shifts[h % len(shifts)], h, len(keys)) == k
+
+
+def test_licence_sql(spark, rng, tmp_path):
+    """The SQL of the scan on wrapped, short, long, blank, null and repeated texts."""
+    import duckdb
+
+    notices = [t for group in license_scan.NOTICES.values() for t in group]
+    import textwrap
+
+    texts = [None, "", "\n\n\n", " \n\t\n x"]
+    for _ in range(60):
+        parts = [str(rng.choice(notices)) if rng.random() < 0.4 else prose(rng, int(rng.integers(1, 40)), str(rng.choice(["en", "de", "fr"]))) + str(rng.choice([".", "", "?"])) for _ in range(4)]
+        parts = [textwrap.fill(x, int(rng.choice([30, 60, 500]))) for x in parts]
+        texts.append(str(rng.choice(["\n", "\n\n", "\n  \n"])).join(parts))
+    rows = [(k, t) for k, t in enumerate(texts)] + [(4, texts[4])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.toPandas().to_parquet(tmp_path / "d.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d.parquet'")
+    made = license_scan.scan(df)
+    want = con.execute(license_scan.oracle_sql()).fetchall()
+    names = [c[0] for c in con.description]
+    assert names == made.columns
+    assert sorted(tuple(r) for r in made.collect()) == sorted(want)
+
+
 # Pipeline
 
 
