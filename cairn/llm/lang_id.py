@@ -20,8 +20,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import balanced
 
-#: Labelled rows of each language that training takes at most, and the number of languages it may learn.
-PER_LANGUAGE, LANGUAGES = 400, 200
+#: Labelled rows that training takes of each language at most, and of all together, about, but EACH of a language: this bounds the sample.
+PER_LANGUAGE, SAMPLE, EACH = 400, 40_000, 16
+#: The prediction for a text without a letter, and for texts with one where there is no model.
+UNDETERMINED, NO_MODEL = "und", "zxx"
 #: Hashed features.
 WIDTH = 1 << 12
 #: Families of languages, fixed values; a language that is in none is a family of its own.
@@ -188,14 +190,15 @@ def held_out(id_col: str = "doc_id") -> Column:
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """A model of the labelled rows of `df` that are not held out; None if there are none.
 
-    The sample: up to PER_LANGUAGE rows with a letter of each of the LANGUAGES most frequent languages. Only
-    their features go to the driver, 16 kB each.
+    The sample: up to PER_LANGUAGE rows with a letter of every language, fewer if there are more than SAMPLE / PER_LANGUAGE
+    languages. Only their features go to the driver, 16 kB each.
     """
     known = df.where(~held_out(id_col)).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not counts:
         return None
-    rate = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, 1.2 * PER_LANGUAGE / n))])
+    most = max(EACH, min(PER_LANGUAGE, SAMPLE // len(counts)))
+    rate = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, 1.2 * most / n))])
     place = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / float(1 << 30)
     some = known.withColumn("place", place).where(F.col("place") < F.coalesce(F.element_at(rate, F.col("lang")), F.lit(0.0)))
 
@@ -208,7 +211,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     from pyspark.sql import Window as W
 
     taken = some.select("text", "lang", "place").mapInArrow(run, "lang string, place double, x binary")
-    taken = taken.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("place", "x"))).where(F.col("n") <= PER_LANGUAGE)
+    taken = taken.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("place", "x"))).where(F.col("n") <= most)
     rows = sorted(taken.select("lang", "x").collect())
     if not rows:
         return None
@@ -216,15 +219,18 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
 
 
 def language(df: DataFrame, model: Model | None, columns: list[str], text_col: str = "text") -> DataFrame:
-    """`columns` of `df`, then lang_pred and score; `und` and 0 where the text is null or has no letter, or there is no model."""
+    """`columns` of `df`, then lang_pred and score; `und` and 0 where the text is null or has no letter; `zxx` and 0 where it has one and there is no model."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text = len(columns)
         for batch in balanced(batches, text, SLICE):
-            langs, scores = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
-            made = [features(t) for t in batch.column(text).to_pylist()] if model else []
+            langs, scores = [UNDETERMINED] * batch.num_rows, np.zeros(batch.num_rows)
+            made = [features(t) for t in batch.column(text).to_pylist()]
             there = [k for k, x in enumerate(made) if x is not None]
-            if there:
+            if not model:
+                for k in there:
+                    langs[k] = NO_MODEL
+            elif there:
                 found, sure = model.predict(np.array([made[k] for k in there]))
                 scores[there] = sure
                 for k, name in zip(there, found, strict=True):
@@ -241,7 +247,10 @@ def language(df: DataFrame, model: Model | None, columns: list[str], text_col: s
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per row of `df`: id, held_out, lang_pred, score. Learns from the rows of `df` that are not held out.
 
-    A null language is no label; a null id is not held out; other columns are not read.
+    A null language is no label; a null id is not held out; other columns are not read. Without any labelled row there is
+    no learned value: every prediction is `und`.
     """
     model = fit(df, id_col, text_col, lang_col)
-    return language(df, model, [id_col], text_col).select(id_col, held_out(id_col).alias("held_out"), "lang_pred", "score")
+    found = language(df, model, [id_col], text_col)
+    lang = F.when(F.col("lang_pred") == NO_MODEL, UNDETERMINED).otherwise(F.col("lang_pred")) if model is None else F.col("lang_pred")
+    return found.select(id_col, held_out(id_col).alias("held_out"), lang.alias("lang_pred"), "score")

@@ -161,17 +161,18 @@ def pack(df: DataFrame, tokenizer_file: str, capacity: int = 1024, end_id: int =
     as a document of its own, and rows equal in everything are interchangeable. Other columns are not
     read. An empty table gives an empty one. sequence_id is negative for a piece that fills a sequence.
     """
-    items = staged(tokenized(df, tokenizer_file, end_id, capacity, id_col, text_col), "pieces")
+    # Rows have numbers of their own once they are written: equal rows spread over the rank groups like any others.
+    items = staged(tokenized(df, tokenizer_file, end_id, capacity, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "pieces")
     items = items.withColumn("rest", (F.col("n_ids") % capacity).cast("int"))
     # At most `capacity` rows, whatever the corpus holds.
     counts = {r["rest"]: r["count"] for r in items.groupBy("rest").count().collect()}
     groups = F.array(*[F.lit(max(1, -(-counts.get(s, 0) // GROUP_ROWS))) for s in range(capacity)])
-    items = items.withColumn("salt", F.pmod(F.xxhash64("id", "n_ids", "crcs"), F.element_at(groups, F.col("rest") + 1)).cast("int"))
+    items = items.withColumn("salt", F.pmod(F.xxhash64("row"), F.element_at(groups, F.col("rest") + 1)).cast("int"))
     sizes = items.groupBy("rest", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.withColumn("before", F.sum("n").over(W.partitionBy("rest").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)))
     counts.pop(0, None)
     places = slots(plan(counts, capacity), capacity)
-    ranked = items.withColumn("rank", F.row_number().over(W.partitionBy("rest", "salt").orderBy("id", "n_ids", "crcs")))
+    ranked = items.withColumn("rank", F.row_number().over(W.partitionBy("rest", "salt").orderBy("row")))
     ranked = ranked.join(before.select("rest", "salt", "before"), ["rest", "salt"]).withColumn("rank", F.col("rank") - 1 + F.coalesce("before", F.lit(0)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,7 +1,7 @@
 """SimHash fingerprints and exact near-duplicate classes through vantage-point trees.
 
 Equal fingerprints are one node. A tree of vantage points, fitted to a bounded sample of the fingerprints,
-splits them by Hamming distance: those up to `mu` bits from the vantage point go inside, the others outside.
+splits them by Hamming distance, and shards that are still heavy get trees of their own: those up to `mu` bits from the vantage point go inside, the others outside.
 If two fingerprints at most `radius` apart are split, the outer one is at most mu + radius away by the
 triangle inequality; such boundary fingerprints go to both sides. So every pair within the radius meets in
 some shard, whatever the sample was: the sample decides balance only. Inside a shard the same tree is
@@ -14,13 +14,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import balanced, staged
 from .graph import components
 
-#: Fingerprints of the sample that balances the tree, and of a shard, about; fingerprints compared all with all.
+#: Fingerprints of a sample that balances a tree, of a shard, about, and of those compared all with all.
 SAMPLE, SHARD, LEAF = 20_000, 8_192, 384
+#: Shards of more than this many fingerprints get a tree of their own, as long as that splits them; fingerprints of the sample of each.
+HEAVY, SUBSAMPLE = 8 * SHARD, 2_048
 #: Shingles hashed at once.
 PORTION = 1 << 16
 
@@ -40,10 +42,19 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     count = np.zeros(64, np.int64)
     for at in range(0, len(last), PORTION):
         digests = b"".join([xxh64_digest(joined[a:z], 42) for a, z in zip(starts[at : at + PORTION], last[at : at + PORTION], strict=False)])
-        bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1)
-        for block in range(0, len(bits), 255):
-            count += bits[block : block + 255].sum(axis=0, dtype=np.uint8)
-    return int.from_bytes(np.packbits(count * 2 > len(last)).tobytes(), "big")
+        count += bits_set(np.frombuffer(digests, np.uint8).reshape(-1, 8))
+    return majority(count, len(last))
+
+
+def bits_set(digests: np.ndarray) -> np.ndarray:
+    """How many of (n, 8) bytes of big-endian hashes have each bit set."""
+    bits = np.unpackbits(digests, axis=1)
+    return sum((bits[at : at + 255].sum(axis=0, dtype=np.uint8).astype(np.int64) for at in range(0, len(bits), 255)), np.zeros(64, np.int64))
+
+
+def majority(count: np.ndarray, total: int) -> int:
+    """The bits that are set in over half of `total` hashes."""
+    return int.from_bytes(np.packbits(count * 2 > total).tobytes(), "big")
 
 
 def fingerprints(df: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -147,26 +158,61 @@ def link(fps: np.ndarray, radius: int) -> np.ndarray:
     return label
 
 
+def dealt(nodes: DataFrame, total: int, radius: int) -> DataFrame:
+    """(shard, fp, rep): `nodes` (fp, rep) in every shard that they must be in.
+
+    The first tree is fitted to SAMPLE of all fingerprints. Shards that are HEAVY then get a tree each, fitted to
+    SUBSAMPLE of their own, up to three times: so depth grows with the corpus, samples and the driver's share do not.
+    """
+    kind = nodes.select("rep").dtypes[0][1]
+
+    def some(df: DataFrame, share: Column, salt: int) -> DataFrame:
+        # By hash: it balances the trees and decides no link.
+        return df.where(F.pmod(F.xxhash64("fp", F.lit(salt)), F.lit(1 << 20)) < share * (1 << 20) + 1)
+
+    sample = np.array([r["fp"] for r in some(nodes, F.lit(min(1.0, SAMPLE / max(1, total))), 0).select("fp").limit(2 * SAMPLE).collect()], np.int64).view(np.uint64)
+    trees = {0: Tree(np.sort(sample), total, radius)}
+    now = nodes.select(F.lit(0).cast("long").alias("shard"), "fp", "rep")
+    done = None
+    for level in range(4):
+
+        def deal(batches: Iterator[pa.RecordBatch], trees: dict[int, Tree] = trees, base: int = level) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                shard, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+                order = np.argsort(shard, kind="stable")
+                for mine in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+                    if len(mine):
+                        old = int(shard[mine[0]])
+                        rows, leaf = trees[old].shards(fps[mine])
+                        take = pa.array(mine[rows])
+                        # Numbers of a level begin beyond those of the one before.
+                        yield pa.RecordBatch.from_arrays([pa.array(leaf + ((old + 1) * (1 << 13) + (1 << 16) if base else 0), pa.int64()), batch.column(1).take(take), batch.column(2).take(take)], ["shard", "fp", "rep"])
+
+        now = staged(now.mapInArrow(deal, f"shard long, fp long, rep {kind}"), "dealt")
+        heavy = {r["shard"]: r["n"] for r in now.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HEAVY).collect()} if level < 3 else {}
+        if not heavy:
+            break
+        rate = F.element_at(F.create_map(*[F.lit(x) for k, n in heavy.items() for x in (k, SUBSAMPLE / n)]), F.col("shard"))
+        taken: dict[int, list[int]] = {}
+        for r in some(now.where(rate.isNotNull()), rate, level + 1).select("shard", "fp").collect():
+            taken.setdefault(r["shard"], []).append(r["fp"])
+        trees = {k: Tree(np.sort(np.array(taken.get(k, []), np.int64).view(np.uint64)), n, radius) for k, n in heavy.items()}
+        trees = {k: t for k, t in trees.items() if len(t.point) > 1}
+        if not trees:
+            break
+        split = F.col("shard").isin(list(trees))
+        done = now.where(~split) if done is None else done.unionByName(now.where(~split))
+        now = now.where(split)
+    return now if done is None else done.unionByName(now)
+
+
 def near_classes(prints: DataFrame, radius: int = 2) -> DataFrame:
     """(fp, component) of every fingerprint in `prints` (id, fp): the least id reachable over links within `radius` bits.
 
     Rows with a null id are no nodes; a fingerprint that only such rows have gets a null component.
     """
-    spark = prints.sparkSession
     classes = staged(prints.groupBy("fp").agg(F.min("id").alias("rep")), "classes")
-    nodes = classes.where("rep IS NOT NULL")
-    total = nodes.count()
-    # A bounded sample, by hash: it balances the tree and decides no link.
-    share = min(1.0, SAMPLE / max(1, total))
-    some = nodes.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("fp").limit(2 * SAMPLE)
-    sample = np.array([r["fp"] for r in some.collect()], np.int64).view(np.uint64)
-    tree = Tree(np.sort(sample), total, radius)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, shard = tree.shards(batch.column(0).to_numpy().view(np.uint64))
-            take = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), batch.column(0).take(take), batch.column(1).take(take)], ["shard", "fp", "rep"])
+    nodes = classes.where("rep IS NOT NULL").select("fp", "rep")
 
     def links(table: pa.Table) -> pa.Table:
         table = table.sort_by("rep")
@@ -176,8 +222,7 @@ def near_classes(prints: DataFrame, radius: int = 2) -> DataFrame:
         return pa.table([rep.take(pa.array(moved)), rep.take(pa.array(label[moved]))], ["a", "b"])
 
     kind = nodes.select("rep").dtypes[0][1]
-    dealt = nodes.select("fp", "rep").mapInArrow(deal, f"shard int, fp long, rep {kind}")
-    edges = dealt.groupBy("shard").applyInArrow(links, f"a {kind}, b {kind}")
+    edges = dealt(nodes, nodes.count(), radius).groupBy("shard").applyInArrow(links, f"a {kind}, b {kind}")
     roots = components(edges).withColumnRenamed("node", "rep")
     return classes.join(roots, "rep", "left").select("fp", F.coalesce("root", "rep").alias("component"))
 

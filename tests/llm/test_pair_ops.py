@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from corpus import DOC, prose
+from pyspark.sql import functions as F
 
 from cairn.llm import audio_features, cws, graph, html_extract, license_scan, simhash
 
@@ -89,6 +90,28 @@ def test_near_duplicates(spark, rng):
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in made} == {i: (f"{p:016x}", want[i]) for i, p in zip(ids, prints)}
 
 
+def test_heavy_shards_get_trees_of_their_own(spark, rng, monkeypatch):
+    """A sample far too small for the corpus: shards are split again, and no link is lost."""
+    for name, value in (("SAMPLE", 64), ("SHARD", 40), ("HEAVY", 120), ("SUBSAMPLE", 64)):
+        monkeypatch.setattr(simhash, name, value)
+    monkeypatch.setattr(simhash.Tree.__init__, "__defaults__", (40,))
+    # Fingerprints around a few hundred centres, so that trees have something to split by.
+    centre = rng.integers(0, 1 << 62, 60, dtype=np.uint64)
+    fps = np.concatenate([c ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (40, 3), dtype=np.uint64), axis=1) for c in centre])
+    fps = np.unique(np.concatenate([fps, fps[::9] ^ np.uint64(5)]))
+    rows = [(k, int(f) if f < 1 << 63 else int(f) - (1 << 64)) for k, f in enumerate(fps.tolist())]
+    nodes = spark.createDataFrame(rows, "rep long, fp long").select("fp", "rep")
+    home = {}
+    for r in simhash.dealt(nodes, len(rows), 2).collect():
+        home.setdefault(r.rep, set()).add(r.shard)
+    i, j = np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None]) <= 2)
+    assert set(home) == set(range(len(fps))) and all(home[a] & home[b] for a, b in zip(i.tolist(), j.tolist()))
+    assert max(s for h in home.values() for s in h) > 1 << 16
+    made = {r.fp: r.component for r in simhash.near_classes(nodes.withColumnRenamed("rep", "id"), 2).collect()}
+    want = brute_groups([int(f) for f in fps], list(range(len(fps))), 2)
+    assert made == {f: want[k] for k, f in rows}
+
+
 def test_near_duplicates_odd(spark, odd):
     made = simhash.near_duplicates(odd).collect()
     assert len(made) == odd.count()
@@ -516,6 +539,23 @@ def test_pipeline_stages(spark, rng):
         assert stage(spark, empty, "").count() == 0
 
 
+def test_stages_lose_no_document_without_a_reason(spark, rng):
+    """A corpus without labels, ids that repeat with other texts, columns that clash, a very long text."""
+    import corpus_pipeline
+
+    texts = [prose(rng, 40) for _ in range(12)] + [prose(rng, 60_000), "x" * 50_000]
+    rows = [(k // 2, t, None, "s", len(t)) for k, t in enumerate(texts)] + [(0, texts[0], None, "s", 1), (0, texts[0], "en", "t", 1), (9, None, None, "s", 0), (9, "1 2", None, "s", 0), (None, texts[0], None, "s", 0)]
+    docs = spark.createDataFrame(rows, DOC)
+    for c in ("same", "print", "fp", "group", "root", "node", "n", "id"):
+        docs = docs.withColumn(c, F.lit(c))
+    language = corpus_pipeline.language_stage(spark, docs, "")
+    assert language.columns == docs.columns and sorted(str(r.text) for r in language.collect()) == sorted(t for _, t, *_ in rows if t and t != "1 2")
+    near = corpus_pipeline.near_stage(spark, language, "")
+    assert near.columns == docs.columns
+    kept = near.collect()
+    assert sorted(r.text for r in kept if r.doc_id is not None) == sorted(texts) and [r.text for r in kept if r.doc_id is None] == [texts[0]]
+
+
 def test_near_stage_drops_what_is_similar_and_nothing_else(spark, rng):
     """Texts with one or two changed words go (Jaccard of 0.8 or more), those with many changed words stay."""
     import corpus_pipeline

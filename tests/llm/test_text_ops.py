@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -262,6 +263,77 @@ def test_languages(spark, rng):
     assert all(0 <= r.score <= 1 for r in made)
 
 
+def brute_predict(rows):
+    """The whole method in plain Python: n-gram counts in dictionaries, the same machines, votes counted pair by pair."""
+    import xxhash
+
+    def grams(text):
+        letters = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+        padded = " " + " ".join(letters.split()) + " "
+        return Counter(padded[k : k + n] for n in (1, 2, 3) for k in range(len(padded) - n + 1)) if letters.strip() else None
+
+    def column(gram):
+        h = g = None
+        for c in gram:
+            h = ord(c) * 0x9E3779B1 % 2**32
+            g = h if g is None else ((g ^ g >> 15) * 0x85EBCA77 + h) % 2**32
+        return g * 0xC2B2AE3D % 2**32 >> 20
+
+    def vector(text):
+        counts = grams(text)
+        if counts is None:
+            return None
+        x = np.zeros(lang_id.WIDTH)
+        for g, n in counts.items():
+            x[column(g)] += n
+        return np.sqrt(x / x.sum()).astype(np.float32)
+
+    vectors = {k: vector(t) for k, t, *_ in rows}
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    place = lambda k, t: signed(xxhash.xxh64_intdigest(t.encode(), xxhash.xxh64_intdigest(k.to_bytes(8, "little"), 42))) % (1 << 30)
+    labelled = [(lang, place(k, t), k) for k, t, lang, *_ in rows if lang and t is not None and vectors[k] is not None and zlib.crc32(str(k).encode()) % 4 != 2]
+    x, y = np.array([vectors[k] for _, _, k in sorted(labelled, key=lambda r: (r[0], vectors[r[2]].tobytes()))]), sorted(lang for lang, _, _ in labelled)
+    model = lang_id.train(x, y)
+    made = {}
+    for k, v in vectors.items():
+        if v is None:
+            made[k] = ("und", 0.0)
+            continue
+        margin = [float(v.astype(np.float64) @ model.weights[:, j].astype(np.float64) + model.bias[j]) for j in range(model.weights.shape[1])]
+        odds = [1 / (1 + np.exp(-model.slope[j] * m)) for j, m in enumerate(margin)]
+        family = int(np.argmax(margin[: len(model.families)]))
+        duels = [(a, b, j) for j, (f, a, b) in enumerate(model.pairs, len(model.families)) if f == family]
+        votes, sums = Counter(), Counter()
+        for a, b, j in duels:
+            votes[a if margin[j] >= 0 else b] += 1
+            sums[a] += margin[j]
+            sums[b] -= margin[j]
+        pick = max(range(len(model.members[family])), key=lambda i: (votes[i], sums[i], -i))
+        sure = [odds[j] if a == pick else 1 - odds[j] for a, b, j in duels if pick == (a if margin[j] >= 0 else b)]
+        made[k] = (model.members[family][pick], odds[family] * min(sure, default=1.0))
+    return made
+
+
+def test_language_against_brute_force(spark, rng):
+    """Every prediction and score, three languages in one family, fewer rows than the sample takes."""
+    rows = [(k, prose(rng, int(rng.integers(1, 40)), lang) + str(rng.choice(["", "!? 12", " Éß"])), "nl" if lang == "en" and k % 3 == 0 else lang, "s", 0) for k, lang in enumerate(rng.choice(list(WORDS), 240))]
+    rows += [(900, "", "en", "s", 0), (901, None, "en", "s", 0), (902, "1 2 3", None, "s", 0), (903, "ein Text ohne Marke", None, "s", 0)]
+    made = {r.doc_id: (r.lang_pred, r.score) for r in lang_id.identify(spark.createDataFrame(rows, DOC)).collect()}
+    want = brute_predict(rows)
+    assert {k: v[0] for k, v in made.items()} == {k: v[0] for k, v in want.items()}
+    assert max(abs(made[k][1] - want[k][1]) for k in want) < 1e-3
+
+
+def test_every_language_is_learned(spark, rng, monkeypatch):
+    """No cap on languages: with more of them each has fewer rows in the sample."""
+    monkeypatch.setattr(lang_id, "SAMPLE", 90)
+    monkeypatch.setattr(lang_id, "EACH", 2)
+    words = {f"l{k}": ["".join(map(chr, rng.integers(97, 123, 5))) for _ in range(12)] for k in range(30)}
+    rows = [(k, " ".join(rng.choice(words[f"l{k % 30}"], 20)), f"l{k % 30}", "s", 0) for k in range(360)]
+    made = lang_id.identify(spark.createDataFrame(rows, DOC)).collect()
+    assert np.mean([r.lang_pred == f"l{r.doc_id % 30}" for r in made]) > 0.9
+
+
 def test_language_odd(spark, odd):
     made = lang_id.identify(odd).collect()
     assert len(made) == odd.count()
