@@ -14,16 +14,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cairn.llm import lang_id, line_dedup, packing, shingle_dedup
 from cairn.llm.common import staged
 
-#: Documents whose predicted language has a lower score are rejected, as are those without a letter (`und`).
-LEAST_SCORE = 0.4
-
-
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents with a predicted language. A null `lang` takes the prediction; a given one stays."""
+    """Keep documents whose language can be told: a text without a letter is rejected. A null `lang` takes the prediction; a given one stays.
+
+    If no document has a label there is no model and nothing to predict: documents with a letter stay as they are.
+    """
     model = lang_id.fit(docs)
     found = lang_id.language(docs, model, docs.columns)
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+    kept = found.where(F.col("lang_pred") != lang_id.UNDETERMINED)
+    return kept.withColumn("lang", F.coalesce("lang", F.when(F.lit(model is not None), F.col("lang_pred")))).select(docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +34,10 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that of the least doc_id: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near-duplicates stays, that of the least doc_id: five-word shingles, similarity 0.8 or more.
+
+    Candidates come from the SimHash trees, and from bands where fingerprints are too far apart for them; see shingle_dedup.py.
+    """
     return shingle_dedup.keep_one(docs)
 
 
