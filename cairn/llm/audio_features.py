@@ -2,7 +2,8 @@
 
 Features are computed from the stored bytes: polyphase resampling, log-mel energies of overlapping
 frames, and segments by energy with hysteresis. Mel frames are stored in fixed-shape tensors of
-TENSOR_FRAMES by MELS with the time span that each covers; the last one of a sound is padded.
+TENSOR_FRAMES by MELS with the time span that each covers; the last one of a sound is padded. A sound is resampled
+and transformed in portions of frames, so besides its bytes and tensors no more than a portion is held.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -73,21 +75,29 @@ def _phases(taps: int = 16) -> np.ndarray:
     return h.reshape(taps, UP).T[:, ::-1].copy()
 
 
-def resample(x: np.ndarray) -> np.ndarray:
-    """UP/DOWN times the rate: each output sample is one phase of the filter over the input around it."""
+def length_of(n: int) -> int:
+    """Samples of a sound of n samples after resampling."""
+    return -(-n * UP // DOWN)
+
+
+def resample(samples: np.ndarray, first: int, last: int) -> np.ndarray:
+    """Samples first to last - 1 at UP/DOWN times the rate of 8-bit `samples`; `first` is a multiple of UP.
+
+    Each output sample is one phase of the filter over the input around it; silence surrounds the sound.
+    """
     bank = _phases()
     taps = bank.shape[1]
-    n = -(-len(x) * UP // DOWN)
-    padded = np.concatenate([np.zeros(taps // 2), x, np.zeros(taps + DOWN)])
-    windows = np.lib.stride_tricks.sliding_window_view(padded, taps)
-    out = np.empty(n)
+    begin, need = first * DOWN // UP - taps // 2, -(-(last - first) * DOWN // UP) + taps + DOWN
+    a, z = max(0, begin), max(0, min(len(samples), begin + need))
+    x = np.zeros(need)
+    x[a - begin : max(a, z) - begin] = (samples[a : max(a, z)].astype(np.float64) - 128) / 128
+    windows = np.lib.stride_tricks.sliding_window_view(x, taps)
+    out = np.empty(last - first)
     # Outputs m, m + UP, m + 2 UP, ... share a phase and advance by DOWN input samples.
-    for first in range(min(UP, n)):
-        at, phase = divmod(first * DOWN, UP)
-        mine, inputs = out[first::UP], windows[at::DOWN]
-        for k in range(0, len(mine), PORTION * 16):  # products in portions: bounded memory for a long sound
-            part = mine[k : k + PORTION * 16]
-            part[:] = inputs[k : k + len(part)] @ bank[phase]
+    for k in range(min(UP, len(out))):
+        at, phase = divmod(k * DOWN, UP)
+        mine = out[k::UP]
+        mine[:] = windows[at::DOWN][: len(mine)] @ bank[phase]
     return out
 
 
@@ -102,14 +112,18 @@ def _mel_bank() -> np.ndarray:
     return np.maximum(0, np.minimum(up, down))
 
 
-def log_mel(x: np.ndarray) -> Iterator[np.ndarray]:
-    """Portions of (frames, MELS) in dB of overlapping Hann-windowed frames; a short sound is padded to one frame."""
-    if len(x) < FRAME:
-        x = np.concatenate([x, np.zeros(FRAME - len(x))])
-    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
+def log_mel(samples: np.ndarray) -> Iterator[np.ndarray]:
+    """Portions of (frames, MELS) in dB of overlapping Hann-windowed frames of 8-bit `samples`; a short sound is padded to one frame."""
+    size = length_of(len(samples))
+    count = max(0, size - FRAME) // HOP + 1
     window, bank = np.hanning(FRAME), _mel_bank()
-    for at in range(0, len(frames), PORTION):
-        power = np.abs(np.fft.rfft(frames[at : at + PORTION] * window, FFT, axis=1)) ** 2
+    for at in range(0, count, PORTION):
+        n = min(PORTION, count - at)
+        first, last = at * HOP, (at + n - 1) * HOP + FRAME
+        x = resample(samples, first, min(last, size))
+        x = np.concatenate([x, np.zeros(last - first - len(x))])
+        frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
+        power = np.abs(np.fft.rfft(frames * window, FFT, axis=1)) ** 2
         yield 10 * np.log10(power @ bank + 1e-6)
 
 
@@ -129,8 +143,7 @@ def features(samples: bytes) -> tuple[np.ndarray, list[tuple[int, int]]]:
     In double precision and rounded: products of the same sound may differ in their last bits from one worker
     to another, and what is stored must not.
     """
-    x = (np.frombuffer(samples, np.uint8).astype(np.float64) - 128) / 128
-    mel = np.round(np.concatenate(list(log_mel(resample(x)))), 4).astype(np.float32)
+    mel = np.concatenate([np.round(part, 4).astype(np.float32) for part in log_mel(np.frombuffer(samples, np.uint8))])
     return mel, segments(np.round(mel.astype(np.float64).mean(axis=1), 6))
 
 
@@ -152,6 +165,31 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col)
 
 
+class Tensors(NamedTuple):
+    """The tensors of one sound: mel (n, TENSOR_FRAMES, MELS), zero beyond the last frame; frames and time span (ms) of each;
+    segments as spans of time (ms)."""
+
+    mel: np.ndarray
+    frames: list[int]
+    spans: list[tuple[float, float]]
+    segments: list[tuple[float, float]]
+
+    def array(self) -> pa.ExtensionArray:
+        """mel as Arrow's canonical fixed-shape tensors."""
+        values = pa.FixedSizeListArray.from_arrays(pa.array(self.mel.ravel()), TENSOR_FRAMES * MELS)
+        return pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), TENSOR_SHAPE), values)
+
+
+def tensors_of(media: bytes) -> Tensors:
+    """The tensors of a stored sound."""
+    mel, parts = features(from_wav(media))
+    n = -(-len(mel) // TENSOR_FRAMES)
+    full = np.zeros((n, TENSOR_FRAMES, MELS), np.float32)
+    full.reshape(-1, MELS)[: len(mel)] = mel
+    held = [min(TENSOR_FRAMES, len(mel) - TENSOR_FRAMES * t) for t in range(n)]
+    return Tensors(full, held, [span_ms(TENSOR_FRAMES * t, TENSOR_FRAMES * t + held[t]) for t in range(n)], [span_ms(a, z) for a, z in parts])
+
+
 def tensors(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """Rows of stored sound -> one row per tensor: id, tensor (number), start_ms, end_ms, frames (unpadded), mel array<float>.
 
@@ -163,15 +201,11 @@ def tensors(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") ->
             for k, media in enumerate(batch.column(1).to_pylist()):
                 if media is None:
                     continue
-                mel, _ = features(from_wav(media))
-                n = -(-len(mel) // TENSOR_FRAMES)
-                full = np.zeros((n * TENSOR_FRAMES, MELS), np.float32)
-                full[: len(mel)] = mel
-                held = [min(TENSOR_FRAMES, len(mel) - TENSOR_FRAMES * t) for t in range(n)]
-                spans = [span_ms(TENSOR_FRAMES * t, TENSOR_FRAMES * t + held[t]) for t in range(n)]
+                made = tensors_of(media)
+                n = len(made.mel)
                 offsets = np.arange(n + 1, dtype=np.int32) * (TENSOR_FRAMES * MELS)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(np.full(n, k))), pa.array(range(n), pa.int32()), pa.array([s[0] for s in spans]), pa.array([s[1] for s in spans]), pa.array(held, pa.int32()), pa.ListArray.from_arrays(offsets, full.ravel())],
+                    [batch.column(0).take(pa.array(np.full(n, k))), pa.array(range(n), pa.int32()), pa.array([s[0] for s in made.spans]), pa.array([s[1] for s in made.spans]), pa.array(made.frames, pa.int32()), pa.ListArray.from_arrays(offsets, made.mel.ravel())],
                     ["id", "tensor", "start_ms", "end_ms", "frames", "mel"],
                 )
 
@@ -189,28 +223,41 @@ def as_tensor_table(table: pa.Table) -> pa.Table:
     return table.set_column(table.column_names.index("mel"), pa.field("mel", kind), pa.ExtensionArray.from_storage(kind, values))
 
 
-def media_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store each text as sound, read the stored bytes back, and keep digests and a summary of the features.
+def summary(made: Tensors) -> str:
+    """Frames, tensors, segments, the time that they cover, and a digest of tensors (in whole decibels), time spans and segments."""
+    digest = hashlib.sha256(np.rint(made.array().to_numpy_ndarray()).astype(np.int8).tobytes())
+    digest.update(np.array([*made.spans, *made.segments]).round(3).tobytes())
+    active = sum(z - a for a, z in made.segments)
+    return f"frames={sum(made.frames)};tensors={len(made.frames)};end_ms={made.spans[-1][1]:.1f};segments={len(made.segments)};active_ms={active:.1f};mel={digest.hexdigest()[:32]}"
 
-    id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature. Null text: as
-    if empty, 192 spaces. feature: frames, segments and their share of the frames, and a digest of the mel tensors
-    in whole decibels. Equal texts have equal values; ids may be null or repeat; other columns are not read.
+
+def digests(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
+    """Rows of stored sound with n_bytes -> id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
+
+    All is read from the stored bytes; feature is the summary() of their tensors. A null sound has nulls.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in balanced(batches, 1):
+        for batch in batches:
             rows = []
-            for text in batch.column(1).to_pylist():
-                media = to_wav(payload(text))
+            for media in batch.column(2).to_pylist():
+                if media is None:
+                    rows.append((None,) * 6)
+                    continue
                 back = from_wav(media)
-                mel, parts = features(back)
-                share = sum(z - a for a, z in parts) / len(mel)
-                digest = hashlib.sha256(np.rint(mel).astype(np.int8).tobytes()).hexdigest()[:32]
-                rows.append((len((text or "").encode()), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), f"frames={len(mel)};segments={len(parts)};active={share:.4f};mel={digest}"))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            columns = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), summary(tensors_of(media))))
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     kind = df.select(id_col).dtypes[0][1]
-    out = df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    out = df.select(df[id_col].alias("id"), "n_bytes", df[media_col].alias("media")).mapInArrow(run, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
     return out.withColumnRenamed("id", id_col)
+
+
+def media_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each text stored as sound by store(), and the digests() of what is stored.
+
+    Null text: as if empty, 192 spaces. Equal texts have equal values; ids may be null or repeat; other columns are not read.
+    """
+    return digests(store(df, id_col, text_col), id_col)

@@ -376,18 +376,66 @@ def test_wav_round_trip_and_resampling(rng):
             assert (w.getnchannels(), w.getsampwidth(), w.readframes(10**6)) == (1, 1, data)
     with pytest.raises(ValueError):
         audio_features.from_wav(b"RIFF0000WAVE")
-    x = rng.standard_normal(3000).astype(np.float32)
     bank = audio_features._phases()
     taps = bank[:, ::-1].T.ravel()
-    up = np.zeros(len(x) * audio_features.UP)
-    up[:: audio_features.UP] = x
-    full = np.convolve(up, taps)
-    got = audio_features.resample(x)
-    lag = (bank.shape[1] - 1 - bank.shape[1] // 2) * audio_features.UP
-    want = full[lag :: audio_features.DOWN][: len(got)]
-    assert np.abs(got[20:-20] - want[20:-20]).max() < 1e-4
-    tone = np.sin(2 * np.pi * 1000 * np.arange(24_000) / 24_000).astype(np.float32)
-    assert np.abs(np.fft.rfft(audio_features.resample(tone))).argmax() == 1000
+    for n in (1, 192, 3001):
+        raw = rng.integers(0, 256, n).astype(np.uint8)
+        up = np.zeros(n * audio_features.UP)
+        up[:: audio_features.UP] = (raw - 128.0) / 128
+        full = np.convolve(up, taps)
+        size = audio_features.length_of(n)
+        got = audio_features.resample(raw, 0, size)
+        lag = (bank.shape[1] - 1 - bank.shape[1] // 2) * audio_features.UP
+        want = np.concatenate([full[lag :: audio_features.DOWN], np.zeros(2)])[:size]
+        assert np.abs(got - want).max() < 1e-9
+        for first in range(0, size, 500):
+            assert np.abs(audio_features.resample(raw, first, min(size, first + 501)) - got[first : first + 501]).max() < 1e-12
+    tone = (np.sin(2 * np.pi * 1000 * np.arange(24_000) / 24_000) * 100 + 128).astype(np.uint8)
+    assert np.abs(np.fft.rfft(audio_features.resample(tone, 0, 16_000))[1:]).argmax() == 999
+
+
+def plain_feature(data):
+    """The feature of a payload by definition: whole resampling by convolution, one DFT sum per frame, hysteresis frame by frame."""
+    A = audio_features
+    x = (np.frombuffer(data, np.uint8) - 128.0) / 128
+    n = np.arange(32) - 15.5
+    h = np.sinc(n / 3) * np.hamming(32)
+    up = np.zeros(2 * len(x))
+    up[::2] = x
+    y = np.convolve(up, 2 * h / h.sum())[14::3]
+    y = np.concatenate([y, np.zeros(2)])[: -(-len(x) * 2 // 3)]
+    y = np.concatenate([y, np.zeros(max(0, 400 - len(y)))])
+    count = (len(y) - 400) // 160 + 1
+    angle = np.exp(-2j * np.pi * np.outer(np.arange(400), np.arange(257)) / 512)
+    edge = 700 * (10 ** (np.linspace(0, 2595 * np.log10(1 + 8000 / 700), 42) / 2595) - 1)
+    freq = np.arange(257) * 16_000 / 512
+    bank = np.array([[max(0.0, min((f - lo) / (mid - lo), (hi - f) / (hi - mid))) for lo, mid, hi in zip(edge, edge[1:], edge[2:])] for f in freq])
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(400) / 399)
+    mel = np.array([np.round(10 * np.log10((np.abs((y[160 * k : 160 * k + 400] * window) @ angle) ** 2) @ bank + 1e-6), 4) for k in range(count)]).astype(np.float32)
+    energy = np.round(mel.astype(float).mean(axis=1), 6)
+    floor, on, parts = sorted(energy)[count // 10], None, []
+    for k, e in enumerate([*energy, -1e9]):
+        if on is None and e >= floor + 3.0:
+            on = k
+        elif on is not None and e < floor + 1.5:
+            parts.append((10.0 * on, 10.0 * (k - 1) + 25.0))
+            on = None
+    full = np.zeros((-(-count // 64) * 64, 40))
+    full[:count] = mel
+    spans = [(640.0 * t, 10.0 * (min(count, 64 * t + 64) - 1) + 25.0) for t in range(len(full) // 64)]
+    digest = hashlib.sha256(np.rint(full).astype(np.int8).tobytes())
+    digest.update(np.array([*spans, *parts]).round(3).tobytes())
+    return f"frames={count};tensors={len(spans)};end_ms={spans[-1][1]:.1f};segments={len(parts)};active_ms={sum(z - a for a, z in parts):.1f};mel={digest.hexdigest()[:32]}"
+
+
+def test_features_against_a_plain_transform(rng, monkeypatch):
+    """Tensors, spans and segments of sounds, in one portion and in many."""
+    texts = ["", "a", "hello world " * 30, prose(rng, 900), "x" * 5000 + prose(rng, 500) + " " * 4000 + prose(rng, 200)]
+    for portion in (4096, 7):
+        monkeypatch.setattr(audio_features, "PORTION", portion)
+        for t in texts:
+            data = audio_features.payload(t)
+            assert audio_features.summary(audio_features.tensors_of(audio_features.to_wav(data))) == plain_feature(data)
 
 
 def test_segments_and_tensors(spark, rng):
