@@ -15,13 +15,16 @@ last comes from a small table of the buckets' first documents. So no window span
 
 from __future__ import annotations
 
+from collections import Counter
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .common import staged
 
 SAMPLES = 32
-#: Documents of a bucket, about; buckets and histogram cells, at most: both are sizes of driver-side lists.
-BUCKET_ROWS, BUCKETS, CELLS = 128, 16_384, 65_536
+#: Documents of a bucket, about; buckets, at most about, which is the size of driver-side lists; ids of the sample for each.
+BUCKET_ROWS, BUCKETS, PER_BUCKET = 128, 1 << 16, 16
 #: Bits of a sample in the fingerprint.
 SIG_BITS = 24
 
@@ -80,28 +83,52 @@ def fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     return signatures(rows, ["row", "id"], ["text"], samples).select(F.col("id").alias(id_col), to_hex(F.col("sig")).alias("fingerprint"))
 
 
+def _bounds(ids: list[int], buckets: int) -> list[int]:
+    """Least ids of buckets: quantiles of a sample; an id that is several of them gets a bucket of its own."""
+    ids = sorted(ids)
+    found = Counter(ids[len(ids) * k // buckets] for k in range(1, buckets)) if ids else Counter()
+    return sorted({i for i in found} | {i + 1 for i, n in found.items() if n > 1 and i < (1 << 63) - 1})
+
+
+def _search(bounds: list[int], value: Column) -> Column:
+    """How many of the ascending bounds are at most `value`, by bisection."""
+    table = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
+    steps = F.lit([1 << k for k in reversed(range(len(bounds).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(table, at + step - 1) <= value, at + step).otherwise(at)) if bounds else F.lit(0)
+
+
+def _lookup(values: list[int], at: Column) -> Column:
+    return F.get(F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>"), at)
+
+
 def _bucketed(df: DataFrame) -> tuple[DataFrame, list[int]]:
-    """`df` (id, text) with place (id; null ids before all) and bucket, and the buckets that have rows, ascending.
+    """`df` (id, text) with tie (a hash of the text) and bucket, and the buckets that have rows, ascending.
 
-    Buckets hold about as many rows each: they are runs of cells of a histogram of the ids, whose size is fixed.
+    Buckets hold about as many rows each and follow the order of (id, tie), null ids first. Their bounds are quantiles of a
+    bounded sample of the ids, which balances them and decides nothing else; a bucket of one id, or of null ids, that has
+    many rows is split by tie.
     """
-    low, high, rows = df.agg(F.min("id"), F.max("id"), F.count(F.lit(1))).first()
-    if low is None:
-        low = high = 0
-    placed = df.withColumn("place", F.coalesce(F.col("id").cast("bigint"), F.lit(int(low) - 1).cast("bigint")))
-    width = (int(high) - int(low) + 2) / CELLS
-    cell = F.floor((F.col("place") - F.lit(int(low) - 1)) / F.lit(width)).cast("int")
-    counts = {r["cell"]: r["n"] for r in placed.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    size = max(BUCKET_ROWS, rows / BUCKETS)
-    of, bucket, held = [0] * CELLS, 0, 0
-    for c in range(CELLS):
-        of[c] = bucket
-        held += counts.get(c, 0)
-        if held >= size:
-            bucket, held = bucket + 1, 0
-    used = sorted({of[c] for c in counts})
-    lookup = F.split(F.lit(",".join(map(str, of))), ",").cast("array<int>")
-    return placed.withColumn("bucket", F.element_at(lookup, cell + 1)), used
+    rows = df.count()
+    wanted = max(1, min(BUCKETS, rows // BUCKET_ROWS))
+    size = max(BUCKET_ROWS, rows / wanted)
+    ids = df.select(F.col("id").cast("bigint").alias("id"))
+    sample = ids.where("id IS NOT NULL")
+    if rows > wanted * PER_BUCKET:
+        sample = sample.sample(wanted * PER_BUCKET / rows, seed=42)
+    bounds = _bounds([r["id"] for r in sample.collect()], wanted)
+    place = F.when(F.col("id").isNull(), 0).otherwise(1 + _search(bounds, F.col("id").cast("bigint")))
+    counts = {r["b"]: r["n"] for r in ids.groupBy(place.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    # Buckets that can hold one id only, by their bounds, are split if they are heavy.
+    single = {0} | {k + 1 for k in range(1, len(bounds)) if bounds[k] == bounds[k - 1] + 1}
+    parts = [max(1, int(counts.get(b, 0) // size)) if b in single else 1 for b in range(len(bounds) + 2)]
+    first = list(accumulate(parts, initial=0))
+    docs = df.withColumn("tie", F.xxhash64("text"))
+    if max(parts) == 1:
+        return docs.withColumn("bucket", place), sorted(counts)
+    # The upper half of the hash as a share of its range: in the order of ties.
+    share = (F.shiftright("tie", 32) + F.lit(1 << 31)).cast("double") / float(1 << 32)
+    docs = docs.withColumn("__b", place).withColumn("bucket", _lookup(first, F.col("__b")) + F.floor(share * _lookup(parts, F.col("__b"))).cast("int")).drop("__b")
+    return docs, sorted(r["bucket"] for r in docs.select("bucket").distinct().collect())
 
 
 def edit_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
@@ -118,13 +145,13 @@ def edit_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         raise TypeError("the id column must hold integers")
     docs, used = _bucketed(df.select(df[id_col].alias("id"), F.coalesce(df[text_col], F.lit("")).alias("text")))
     before = {b: used[k - 1] for k, b in enumerate(used)}
-    docs = docs.withColumn("tie", F.xxhash64("text"))
-    order = W.partitionBy("bucket").orderBy("place", "tie", "text")
+    order = W.partitionBy("bucket").orderBy("id", "tie", "text")
 
-    # The first document of each bucket, under the bucket before it; at most BUCKETS rows.
-    least = F.broadcast(docs.groupBy("bucket").agg(F.min("place").alias("place")))
-    first = docs.join(least, ["bucket", "place"]).withColumn("n", F.row_number().over(order)).where("n = 1")
-    owner = F.element_at(F.split(F.lit(",".join(str(before.get(b, 0)) for b in range(max(used, default=0) + 1))), ",").cast("array<int>"), F.col("bucket") + 1)
+    # The first document of each bucket, under the bucket before it; one row a bucket.
+    least = F.broadcast(docs.groupBy("bucket").agg(F.min(F.struct("id", "tie")).alias("least")).select(F.col("bucket").alias("b"), F.col("least.id").alias("i"), F.col("least.tie").alias("t")))
+    first = docs.join(least, (F.col("bucket") == F.col("b")) & F.col("id").eqNullSafe(F.col("i")) & (F.col("tie") == F.col("t")))
+    first = first.groupBy("bucket").agg(F.min("text").alias("text"))
+    owner = _lookup([before.get(b, 0) for b in range(max(used, default=0) + 1)], F.col("bucket"))
     first = staged(first.select(owner.alias("bucket"), "text"), "first")
     first = staged(signatures(first, ["bucket", "text"], ["text"], samples).select("bucket", F.col("text").alias("first_text"), F.col("sig").alias("first_sig")), "first")
 

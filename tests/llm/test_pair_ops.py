@@ -193,6 +193,26 @@ def test_edit_likeness_odd(spark, odd):
         cws.edit_likeness(odd.selectExpr("CAST(doc_id AS STRING) AS doc_id", "text"))
 
 
+def test_edit_likeness_buckets(spark, rng, monkeypatch):
+    """Ids far apart, at the ends of their range, null and repeated: buckets stay small and successors right."""
+    monkeypatch.setattr(cws, "BUCKET_ROWS", 8)
+    texts = [prose(rng, int(n)) for n in rng.integers(1, 30, 500)]
+    ids = [None] * 120 + [7] * 150 + list(range(10, 230)) + [(1 << 63) - 1, -(1 << 63), 1 << 62] + [1 << 61] * 7
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    docs, used = cws._bucketed(df.select(F.col("doc_id").alias("id"), "text"))
+    sizes = [r["count"] for r in docs.groupBy("bucket").count().collect()]
+    assert len(sizes) == len(used) and max(sizes) < 60
+    import xxhash
+
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    order = sorted(zip(ids, texts), key=lambda r: (r[0] is not None, r[0] or 0, signed(xxhash.xxh64_intdigest(r[1].encode(), 42)), r[1]))
+    want = []
+    for k, (i, t) in enumerate(order):
+        after, q = order[(k + 1) % len(order)][1], len(t) // 4
+        want.append((str(i), len(t), hashlib.sha256((t[: len(t) - q] + after[:q]).encode()).hexdigest()))
+    assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in cws.edit_likeness(df).collect()) == sorted(want)
+
+
 # HTML
 
 
