@@ -38,8 +38,8 @@ FAMILIES = {
     "sinitic": ("zh", "yue"),
 }
 FAMILY = {lang: family for family, langs in FAMILIES.items() for lang in langs}
-#: Code points whose n-grams are counted at once, and bytes of text whose features are held at once.
-PORTION, SLICE = 1 << 17, 2 << 20
+#: Code points whose n-grams are counted at once, and bytes of texts and rows whose features are held at once.
+PORTION, SLICE, ROWS = 1 << 17, 2 << 20, 512
 
 
 def _hashes(codes: np.ndarray) -> Iterator[np.ndarray]:
@@ -225,15 +225,12 @@ def language(df: DataFrame, model: Model | None, columns: list[str], text_col: s
         text = len(columns)
         for batch in balanced(batches, text, SLICE):
             langs, scores = [UNDETERMINED] * batch.num_rows, np.zeros(batch.num_rows)
-            made = [features(t) for t in batch.column(text).to_pylist()]
-            there = [k for k, x in enumerate(made) if x is not None]
-            if not model:
-                for k in there:
-                    langs[k] = NO_MODEL
-            elif there:
-                found, sure = model.predict(np.array([made[k] for k in there]))
-                scores[there] = sure
-                for k, name in zip(there, found, strict=True):
+            texts = batch.column(text)
+            for at in range(0, batch.num_rows, ROWS):
+                made = {at + k: x for k, t in enumerate(texts.slice(at, ROWS).to_pylist()) if (x := features(t)) is not None}
+                found, sure = model.predict(np.array(list(made.values()))) if model and made else ([NO_MODEL] * len(made), np.zeros(len(made)))
+                scores[list(made)] = sure
+                for k, name in zip(made, found, strict=True):
                     langs[k] = name
             kept = [batch.column(k) for k in range(len(columns))]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*(f"c{k}" for k in range(len(columns))), "lang_pred", "score"])
