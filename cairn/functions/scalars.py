@@ -53,8 +53,10 @@ def nice_step(x: Column) -> Column:
 
 
 def pack_node(img: Column, feat: Column) -> Column:
-    """One bigint for (image, feature): the feature in the low 24 bits."""
-    return F.shiftleft(img.cast("bigint"), 24).bitwiseOR(feat.cast("bigint").bitwiseAND(F.lit(0xFFFFFF).cast("bigint")))
+    """One bigint for (image, feature): the feature in the low 24 bits; a feature that does not fit there fails."""
+    fits = F.assert_true((feat >= 0) & (feat <= 0xFFFFFF) | feat.isNull(), F.concat(F.lit("feature number out of range: "), feat.cast("string")))
+    node = F.shiftleft(img.cast("bigint"), 24).bitwiseOR(feat.cast("bigint").bitwiseAND(F.lit(0xFFFFFF).cast("bigint")))
+    return F.coalesce(fits.cast("bigint"), node)
 
 
 def unpack_node(node: Column) -> tuple[Column, Column]:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.scalars import sh_to_unit, sigmoid, to_byte, viridis
 from ..functions.vectors import clip, is_finite, norm, sub, vec
+from ..tables import staged
 
 XYZ = ("x", "y", "z")
 RGB = ("r", "g", "b")
@@ -200,8 +201,8 @@ def row_numbers(df: DataFrame, order: list[str], name: str = "__row") -> DataFra
 
 
 def shuffle_prefix(df: DataFrame, n: int, seed: int = 12345, id_col: str = "point_id") -> DataFrame:
-    """A uniform sample of n points: the first in hash order, a top-n that needs no full sort."""
-    return df.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).limit(n)
+    """A uniform sample of n points: the first in the order of a hash of seed and id, a top-n that needs no full sort."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"))), id_col).limit(n)
 
 
 def decimate(df: DataFrame, most: int, order: list[str]) -> DataFrame:
@@ -212,15 +213,15 @@ def decimate(df: DataFrame, most: int, order: list[str]) -> DataFrame:
     n = df.count()
     if n <= most:
         return df
-    base = stride_sample(df, math.ceil(n / (2 * most)), order) if n > 2 * most else df
+    base = staged(stride_sample(df, math.ceil(n / (2 * most)), order), "base") if n > 2 * most else df
     low_high = base.agg(*[F.percentile(F.col(c).cast("double"), q) for c in XYZ for q in (0.01, 0.99)], *[f(F.col(c).cast("double")) for c in XYZ for f in (F.min, F.max)]).first()
     spans = lambda k: max(low_high[k + 2 * a + 1] - low_high[k + 2 * a] for a in range(3))
     extent = spans(0) if spans(0) > 0 else spans(6) or 1.0
     size = extent / math.sqrt(most)
-    out = voxel_downsample(base, size)
+    out = staged(voxel_downsample(base, size), "voxels")
     m = out.count()
     if 0 < m < 0.75 * most:
-        out = voxel_downsample(base, size * math.sqrt(m / most))
+        out = staged(voxel_downsample(base, size * math.sqrt(m / most)), "voxels")
         m = out.count()
     return stride_sample(out, math.ceil(m / most), ["x", "y", "z"]) if m > most else out
 

@@ -1,71 +1,236 @@
-"""Exact nearest neighbours on a grid, and the filters that use them.
+"""Exact nearest neighbours in the leaves of a k-d tree, and the filters that use them.
 
-A point looks for neighbours in the 27 cells around its own. It is settled if it has k of them within a cell's
-size; the few that are not look again with cells twice the size, until all are or the grid is the whole cloud.
+A tree with leaves of about LEAF points is fitted to a bounded sample, which balances it and decides nothing else: its
+cells are as small as the cloud is dense there, so far or uneven points do no harm. Each point finds its k nearest in
+its own leaf; if the ball that holds them reaches into other leaves, it asks those too. Distances are worked out in blocks of
+arrays. Points at one place are candidates only as far as they can be neighbours of anything: the k + 1 least ids.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
-
-from ..functions.vectors import norm, sub, vec
-from ..tables import staged
-
-
-def _cells(size: float) -> list:
-    return [F.floor(F.col(c) / F.lit(size)).alias(f"c{c}") for c in ("x", "y", "z")]
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-def _around() -> Column:
-    near = F.array(*[F.lit(k).cast("bigint") for k in (-1, 0, 1)])
-    return F.explode(F.flatten(F.transform(near, lambda a: F.flatten(F.transform(near, lambda b: F.transform(near, lambda c: F.struct(a.alias("dx"), b.alias("dy"), c.alias("dz")))))))).alias("o")
-
-
-def cell_neighbors(queries: DataFrame, points: DataFrame, k: int, size: float) -> DataFrame:
-    """(point_id, neighbor_id, d): up to k nearest others within `size` of each query, by distance and then id."""
-    here = points.select(F.col("point_id").alias("neighbor_id"), *[F.col(c).alias(f"n{c}") for c in ("x", "y", "z")], *_cells(size))
-    asked = queries.select("point_id", "x", "y", "z", *_cells(size), _around())
-    asked = asked.select("point_id", "x", "y", "z", *[(F.col(f"c{c}") + F.col(f"o.d{c}")).alias(f"c{c}") for c in ("x", "y", "z")])
-    pairs = asked.join(here, ["cx", "cy", "cz"]).where("point_id <> neighbor_id")
-    pairs = pairs.withColumn("d", norm(sub(vec("x", "y", "z"), vec("nx", "ny", "nz")))).where(F.col("d") <= size)
-    nearest = W.partitionBy("point_id").orderBy("d", "neighbor_id")
-    return pairs.select("point_id", "neighbor_id", "d", F.row_number().over(nearest).alias("rank")).where(F.col("rank") <= k)
-
+from ..tables import staged
 
-def knn(cloud: DataFrame, k: int, size: float | None = None, rounds: int = 40) -> DataFrame:
+XYZ = ("x", "y", "z")
+#: Points of a leaf, about; leaves of the tree that the driver makes, at most; points of the sample for each of them.
+LEAF, LEAVES, PER_LEAF = 512, 1 << 14, 16
+#: Distances held at once, and points at one place that are no concern.
+BLOCK, CROWD = 1 << 20, 64
+
+
+class Tree:
+    """Splits along the axis of the widest spread at its median; `leaf` numbers the nodes that are not split."""
+
+    def __init__(self, places: np.ndarray, scale: float, least: int):
+        self.axis: list[int] = []
+        self.at: list[float] = []
+        self.child: list[tuple[int, int]] = []
+        self._grow(places, scale, least)
+
+    def _grow(self, places: np.ndarray, scale: float, least: int) -> int:
+        node = len(self.axis)
+        self.axis.append(-1)
+        self.at.append(0.0)
+        self.child.append((-1, -1))
+        if len(places) * scale > least and len(places) > 3:
+            spread = np.ptp(np.quantile(places, [0.1, 0.9], axis=0, method="nearest"), axis=0)
+            axis = int((spread if spread.any() else np.ptp(places, axis=0)).argmax())
+            column = places[:, axis]
+            cut = float(np.quantile(column, 0.5, method="lower"))
+            left = column <= cut
+            if left.all():
+                cut = float(column[column < cut].max()) if (column < cut).any() else cut
+                left = column <= cut
+            if not left.all():
+                self.axis[node], self.at[node] = axis, cut
+                first = self._grow(places[left], scale, least)
+                self.child[node] = (first, self._grow(places[~left], scale, least))
+        return node
+
+    def reach(self, places: np.ndarray, radius: np.ndarray | float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf) of every leaf that the ball around each place touches."""
+        radius = np.broadcast_to(radius, len(places))
+        pad = 1e-15 if radius.any() else 0.0  # sums of places and radii are rounded
+        rows, leaves, stack = [], [], [(0, np.arange(len(places)))]
+        while stack:
+            node, who = stack.pop()
+            if self.axis[node] < 0:
+                rows.append(who)
+                leaves.append(np.full(len(who), node))
+            elif len(who):
+                x = places[who, self.axis[node]]
+                r = radius[who] * (1 + 4 * pad) + np.abs(x) * pad
+                stack += [(self.child[node][0], who[x - r <= self.at[node]]), (self.child[node][1], who[x + r > self.at[node]])]
+        return np.concatenate(rows), np.concatenate(leaves)
+
+
+def _nearest(q: np.ndarray, q_id: np.ndarray, p: np.ndarray, p_id: np.ndarray, k: int, radius: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, id, distance) of the k nearest others of each, by distance and then id; within `radius` if given."""
+    found = []
+    step = max(1, BLOCK // max(1, len(p)))
+    for at in range(0, len(q), step):
+        part = slice(at, at + step)
+        dx, dy, dz = (q[part, None, c] - p[None, :, c] for c in range(3))
+        d = np.sqrt(dx * dx + dy * dy + dz * dz)
+        d[q_id[part, None] == p_id[None, :]] = np.inf
+        limit = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] > k else np.full(len(d), np.finfo(np.float64).max)
+        if radius is not None:
+            limit = np.minimum(limit, radius[part])
+        row, col = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
+        order = np.lexsort((p_id[col], d[row, col], row))
+        row, col = row[order], col[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        row, col = row[rank < k], col[rank < k]
+        found.append((row + at, p_id[col], d[row, col]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), p_id[:0], np.zeros(0))
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest of each row among several lists of them."""
+    row, other, d = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((other, d, row))
+    row, other, d = row[order], other[order], d[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], other[keep], d[keep]
+
+
+def _farthest(row: np.ndarray, d: np.ndarray, n: int, k: int) -> np.ndarray:
+    """The distance of the k-th neighbour of each of n rows; infinite where there are fewer."""
+    out = np.full(n, np.inf)
+    count = np.bincount(row, minlength=n)
+    last = np.cumsum(count) - 1
+    out[count >= k] = d[last[count >= k]]
+    return out
+
+
+def block_knn(q: np.ndarray, q_id: np.ndarray, p: np.ndarray, p_id: np.ndarray, k: int, radius: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """_nearest() of one leaf, through a tree of its own if it is large."""
+    tree = Tree(p, 1.0, 4 * LEAF) if len(p) > 8 * LEAF else None
+    if tree is None or len(tree.axis) == 1:
+        return _nearest(q, q_id, p, p_id, k, radius)
+    home = tree.reach(p)
+    of = {leaf: home[0][home[1] == leaf] for leaf in np.unique(home[1]).tolist()}
+    mine = tree.reach(q)
+    parts = []
+
+    def ask(rows: np.ndarray, leaves: np.ndarray, limit: np.ndarray | None) -> None:
+        order = np.argsort(leaves, kind="stable")
+        for who in np.split(order, np.flatnonzero(np.diff(leaves[order])) + 1):
+            if len(who):
+                there, them = of.get(int(leaves[who[0]]), np.zeros(0, np.int64)), rows[who]
+                row, other, d = _nearest(q[them], q_id[them], p[there], p_id[there], k, None if limit is None else limit[them])
+                parts.append((them[row], other, d))
+
+    ask(*mine, radius)
+    first = _merged(parts, k)
+    limit = _farthest(first[0], first[2], len(q), k)
+    if radius is not None:
+        limit = np.minimum(limit, radius)
+    rows, leaves = tree.reach(q, limit)
+    own = np.zeros(len(q), np.int64)
+    own[mine[0]] = mine[1]
+    other = leaves != own[rows]
+    parts = [first]
+    ask(rows[other], leaves[other], limit)
+    return _merged(parts, k)
+
+
+def _places(table: pa.Table | pa.RecordBatch) -> np.ndarray:
+    return np.stack([np.asarray(table.column(c)) for c in XYZ], axis=1)
+
+
+def knn(cloud: DataFrame, k: int) -> DataFrame:
     """(point_id, neighbor_id, d, rank): the k nearest other points of each, exactly; ties by id.
 
-    Rows with a NULL or NaN coordinate take no part. point_id is unique. The first cell size is chosen for a
-    few points to a cell if they filled their box evenly; only unsettled points go on to the next round.
+    Rows with a NULL, NaN or infinite coordinate take no part. point_id is a unique whole number. A cloud of one point has no rows.
     """
-    points = cloud.select("point_id", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "z")])
-    points = staged(points.where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL AND NOT (isnan(x) OR isnan(y) OR isnan(z))"), "points")
-    row = points.agg(F.count(F.lit(1)), *[F.max(c) - F.min(c) for c in ("x", "y", "z")]).first()
-    n, spans = row[0], [s or 0.0 for s in row[1:]]
-    wanted = min(k, n - 1)
-    if wanted < 1:
+    points = cloud.select(F.col("point_id").cast("bigint").alias("point_id"), *[F.col(c).cast("double").alias(c) for c in XYZ])
+    points = staged(points.where(" AND ".join(f"{c} IS NOT NULL AND abs({c}) < double('Infinity')" for c in XYZ)), "points")
+    most = points.groupBy(*XYZ).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
+    crowd, n = most[0] or 0, most[1] or 0
+    if n < 2:
         return points.select("point_id", F.col("point_id").alias("neighbor_id"), F.lit(0.0).alias("d"), F.lit(0).alias("rank")).where("false")
-    extent = max(spans) or 1.0
-    if size is None:
-        volume, axes = 1.0, 0
-        for s in spans:
-            if s > extent * 1e-3:
-                volume, axes = volume * s, axes + 1
-        size = (volume * (k + 1) / n) ** (1 / max(1, axes)) or extent
-    asked, found = points, None
-    for _ in range(rounds):
-        whole = size >= 2 * extent * 3**0.5
-        near = staged(cell_neighbors(asked, points, wanted, size), "near")
-        full = near.groupBy("point_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= wanted).select("point_id")
-        settled = near if whole else near.join(full, "point_id", "left_semi")
-        found = settled if found is None else found.unionByName(settled)
-        if whole:
-            break
-        asked = staged(asked.join(full, "point_id", "left_anti"), "asked")
-        if asked.isEmpty():
-            break
-        size *= 2
-    return found
+    if crowd <= CROWD:
+        return _knn(points, n, k)
+    # Of points at one place all have the neighbours of the least of them, with each other's ids in turn.
+    alike = points.withColumn("n", F.row_number().over(W.partitionBy(*XYZ).orderBy("point_id")))
+    some = staged(alike.where(F.col("n") <= k + 1), "alike")
+    lists = _knn(some.drop("n"), some.count(), k + 1, some.where("n = 1").drop("n"))
+    own = some.where("n = 1").select(F.col("point_id").alias("least"), *XYZ)
+    itself = own.select("least", F.col("least").alias("neighbor_id"), F.lit(0.0).alias("d"))
+    lists = lists.select(F.col("point_id").alias("least"), "neighbor_id", "d").unionByName(itself)
+    pairs = points.join(own, list(XYZ)).select("point_id", "least").join(lists, "least").where("point_id <> neighbor_id")
+    return _ranked(pairs.select("point_id", "neighbor_id", "d"), k)
+
+
+def _ranked(pairs: DataFrame, k: int) -> DataFrame:
+    order = W.partitionBy("point_id").orderBy("d", "neighbor_id")
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _knn(points: DataFrame, n: int, k: int, asked: DataFrame | None = None) -> DataFrame:
+    """knn() of staged points without a crowd at any place, for the points `asked` (all of them by default)."""
+    leaves = max(1, min(LEAVES, n // LEAF))
+    sample = points if n <= leaves * PER_LEAF else points.sample(leaves * PER_LEAF / n, seed=42)
+    taken = np.array(sample.select(*XYZ).collect(), np.float64).reshape(-1, 3)
+    tree = Tree(taken, n / max(1, len(taken)), max(LEAF, n // leaves))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, leaf = tree.reach(_places(batch))
+            out = np.zeros(batch.num_rows, np.int32)
+            out[rows] = leaf
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "leaf"])
+
+    def within(key: tuple, mine: pa.Table, there: pa.Table) -> pa.Table:
+        """Neighbours in the own leaf; rank 0 and the number of others that the point must ask, where it must."""
+        q, q_id = _places(mine), np.asarray(mine.column("point_id"))
+        row, other, d = block_knn(q, q_id, _places(there), np.asarray(there.column("point_id")), k)
+        far = _farthest(row, d, len(q), k)
+        rows, _ = tree.reach(q, far)
+        more = np.bincount(rows, minlength=len(q)) > 1
+        rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
+        # One row more for each point that goes on: its place and radius.
+        on = np.flatnonzero(more)
+        none, leaf = np.zeros(len(on)), key[0].as_py()
+        return pa.table(
+            {
+                "point_id": np.concatenate([q_id[row], q_id[on]]),
+                "neighbor_id": np.concatenate([other, q_id[on]]),
+                "d": np.concatenate([d, far[on]]),
+                "rank": np.concatenate([np.where(more[row], -1, rank), none]).astype(np.int32),
+                "leaf": np.full(len(row) + len(on), leaf, np.int32),
+                **{c: np.concatenate([np.zeros(len(row)), q[on, a]]) for a, c in enumerate(XYZ)},
+            }
+        )
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, leaf = tree.reach(_places(batch), np.asarray(batch.column("d")))
+            own = np.asarray(batch.column("leaf"))
+            rows, leaf = rows[leaf != own[rows]], leaf[leaf != own[rows]]
+            part = batch.take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([part.column(c) for c in ("point_id", *XYZ, "d")] + [pa.array(leaf.astype(np.int32))], ["point_id", *XYZ, "d", "leaf"])
+
+    def beyond(key: tuple, mine: pa.Table, there: pa.Table) -> pa.Table:
+        q_id = np.asarray(mine.column("point_id"))
+        row, other, d = block_knn(_places(mine), q_id, _places(there), np.asarray(there.column("point_id")), k, np.asarray(mine.column("d")))
+        return pa.table({"point_id": q_id[row], "neighbor_id": other, "d": d})
+
+    place = "point_id long, x double, y double, z double"
+    homes = staged(points.select("point_id", *XYZ).mapInArrow(deal, f"{place}, leaf int"), "homes")
+    askers = homes if asked is None else asked.select("point_id", *XYZ).mapInArrow(deal, f"{place}, leaf int")
+    first = staged(askers.groupBy("leaf").cogroup(homes.groupBy("leaf")).applyInArrow(within, "point_id long, neighbor_id long, d double, rank int, leaf int, x double, y double, z double"), "near")
+    settled = first.where("rank > 0").select("point_id", "neighbor_id", "d", "rank")
+    on = first.where("rank = 0").select("point_id", *XYZ, "d", "leaf").mapInArrow(spread, f"{place}, d double, leaf int")
+    more = on.groupBy("leaf").cogroup(homes.groupBy("leaf")).applyInArrow(beyond, "point_id long, neighbor_id long, d double")
+    open_ = first.where("rank < 0").select("point_id", "neighbor_id", "d").unionByName(more)
+    return settled.unionByName(_ranked(open_, k))
 
 
 def outlier_scores(cloud: DataFrame, k: int = 16) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalars import pack_node, unpack_node
-from ..tables import staged
+from ..tables import discard, staged
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -31,7 +31,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         # Small star.
         lowest = raised.groupBy("hi").agg(F.min("lo").alias("root"))
         moved = raised.join(lowest, "hi").where("lo > root").select(F.col("lo").alias("hi"), F.col("root").alias("lo"))
-        links = staged(moved.union(lowest.select("hi", F.col("root").alias("lo"))).distinct(), "links")
+        before, links = links, staged(moved.union(lowest.select("hi", F.col("root").alias("lo"))).distinct(), "links")
+        discard(before)
     return nodes.join(links, nodes["node"] == links["hi"], "left").select("node", F.coalesce("lo", "node").alias("component"))
 
 

@@ -6,14 +6,16 @@ Doubles are rounded to six places on both sides, as sums may be taken in another
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..config import PRESETS
 from ..functions import camera as C, scalars as S
 from ..functions.vectors import norm, rotate, vec
-from ..operators import cloud, matching, mesh, neighbors, scene, tracks
+from ..operators import cloud, geometry, matching, mesh, neighbors, scene, tracks
 from ..sources import detect, read_cloud
 from ..sources.writer import write_ply
 from ..streaming import progress
@@ -96,21 +98,33 @@ def robust_bounds(spark: SparkSession, sf: str) -> DataFrame:
     SELECT point_id, {XYZ6} FROM d WHERE d <= 0.7 * (SELECT quantile_cont(d, 0.99) FROM d)""",
 )
 def radius_clip(spark: SparkSession, sf: str) -> DataFrame:
-    points = V.cloud_numbered(spark, sf)
-    return cloud.radius_clip(points, cloud.sparse_bound(points, factor=0.7)).select("point_id", *xyz())
+    # The bound needs no numbers, and is one row that is worked out once.
+    bound = staged(cloud.sparse_bound(V.cloud_large(spark, sf), factor=0.7), "bound")
+    return cloud.radius_clip(V.cloud_numbered(spark, sf), bound).select("point_id", *xyz())
 
 
 @query("stride_sample", f"""WITH {V.NUMBERED} SELECT point_id, {XYZ6} FROM numbered WHERE point_id % 7 = 0""")
 def stride_sample(spark: SparkSession, sf: str) -> DataFrame:
-    return cloud.stride_sample(V.cloud_numbered(spark, sf), 7, ["point_id"]).select("point_id", *xyz())
+    return cloud.row_numbers(V.cloud_large(spark, sf, keyed=True), V.LINE_KEY, "point_id").where("point_id % 7 = 0").select("point_id", *xyz())
+
+
+DECIMATE_SQL = f"""WITH {V.NUMBERED}, n AS (SELECT count(*) AS n FROM numbered),
+base AS (SELECT numbered.* FROM numbered, n WHERE n <= 2000 OR point_id % CAST(ceil(n / 2000.0) AS BIGINT) = 0),
+span AS (SELECT greatest({", ".join(f"quantile_cont({c}, 0.99) - quantile_cont({c}, 0.01)" for c in "xyz")}) AS body, greatest({", ".join(f"max({c}) - min({c})" for c in "xyz")}) AS whole FROM base),
+size1 AS (SELECT CASE WHEN body > 0 THEN body WHEN whole > 0 THEN whole ELSE 1.0 END / sqrt(1000.0::DOUBLE) AS size FROM span),
+cells1 AS (SELECT count(*) AS m FROM (SELECT DISTINCT floor(x / size), floor(y / size), floor(z / size) FROM base, size1)),
+size2 AS (SELECT CASE WHEN m > 0 AND m < 750 THEN size * sqrt(m / 1000.0::DOUBLE) ELSE size END AS size FROM size1, cells1),
+voxel AS (SELECT avg(x) AS x, avg(y) AS y, avg(z) AS z, trunc(avg(r)) AS r, trunc(avg(g)) AS g, trunc(avg(b)) AS b FROM base, size2 GROUP BY floor(x / size), floor(y / size), floor(z / size)),
+ranked AS (SELECT *, row_number() OVER (ORDER BY x, y, z) - 1 AS k, count(*) OVER () AS m FROM voxel)
+SELECT {XYZ6}, CAST(r AS SMALLINT) AS r, CAST(g AS SMALLINT) AS g, CAST(b AS SMALLINT) AS b FROM ranked WHERE m <= 1000 OR k % CAST(ceil(m / 1000.0) AS BIGINT) = 0"""
 
 
-@query("decimate")
+@query("decimate", DECIMATE_SQL)
 def decimate(spark: SparkSession, sf: str) -> DataFrame:
     return cloud.decimate(V.cloud_large(spark, sf, keyed=True), 1000, V.LINE_KEY).select(*xyz(), "r", "g", "b")
 
 
-@query("shuffle_prefix")
+@query("shuffle_prefix", f"""WITH {V.NUMBERED} SELECT point_id, {XYZ6} FROM numbered ORDER BY md5('12345:' || point_id), point_id LIMIT 1000""")
 def shuffle_prefix(spark: SparkSession, sf: str) -> DataFrame:
     return cloud.shuffle_prefix(V.cloud_numbered(spark, sf), 1000).select("point_id", *xyz())
 
@@ -140,6 +154,37 @@ def sor_filter(spark: SparkSession, sf: str) -> DataFrame:
     return neighbors.remove_outliers(V.cloud_small(spark, sf), 16, 2.0).select("point_id", *xyz())
 
 
+SCAN = """scan AS (
+  SELECT p_partkey AS point_id, p_size + p_partkey % 97 / 97.0::DOUBLE AS x, p_retailprice / 50 AS y, CASE WHEN p_partkey % 500 = 0 THEN 1000.0::DOUBLE * (p_partkey % 7 + 1) ELSE p_partkey % 89 / 10.0::DOUBLE END AS z FROM part
+)"""
+
+
+def _scan(spark: SparkSession, sf: str) -> DataFrame:
+    """A cloud with a few points far away, as raw scans have."""
+    key = F.col("p_partkey")
+    z = F.when(key % 500 == 0, 1000.0 * (key % 7 + 1)).otherwise(key % 89 / 10.0)
+    return V.table(spark, sf, "part").select(key.alias("point_id"), (F.col("p_size") + key % 97 / 97.0).alias("x"), (F.col("p_retailprice") / 50).alias("y"), z.alias("z"))
+
+
+@query(
+    "sor_scan",
+    f"""WITH {SCAN}, pair AS (
+      SELECT a.point_id, b.point_id AS neighbor_id, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS d FROM scan a JOIN scan b ON a.point_id <> b.point_id
+    ), score AS (SELECT point_id, avg(d) AS mean_d FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY d, neighbor_id) AS rank FROM pair) WHERE rank <= 16 GROUP BY point_id)
+    SELECT point_id, {XYZ6} FROM scan JOIN score USING (point_id) WHERE mean_d <= (SELECT avg(mean_d) + 2.0 * stddev_pop(mean_d) FROM score)""",
+)
+def sor_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbors.remove_outliers(_scan(spark, sf), 16, 2.0).select("point_id", *xyz())
+
+
+@query("sor_cloud")
+def sor_cloud(spark: SparkSession, sf: str) -> DataFrame:
+    """The same over all of lineitem, with far points; too many pairs for SQL."""
+    points = V.cloud_numbered(spark, sf)
+    far = F.when(F.col("point_id") % 5000 == 0, 1000.0 + F.col("z")).otherwise(F.col("z"))
+    return neighbors.remove_outliers(points.withColumn("z", far), 16, 2.0).select("point_id", *xyz())
+
+
 def poly(terms: tuple[float, ...], t: str) -> str:
     out = repr(terms[-1]) + "::DOUBLE"
     for c in reversed(terms[:-1]):
@@ -684,11 +729,83 @@ def ply_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return read_cloud(spark, path).select(*[r6(F.col(c).cast("double"), c) for c in "xyz"], "r", "g", "b")
 
 
-@query("formats")
+FORMATS_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{g}', '{f}', '{e}', {str(detect.available(f)).lower()})" for g, fmts in detect.GROUPS.items() for f in fmts for e in detect.EXTENSIONS[f]) + ") AS t(label, format, ext, available)"
+
+
+@query("formats", FORMATS_SQL)
 def formats(spark: SparkSession, sf: str) -> DataFrame:
     return detect.formats(spark)
 
 
+# Solvers, on the synthetic scene of views.py: what they find beside what is true, within a tolerance
+
+
+@query(
+    "triangulation",
+    f"WITH {V.SCENE} SELECT pid, TRUE AS placed, TRUE AS angle FROM scene_points",
+)
+def triangulation(spark: SparkSession, sf: str) -> DataFrame:
+    """Each point from two of its exact images, and the angle at which it is seen."""
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = V.scene_poses()
+        for batch in batches:
+            x = np.stack([np.asarray(batch.column(c)) for c in "xyz"], axis=1)
+            a, b = V.project(*p[0], x), V.project(*p[5], x)
+            made = geometry.triangulate(geometry.projection(V.K, *p[0]), geometry.projection(V.K, *p[5]), a, b)
+            c = [-r.T @ t for r, t in (p[0], p[5])]
+            u, v = c[0] - x, c[1] - x
+            true = np.degrees(np.arccos(np.clip((u * v).sum(1) / np.linalg.norm(u, axis=1) / np.linalg.norm(v, axis=1), -1, 1)))
+            yield pa.RecordBatch.from_arrays([batch.column("pid"), pa.array(np.abs(made - x).max(axis=1) < 1e-6), pa.array(np.abs(geometry.angles(c[0], c[1], x) - true) < 1e-6)], ["pid", "placed", "angle"])
+
+    return V.scene_points(spark, sf).mapInArrow(solve, "pid long, placed boolean, angle boolean")
+
+
+@query("camera_solvers", f"WITH {V.SCENE} SELECT CAST(img AS INT) AS img, TRUE AS essential, TRUE AS inliers, TRUE AS pose FROM range(1, 8) AS t(img)")
+def camera_solvers(spark: SparkSession, sf: str) -> DataFrame:
+    """Each camera from matches with the first and from points, a fifth of which are wrong."""
+
+    def solve(key: tuple, table: pa.Table) -> pa.Table:
+        img, p = key[0].as_py(), V.scene_poses()
+        table = table.sort_by("pid")
+        x = np.stack([np.asarray(table.column(c)) for c in "xyz"], axis=1)
+        first, uv = V.project(*p[0], x), V.project(*p[img], x)
+        bad = np.arange(len(x)) % 5 == 0
+        uv[bad] = np.random.default_rng(img).uniform(0, 640, (bad.sum(), 2))
+        r, t, mask = geometry.relative_pose(V.K, V.K, first, uv, 2.0)
+        want_r = p[img][0] @ p[0][0].T
+        want_t = p[img][1] - want_r @ p[0][1]
+        turn = np.degrees(np.arccos(np.clip((np.trace(r @ want_r.T) - 1) / 2, -1, 1)))
+        way = (t.ravel() / np.linalg.norm(t)) @ (want_t / np.linalg.norm(want_t))
+        own_r, own_t, _ = geometry.absolute_pose(V.K, x, uv, 4.0)
+        pose = np.abs(own_r - p[img][0]).max() < 1e-3 and np.abs(own_t.ravel() - p[img][1]).max() < 1e-2
+        return pa.table({"img": pa.array([img], pa.int32()), "essential": [bool(turn < 0.5 and way > 0.999)], "inliers": [bool(mask[~bad].mean() > 0.95 and mask[bad].mean() < 0.2)], "pose": [bool(pose)]})
+
+    cameras = spark.createDataFrame([(k,) for k in range(1, 8)], "img int")
+    seen = V.scene_points(spark, sf).crossJoin(F.broadcast(cameras))  # seven cameras
+    return seen.groupBy("img").applyInArrow(solve, "img int, essential boolean, inliers boolean, pose boolean")
+
+
+@query("bundle_adjustment", "SELECT CAST(scene AS INT) AS scene, TRUE AS error, TRUE AS focal, TRUE AS fixed FROM range(3) AS t(scene)")
+def bundle_adjustment(spark: SparkSession, sf: str) -> DataFrame:
+    """All points in three scenes with disturbed cameras, places and focal lengths: the error after it, the focal factor, the camera that stays."""
+
+    def solve(key: tuple, table: pa.Table) -> pa.Table:
+        number, p = key[0].as_py(), V.scene_poses()
+        table = table.sort_by("pid")
+        x = np.stack([np.asarray(table.column(c)) for c in "xyz"], axis=1)
+        rng = np.random.default_rng(number)
+        start = {k: (geometry.rotation(rng.normal(0, 0.005, 3)) @ r, t + rng.normal(0, 0.02, 3)) for k, (r, t) in enumerate(p)}
+        start[0] = p[0]
+        uv = np.concatenate([V.project(r, t, x) + rng.normal(0, 0.05, (len(x), 2)) for r, t in p])
+        wrong = {k: V.K * [[1.03, 1, 1], [1, 1.03, 1], [1, 1, 1]] for k in range(len(p))}
+        out = geometry.bundle_adjust(wrong, start, x + rng.normal(0, 0.02, x.shape), np.repeat(np.arange(len(p)), len(x)), np.tile(np.arange(len(x)), len(p)), uv, iterations=40, ftol=1e-9, fixed=0)
+        return pa.table({"scene": pa.array([number], pa.int32()), "error": [bool(out.rms[0] > 2 and out.rms[1] < 0.1)], "focal": [bool(abs(out.focal_scale * 1.03 - 1) < 0.02)], "fixed": [bool(np.array_equal(out.poses[0][0], p[0][0]))]})
+
+    scenes = V.scene_points(spark, sf).withColumn("scene", F.explode(F.array(*[F.lit(k) for k in range(3)])))
+    return scenes.groupBy("scene").applyInArrow(solve, "scene int, error boolean, focal boolean, fixed boolean")
+
+
 # Logs
 
 LOG_SQL = """line AS (

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import matching, tracks
 from ..operators.cloud import row_numbers
+from ..operators.geometry import rotation
 from ..tables import staged
 
 #: Columns that identify a row of lineitem.
@@ -79,6 +81,28 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select("track_id", "img", F.col("track_id").alias("feat"), (F.lit(800.0) * cx / safe + 320.0 + off).alias("u"), (F.lit(800.0) * F.col("y") / safe + 240.0).alias("v"))
 
 
+#: The synthetic scene: a camera matrix, eight cameras on an arc, and a point for each customer in a cube before them.
+K = np.array([[800.0, 0.0, 320.0], [0.0, 800.0, 240.0], [0.0, 0.0, 1.0]])
+
+
+def scene_poses() -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(rotation(np.array([0.02 * k, 0.12 * k, 0.01 * k])), np.array([0.1 * k, 0.0, 6.0])) for k in range(8)]
+
+
+def project(r: np.ndarray, t: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Exact images of places."""
+    c = x @ r.T + t
+    return c[:, :2] / c[:, 2:] * 800 + [320, 240]
+
+
+def scene_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    axes = [((key * step) % 2003 / 1001.5 - 1).alias(c) for c, step in zip("xyz", (1, 733, 1291), strict=True)]
+    return table(spark, sf_dir, "customer").select(key.alias("pid"), *axes)
+
+
+SCENE = """
+scene_points AS (SELECT c_custkey AS pid FROM customer)"""
 CLOUD = """
 cloud AS (
   SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_quantity AS x, l_extendedprice / 1000 AS y, l_discount * 100 AS z,

@@ -111,6 +111,50 @@ def test_knn_is_exact(spark, kind):
         assert [n for _, n, _ in sorted(got[i])] == [j for _, j in near] and np.allclose([x for _, _, x in sorted(got[i])], [a for a, _ in near])
 
 
+def brute_nearest(ids, xyz, k):
+    out = set()
+    for i in range(len(xyz)):
+        dx, dy, dz = (xyz[i] - xyz).T
+        d = np.sqrt(dx * dx + dy * dy + dz * dz)
+        d[i] = np.inf
+        near = np.lexsort((ids, d))[: min(k, len(xyz) - 1)]
+        out |= {(int(ids[i]), int(ids[j]), round(float(d[j]), 9), r + 1) for r, j in enumerate(near)}
+    return out
+
+
+@pytest.mark.parametrize("kind", ["far", "ties", "crowd", "flat"])
+def test_knn_over_many_leaves(spark, kind, monkeypatch):
+    """Far points, grids full of ties, many points at one place, and a plane, with leaves of few points and blocks of few distances."""
+    monkeypatch.setattr(neighbors, "LEAF", 24)
+    monkeypatch.setattr(neighbors, "BLOCK", 500)
+    rng = np.random.default_rng(8)
+    xyz = {
+        "far": np.vstack([rng.random((600, 3)), rng.random((4, 3)) * 1000 + 1000]),
+        "ties": rng.integers(0, 5, (500, 3)).astype(float),
+        "crowd": np.vstack([np.zeros((150, 3)), rng.integers(0, 4, (300, 3))]).astype(float),
+        "flat": np.c_[rng.random((500, 2)), np.zeros(500)],
+    }[kind]
+    ids = rng.permutation(3 * len(xyz))[: len(xyz)]
+    df = spark.createDataFrame([(int(i), *map(float, p)) for i, p in zip(ids, xyz)] + [(9999, float("nan"), 0.0, 0.0), (9998, None, 0.0, 0.0), (9997, float("inf"), 0.0, 0.0)], "point_id long, x double, y double, z double")
+    assert {(r.point_id, r.neighbor_id, round(r.d, 9), r["rank"]) for r in neighbors.knn(df, 6).collect()} == brute_nearest(ids, xyz, 6)
+
+
+def test_a_large_leaf_has_a_tree_of_its_own(monkeypatch):
+    monkeypatch.setattr(neighbors, "LEAF", 16)
+    rng = np.random.default_rng(9)
+    p = np.vstack([rng.random((500, 3)), rng.random((5, 3)) * 90])
+    ids = rng.permutation(len(p))
+    row, other, d = neighbors.block_knn(p, ids, p, ids, 5)
+    made = {(int(ids[r]), int(o), round(float(x), 9)) for r, o, x in zip(row, other, d)}
+    assert made == {t[:3] for t in brute_nearest(ids, p, 5)}
+
+
+def test_a_feature_beyond_its_bits_is_refused(spark):
+    bad = spark.createDataFrame([(1, (1 << 24) + 5)], "img int, feat long")
+    with pytest.raises(Exception, match="out of range"):
+        bad.select(scalars.pack_node(F.col("img"), F.col("feat"))).collect()
+
+
 def test_outliers(spark):
     rng = np.random.default_rng(4)
     xyz = np.vstack([rng.random((200, 3)), [[9, 9, 9]]])

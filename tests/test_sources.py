@@ -214,6 +214,29 @@ def test_arrays(tmp_path):
     assert made["z"].tolist() == [2, 5, -8]
 
 
+def test_bags_by_role():
+    """Names by their words, shapes by role, as many rows as places; what fits nothing is left alone."""
+    other = np.arange(30.0).reshape(10, 3)
+    made = whole.from_bag({"scene": {"points": XYZ, "colors": RGB / 256.0, "normals": XYZ}, "error": other})
+    assert made["z"].tolist() == [2, 5, -8] and made["g"].tolist()[1] == int(RGB[1, 1] / 256.0 * 255) and made["nx"].tolist() == XYZ[:, 0].tolist()
+    assert len(whole.from_bag({"a": XYZ, "b": other})["x"]) == 10
+    assert "scale" not in whole.from_bag({"xyz": XYZ, "scales": np.ones(7)})
+    made = whole.from_bag({"_xyz": XYZ, "_opacity": np.zeros((3, 1)), "_scaling": np.zeros((3, 3)), "_features_dc": np.zeros((3, 3, 1)), "_rotation": np.zeros((3, 4))})
+    assert made["opacity"].tolist() == [0, 0, 0] and made["scale"].tolist() == [1, 1, 1]
+    assert whole.from_bag({"points": XYZ, "radii": np.full(3, 0.5)})["scale"].tolist() == [0.5] * 3
+    for bag in ({}, {"x": np.ones(3), "y": np.ones(3)}, {"names": np.array(["a"])}):
+        with pytest.raises(FormatError):
+            whole.from_bag(bag)
+
+
+@pytest.mark.parametrize(
+    ("name", "body", "want"),
+    [("a.stl", b"solid x".ljust(80) + (1).to_bytes(4, "little") + b"\0" * 50, "stl"), ("a.stl", "solid x\nfacet normal 0 0 1\n", "stl_ascii"), ("a.stl", b"\0" * 90, "stl"), ("a.bin", "solid x\nfacet\n", "stl_ascii"), ("a.dat", "# c\nVERSION 0.7\nFIELDS x y z\n", "pcd"), ("a.txt", "# c\n1 2 3\n", "text"), ("a.ply", "no magic", "ply"), ("a.pt", b"PK\x03\x04junk", "torch"), ("a.zip", b"PK\x03\x04junk", "npz"), ("a.x", "", "text"), ("a.bin", b"\x01\0\0\0", "colmap"), ("a.json", ' {"asset": {}}', "gltf")],
+)
+def test_detection_by_evidence(tmp_path, name, body, want):
+    assert detect.detect(put(tmp_path, name, body)) == want
+
+
 def test_detection_and_formats(spark, tmp_path):
     assert detect.detect(put(tmp_path, "a.bin", "OFF\n1 0 0\n0 0 0\n")) == "off"
     assert detect.detect(put(tmp_path, "b.dat", "v 0 0 0\n")) == "obj"
