@@ -8,21 +8,21 @@ from ..functions.scalars import pack_node, unpack_node
 from ..tables import discard, staged
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): the least node reachable, for every node of `edges`.
+def roots(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, root) for every node with an edge to another but the least of its component, which is the root.
 
     Alternating star steps: neighbours above a node are tied to its least neighbour, then each node and its
     lower neighbours to the least of them. The number of steps is logarithmic in the longest path; each
-    writes its edges to the shared folder, so lineage stays short and a lost executor repeats one step.
+    writes its edges to the shared folder, so lineage stays short and a lost executor repeats one step. A node with many
+    edges is only a skewed join, which AQE splits. Null ends and loops are dropped. Ends may be of any type with an order.
     """
-    nodes = edges.select(F.col(a).alias("node")).union(edges.select(F.col(b).alias("node"))).where("node IS NOT NULL").distinct()
     links = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"))
     links = staged(links.distinct(), "links")
     seen = None
     while True:
         state = links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("hi", "lo")), F.sum(F.xxhash64("lo", "hi").bitwiseAND(F.lit(0x7FFFFFFF)))).first()
         if state == seen:
-            break
+            return links.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
         seen = state
         # Large star.
         both = links.select(F.col("hi").alias("at"), F.col("lo").alias("to")).union(links.select(F.col("lo").alias("at"), F.col("hi").alias("to")))
@@ -33,7 +33,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         moved = raised.join(lowest, "hi").where("lo > root").select(F.col("lo").alias("hi"), F.col("root").alias("lo"))
         before, links = links, staged(moved.union(lowest.select("hi", F.col("root").alias("lo"))).distinct(), "links")
         discard(before)
-    return nodes.join(links, nodes["node"] == links["hi"], "left").select("node", F.coalesce("lo", "node").alias("component"))
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component): the least node reachable, for every node of `edges`."""
+    nodes = edges.select(F.col(a).alias("node")).union(edges.select(F.col(b).alias("node"))).where("node IS NOT NULL").distinct()
+    return nodes.join(roots(edges, a, b), "node", "left").select("node", F.coalesce("root", "node").alias("component"))
 
 
 def match_components(matches: DataFrame) -> DataFrame:

@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where it is unset one of our own is set in local mode, and a cluster is refused."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not known.isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="cairn-"))
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cairn-"))
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
     return known.get()
 
