@@ -1,48 +1,20 @@
-"""Shared helpers: staged tables in the cluster's shared folder and size-checked joins."""
+"""Shared helpers: size-checked joins and batches of a bounded size."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from ..tables import staged
 
 #: Rows a table may have to be broadcast; counted from the staged table, never assumed.
 BROADCAST_ROWS = 50_000
 #: Bytes of its files, which are compressed.
 BROADCAST_BYTES = 4 << 20
 
-#: Unicode White_Space, fixed values; Python's own \s also takes U+001C to U+001F, which the tokenizers do not.
-WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests), one of our own is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if known.isDefined():
-            return known.get()
-        folder = tempfile.mkdtemp(prefix="cairn-")
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return folder
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` once as Parquet in the shared folder and read it back.
-
-    Cuts the lineage in a way that outlives lost executors, so that a result used by several
-    later steps is computed once.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def sized(df: DataFrame, name: str, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
     """Stage `df` and mark it for broadcast only if its counted rows and stored bytes are few.

@@ -30,7 +30,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import balanced, sized, staged
+from ..tables import staged
+from .common import balanced, sized
 from .line_dedup import host_of
 
 #: Runs: (words at least, share of the host's different pages at least); whole blocks of at least BLOCK words take the first share.

@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import balanced, sized, staged
-from .graph import components
+from ..operators.tracks import roots
+from ..tables import staged
+from .common import balanced, sized
 from .simhash import bits_set, majority, near_classes as near_prints
 
 #: Words of a shingle, and least Jaccard similarity of near-duplicates.
@@ -142,13 +143,13 @@ def near_classes(rows: DataFrame, df: DataFrame, words: int = WORDS, least: floa
     members = blocks.select(F.xxhash64("members").alias("block"), F.explode("members").alias("same")).join(classes.select("same", "sig"), "same")
     close = near_prints(classes.select(F.col("same").alias("id"), "fp"), RADIUS)
     close = classes.select("same", "fp").join(close, "fp").select(F.col("same").alias("a"), F.col("component").alias("b")).where("a <> b")
-    maybes = components(members.groupBy("block").applyInArrow(maybe, "a binary, b binary").unionByName(close))
+    maybes = roots(members.groupBy("block").applyInArrow(maybe, "a binary, b binary").unionByName(close))
     groups = maybes.union(maybes.select("root", "root").distinct())
     # One text of each class of a candidate group is read again.
     chosen = sized(groups.join(classes.select("same", "id", "print"), groups["node"] == classes["same"]).select("root", "same", F.col("id").alias("__id"), F.col("print").alias("__print")), "chosen")
     texts = df.select(df[id_col].alias("id"), df[text_col].alias("text"), F.xxhash64(df[text_col]).alias("print"))
     texts = texts.join(chosen, (texts["id"] == chosen["__id"]) & (texts["print"] == chosen["__print"])).select("root", "same", "text")
-    return components(texts.groupBy("root").applyInArrow(confirm, "a binary, b binary"))
+    return roots(texts.groupBy("root").applyInArrow(confirm, "a binary, b binary"))
 
 
 def keep_one(df: DataFrame, words: int = WORDS, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

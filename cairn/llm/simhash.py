@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import balanced, staged
-from .graph import components
+from ..operators.tracks import roots
+from ..tables import staged
+from .common import balanced
 
 #: Fingerprints of a sample that balances a tree, of a shard, about, and of those compared all with all.
 SAMPLE, SHARD, LEAF = 20_000, 8_192, 384
@@ -223,8 +224,8 @@ def near_classes(prints: DataFrame, radius: int = 2) -> DataFrame:
 
     kind = nodes.select("rep").dtypes[0][1]
     edges = dealt(nodes, nodes.count(), radius).groupBy("shard").applyInArrow(links, f"a {kind}, b {kind}")
-    roots = components(edges).withColumnRenamed("node", "rep")
-    return classes.join(roots, "rep", "left").select("fp", F.coalesce("root", "rep").alias("component"))
+    found = roots(edges).withColumnRenamed("node", "rep")
+    return classes.join(found, "rep", "left").select("fp", F.coalesce("root", "rep").alias("component"))
 
 
 def near_duplicates(df: DataFrame, words: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

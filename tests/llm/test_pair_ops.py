@@ -11,7 +11,8 @@ import pytest
 from corpus import DOC, prose
 from pyspark.sql import functions as F
 
-from cairn.llm import audio_features, cws, graph, html_extract, license_scan, simhash
+from cairn.operators.tracks import roots
+from cairn.llm import audio_features, cws, html_extract, license_scan, simhash
 
 
 # SimHash
@@ -125,7 +126,7 @@ def test_near_duplicates_odd(spark, odd):
 
 def test_components(spark, rng):
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(k, k + 1) for k in range(1000, 1100)] + [(2000, k) for k in range(2001, 2200)] + [(5, 5)]
-    made = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    made = {r.node: r.root for r in roots(spark.createDataFrame(edges, "a long, b long")).collect()}
     root = {}
     for a, b in edges:
         root.setdefault(a, a), root.setdefault(b, b)
