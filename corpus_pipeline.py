@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cairn.llm import lang_id, line_dedup, packing, shingle_dedup
-from cairn.llm.common import staged
+from cairn.tables import staged
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language can be told: a text without a letter is rejected. A null `lang` takes the prediction; a given one stays.
