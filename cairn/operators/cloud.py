@@ -1,7 +1,8 @@
 """Point clouds: point_id bigint, x, y, z, and optionally r, g, b, nx, ny, nz, opacity, scale.
 
-Cloud-wide figures (bounds, medians, ranges) are one-row tables that are cross-joined, so a plan is built
-without running anything, and Spark broadcasts the single row.
+Cloud-wide figures (bounds, ranges, counts) are one-row tables that are cross-joined, so a plan is built
+without running anything, and Spark broadcasts the single row. Percentiles are worked out when they are asked
+for, see percentiles().
 """
 
 from __future__ import annotations
@@ -33,6 +34,10 @@ SYNONYMS = {
 }
 
 
+#: Accuracy of the sketches that bracket a percentile; rows up to which the bracket is all of them.
+SKETCH, FEW = 10_000, 100_000
+
+
 def resolve_columns(df: DataFrame) -> DataFrame:
     """Rename columns to this module's names by their synonyms, case ignored; a colour or normal is all three or none."""
     lower = {c.lower(): c for c in reversed(df.columns)}
@@ -140,6 +145,29 @@ def voxel_group_ids(df: DataFrame, size: float) -> DataFrame:
 # Bounds and statistics
 
 
+def percentiles(df: DataFrame, wanted: dict[str, tuple[Column, float]]) -> dict[str, float | None]:
+    """Exact percentiles (interpolated) of doubles: name -> (column, fraction of 0..1). Nulls do not count; None if there is no value.
+
+    Runs three aggregates: sketches that merge bracket each percentile, rows below the bracket are counted, and only
+    values inside it, 4 / SKETCH of the rows, are held exactly. Of a table of FEW rows or less the bracket is everything.
+    """
+    near = lambda q: F.array(F.lit(max(0.0, q - 2 / SKETCH)), F.lit(min(1.0, q + 2 / SKETCH)))
+    cols = {name: c.cast("double") for name, (c, _) in wanted.items()}
+    first = df.agg(*[f.alias(f"{k}{i}") for i, (name, (_, q)) in enumerate(wanted.items()) for k, f in (("n", F.count(cols[name])), ("cut", F.percentile_approx(cols[name], near(q), SKETCH)))]).first()
+    inside = {name: cols[name].isNotNull() if first[f"n{i}"] <= FEW else cols[name].between(*first[f"cut{i}"]) for i, name in enumerate(wanted)}
+    below = {name: F.lit(False) if first[f"n{i}"] <= FEW else cols[name] < first[f"cut{i}"][0] for i, name in enumerate(wanted)}
+    counts = df.agg(*[F.count_if(c).alias(f"{k}{i}") for k, side in (("below", below), ("in", inside)) for i, c in enumerate(side.values())]).first()
+    # Where the percentile stands among the values inside.
+    at = {}
+    for i, (name, (_, q)) in enumerate(wanted.items()):
+        place, held = q * (first[f"n{i}"] - 1) - counts[f"below{i}"], counts[f"in{i}"]
+        if held and not 0 <= place <= held - 1:
+            raise ArithmeticError(f"the sketch of {name} does not hold its percentile")
+        at[name] = place / (held - 1) if held > 1 else 0.0
+    made = df.agg(*[F.percentile(F.when(inside[name], cols[name]), at[name]).alias(f"p{i}") for i, name in enumerate(wanted)]).first()
+    return {name: made[f"p{i}"] for i, name in enumerate(wanted)}
+
+
 def bounds(df: DataFrame) -> DataFrame:
     """One row: min, max of each axis, the number of points, centre, radius (half the diagonal)."""
     out = df.agg(F.count(F.lit(1)).alias("n"), *[f(F.col(c).cast("double")).alias(f"{f.__name__}_{c}") for c in XYZ for f in (F.min, F.max)])
@@ -148,18 +176,21 @@ def bounds(df: DataFrame) -> DataFrame:
 
 
 def robust_bounds(df: DataFrame, low: float = 0.005, high: float = 0.995, exact: bool = True, accuracy: int = 100_000) -> DataFrame:
-    """One row: the `low` and `high` percentiles of each axis. Not `exact`: by mergeable sketches, for large clouds."""
-    pick = (lambda c, q: F.percentile(c, q)) if exact else (lambda c, q: F.percentile_approx(c, q, accuracy))
-    return df.agg(*[pick(F.col(c).cast("double"), q).alias(f"{name}_{c}") for c in XYZ for name, q in (("lo", low), ("hi", high))])
+    """One row: the `low` and `high` percentiles of each axis. Not `exact`: by mergeable sketches alone, in one pass and lazily."""
+    wanted = {f"{name}_{c}": (F.col(c), q) for c in XYZ for name, q in (("lo", low), ("hi", high))}
+    if not exact:
+        return df.agg(*[F.percentile_approx(c.cast("double"), q, accuracy).alias(name) for name, (c, q) in wanted.items()])
+    return df.sparkSession.range(1).select(*[F.lit(v).cast("double").alias(name) for name, v in percentiles(df, wanted).items()])
 
 
 def sparse_bound(points: DataFrame, percentile: float = 0.99, factor: float = 4.0, least: int = 8) -> DataFrame:
     """One row: the median centre and `factor` times a high percentile of the distance from it; NULL if too few points."""
-    center = points.agg(F.count(F.lit(1)).alias("n"), *[F.median(F.col(c).cast("double")).alias(f"c{c}") for c in XYZ])
-    far = points.crossJoin(F.broadcast(center)).withColumn("d", norm(sub(vec(*XYZ), vec("cx", "cy", "cz"))))
-    reach = far.agg(F.percentile("d", percentile).alias("p"))
-    radius = F.when((F.col("n") >= least) & (F.col("p") > 0), F.col("p") * factor)
-    return center.crossJoin(reach).select("cx", "cy", "cz", radius.alias("radius"))
+    center = percentiles(points, {f"c{c}": (F.col(c), 0.5) for c in XYZ})
+    lits = {name: F.lit(v).cast("double") for name, v in center.items()}
+    far = points.withColumns({f"__{name}": v for name, v in lits.items()})
+    reach = percentiles(far, {"p": (norm(sub(vec(*XYZ), vec("__cx", "__cy", "__cz"))), percentile)})["p"]
+    known = points.count() >= least and reach is not None and reach > 0
+    return points.sparkSession.range(1).select(*[v.alias(name) for name, v in lits.items()], F.lit(reach * factor if known else None).cast("double").alias("radius"))
 
 
 def radius_clip(df: DataFrame, bound: DataFrame) -> DataFrame:
@@ -214,9 +245,11 @@ def decimate(df: DataFrame, most: int, order: list[str]) -> DataFrame:
     if n <= most:
         return df
     base = staged(stride_sample(df, math.ceil(n / (2 * most)), order), "base") if n > 2 * most else df
-    low_high = base.agg(*[F.percentile(F.col(c).cast("double"), q) for c in XYZ for q in (0.01, 0.99)], *[f(F.col(c).cast("double")) for c in XYZ for f in (F.min, F.max)]).first()
-    spans = lambda k: max(low_high[k + 2 * a + 1] - low_high[k + 2 * a] for a in range(3))
-    extent = spans(0) if spans(0) > 0 else spans(6) or 1.0
+    inner = list(percentiles(base, {f"{c}{q}": (F.col(c), q) for c in XYZ for q in (0.01, 0.99)}).values())
+    span = max(b - a for a, b in zip(inner[::2], inner[1::2], strict=True))
+    if span <= 0:
+        span = base.agg(F.greatest(*[F.max(F.col(c).cast("double")) - F.min(F.col(c).cast("double")) for c in XYZ])).first()[0]
+    extent = span or 1.0
     size = extent / math.sqrt(most)
     out = staged(voxel_downsample(base, size), "voxels")
     m = out.count()
@@ -239,8 +272,8 @@ def height_colors(df: DataFrame, axis: str = "z") -> DataFrame:
 
 def relative_scale(df: DataFrame, col: str = "scale", low: float = 0.1, high: float = 5.0) -> DataFrame:
     """rel_scale: the scale over its median, clipped."""
-    ranged = with_stats(df, F.median(F.col(col).cast("double")).alias("__median"))
-    return ranged.withColumn("rel_scale", clip(F.col(col) / F.greatest(F.col("__median"), F.lit(1e-12)), low, high)).drop("__median")
+    median = percentiles(df, {"median": (F.col(col), 0.5)})["median"]
+    return df.withColumn("rel_scale", clip(F.col(col) / F.lit(max(median or 0.0, 1e-12)), low, high))
 
 
 def viewer_projection(df: DataFrame) -> DataFrame:
@@ -254,8 +287,9 @@ def viewer_projection(df: DataFrame) -> DataFrame:
 
 def voxel_grid_points(grid: DataFrame) -> DataFrame:
     """Cells (z, y, x, value) above max(median + std/2, 1e-9) as points."""
-    ranged = with_stats(grid, F.median("value").alias("__m"), F.stddev_pop("value").alias("__s"))
-    return ranged.where(F.col("value") > F.greatest(F.col("__m") + 0.5 * F.col("__s"), F.lit(1e-9))).select(*[F.col(c).cast("float").alias(c) for c in XYZ])
+    median = percentiles(grid, {"median": (F.col("value"), 0.5)})["median"]
+    ranged = with_stats(grid, F.stddev_pop("value").alias("__s"))
+    return ranged.where(F.col("value") > F.greatest(F.lit(median or 0.0) + 0.5 * F.col("__s"), F.lit(1e-9))).select(*[F.col(c).cast("float").alias(c) for c in XYZ])
 
 
 def union_clouds(*clouds: DataFrame) -> DataFrame:

@@ -98,8 +98,8 @@ def robust_bounds(spark: SparkSession, sf: str) -> DataFrame:
     SELECT point_id, {XYZ6} FROM d WHERE d <= 0.7 * (SELECT quantile_cont(d, 0.99) FROM d)""",
 )
 def radius_clip(spark: SparkSession, sf: str) -> DataFrame:
-    # The bound needs no numbers, and is one row that is worked out once.
-    bound = staged(cloud.sparse_bound(V.cloud_large(spark, sf), factor=0.7), "bound")
+    # The bound needs no numbers.
+    bound = cloud.sparse_bound(V.cloud_large(spark, sf), factor=0.7)
     return cloud.radius_clip(V.cloud_numbered(spark, sf), bound).select("point_id", *xyz())
 
 

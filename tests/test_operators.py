@@ -293,3 +293,20 @@ def test_ema(spark):
         for v in mine[1:]:
             want = 0.7 * want + 0.3 * v
         assert abs(r.ema - want) < 1e-12 and r.n == 25
+
+
+def test_percentiles_are_exact(spark, monkeypatch):
+    """Brackets hold the percentile whatever repeats; nulls do not count; interpolation as usual."""
+    rng = np.random.default_rng(3)
+    values = np.concatenate([rng.normal(size=3000), np.full(2000, 0.25), rng.integers(0, 5, 1001)])
+    df = spark.createDataFrame([(float(v), None if k % 3 else float(k), None) for k, v in enumerate(values)], "a double, b double, c double").repartition(5)
+    wanted = {f"{c}{q}": (F.col(c), q) for c in "ab" for q in (0.0, 0.005, 0.37, 0.5, 0.995, 1.0)} | {"none": (F.col("c"), 0.5)}
+    for sketch, few in ((cloud.SKETCH, cloud.FEW), (100, 50)):
+        monkeypatch.setattr(cloud, "SKETCH", sketch)
+        monkeypatch.setattr(cloud, "FEW", few)
+        got = cloud.percentiles(df, wanted)
+        assert got.pop("none") is None
+        for name, v in got.items():
+            assert v == pytest.approx(np.quantile(values if name[0] == "a" else np.arange(0, len(values), 3), float(name[1:])), abs=1e-9)
+    assert cloud.percentiles(df.limit(0), {"x": (F.col("a"), 0.5)}) == {"x": None}
+    assert cloud.sparse_bound(df.limit(0).selectExpr("a AS x", "a AS y", "a AS z")).first()["radius"] is None
