@@ -8,6 +8,7 @@ the scene's observations, as the images of one scene are thousands at most. Scen
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -186,21 +187,26 @@ def cleanup(df: DataFrame, cfg: Config, order: list[str]) -> DataFrame:
     return cloud.voxel_downsample(out, cfg.voxel_size)
 
 
-def reconstruct(spark: SparkSession, features: DataFrame, intrinsics: DataFrame, cfg: Config, out: str | None = None, images: DataFrame | None = None) -> dict:
+def reconstruct(spark: SparkSession, features: DataFrame, intrinsics: DataFrame, cfg: Config, out: str | None = None, images: DataFrame | None = None, log: Callable[[str], None] | None = None) -> dict:
     """From features (img, feat, u, v, desc) and intrinsics (img, fx, fy, cx, cy) to cameras, points and a clean cloud.
 
     With `images` (see operators.stereo) the cloud is a dense one from pairs of near views; without, or where no
-    pair matches, it is made of the sparse points. With `out`, clouds and scene.json are written there.
+    pair matches, it is made of the sparse points. With `out`, clouds and scene.json are written there. `log` is told of
+    each step when it is done; none is needed.
     """
     from ..sources.writer import write_scene
 
     began = time.time()
+    say = log or (lambda line: None)
     if features.select("img").distinct().count() < 2:
         raise ValueError("two images at least are needed")
     found = staged(matching.match_all(features, ratio_threshold(cfg.ratio_test)), "matches")
     good = staged(G.verify_pairs(matching.enough_matches(found, cfg.min_matches), features, cfg.max_reproj_px, cfg.min_matches, cfg.seed), "verified")
+    say("matches are verified")
     track_table = staged(tracks.build_tracks(good, cfg.min_track_length), "tracks")
+    say("tracks are built")
     s = grow(scene_of(features, good, track_table, intrinsics), cfg)
+    say(f"scene: {len(s.poses)} of {len(s.intrinsics)} images, {len(s.points)} points")
     cameras, points = scene_tables(spark, s)
     raw = None
     bound = cloud.sparse_bound(points)
@@ -209,9 +215,11 @@ def reconstruct(spark: SparkSession, features: DataFrame, intrinsics: DataFrame,
         made = stereo.dense_cloud(images, cameras, pairs, points, bound, cfg.block_size, cfg.uniqueness)
         # Staged first: ids must not change when a lost task is run again.
         raw = staged(staged(made, "dense").select(F.monotonically_increasing_id().alias("point_id"), "x", "y", "z", "r", "g", "b"), "numbered")
+        say("dense cloud is made")
     if raw is None or raw.isEmpty():
         raw = cloud.radius_clip(points.selectExpr("pid AS point_id", "x", "y", "z"), bound)
     clean = cleanup(raw, cfg, ["point_id"])
+    say("cloud is capped, the rest of the cleanup is planned")
     made = {"cameras": cameras, "points": points, "tracks": track_table, "matches": good, "cloud": clean, "summary": scene.scene_summary(cameras, points)}
     if out:
         made["scene"] = write_scene(cameras, points, out, time.time() - began, clean)

@@ -68,8 +68,9 @@ def tables(spark, n_cam=6, n=300):
 
 def test_reconstruction_up_to_similarity(spark, tmp_path):
     x, p, features, intrinsics = tables(spark)
-    made = R.reconstruct(spark, features, intrinsics, Config(init_min_inliers=50, refine_intrinsics=False), str(tmp_path / "out"))
-    assert made["cameras"].count() == 6
+    told = []
+    made = R.reconstruct(spark, features, intrinsics, Config(init_min_inliers=50, refine_intrinsics=False), str(tmp_path / "out"), log=told.append)
+    assert made["cameras"].count() == 6 and len(told) == 4 and told[2].startswith("scene: 6 of 6 images")
     pts = made["points"].toPandas()
     assert len(pts) > 250 and pts["error"].mean() < 1.0
     true = x[(pts["track_id"].to_numpy() & 0xFFFFFF)]
