@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio_features, bpe, cws, html_extract, lang_id, license_scan, line_dedup, packing, simhash, token_counts
+from . import audio_features, bpe, co_bucket, cws, html_extract, lang_id, license_scan, line_dedup, lm_scoring, packing, simhash, token_counts, whitening
 
 
 def _vocabulary(name: str) -> str:
@@ -60,6 +60,18 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_co_bucketed_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return co_bucket.shop_pair(spark.read.parquet(f"{sf_dir}/sales.parquet"), spark.read.parquet(f"{sf_dir}/sale_lines.parquet"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_read(spark, sf_dir, "embeddings", "vec_id", "embedding"), k=16)
+
+
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_corpus(_read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
@@ -71,6 +83,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_audio_features": op9_audio_features,
     "op10_license_scans": op10_license_scans,
+    "op11_co_bucketed_pair": op11_co_bucketed_pair,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_lm_scoring": op13_lm_scoring,
 }
 
 
