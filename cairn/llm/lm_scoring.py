@@ -185,7 +185,7 @@ def automaton(bundle: Bundle, totals: list[np.ndarray], n: int, v: int, strength
     """The part of the model that the bundle's texts can reach, and log10 of the base probability of each of its tokens."""
     base = (totals[0] + 0.5) / (n + 0.5 * (v + 1))
     auto = Automaton(len(base), math.log10(0.5 / (n + 0.5 * (v + 1))))
-    word, begin, end = bundle.gram[0], bundle.keys[0] == np.uint64(bundle.begin), np.searchsorted(bundle.keys[0], np.uint64(bundle.end))
+    word, begin, end = bundle.gram[0], bundle.keys[0] == np.uint64(bundle.begin), bundle.keys[0] == np.uint64(bundle.end)
     for k, total in enumerate(totals, 1):
         # A position that shows each k-gram.
         place = bundle.gram[k - 1]
@@ -202,7 +202,7 @@ def automaton(bundle: Bundle, totals: list[np.ndarray], n: int, v: int, strength
         known = np.flatnonzero(total > 0)
         reached = fails.copy()
         if k < len(totals):
-            states = known[word[at[known]] != end]  # nothing follows an end
+            states = known[~end[word[at[known]]]]  # nothing follows an end
             m = _strength(total[states], strength[k - 1])
             reached[states] = auto.states(fails[states], np.log10(m / (total[states] + m)))
         arcs = known[~begin[known]] if k == 1 else known  # begin is a state, never a token
