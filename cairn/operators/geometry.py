@@ -5,8 +5,6 @@ Cameras map p to K (R p + t). Random sampling is seeded, so results do not depen
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -188,112 +186,6 @@ def absolute_pose(k: np.ndarray, x: np.ndarray, u: np.ndarray, limit: float, see
     return (*model, mask)
 
 
-@dataclass
-class Adjustment:
-    poses: dict[int, tuple[np.ndarray, np.ndarray]]
-    points: np.ndarray
-    focal_scale: float
-    rms: tuple[float, float]
-
-
-def bundle_adjust(intrinsics: dict[int, np.ndarray], poses: dict[int, tuple[np.ndarray, np.ndarray]], points: np.ndarray, obs_img: np.ndarray, obs_point: np.ndarray, obs_uv: np.ndarray, iterations: int = 30, huber: float = 2.0, ftol: float = 1e-4, refine_focal: bool = True, fixed: int | None = None) -> Adjustment:
-    """Levenberg-Marquardt on poses, points and one focal factor, with Huber weights.
-
-    Points are eliminated (Schur complement), so the system that is solved has six rows a camera and one for
-    the focal length. `fixed` stays where it is. Observations behind their camera have no weight in a step.
-    """
-    names = sorted(poses)
-    index = {c: n for n, c in enumerate(names)}
-    cam = np.array([index[c] for c in obs_img])
-    f = np.array([[intrinsics[c][0, 0], intrinsics[c][1, 1]] for c in names])
-    center = np.array([[intrinsics[c][0, 2], intrinsics[c][1, 2]] for c in names])
-    r = np.array([poses[c][0] for c in names])
-    t = np.array([poses[c][1] for c in names])
-    x, scale = points.astype(float).copy(), 1.0
-    m, n_cam = len(x), len(names)
-    size = 6 * n_cam + 1
-
-    def residual(r, t, x, scale):
-        c = np.einsum("nij,nj->ni", r[cam], x[obs_point]) + t[cam]
-        ok = c[:, 2] > 1e-8
-        z = np.where(ok, c[:, 2], 1.0)
-        e = c[:, :2] / z[:, None] * f[cam] * scale + center[cam] - obs_uv
-        return np.where(ok[:, None], e, 0.0), c, ok
-
-    def cost(e):
-        d = np.linalg.norm(e, axis=1)
-        return np.where(d <= huber, d**2 / 2, huber * (d - huber / 2)).sum()
-
-    e, c, ok = residual(r, t, x, scale)
-    now, damp = cost(e), 1e-3
-    first = np.sqrt((e[ok] ** 2).sum(1).mean()) if ok.any() else 0.0
-    for _ in range(iterations):
-        d = np.linalg.norm(e, axis=1)
-        weight = np.where(ok, np.where(d <= huber, 1.0, huber / np.maximum(d, 1e-12)), 0.0)
-        safe = np.where(ok[:, None], c, [0.0, 0.0, 1.0])
-        jp = pose_jacobian(safe) * (f[cam] * scale)[:, :, None]
-        jx = jp[:, :, 3:] @ r[cam]
-        jf = (safe[:, :2] / safe[:, 2:] * f[cam])[:, :, None] * float(refine_focal)
-        w = weight[:, None, None]
-        # Blocks: cameras (a), points (b), and both; the focal factor is the last column of a.
-        hxx = np.zeros((m, 3, 3))
-        np.add.at(hxx, obs_point, np.swapaxes(jx, 1, 2) @ (w * jx))
-        gx = np.zeros((m, 3))
-        np.add.at(gx, obs_point, (np.swapaxes(jx, 1, 2) @ (w * e[:, :, None]))[:, :, 0])
-        h = np.zeros((size, size))
-        g = np.zeros(size)
-        hpp = np.zeros((n_cam, 6, 6))
-        np.add.at(hpp, cam, np.swapaxes(jp, 1, 2) @ (w * jp))
-        for k in range(n_cam):
-            h[6 * k : 6 * k + 6, 6 * k : 6 * k + 6] = hpp[k]
-        gp = np.zeros((n_cam, 6))
-        np.add.at(gp, cam, (np.swapaxes(jp, 1, 2) @ (w * e[:, :, None]))[:, :, 0])
-        g[:-1] = gp.ravel()
-        hpf = np.zeros((n_cam, 6))
-        np.add.at(hpf, cam, (np.swapaxes(jp, 1, 2) @ (w * jf))[:, :, 0])
-        h[:-1, -1] = h[-1, :-1] = hpf.ravel()
-        h[-1, -1] = (w * jf * jf).sum()
-        g[-1] = (w[:, :, 0] * jf[:, :, 0] * e).sum()
-        hfx = np.zeros((m, 3))
-        np.add.at(hfx, obs_point, (np.swapaxes(jx, 1, 2) @ (w * jf))[:, :, 0])
-        hpx = np.swapaxes(jp, 1, 2) @ (w * jx)
-        order = np.argsort(obs_point, kind="stable")
-        groups = np.split(order, np.flatnonzero(np.diff(obs_point[order])) + 1) if len(order) else []
-        better = False
-        for _ in range(8):
-            inv = np.linalg.inv(hxx + damp * hxx * np.eye(3) + 1e-9 * np.eye(3))
-            s, b = h + np.diag(damp * np.diag(h) + 1e-9), g.copy()
-            for group in groups:
-                p = obs_point[group[0]]
-                rows = np.concatenate([6 * cam[o] + np.arange(6) for o in group] + [[size - 1]])
-                a = np.vstack([hpx[group].reshape(-1, 3), hfx[p]])
-                np.add.at(s, np.ix_(rows, rows), -a @ inv[p] @ a.T)
-                np.add.at(b, rows, -a @ inv[p] @ gx[p])
-            free = np.ones(size, bool)
-            free[-1] = refine_focal
-            if fixed in index:
-                free[6 * index[fixed] : 6 * index[fixed] + 6] = False
-            step = np.zeros(size)
-            step[free] = -np.linalg.lstsq(s[np.ix_(free, free)], b[free], rcond=None)[0]
-            dp = step[:-1].reshape(n_cam, 6)
-            back = gx.copy()
-            np.add.at(back, obs_point, (np.swapaxes(hpx, 1, 2) @ dp[cam][:, :, None])[:, :, 0])
-            back += hfx * step[-1]
-            dx = -(inv @ back[:, :, None])[:, :, 0]
-            turn = np.array([rotation(v[:3]) for v in dp])
-            r2, t2, x2, scale2 = turn @ r, np.einsum("nij,nj->ni", turn, t) + dp[:, 3:], x + dx, scale + step[-1]
-            e2, c2, ok2 = residual(r2, t2, x2, scale2)
-            if ok2.sum() >= ok.sum() and scale2 > 0.1 and (new := cost(e2)) < now:
-                better, gain = True, (now - new) / max(now, 1e-12)
-                r, t, x, scale, e, c, ok, now, damp = r2, t2, x2, scale2, e2, c2, ok2, new, max(damp / 5, 1e-9)
-                break
-            damp *= 5
-        if not better or gain < ftol:
-            break
-    last = np.sqrt((e[ok] ** 2).sum(1).mean()) if ok.any() else 0.0
-    return Adjustment({c: (r[n], t[n]) for n, c in enumerate(names)}, x, scale, (float(first), float(last)))
-
-
 # Operators
 
 

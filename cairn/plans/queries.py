@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from ..config import PRESETS
 from ..functions import camera as C, scalars as S
 from ..functions.vectors import norm, rotate, vec
-from ..operators import cloud, geometry, matching, mesh, neighbors, scene, tracks
+from ..operators import adjust, cloud, geometry, matching, mesh, neighbors, scene, tracks
 from ..sources import detect, read_cloud
 from ..sources.writer import write_ply
 from ..streaming import progress
@@ -799,7 +799,7 @@ def bundle_adjustment(spark: SparkSession, sf: str) -> DataFrame:
         start[0] = p[0]
         uv = np.concatenate([V.project(r, t, x) + rng.normal(0, 0.05, (len(x), 2)) for r, t in p])
         wrong = {k: V.K * [[1.03, 1, 1], [1, 1.03, 1], [1, 1, 1]] for k in range(len(p))}
-        out = geometry.bundle_adjust(wrong, start, x + rng.normal(0, 0.02, x.shape), np.repeat(np.arange(len(p)), len(x)), np.tile(np.arange(len(x)), len(p)), uv, iterations=40, ftol=1e-9, fixed=0)
+        out = adjust.bundle_adjust(wrong, start, x + rng.normal(0, 0.02, x.shape), np.repeat(np.arange(len(p)), len(x)), np.tile(np.arange(len(x)), len(p)), uv, iterations=40, ftol=1e-9, fixed=0)
         return pa.table({"scene": pa.array([number], pa.int32()), "error": [bool(out.rms[0] > 2 and out.rms[1] < 0.1)], "focal": [bool(abs(out.focal_scale * 1.03 - 1) < 0.02)], "fixed": [bool(np.array_equal(out.poses[0][0], p[0][0]))]})
 
     scenes = V.scene_points(spark, sf).withColumn("scene", F.explode(F.array(*[F.lit(k) for k in range(3)])))

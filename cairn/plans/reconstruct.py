@@ -1,183 +1,217 @@
 """Structure from motion and cleanup: the whole run from features to clouds.
 
-The wide steps (matching, verification, tracks, cleanup) are DataFrame plans. The incremental loop works on
-one scene, image by image, and each step needs the one before: it runs on the driver over arrays whose size is
-the scene's observations, as the images of one scene are thousands at most. Scenes are independent of each other.
+The incremental loop takes one image after the other, as each step needs the one before; what it works on are
+tables. Tracked features and verified matches are staged once, points and lost tracks at each step. A pose is
+solved in the task that has the image's own correspondences, new points where their matches are, and bundle adjustment
+sums up what each point has to say (operators/adjust.py). The driver holds cameras, which are thousands at most,
+and the numbers that rank images; scenes are independent of each other.
 """
 
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import Config, ratio_threshold
-from ..operators import cloud, geometry as G, matching, neighbors, scene, stereo, tracks
-from ..tables import staged
+from ..operators import adjust, cloud, geometry as G, matching, neighbors, scene, stereo, tracks
+from ..tables import discard, staged
+
+CAMERAS = "img int, r array<double>, t array<double>, fx double, fy double, cx double, cy double"
+POINTS = "track_id long, x double, y double, z double, error double"
 
 
 @dataclass
 class Scene:
-    """features: img -> {feat: (u, v)}; tracks: track -> {img: feat}; points: track -> place."""
+    """Cameras here, the rest in staged tables: `seen` (track_id, img, feat, u, v), `pairs` (i, j, fi, fj, ti, tj, ui, vi, uj, vj:
+    verified matches with the tracks and pixels of both ends), `points` (POINTS), `lost` (track_id)."""
 
     intrinsics: dict[int, np.ndarray]
-    features: dict[int, dict[int, tuple[float, float]]]
-    tracks: dict[int, dict[int, int]]
-    matches: dict[tuple[int, int], np.ndarray]
+    seen: DataFrame
+    pairs: DataFrame
+    points: DataFrame
+    lost: DataFrame
     poses: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
-    points: dict[int, np.ndarray] = field(default_factory=dict)
-    errors: dict[int, float] = field(default_factory=dict)
-    blacklist: set[int] = field(default_factory=set)
-    lost: set[int] = field(default_factory=set)
+    failed: set[int] = field(default_factory=set)
+
+    @property
+    def spark(self) -> SparkSession:
+        return self.seen.sparkSession
+
+    def cameras(self) -> DataFrame:
+        rows = [(img, r.ravel().tolist(), np.ravel(t).tolist(), *(float(v) for v in (k[0, 0], k[1, 1], k[0, 2], k[1, 2]))) for img, (r, t) in sorted(self.poses.items()) for k in [self.intrinsics[img]]]
+        return self.spark.createDataFrame(rows, CAMERAS)
+
+    def replace_points(self, points: DataFrame) -> None:
+        before, self.points = self.points, staged(points.select("track_id", "x", "y", "z", "error"), "points")
+        discard(before)
+
+
+def scene_of(features: DataFrame, matches: DataFrame, track_table: DataFrame, intrinsics: DataFrame) -> Scene:
+    """The tables of one scene before its first camera; only the intrinsics are read here."""
+    spark = features.sparkSession
+    k = {r["img"]: np.array([[r["fx"], 0, r["cx"]], [0, r["fy"], r["cy"]], [0, 0, 1.0]]) for r in intrinsics.collect()}
+    at = features.select("img", "feat", F.col("u").cast("double").alias("u"), F.col("v").cast("double").alias("v"))
+    seen = staged(track_table.select("track_id", "img", "feat").join(at, ["img", "feat"]).select("track_id", "img", "feat", "u", "v"), "seen")
+    ends = at.join(track_table.select("track_id", "img", "feat"), ["img", "feat"], "left")
+    a, b = (ends.select(F.col("img").alias(i), F.col("feat").alias(f"f{i}"), F.col("track_id").alias(f"t{i}"), F.col("u").alias(f"u{i}"), F.col("v").alias(f"v{i}")) for i in "ij")
+    pairs = staged(matches.select("i", "j", "fi", "fj").join(a, ["i", "fi"]).join(b, ["j", "fj"]), "pairs")
+    return Scene(k, seen, pairs, staged(spark.createDataFrame([], POINTS), "points"), staged(spark.createDataFrame([], "track_id long"), "lost"))
+
+
+def _arrays(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    return rows[["ui", "vi"]].to_numpy(float), rows[["uj", "vj"]].to_numpy(float)
+
+
+def score_pairs(s: Scene, cfg: Config) -> DataFrame:
+    """(i, j, n, inliers, angle, r, t) of the pairs with most matches: relative pose and median angle of each, in a task."""
+    top = s.pairs.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "i", "j").limit(cfg.init_probe_pairs)
+    rows = s.pairs.join(F.broadcast(top), ["i", "j"]).where(F.col("n") >= cfg.init_min_inliers)  # init_probe_pairs rows
+    k, limit, seed = s.intrinsics, cfg.pnp_threshold_px, cfg.seed
+
+    def run(pair: pd.DataFrame) -> pd.DataFrame:
+        pair = pair.sort_values(["fi", "fj"])
+        i, j = int(pair["i"].iloc[0]), int(pair["j"].iloc[0])
+        a, b = _arrays(pair)
+        r, t, mask = G.relative_pose(k[i], k[j], a, b, limit, seed)
+        if r is None:
+            return pd.DataFrame(columns=["i", "j", "n", "inliers", "angle", "r", "t"])
+        x = G.triangulate(G.projection(k[i], np.eye(3), np.zeros(3)), G.projection(k[j], r, t), a[mask], b[mask])
+        angle = float(np.median(G.angles(np.zeros(3), -r.T @ t, x)))
+        return pd.DataFrame({"i": [i], "j": [j], "n": [len(pair)], "inliers": [int(mask.sum())], "angle": [angle], "r": [r.ravel().tolist()], "t": [t.tolist()]})
+
+    return rows.groupBy("i", "j").applyInPandas(run, "i int, j int, n long, inliers long, angle double, r array<double>, t array<double>")
+
+
+def candidates(rows: DataFrame, s: Scene) -> DataFrame:
+    """(track_id, other, feat, x, y, z, error_a, error_b, angle): the point of each match (new, other, feat, track_id, ua, va, ub, vb) of posed images."""
+    k, poses = s.intrinsics, s.poses
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new, other = (batch.column(c).to_numpy() for c in ("new", "other"))
+            a, b = (np.stack([batch.column(c).to_numpy() for c in pair], axis=1) for pair in (("ua", "va"), ("ub", "vb")))
+            x, made = np.zeros((len(a), 3)), np.zeros((len(a), 3))
+            for i, j in {*zip(new.tolist(), other.tolist(), strict=True)}:
+                at = np.flatnonzero((new == i) & (other == j))
+                x[at] = G.triangulate(G.projection(k[i], *poses[i]), G.projection(k[j], *poses[j]), a[at], b[at])
+                centers = [-poses[c][0].T @ poses[c][1] for c in (i, j)]
+                made[at] = np.stack([G.reprojection(k[i], *poses[i], x[at], a[at]), G.reprojection(k[j], *poses[j], x[at], b[at]), G.angles(*centers, x[at])], axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("track_id"), batch.column("other"), batch.column("feat"), *(pa.array(v[:, c]) for v in (x, made) for c in range(3))], ["track_id", "other", "feat", "x", "y", "z", "error_a", "error_b", "angle"])
 
-    def __post_init__(self) -> None:
-        self.track_of = {(img, feat): t for t, seen in self.tracks.items() for img, feat in seen.items()}
+    rows = rows.select("new", "other", F.col("feat").cast("long").alias("feat"), F.col("track_id").cast("long").alias("track_id"), "ua", "va", "ub", "vb")
+    return rows.mapInArrow(run, "track_id long, other int, feat long, x double, y double, z double, error_a double, error_b double, angle double")
 
-    def pair(self, i: int, j: int) -> np.ndarray:
-        """(feat of i, feat of j) in either order."""
-        return self.matches[i, j] if (i, j) in self.matches else self.matches.get((j, i), np.empty((0, 2), int))[:, ::-1]
 
-    def pixels(self, img: int, feats) -> np.ndarray:
-        return np.array([self.features[img][int(f)] for f in feats]).reshape(-1, 2)
+def _matches_of(s: Scene, img: int, pairs: DataFrame | None = None) -> DataFrame:
+    """Tracked matches of `img` with posed images, whose track has no point and is not lost."""
+    pairs = s.pairs if pairs is None else pairs
+    sides = [(F.col("i") == img, "i", "j"), (F.col("j") == img, "j", "i")]
+    both = [pairs.where(on).select(F.col(a).alias("new"), F.col(b).alias("other"), F.col(f"f{a}").alias("feat"), F.col(f"t{a}").alias("track_id"), F.col(f"u{a}").alias("ua"), F.col(f"v{a}").alias("va"), F.col(f"u{b}").alias("ub"), F.col(f"v{b}").alias("vb")) for on, a, b in sides]
+    rows = both[0].unionByName(both[1]).where("track_id IS NOT NULL")
+    posed = s.spark.createDataFrame([(c,) for c in s.poses], "other int")
+    return rows.join(posed, "other", "left_semi").join(s.points, "track_id", "left_anti").join(s.lost, "track_id", "left_anti")
 
-    def center(self, img: int) -> np.ndarray:
-        r, t = self.poses[img]
-        return -r.T @ t
+
+def _added(s: Scene, rows: DataFrame, cfg: Config, angles: tuple[float, float] = (1.5, 178.0)) -> None:
+    found = scene.first_per_track(scene.candidate_points(candidates(rows, s), cfg.max_reproj_px, angles))
+    s.replace_points(s.points.unionByName(found.select("track_id", "x", "y", "z", F.lit(None).cast("double").alias("error"))))
 
 
 def seed_pair(s: Scene, cfg: Config) -> bool:
-    """Start from the pair, of those with most matches, with the best inliers * min(median angle, 15)."""
-    ranked = sorted(s.matches, key=lambda p: (-len(s.matches[p]), p))[: cfg.init_probe_pairs]
-    best, found = -1.0, None
-    for i, j in ranked:
-        m = s.matches[i, j]
-        if len(m) < cfg.init_min_inliers:
-            continue
-        a, b = s.pixels(i, m[:, 0]), s.pixels(j, m[:, 1])
-        r, t, mask = G.relative_pose(s.intrinsics[i], s.intrinsics[j], a, b, cfg.pnp_threshold_px, cfg.seed)
-        if r is None or mask.sum() < cfg.init_min_inliers:
-            continue
-        x = G.triangulate(G.projection(s.intrinsics[i], np.eye(3), np.zeros(3)), G.projection(s.intrinsics[j], r, t), a[mask], b[mask])
-        angle = float(np.median(G.angles(np.zeros(3), -r.T @ t, x)))
-        if angle >= 2.0 and mask.sum() * min(angle, 15.0) > best:
-            best, found = mask.sum() * min(angle, 15.0), (i, j, r, t, m[mask])
-    if not found:
+    """Start from the pair, of those with most matches, with the best inliers * min(median angle, 15), and its inliers' points."""
+    best = scene.best_pair(score_pairs(s, cfg), cfg.init_min_inliers).first()
+    if best is None:
         return False
-    i, j, r, t, m = found
+    i, j, r, t = best["i"], best["j"], np.array(best["r"]).reshape(3, 3), np.array(best["t"])
     s.poses |= {i: (np.eye(3), np.zeros(3)), j: (r, t)}
-    _add_points(s, j, i, m[:, ::-1], cfg, angles=None)
-    return True
+    k, limit, seed = s.intrinsics, cfg.pnp_threshold_px, cfg.seed
 
+    def inliers(pair: pd.DataFrame) -> pd.DataFrame:
+        pair = pair.sort_values(["fi", "fj"])
+        return pair[G.relative_pose(k[i], k[j], *_arrays(pair), limit, seed)[2]]
 
-def _add_points(s: Scene, new: int, other: int, m: np.ndarray, cfg: Config, angles: tuple[float, float] | None = (1.5, 178.0)) -> int:
-    """Points of tracks that `new` and `other` share and that have none yet."""
-    fresh = [k for k, f in enumerate(m[:, 0]) if (t := s.track_of.get((new, int(f)))) is not None and t not in s.points and t not in s.lost]
-    if not fresh:
-        return 0
-    m = m[fresh]
-    a, b = s.pixels(new, m[:, 0]), s.pixels(other, m[:, 1])
-    (ra, ta), (rb, tb) = s.poses[new], s.poses[other]
-    x = G.triangulate(G.projection(s.intrinsics[new], ra, ta), G.projection(s.intrinsics[other], rb, tb), a, b)
-    good = (G.reprojection(s.intrinsics[new], ra, ta, x, a) < cfg.max_reproj_px) & (G.reprojection(s.intrinsics[other], rb, tb, x, b) < cfg.max_reproj_px)
-    if angles:
-        angle = G.angles(s.center(new), s.center(other), x)
-        good &= (angle > angles[0]) & (angle < angles[1])
-    before = len(s.points)
-    for k in np.flatnonzero(good):
-        s.points.setdefault(s.track_of[new, int(m[k, 0])], x[k])
-    return len(s.points) - before
+    own = s.pairs.where((F.col("i") == i) & (F.col("j") == j))
+    _added(s, _matches_of(s, j, own.groupBy("i", "j").applyInPandas(inliers, own.schema)), cfg, (-1.0, 181.0))
+    return True
 
 
 def register_next(s: Scene, cfg: Config) -> int | None:
     """Pose of the image that sees most points; one whose pose fails is not tried again."""
-    ranked = []
-    for img in sorted(set(s.features) - set(s.poses) - s.blacklist):
-        seen = [(t, f) for f in s.features[img] if (t := s.track_of.get((img, f))) in s.points]
-        if len(seen) >= 6:
-            ranked.append((-len(seen), img, seen))
-    for _, img, seen in sorted(ranked):
-        r, t, mask = G.absolute_pose(s.intrinsics[img], np.array([s.points[k] for k, _ in seen]), s.pixels(img, [f for _, f in seen]), cfg.pnp_threshold_px, cfg.seed)
-        if r is not None and mask.sum() >= 6:
-            s.poses[img] = (r, t)
+    left = [(c,) for c in s.intrinsics if c not in s.poses and c not in s.failed]
+    if not left:
+        return None
+    found = s.seen.join(s.spark.createDataFrame(left, "img int"), "img", "left_semi").join(s.points.select("track_id", "x", "y", "z"), "track_id")
+    intrinsics, limit, seed = s.intrinsics, cfg.pnp_threshold_px, cfg.seed
+
+    def pose(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("feat")
+        r, t, mask = G.absolute_pose(intrinsics[int(key[0])], rows[["x", "y", "z"]].to_numpy(), rows[["u", "v"]].to_numpy(), limit, seed)
+        return pd.DataFrame({"r": [r.ravel().tolist()], "t": [t.ravel().tolist()]}) if r is not None and mask.sum() >= 6 else pd.DataFrame(columns=["r", "t"])
+
+    for img in [r["img"] for r in scene.correspondence_rank(found).collect()]:
+        made = found.where(F.col("img") == img).groupBy("img").applyInPandas(pose, "r array<double>, t array<double>").first()
+        if made:
+            s.poses[img] = (np.array(made["r"]).reshape(3, 3), np.array(made["t"]))
             return img
-        s.blacklist.add(img)
+        s.failed.add(img)
     return None
 
 
-def adjust(s: Scene, cfg: Config) -> tuple[float, float]:
-    """Bundle adjustment of all poses and points that two or more cameras see."""
-    rows = [(img, t, s.features[img][f]) for t in s.points for img, f in s.tracks[t].items() if img in s.poses and f in s.features[img]]
-    if len(s.poses) < 2 or not rows:
+def triangulate_new(s: Scene, img: int, cfg: Config) -> None:
+    """Points of tracks that `img` shares with posed images and that have none yet; the lowest of those images decides."""
+    _added(s, _matches_of(s, img), cfg)
+
+
+def adjust_all(s: Scene, cfg: Config) -> tuple[float, float]:
+    """Bundle adjustment of all poses and points; the root mean square error before and after."""
+    if len(s.poses) < 2:
         return 0.0, 0.0
-    names = list(s.points)
-    number = {t: k for k, t in enumerate(names)}
-    out = G.bundle_adjust(s.intrinsics, s.poses, np.array([s.points[t] for t in names]), np.array([r[0] for r in rows]), np.array([number[r[1]] for r in rows]), np.array([r[2] for r in rows]), cfg.ba_iterations, cfg.ba_huber_px, cfg.ba_ftol, cfg.refine_intrinsics, min(s.poses))
-    s.poses = out.poses
-    s.points = dict(zip(names, out.points, strict=True))
+    s.poses, points, scale, rms = adjust.adjust_scene(s.intrinsics, s.poses, s.points, s.seen, cfg.ba_iterations, cfg.ba_huber_px, cfg.ba_ftol, cfg.refine_intrinsics, min(s.poses))
+    s.replace_points(points.withColumn("error", F.lit(None).cast("double")))
+    discard(points)
     if cfg.refine_intrinsics:
-        scale = np.diag([out.focal_scale, out.focal_scale, 1.0])
-        s.intrinsics = {c: np.array([[k[0, 0] * scale[0, 0], 0, k[0, 2]], [0, k[1, 1] * scale[1, 1], k[1, 2]], [0, 0, 1]]) for c, k in s.intrinsics.items()}
-    return out.rms
-
-
-def drop_outliers(s: Scene, cfg: Config) -> int:
-    """Points whose mean error is over twice the limit, or that no camera sees in front of it, go for good."""
-    gone = []
-    for t, x in s.points.items():
-        errors = [G.reprojection(s.intrinsics[i], *s.poses[i], x[None], s.pixels(i, [f]))[0] for i, f in s.tracks[t].items() if i in s.poses]
-        errors = [e for e in errors if np.isfinite(e)]
-        if errors:
-            s.errors[t] = float(np.mean(errors))
-        if not errors or s.errors[t] > 2 * cfg.max_reproj_px:
-            gone.append(t)
-    for t in gone:
-        del s.points[t]
-    s.lost |= set(gone)
-    return len(gone)
-
-
-def grow(s: Scene, cfg: Config) -> Scene:
+        s.intrinsics = {c: k * [[scale, 1, 1], [1, scale, 1], [1, 1, 1]] for c, k in s.intrinsics.items()}
+    return rms
+
+
+def drop_outliers(s: Scene, cfg: Config) -> None:
+    """Points whose mean error is over twice the limit, or that no camera sees in front of it, are lost for good."""
+    named = s.points.select(F.col("track_id").alias("pid"), "track_id", "x", "y", "z")
+    kept = staged(scene.filter_points(named, scene.observation_errors(named, s.seen, None, s.cameras()), cfg.max_reproj_px), "kept")
+    before, s.lost = s.lost, staged(s.lost.unionByName(s.points.join(kept, "track_id", "left_anti").select("track_id")), "lost")
+    s.replace_points(kept)
+    discard(before)
+    discard(kept)
+
+
+def grow(s: Scene, cfg: Config, log: Callable[[str], None] | None = None) -> Scene:
     """Seed, then register, triangulate, adjust and filter until no image is left that fits."""
+    say = log or (lambda line: None)
     if not seed_pair(s, cfg):
         return s
-    adjust(s, cfg)
+    say(f"seed pair {sorted(s.poses)}, error {adjust_all(s, cfg)[1]:.3f}")
     n = 0
     while (img := register_next(s, cfg)) is not None:
-        for other in sorted(set(s.poses) - {img}):
-            _add_points(s, img, other, s.pair(img, other), cfg)
+        triangulate_new(s, img, cfg)
         n += 1
         if n % max(1, cfg.ba_every) == 0:
-            adjust(s, cfg)
+            say(f"image {img}, error {adjust_all(s, cfg)[1]:.3f}")
         drop_outliers(s, cfg)
-    adjust(s, cfg)
+    adjust_all(s, cfg)
     drop_outliers(s, cfg)
     return s
 
 
-def scene_of(features: DataFrame, matches: DataFrame, track_table: DataFrame, intrinsics: DataFrame) -> Scene:
-    """One scene's tables on the driver."""
-    k = {r["img"]: np.array([[r["fx"], 0, r["cx"]], [0, r["fy"], r["cy"]], [0, 0, 1.0]]) for r in intrinsics.collect()}
-    seen: dict[int, dict] = {img: {} for img in k}
-    for r in features.select("img", "feat", "u", "v").collect():
-        seen[r["img"]][r["feat"]] = (r["u"], r["v"])
-    found: dict[int, dict] = {}
-    for r in track_table.orderBy("track_id", "img").collect():
-        found.setdefault(r["track_id"], {})[r["img"]] = r["feat"]
-    pairs: dict[tuple[int, int], list] = {}
-    for r in matches.orderBy("i", "j", "fi", "fj").collect():
-        pairs.setdefault((r["i"], r["j"]), []).append((r["fi"], r["fj"]))
-    return Scene(k, seen, found, {p: np.array(m) for p, m in pairs.items()})
-
-
-def scene_tables(spark: SparkSession, s: Scene) -> tuple[DataFrame, DataFrame]:
-    """cameras and points of a reconstructed scene."""
-    cams = [(img, r.ravel().tolist(), t.tolist(), float(k[0, 0]), float(k[1, 1]), float(k[0, 2]), float(k[1, 2])) for img, (r, t) in sorted(s.poses.items()) for k in [s.intrinsics[img]]]
-    pts = [(n, *map(float, x), int(t), s.errors.get(t)) for n, (t, x) in enumerate(sorted(s.points.items()))]
-    cameras = spark.createDataFrame(cams, "img int, r array<double>, t array<double>, fx double, fy double, cx double, cy double")
-    return cameras, spark.createDataFrame(pts, "pid bigint, x double, y double, z double, track_id bigint, error double")
+def scene_tables(s: Scene) -> tuple[DataFrame, DataFrame]:
+    """cameras and points (pid, x, y, z, track_id, error) of a reconstructed scene."""
+    numbered = cloud.row_numbers(s.points, ["track_id"], "pid")
+    return s.cameras(), numbered.select(F.col("pid").cast("bigint").alias("pid"), "x", "y", "z", "track_id", "error")
 
 
 def cleanup(df: DataFrame, cfg: Config, order: list[str]) -> DataFrame:
@@ -206,8 +240,8 @@ def reconstruct(spark: SparkSession, features: DataFrame, intrinsics: DataFrame,
     track_table = staged(tracks.build_tracks(good, cfg.min_track_length), "tracks")
     say("tracks are built")
     s = grow(scene_of(features, good, track_table, intrinsics), cfg)
-    say(f"scene: {len(s.poses)} of {len(s.intrinsics)} images, {len(s.points)} points")
-    cameras, points = scene_tables(spark, s)
+    say(f"scene: {len(s.poses)} of {len(s.intrinsics)} images, {s.points.count()} points")
+    cameras, points = scene_tables(s)
     raw = None
     bound = cloud.sparse_bound(points)
     if images is not None:

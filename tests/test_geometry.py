@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from cairn.config import Config, build_config, ratio_threshold
-from cairn.operators import geometry as G
+from cairn.operators import adjust, geometry as G
 from cairn.plans import reconstruct as R
 
 K = np.array([[800.0, 0, 320], [0, 800, 240], [0, 0, 1]])
@@ -52,7 +52,7 @@ def test_bundle_adjustment_recovers_noise_and_focal():
     start[0] = p[0]
     img, pt = np.repeat(np.arange(6), len(x)), np.tile(np.arange(len(x)), 6)
     wrong = {k: K * [[1.03, 1, 1], [1, 1.03, 1], [1, 1, 1]] for k in range(6)}
-    out = G.bundle_adjust(wrong, start, x + rng.normal(0, 0.02, x.shape), img, pt, np.concatenate(uv), iterations=40, ftol=1e-9, fixed=0)
+    out = adjust.bundle_adjust(wrong, start, x + rng.normal(0, 0.02, x.shape), img, pt, np.concatenate(uv), iterations=40, ftol=1e-9, fixed=0)
     assert out.rms[0] > 3 and out.rms[1] < 0.35
     assert np.array_equal(out.poses[0][0], p[0][0])
 
@@ -102,3 +102,44 @@ def test_config():
 def test_rotation_is_orthogonal(seed):
     r = G.rotation(np.random.default_rng(seed).normal(0, 2, 3))
     assert np.abs(r @ r.T - np.eye(3)).max() < 1e-12 and abs(np.linalg.det(r) - 1) < 1e-12
+
+
+def similar(got, want):
+    """`got` moved onto `want` by the best similarity."""
+    a, b = got - got.mean(0), want - want.mean(0)
+    u, s, v = np.linalg.svd(a.T @ b)
+    flip = np.diag([1, 1, np.sign(np.linalg.det(u @ v))])
+    return (s * np.diag(flip)).sum() / (a**2).sum() * a @ (u @ flip @ v) + want.mean(0)
+
+
+@pytest.mark.parametrize("refine", [True, False])
+def test_distributed_adjustment_equals_the_single_process(spark, refine):
+    x, p, uv = scene(noise=0.2, n=150)
+    rng = np.random.default_rng(4)
+    start = {3 * k: (G.rotation(rng.normal(0, 0.005, 3)) @ r, t + rng.normal(0, 0.02, 3)) for k, (r, t) in enumerate(p)}
+    img, pt = np.repeat(3 * np.arange(6), len(x)), np.tile(np.arange(len(x)), 6)
+    keep = rng.random(len(img)) < 0.8
+    keep[pt == 7] = False  # a point that no camera sees
+    wrong = {k: K * [[1.03, 1, 1], [1, 1.03, 1], [1, 1, 1]] for k in start}
+    places, pixels = x + rng.normal(0, 0.02, x.shape), np.concatenate(uv)
+    one = adjust.bundle_adjust(wrong, start, places, img[keep], pt[keep], pixels[keep], iterations=6, ftol=1e-9, refine_focal=refine, fixed=0)
+    points = spark.createDataFrame([(int(k), *map(float, v)) for k, v in enumerate(places)] + [(900, None, 1.0, 1.0)], "track_id long, x double, y double, z double")
+    seen = spark.createDataFrame([(int(t), int(i), float(u), float(v)) for t, i, (u, v), ok in zip(pt, img, pixels, keep, strict=True) if ok] + [(3, 77, 0.0, 0.0), (901, 0, 0.0, 0.0)], "track_id long, img int, u double, v double")
+    poses, made, scale, rms = adjust.adjust_scene(wrong, start, points.repartition(3), seen.repartition(5), iterations=6, ftol=1e-9, refine_focal=refine, fixed=0)
+    assert np.allclose(rms, one.rms, rtol=1e-9) and abs(scale - one.focal_scale) < 1e-9 and rms[1] < rms[0]
+    assert all(np.abs(poses[k][0] - one.poses[k][0]).max() < 1e-6 and np.abs(poses[k][1] - one.poses[k][1]).max() < 1e-6 for k in start)
+    got = {r["track_id"]: r for r in made.collect()}
+    assert len(got) == len(x) + 1 and got[900]["x"] is None
+    assert max(abs(got[k][c] - one.points[k, n]) for k in range(len(x)) for n, c in enumerate("xyz")) < 1e-6
+
+
+def test_portions_add_up(monkeypatch):
+    x, p, uv = scene(n=60)
+    cams = adjust.Cameras.of({k: K for k in range(6)}, dict(enumerate(p)))
+    seen = adjust.Seen(x + 0.01, np.tile(np.arange(6), 60), np.repeat(np.arange(60), 6), np.stack(uv, axis=1).reshape(-1, 2))
+    whole = adjust.sums(cams, seen, 1e-3, 2.0, True)
+    monkeypatch.setattr(adjust, "PAIRS", 100)
+    parts = adjust.sums(cams, seen, 1e-3, 2.0, True)
+    assert len([*seen.portions()]) > 10 and whole.keys() == parts.keys() and all(np.allclose(v, parts[k]) for k, v in whole.items())
+    none = adjust.Seen(np.zeros((0, 3)), np.zeros(0, int), np.zeros(0, int), np.zeros((0, 2)))
+    assert set(adjust.sums(cams, none, 1e-3, 2.0, True)) == {(-1, -1)} and len(adjust.advanced(cams, none, 1e-3, 2.0, True, np.zeros(37))) == 0
