@@ -134,83 +134,69 @@ class Bundle:
             self.keys.append(found)
             self.counts.append(np.bincount(gram[counted], minlength=len(found)))
             self.gram.append(gram)
-        self.begin, self.end = hashes[BEGIN], hashes[END]
-
-
-class Automaton:
-    """States, arcs and failures over token numbers below `width`. State 0 is empty; tokens without an arc there are unknown."""
-
-    def __init__(self, width: int, unknown: float):
-        self.width, self.unknown, self.begin = width, unknown, 0
-        self.fail, self.penalty = [0], [0.0]
-        self.arcs: dict[int, int] = {}  # state * width + token: place in the two lists
-        self.weight: list[float] = []
-        self.goal: list[int] = []
-
-    def states(self, fail: np.ndarray, penalty: np.ndarray) -> np.ndarray:
-        """Numbers of new states."""
-        first = len(self.fail)
-        self.fail += fail.tolist()
-        self.penalty += penalty.tolist()
-        return np.arange(first, len(self.fail))
-
-    def draw(self, state: np.ndarray, word: np.ndarray, weight: np.ndarray, goal: np.ndarray) -> None:
-        first = len(self.weight)
-        self.weight += weight.tolist()
-        self.goal += goal.tolist()
-        self.arcs.update(zip((state * self.width + word).tolist(), range(first, len(self.weight)), strict=True))
-
-    def read(self, state: int, words: list[int]) -> tuple[float, int]:
-        """log10 of the probability of `words` in order from `state`, and the state after them."""
-        total, arc_of, fail, penalty, weight, goal, width = 0.0, self.arcs.get, self.fail, self.penalty, self.weight, self.goal, self.width
-        for w in words:
-            arc = arc_of(state * width + w)
-            while arc is None and state:
-                total += penalty[state]
-                state = fail[state]
-                arc = arc_of(state * width + w)
-            if arc is None:
-                total += self.unknown
-            else:
-                total += weight[arc]
-                state = goal[arc]
-        return total, state
+        self.begin = hashes[BEGIN]
 
 
 def _strength(count: np.ndarray, of: tuple[float, float]) -> np.ndarray:
     return of[0] * np.maximum(count, 1) ** of[1]
 
 
-def automaton(bundle: Bundle, totals: list[np.ndarray], n: int, v: int, strength: tuple[tuple[float, float], ...]) -> tuple[Automaton, np.ndarray]:
-    """The part of the model that the bundle's texts can reach, and log10 of the base probability of each of its tokens."""
-    base = (totals[0] + 0.5) / (n + 0.5 * (v + 1))
-    auto = Automaton(len(base), math.log10(0.5 / (n + 0.5 * (v + 1))))
-    word, begin, end = bundle.gram[0], bundle.keys[0] == np.uint64(bundle.begin), bundle.keys[0] == np.uint64(bundle.end)
-    for k, total in enumerate(totals, 1):
-        # A position that shows each k-gram.
-        place = bundle.gram[k - 1]
-        there = np.flatnonzero(place >= 0)
-        at = np.zeros(len(total), np.int64)
-        at[place[there]] = there
-        if k == 1:
-            p, source, fails = base, np.zeros(len(total), np.int64), np.zeros(len(total), np.int64)
-        else:
-            context, below = bundle.gram[k - 2][at - 1], bundle.gram[k - 2][at]  # without the last token, without the first
-            m = _strength(totals[k - 2][context], strength[k - 2])
-            p = (total + m * lower[below]) / (totals[k - 2][context] + m)
-            source, fails = state[context], state[below]
-        known = np.flatnonzero(total > 0)
-        reached = fails.copy()
-        if k < len(totals):
-            states = known[~end[word[at[known]]]]  # nothing follows an end
-            m = _strength(total[states], strength[k - 1])
-            reached[states] = auto.states(fails[states], np.log10(m / (total[states] + m)))
-        arcs = known[~begin[known]] if k == 1 else known  # begin is a state, never a token
-        auto.draw(source[arcs], word[at[arcs]], np.log10(p[arcs]), reached[arcs])
-        if k == 1 and begin.any():
-            auto.begin = int(reached[begin.argmax()])
-        lower, state = p, reached
-    return auto, np.log10(base)
+class Automaton:
+    """The part of the model that a bundle's texts can reach.
+
+    States and arcs are named by the n-grams of the bundle. arc[k][g] is the weight of the arc that completes g, of k + 1
+    tokens, from the state of its first k; nan where training doesn't know g. The state g of k tokens fails to g without
+    its first token at fall[k - 1][g]. `base` is log10 of the base probability of each token.
+    """
+
+    def __init__(self, bundle: Bundle, totals: list[np.ndarray], n: int, v: int, strength: tuple[tuple[float, float], ...]):
+        self.bundle, self.order = bundle, len(totals)
+        self.arc: list[np.ndarray] = []
+        self.fall: list[np.ndarray] = []
+        self.unknown = math.log10(0.5 / (n + 0.5 * (v + 1)))
+        lower = (totals[0] + 0.5) / (n + 0.5 * (v + 1))
+        self.base = np.log10(lower)
+        for k, total in enumerate(totals):
+            if k:
+                # A position that shows each n-gram gives those without its last and without its first token.
+                place = bundle.gram[k]
+                there = np.flatnonzero(place >= 0)
+                at = np.zeros(len(total), np.int64)
+                at[place[there]] = there
+                count = totals[k - 1][bundle.gram[k - 1][at - 1]]
+                m = _strength(count, strength[k - 1])
+                lower = (total + m * lower[bundle.gram[k - 1][at]]) / (count + m)
+            self.arc.append(np.append(np.where(total > 0, np.log10(lower), np.nan), np.nan))  # the last is for places without an n-gram
+            if k + 1 < self.order:
+                m = _strength(total, strength[k])
+                self.fall.append(np.append(np.log10(m / (total + m)), 0.0))
+        begin = np.searchsorted(bundle.keys[0], np.uint64(bundle.begin))
+        self.begins = self.order > 1 and bool(begin < len(totals[0]) and bundle.keys[0][begin] == np.uint64(bundle.begin) and totals[0][begin] > 0)
+
+    def read(self, start: int, first: int, end: int) -> float:
+        """log10 of the probability of the tokens at `first` to `end` of the bundle; those from `start` on only lead to the state before."""
+        bundle, order, top, unknown = self.bundle, self.order, self.order - 1, self.unknown
+        # For each place the weights of arcs after 0, 1, .. tokens, then the falls of the states of 1, 2, .. tokens that end there.
+        columns = [table[bundle.gram[k][start:end]].tolist() for k, table in [*enumerate(self.arc), *enumerate(self.fall)]]
+        total, depth, row, lead = 0.0, 0, (), first - start
+        for at, now in enumerate(zip(*columns, strict=True)):
+            if at == lead:
+                total = 0.0
+            if at == 0 and lead and bundle.token[start] == np.uint64(bundle.begin):
+                depth, row = int(self.begins), now  # begin is a state, never a token
+                continue
+            arc = now[depth]
+            while depth and arc != arc:
+                total += row[order + depth - 1]
+                depth -= 1
+                arc = now[depth]
+            if arc == arc:
+                total += arc
+                depth = depth + 1 if depth < top else depth
+            else:
+                total += unknown
+            row = now
+        return total
 
 
 def bundles(df: DataFrame, learn, order: int, id_col: str, text_col: str) -> DataFrame:
@@ -313,17 +299,15 @@ def score(df: DataFrame, learn, order: int = 3, strength: tuple[tuple[float, flo
             bundle = Bundle(body, order, bits)
             got = sorted(zip(counts.column("k").to_pylist(), counts.column("shard").to_pylist(), counts.column("totals").to_pylist(), strict=True))
             totals = [np.concatenate([unpacked(x) for j, _, x in got if j == k] or [np.zeros(0, np.uint64)]).astype(np.int64) for k in range(1, order + 1)]
-            auto, base = automaton(bundle, totals, n, v, strength)
+            auto = Automaton(bundle, totals, n, v, strength)
             word, known = bundle.gram[0], totals[0] > 0
-            for i, (a, first, z) in enumerate(zip(bundle.start, bundle.first, bundle.start[1:], strict=False)):
+            for a, first, z in zip(bundle.start, bundle.first, bundle.start[1:], strict=False):
                 own = word[first:z]
-                begins = first > a and bundle.token[a] == np.uint64(bundle.begin)
-                _, state = auto.read(auto.begin if begins else 0, word[a + begins : first].tolist())
-                out.append((i, len(own), int(known[own].sum()), float(base[own].sum()), auto.read(state, own.tolist())[0]))
+                out.append((len(own), int(known[own].sum()), float(auto.base[own].sum()), auto.read(a, first, z)))
             columns = list(zip(*out, strict=True))
             return pa.table({
-                "id": bundle.rows.column("id"), "whole": bundle.rows.column("whole"), "learned": bundle.rows.column("learn"), "n_tokens": pa.array(columns[1], pa.int64()),
-                "n_known": pa.array(columns[2], pa.int64()), "base_score": pa.array(columns[3], pa.float64()), "score": pa.array(columns[4], pa.float64()),
+                "id": bundle.rows.column("id"), "whole": bundle.rows.column("whole"), "learned": bundle.rows.column("learn"), "n_tokens": pa.array(columns[0], pa.int64()),
+                "n_known": pa.array(columns[1], pa.int64()), "base_score": pa.array(columns[2], pa.float64()), "score": pa.array(columns[3], pa.float64()),
             })
 
     made = table.select("block", "body").groupBy("block").cogroup(told.where("block IS NOT NULL").select("block", "k", "shard", "totals").groupBy("block")).applyInArrow(

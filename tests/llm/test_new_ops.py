@@ -220,22 +220,28 @@ def test_scores_against_formulas(spark, rng, odd, order, small, monkeypatch):
         assert g[:5] == w[:5] and abs(g[5] - w[5]) < 2e-4 and abs(g[6] - w[6]) < 2e-4
 
 
-def test_model_sums_to_one():
-    """Over all known tokens and one unknown, from each state of an automaton."""
-    rows = [(1, True, b"a b a c", [lm_scoring.BEGIN], True, True, 0), (2, False, b"zz b", [lm_scoring.BEGIN], True, True, 1)]
-    bundle = lm_scoring.Bundle(lm_scoring.Bundle.made(rows, pa.int64()), 3, 64)
-    known = bundle.keys[0][(bundle.counts[0] > 0) & (bundle.keys[0] != np.uint64(bundle.begin))]
-    auto, _ = lm_scoring.automaton(bundle, bundle.counts, 5, len(known), lm_scoring.STRENGTH)
-    number = {int(h): i for i, h in enumerate(bundle.keys[0])}
-    unseen = next(i for i in range(len(bundle.keys[0])) if bundle.counts[0][i] == 0)
-    for state in range(len(auto.fail)):
-        assert abs(sum(10 ** auto.read(state, [number[int(h)]])[0] for h in known) + 10 ** auto.read(state, [unseen])[0] - 1) < 1e-12
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_model_sums_to_one(order):
+    """Over all known tokens, the end and an unknown one, after known and unknown histories."""
+    learn, histories, words = b"a b a c a b", [b"", b"a", b"b", b"a b", b"b a", b"c zz", b"zz a"], [b"a", b"b", b"c", b"unseen"]
+    rows = [(0, True, learn, [lm_scoring.BEGIN], True, True, 0)]
+    rows += [(1, False, h + b" " + w, [lm_scoring.BEGIN], True, False, 0) for h in histories for w in [b"", *words]]
+    rows += [(2, False, h, [lm_scoring.BEGIN], True, True, 0) for h in histories]
+    bundle = lm_scoring.Bundle(lm_scoring.Bundle.made(rows, pa.int64()), order, 64)
+    counts = bundle.counts
+    auto = lm_scoring.Automaton(bundle, counts, 7, 4, lm_scoring.STRENGTH)
+    score = [auto.read(a, f, z) for a, f, z in zip(bundle.start, bundle.first, bundle.start[1:], strict=False)]
+    for i in range(len(histories)):
+        alone, *after = score[1 + 5 * i : 6 + 5 * i]
+        assert abs(sum(10 ** (x - alone) for x in [*after, score[1 + 5 * len(histories) + i]]) - 1) < 1e-12
 
 
 def test_scores_without_training_or_rows(spark, odd):
     none = lm_scoring.score(odd, F.lit(False)).collect()
     assert len(none) == odd.count() and all(r["score"] == 0 and r["n_known"] == 0 and r["train_tokens"] == 0 for r in none)
     assert lm_scoring.score(odd.limit(0), F.lit(True)).count() == 0
+    empty = lm_scoring.score(spark.createDataFrame([(1, None), (2, " "), (2, " ")], "doc_id long, text string"), F.col("doc_id") == 1).collect()
+    assert [(r["n_tokens"], r["n_known"], r["train_tokens"]) for r in empty] == [(1, 1, 1)] * 3 and len({r["score"] for r in empty}) == 1
 
 
 def test_held_out_follows_the_id(spark, odd):
