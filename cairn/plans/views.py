@@ -101,6 +101,14 @@ def scene_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(key.alias("pid"), *axes)
 
 
+def scene_images(points: DataFrame) -> DataFrame:
+    """(track_id, img, u, v): the exact place of each point in all eight images."""
+    cameras = F.array(*[F.struct(F.lit(k).alias("img"), *[F.lit(float(v)).alias(f"m{n}") for n, v in enumerate([*r.ravel(), *t])]) for k, (r, t) in enumerate(scene_poses())])
+    rows = points.select(F.col("pid").alias("track_id"), "x", "y", "z", F.explode(cameras).alias("c"))
+    cx, cy, cz = (sum(F.col(f"c.m{3 * i + k}") * F.col(a) for k, a in enumerate("xyz")) + F.col(f"c.m{9 + i}") for i in range(3))
+    return rows.select("track_id", F.col("c.img").alias("img"), (cx / cz * 800 + 320).alias("u"), (cy / cz * 800 + 240).alias("v"))
+
+
 SCENE = """
 scene_points AS (SELECT c_custkey AS pid FROM customer)"""
 CLOUD = """
