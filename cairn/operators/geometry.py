@@ -5,6 +5,9 @@ Cameras map p to K (R p + t). Random sampling is seeded, so results do not depen
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -104,8 +107,133 @@ def consensus(n: int, size: int, seed: int, fit, error, limit: float, rounds: in
     return best, mask
 
 
+#: Quantile of a residual's distribution, in standard deviations, beyond which it says nothing for a model (0.99, four degrees of freedom).
+REACH = 3.64
+#: Inliers lie within so many standard deviations of their own noise, which is this many pixels at least.
+INLIER, LEAST_NOISE = 3.0, 0.05
+#: Samples solved at once, and in all; chance to have drawn a clean one.
+SAMPLES, ROUNDS, CONFIDENCE = 256, 8192, 0.9999
+#: Steps of reweighted fits after a model that beats all before, and at the end.
+POLISH, FINISH = 4, 20
+
+
+@lru_cache(maxsize=1)
+def _marginal() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(r, weight, loss) for residuals r in units of the largest noise, averaged over all noise levels up to it.
+
+    The weight of a residual is the density of a chi distribution with four degrees of freedom, integrated over levels that
+    are uniform from zero: an upper incomplete gamma function of 3/2, less its value at REACH. The loss is the integral of
+    r times the weight, one where the weight has reached zero.
+    """
+
+    def upper(x: np.ndarray) -> np.ndarray:
+        return np.sqrt(x) * np.exp(-x) + np.sqrt(np.pi) / 2 * np.array([math.erfc(v) for v in np.sqrt(x)])
+
+    r = np.linspace(0, REACH, 2049)
+    weight = upper(r * r / 2) - upper(np.array([REACH**2 / 2]))
+    steps = r * weight
+    loss = np.concatenate([[0], np.cumsum((steps[1:] + steps[:-1]) / 2)])
+    return r, weight / weight[0], loss / loss[-1]
+
+
+def _sampled(u1: np.ndarray, u2: np.ndarray, picks: np.ndarray) -> np.ndarray:
+    """Fundamental matrices (b, 3, 3) of samples (b, 8) of normalised matches."""
+    a, b = _homogeneous(u1)[picks], _homogeneous(u2)[picks]
+    f = np.linalg.svd(np.einsum("bni,bnj->bnij", b, a).reshape(len(picks), -1, 9))[2][:, -1].reshape(-1, 3, 3)
+    p, s, q = np.linalg.svd(f)
+    s[:, 2] = 0
+    return (p * s[:, None, :]) @ q
+
+
+def _weighted(u1: np.ndarray, u2: np.ndarray, w: np.ndarray) -> np.ndarray:
+    f = np.linalg.svd(np.einsum("ni,nj->nij", _homogeneous(u2), _homogeneous(u1)).reshape(len(u1), 9) * np.sqrt(w)[:, None], full_matrices=False)[2][-1].reshape(3, 3)
+    p, s, q = np.linalg.svd(f)
+    return p @ np.diag([s[0], s[1], 0]) @ q
+
+
+def noise_inliers(e: np.ndarray, reach: float) -> np.ndarray:
+    """Residuals that belong to the noise around zero, none beyond `reach`.
+
+    Its level is taken from the residuals within INLIER levels, from a twentieth of them on, until it stays: so it is that of
+    the smallest noise that explains itself, whatever `reach` is.
+    """
+    within = min(max(INLIER * LEAST_NOISE, float(np.partition(e, k := min(len(e) - 1, max(8, len(e) // 20)))[k])), reach) if len(e) else reach
+    mask = e <= within
+    for _ in range(100):
+        if not mask.any():
+            break
+        new = e <= min(INLIER * max(1.4826 * float(np.median(e[mask])), LEAST_NOISE), reach)
+        if (new == mask).all():
+            break
+        mask = new
+    return mask
+
+
 def fundamental_ransac(u1: np.ndarray, u2: np.ndarray, limit: float, seed: int) -> tuple[np.ndarray | None, np.ndarray]:
-    return consensus(len(u1), 8, seed, lambda i: fundamental(u1[i], u2[i]), lambda f: sampson(f, u1, u2), limit)
+    """The fundamental matrix of matches, many of which may be wrong, and its inliers; None with fewer than eight.
+
+    Models of random samples are compared by losses that are averaged over all noise levels that can reach `limit`, so no
+    threshold tells right from wrong; a model that beats all before it is fitted anew with the averaged weights. The noise of
+    the best one then says which matches belong to it, so `limit` only has to be large enough.
+    """
+    n = len(u1)
+    if n < 8:
+        return None, np.zeros(n, bool)
+    t1, t2 = _normalizer(u1), _normalizer(u2)
+    a, b = (_homogeneous(u1) @ t1.T)[:, :2], (_homogeneous(u2) @ t2.T)[:, :2]
+    r, weight, loss = _marginal()
+    most = limit / REACH
+    rng, best, cost, drawn, need = np.random.default_rng(seed), None, np.inf, 0, float(ROUNDS)
+
+    def error(f: np.ndarray) -> np.ndarray:
+        return sampson(t2.T @ f @ t1, u1, u2)
+
+    def total(e: np.ndarray) -> float:
+        return float(np.interp(e / most, r, loss).sum())
+
+    def polished(f: np.ndarray, steps: int) -> tuple[np.ndarray, float]:
+        found, least = f, total(error(f))
+        for _ in range(steps):
+            w = np.interp(error(f) / most, r, weight, right=0.0)
+            if (w > 0).sum() < 8:
+                break
+            f = _weighted(a, b, w)
+            if (now := total(error(f))) < least:
+                found, least = f, now
+        return found, least
+
+    while drawn < min(need, ROUNDS):
+        # Eight different ones of n: the least eight of random keys would cost n a sample, so repeats are drawn again.
+        picks = rng.integers(0, n, (SAMPLES, 8))
+        picks = picks[[len({*row}) == 8 for row in picks.tolist()]] if n > 8 else np.arange(8)[None]
+        for f in _sampled(a, b, picks) if len(picks) else ():
+            if (now := total(error(f))) < cost:
+                f, now = polished(f, POLISH)
+                best, cost = f, now
+                share = min(noise_inliers(error(f), limit).mean() ** 8, 1 - 1e-12)
+                need = math.log(1 - CONFIDENCE) / math.log1p(-share) if share > 1e-12 else ROUNDS
+        drawn += SAMPLES
+        if n == 8:
+            break
+    if best is None:
+        return None, np.zeros(n, bool)
+    best, _ = polished(best, POLISH)
+    mask = noise_inliers(error(best), limit)
+    # At the end the noise of the inliers takes the place of the limit.
+    for _ in range(FINISH):
+        e = error(best)
+        w = np.interp(e / max(1.4826 * float(np.median(e[mask])) if mask.any() else most, LEAST_NOISE), r, weight, right=0.0)
+        if (w > 0).sum() < 8:
+            break
+        later = _weighted(a, b, w)
+        new = noise_inliers(error(later), limit)
+        if new.sum() < 8:
+            break
+        done = (new == mask).all()
+        best, mask = later, new
+        if done:
+            break
+    return t2.T @ best @ t1, mask
 
 
 def relative_pose(k1: np.ndarray, k2: np.ndarray, u1: np.ndarray, u2: np.ndarray, limit: float, seed: int = 42):

@@ -765,12 +765,16 @@ def triangulation(spark: SparkSession, sf: str) -> DataFrame:
     return V.scene_points(spark, sf).mapInArrow(solve, "pid long, place_error double, angle_error double")
 
 
-@query("camera_solvers", f"WITH {V.SCENE} SELECT CAST(img AS INT) AS img, TRUE AS essential, TRUE AS inliers, TRUE AS pose FROM range(1, 8) AS t(img)")
+#: Points of a scene where a solver takes an image's or a pair's points in one task, as photographs have thousands of features.
+SCENE_SIZE = 2000
+
+
+@query("camera_solvers", f"WITH {V.SCENE} SELECT scene, CAST(img AS INT) AS img, 0.0::DOUBLE AS turn_error, TRUE AS inliers, 0.0::DOUBLE AS pose_error FROM (SELECT DISTINCT pid // {SCENE_SIZE} AS scene FROM scene_points) CROSS JOIN range(1, 8) AS t(img)")
 def camera_solvers(spark: SparkSession, sf: str) -> DataFrame:
-    """Each camera from matches with the first and from points, a fifth of which are wrong."""
+    """Each camera of each scene from matches with the first and from points, a fifth of which are wrong: whole degrees, and places to two digits."""
 
     def solve(key: tuple, table: pa.Table) -> pa.Table:
-        img, p = key[0].as_py(), V.scene_poses()
+        number, img, p = key[0].as_py(), key[1].as_py(), V.scene_poses()
         table = table.sort_by("pid")
         x = np.stack([np.asarray(table.column(c)) for c in "xyz"], axis=1)
         first, uv = V.project(*p[0], x), V.project(*p[img], x)
@@ -778,16 +782,41 @@ def camera_solvers(spark: SparkSession, sf: str) -> DataFrame:
         uv[bad] = np.random.default_rng(img).uniform(0, 640, (bad.sum(), 2))
         r, t, mask = geometry.relative_pose(V.K, V.K, first, uv, 2.0)
         want_r = p[img][0] @ p[0][0].T
-        want_t = p[img][1] - want_r @ p[0][1]
         turn = np.degrees(np.arccos(np.clip((np.trace(r @ want_r.T) - 1) / 2, -1, 1)))
-        way = (t.ravel() / np.linalg.norm(t)) @ (want_t / np.linalg.norm(want_t))
         own_r, own_t, _ = geometry.absolute_pose(V.K, x, uv, 4.0)
-        pose = np.abs(own_r - p[img][0]).max() < 1e-3 and np.abs(own_t.ravel() - p[img][1]).max() < 1e-2
-        return pa.table({"img": pa.array([img], pa.int32()), "essential": [bool(turn < 0.5 and way > 0.999)], "inliers": [bool(mask[~bad].mean() > 0.95 and mask[bad].mean() < 0.2)], "pose": [bool(pose)]})
+        pose = max(np.abs(own_r - p[img][0]).max(), np.abs(own_t.ravel() - p[img][1]).max())
+        return pa.table({"scene": pa.array([number], pa.int64()), "img": pa.array([img], pa.int32()), "turn_error": [float(round(float(turn)))], "inliers": [bool(mask[~bad].mean() > 0.95 and mask[bad].mean() < 0.2)], "pose_error": [abs(round(float(pose), 2))]})
+
+    seen = V.scene_points(spark, sf).select("*", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("img"), F.floor(F.col("pid") / SCENE_SIZE).alias("scene"))
+    return seen.groupBy("scene", "img").applyInArrow(solve, "scene long, img int, turn_error double, inliers boolean, pose_error double")
 
-    cameras = spark.createDataFrame([(k,) for k in range(1, 8)], "img int")
-    seen = V.scene_points(spark, sf).crossJoin(F.broadcast(cameras))  # seven cameras
-    return seen.groupBy("img").applyInArrow(solve, "img int, essential boolean, inliers boolean, pose boolean")
+
+def noisy_matches(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(matches, features) of scenes of SCENE_SIZE points in eight images each: every image with the next, half of the matches wrong, pixels off by about half a pixel."""
+    truth = V.scene_points(spark, sf)
+    noise = [(sum(F.pmod(F.xxhash64("track_id", "img", F.lit(c + k)), F.lit(10_001)) for k in range(4)) / 10_000.0 - 2).alias(f"n{c}") for c in (0, 10)]
+    seen = V.scene_images(truth).select("*", *noise).select((F.floor(F.col("track_id") / SCENE_SIZE) * 8 + F.col("img")).cast("int").alias("img"), F.col("track_id").alias("feat"), (F.col("u") + F.col("n0")).alias("u"), (F.col("v") + F.col("n10")).alias("v"))
+    # A wrong match leads to the point of another row of the scene.
+    row, scene_of = F.col("pid") % SCENE_SIZE, F.floor(F.col("pid") / SCENE_SIZE)
+    rows = truth.select("pid", scene_of.alias("s"), row.alias("row"))
+    size = rows.groupBy("s").agg(F.max("row").alias("most"))
+    pairs = rows.join(size, "s").select("s", "pid", "row", "most", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("k"))
+    other = F.pmod(F.col("row") + 1 + F.pmod(F.xxhash64("pid", "k"), F.greatest("most", F.lit(1))), F.col("most") + 1) + F.col("s") * SCENE_SIZE
+    i = (F.col("s") * 8 + F.col("k")).cast("int")
+    wrong = F.pmod(F.xxhash64("pid", "k", F.lit(1)), F.lit(2)) == 0
+    return pairs.select(i.alias("i"), (i + 1).alias("j"), F.col("pid").alias("fi"), F.when(wrong, other).otherwise(F.col("pid")).cast("long").alias("fj")), seen
+
+
+@query("verified_matches")
+def verified_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each pair of images with half of its matches wrong: how many are kept at a limit of 4 and of 8 pixels and at both, recall and precision."""
+    found, seen = noisy_matches(spark, sf)
+    found = staged(found, "matches")
+    kept = [geometry.verify_pairs(found, seen, limit).withColumn(f"k{int(limit)}", F.lit(1)) for limit in (4.0, 8.0)]
+    rows = found.join(kept[0], ["i", "j", "fi", "fj"], "left").join(kept[1], ["i", "j", "fi", "fj"], "left")
+    k4, k8, right = (F.coalesce("k4", F.lit(0)), F.coalesce("k8", F.lit(0)), (F.col("fi") == F.col("fj")).cast("int"))
+    out = rows.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"), F.sum(right).alias("right"), F.sum(k4).alias("kept_4"), F.sum(k8).alias("kept_8"), F.sum(k4 * k8).alias("both"), F.sum(k4 * right).alias("hit"))
+    return out.select("i", "j", "n", "right", "kept_4", "kept_8", "both", (F.col("hit") / F.col("right")).alias("recall"), (F.col("hit") / F.col("kept_4")).alias("precision"))
 
 
 def _camera_errors(spark: SparkSession, poses: dict, scale: float = 1.0) -> DataFrame:

@@ -143,3 +143,31 @@ def test_portions_add_up(monkeypatch):
     assert len([*seen.portions()]) > 10 and whole.keys() == parts.keys() and all(np.allclose(v, parts[k]) for k, v in whole.items())
     none = adjust.Seen(np.zeros((0, 3)), np.zeros(0, int), np.zeros(0, int), np.zeros((0, 2)))
     assert set(adjust.sums(cams, none, 1e-3, 2.0, True)) == {(-1, -1)} and len(adjust.advanced(cams, none, 1e-3, 2.0, True, np.zeros(37))) == 0
+
+
+@pytest.mark.parametrize(("n", "noise"), [(400, 0.5), (1500, 1.0), (1500, 0.0)])
+def test_verification_needs_no_threshold(n, noise):
+    rng = np.random.default_rng(n)
+    x, p, uv = scene(4, n, noise, seed=n)
+    wrong = rng.random(n) < 0.5
+    uv[2][wrong] = rng.uniform(0, 640, (wrong.sum(), 2))
+    kept = {limit: G.fundamental_ransac(uv[0], uv[2], limit, 1)[1] for limit in (4.0, 8.0)}
+    for mask in kept.values():
+        assert mask[~wrong].mean() > 0.95 and (~wrong)[mask].mean() > 0.94
+    assert (kept[4.0] & kept[8.0]).sum() > 0.95 * (kept[4.0] | kept[8.0]).sum()
+
+
+def test_marginal_weights_against_sums():
+    """The table is the mean of chi densities over all noise levels."""
+    r, weight, loss = G._marginal()
+    levels = (np.arange(20_000) + 0.5) / 20_000
+    ratios = [np.where(r[at] < G.REACH * levels, r[at] ** 3 / levels**4 * np.exp(-((r[at] / levels) ** 2) / 2), 0.0).mean() / weight[at] for at in (100, 400, 900, 1500)]
+    assert np.allclose(ratios, ratios[0], rtol=0.01)
+    assert weight[0] == 1 and weight[-1] == 0 and loss[-1] == 1 and (np.diff(weight) <= 0).all()
+
+
+def test_verified_matches_of_all_pairs(spark):
+    from cairn.plans.queries import QUERIES
+
+    rows = QUERIES["verified_matches"](spark, "/root/testdata/sf0.01").collect()
+    assert len(rows) >= 7 and all(r["recall"] > 0.95 and r["precision"] > 0.9 and r["both"] > 0.95 * max(r["kept_4"], r["kept_8"]) for r in rows)
