@@ -51,11 +51,22 @@ CHROME = {"nav", "footer", "aside", "form", "dialog", "menu", "button", "select"
 CONTAINERS = {"article", "main"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "label"}
-#: Parts of class and id names that tell chrome, fixed values: always, or unless one of CONTENT_PARTS is there too.
+#: Elements that hold text itself: their ids say nothing, as site generators make them from the text.
+TEXTS = INLINE | {"h1", "h2", "h3", "h4", "h5", "h6", "p", "blockquote", "pre", "li", "dd", "dt", "td", "th", "tr", "table", "tbody", "thead", "caption", "figure", "figcaption", "address", "details", "summary"}
+#: Words in class names and ids, fixed values. Those of chrome; those that may stand beside them in a name of chrome
+#: ("ad-slot", "share-buttons"), where any other word ("share-price", "related-work") takes the name for what it is about.
 CHROME_PARTS = {"nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "footer", "sidebar", "widget", "ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsored", "promo", "cookie", "cookies", "consent", "gdpr", "popup", "modal", "newsletter", "subscribe", "signup", "share", "sharing", "social", "related", "comment", "comments", "disqus", "pagination", "pager", "login", "search"}
 WEAK_PARTS = {"header", "masthead", "banner", "notice", "alert", "toolbar", "reply", "replies"}
+FRAME_PARTS = {"area", "bar", "block", "bottom", "box", "button", "buttons", "container", "content", "form", "global", "group", "holder", "icons", "inner", "item", "items", "label", "left", "link", "links", "list", "main", "mobile", "outer", "page", "panel", "placeholder", "posts", "articles", "primary", "right", "secondary", "section", "site", "slot", "stories", "thread", "top", "unit", "wrap", "wrapper"}
+#: Parts of the same that an article inside does not end, and those that no container does.
+FIRM_PARTS = {"related", "sidebar", "widget", "ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsored", "promo", "nav", "navbar", "navigation", "menu", "footer"}
+COMMENT_PARTS = {"comment", "comments", "disqus", "reply", "replies"}
 CONTENT_PARTS = {"article", "post", "entry", "content", "body", "main", "story", "text"}
 CHROME_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu"}
+#: What a name of which only a part is chrome has to hold besides: this share of its words in links.
+LINKS = 0.5
+#: Strength of chrome: what any main container, what a main element, what nothing inside ends.
+LOOSE, FIRM, LASTING = 1, 2, 3
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -68,42 +79,66 @@ ATTR = re.compile(r"(class|id|role|itemprop|aria-hidden|hidden)(?:\s*=\s*(?:\"([
 PART = re.compile(r"[a-z0-9]+")
 
 
-def _role(name: str, attrs: str, inside: bool) -> tuple[bool, bool]:
-    """Is an element chrome, and is it a main container."""
-    values = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in ATTR.finditer(attrs)} if "=" in attrs or "hidden" in attrs.lower() else {}
-    role = values.get("role", "")
-    if name in CONTAINERS or role in ("main", "article") or values.get("itemprop") == "articlebody":
-        parts = set(PART.findall(values.get("class", "") + " " + values.get("id", "")))
-        comment = name == "article" and bool(parts & {"comment", "comments"})
-        return comment, not comment
+def _names(values: dict[str, str], *attributes: str) -> list[set[str]]:
+    """The words of each class name and id."""
+    names = " ".join(values.get(a, "") for a in attributes).split()
+    return [set(PART.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", n).lower())) for n in names]
+
+
+def _role(name: str, attrs: str, inside: bool) -> tuple[int, bool, bool]:
+    """How firmly an element is chrome (0: not), is it a main container, and is it chrome if most of its words are links."""
+    values = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTR.finditer(attrs)} if "=" in attrs or "hidden" in attrs.lower() else {}
+    role = values.get("role", "").lower()
+    names = _names(values, "class") if name in TEXTS else _names(values, "class", "id")
+    if "hidden" in values or values.get("aria-hidden", "").lower() == "true":
+        return LASTING, False, False
+    if name in CONTAINERS or role in ("main", "article") or values.get("itemprop", "").lower() == "articlebody":
+        comment = name == "article" and any(n & {"comment", "comments"} for n in names)
+        return LASTING * comment, not comment, False
     if name in ("html", "body"):
-        return False, False
-    if role in CHROME_ROLES or "hidden" in values or values.get("aria-hidden") == "true":
-        return True, False
+        return 0, False, False
+    if role in CHROME_ROLES:
+        return (LOOSE if role in ("banner", "form", "search") else FIRM), False, False
     if name in CHROME and not (name == "header" and inside):
-        return True, False
-    parts = set(PART.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", values.get("class", "") + " " + values.get("id", "")))) if values else set()
-    return bool(parts & CHROME_PARTS or parts & WEAK_PARTS and not parts & CONTENT_PARTS), False
+        return (LOOSE if name in ("form", "header") else FIRM), False, False
+    frame, content = CHROME_PARTS | WEAK_PARTS | FRAME_PARTS, any(n & CONTENT_PARTS for n in names)
+    whole = [n for n in names if all(x in frame or x.isdigit() for x in n) and (n & CHROME_PARTS or n & WEAK_PARTS and not content and not (inside and "header" in n))]
+    if whole:
+        return max(LASTING if n & COMMENT_PARTS else FIRM if n & FIRM_PARTS else LOOSE for n in whole), False, False
+    return 0, False, name not in TEXTS and any(n & CHROME_PARTS for n in names)
 
 
 def blocks(html: str) -> list[tuple[bool, bool, list[str]]]:
-    """(chrome, inside a main container, words) of each block of a page with words, in page order."""
-    out: list[tuple[bool, bool, list[str]]] = []
-    stack: list[tuple[str, bool, bool]] = []
+    """(chrome, inside a main container, words) of each block of a page with words, in page order.
+
+    What an element outside a main container says of itself ends at the container, unless it is firm; headings,
+    paragraphs and other elements of text are chrome by a whole class name only, never by an id.
+    """
+    out: list[tuple[bool, bool, list[str], int]] = []
+    stack: list[tuple[str, int, bool, bool, tuple[int, int, int, int]]] = []
     opened: Counter[str] = Counter()
-    chrome = main = 0
+    level, main, links = (0, 0, 0, 0), 0, 0  # open elements by strength; main containers; links
+    doubt, above = 0, [0]  # the innermost doubtful element (0: none), and the one around each
+    words_of = [[0, 0]]  # the words of each, and those in links
     text: list[str] = []
 
+    def say(part: str) -> None:
+        text.append(part)
+        if doubt:
+            n = len(part.split())
+            words_of[doubt][0] += n
+            words_of[doubt][1] += n * (links > 0)
+
     def close() -> None:
         words = unescape("".join(text)).split()
         text.clear()
         if words:
-            out.append((chrome > 0, main > 0, words))
+            out.append((any(level), main > 0, words, doubt))
 
     at = 0
     for m in TAG.finditer(html):
         if m.start() > at:
-            text.append(html[at : m.start()])
+            say(html[at : m.start()])
         at = m.end()
         if m["name"] is None:
             continue
@@ -112,26 +147,42 @@ def blocks(html: str) -> list[tuple[bool, bool, list[str]]]:
             close()
         if m["end"]:
             while opened[name]:
-                tag, was_chrome, was_main = stack.pop()
+                tag, was_chrome, was_main, was_doubtful, before = stack.pop()
                 opened[tag] -= 1
-                if was_chrome or was_main:
+                links -= tag == "a"
+                if was_chrome or was_main or was_doubtful:
                     close()
-                    chrome -= was_chrome
-                    main -= was_main
+                    level, main = before, main - was_main
+                    doubt = above[doubt] if was_doubtful else doubt
                 if tag == name:
                     break
         elif name not in VOID:
-            is_chrome, is_main = _role(name, m["attrs"], main > 0)
-            if is_chrome or is_main:
+            chrome, is_main, is_doubtful = _role(name, m["attrs"], main > 0)
+            before = level
+            if chrome or is_main or is_doubtful:
                 close()
-                chrome += is_chrome
-                main += is_main
-            if name not in INLINE or is_chrome or m["attrs"]:
-                stack.append((name, is_chrome, is_main))
+                if chrome:
+                    level = tuple(n + (k == chrome) for k, n in enumerate(level))
+                elif is_main:
+                    main += 1
+                    level = (0, 0, 0 if name == "main" else level[FIRM], level[LASTING])
+                else:
+                    above.append(doubt)
+                    doubt = len(words_of)
+                    words_of.append([0, 0])
+            if name not in INLINE or chrome or is_main or is_doubtful or m["attrs"] or name == "a":
+                stack.append((name, chrome, is_main, is_doubtful, before))
                 opened[name] += 1
-    text.append(html[at:])
+                links += name == "a"
+    say(html[at:])
     close()
-    return out
+    for d in range(len(above) - 1, 0, -1):
+        for k in (0, 1):
+            words_of[above[d]][k] += words_of[d][k]
+    linked = [False]
+    for d in range(1, len(above)):
+        linked.append(linked[above[d]] or 0 < LINKS * words_of[d][0] <= words_of[d][1])
+    return [(chrome or linked[d], is_main, words) for chrome, is_main, words, d in out]
 
 
 def spelt(html: str | None) -> str | None:

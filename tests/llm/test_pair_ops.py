@@ -228,6 +228,30 @@ def test_structure():
     assert html_extract.main_texts(["<nav>no<div>yes</nav><p>1 &lt; 2</p>"]) == ["1 < 2"]
 
 
+@pytest.mark.parametrize(("html", "text"), [
+    ('<article><h2 id="search-algorithms">Search algorithms</h2><p>Body one.</p><h2 id="related-work">Related work</h2><p>Body two.</p></article>', "Search algorithms Body one. Related work Body two."),
+    ('<article><p class="share-price">The price rose.</p><div id="social-history"><p>Long ago.</p></div></article>', "The price rose. Long ago."),
+    ('<form id="aspnetForm"><article><p>Text</p></article></form>', "Text"),
+    ('<div class="login-page"><main><h1>Title</h1><p>Text</p></main></div><div class="login-box">Name</div>', "Title Text"),
+    ('<div class="modal"><header><article>Text</article></header></div>', "Text"),
+    ('<div id="comments"><article><p>I like it</p></article><main>no</main></div><article>Text</article>', "Text"),
+    ('<aside><article>teaser</article></aside><div class="related-posts"><article>more</article></div><article>Text</article>', "Text"),
+    ('<article>Text<div class="ad-slot">buy</div><div class="ad-3">buy</div><p class="advert">buy</p><ul class="share-buttons"><li><a href=x>Tell</a></ul><section class="comment-list"><p>me too</p></section></article>', "Text"),
+    ('<article>Text<div class="related-reading-extra"><a href=x>One more text</a> or <a href=y>another one</a></div></article>', "Text"),
+    ('<article>Text<div class="related-reading-extra">This has much to say beside <a href=y>one</a></div></article>', "Text This has much to say beside one"),
+    ('<article><header><h1>Title</h1></header><section id="login"><p>x</p></section><td class="menu-card">Soup</td></article>', "Title Soup"),
+    ('<main hidden>no</main><article aria-hidden=true>no</article><article>Text</article>', "Text"),
+])
+def test_article_text_is_not_lost_by_names(html, text):
+    assert html_extract.main_texts([html]) == [text]
+
+
+def test_very_long_page():
+    part = '<div class="related-x"><p id="menu">some words <a href=y>here</a></p>'
+    html = "<article>" + part * 20_000 + "</div>" * 20_000 + "</article>"
+    assert html_extract.main_texts([html]) == [" ".join(["some words here"] * 20_000)]
+
+
 def test_suffix_array_against_brute_force(rng):
     """Order, common prefixes and page counts, on pages that repeat runs of every length."""
     long = rng.integers(0, 50, 90)
