@@ -88,21 +88,27 @@ def _machine() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def classes(library: str) -> np.ndarray:
     """The symbol of each code point by itself: letter, number, white space or other.
 
-    The library (tiktoken or tokenizers) is asked, once a worker: its Unicode version is not the interpreter's.
+    The library (tiktoken or tokenizers) is asked for each, once a worker: its Unicode version is not the interpreter's.
     """
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    codes = np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x110000)])
+    every = codes.astype("<u4").tobytes().decode("utf-32-le")
     table = np.full(0x110000, SYM_O, np.uint8)
     for kind, symbol in ((r"\p{L}", SYM_L), (r"\p{N}", SYM_N), (r"\s", SYM_W)):
+        of = np.zeros(0x110000, bool)
         if library == "tiktoken":
             import tiktoken
 
             # What no match of the pattern covers has no token.
-            found = bytes(tiktoken.Encoding("classes", pat_str=kind, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={}).encode_ordinary(every)).decode()
+            found = tiktoken.Encoding("classes", pat_str=kind, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={}).encode_ordinary(every)
+            of[np.frombuffer(bytes(found).decode().encode("utf-32-le"), np.uint32)] = True
         else:
-            from tokenizers import Regex, pre_tokenizers
+            from tokenizers import Regex, normalizers
 
-            found = "".join(part for part, _ in pre_tokenizers.Split(Regex(kind + "+"), "removed", invert=True).pre_tokenize_str(every))
-        table[np.frombuffer(found.encode("utf-32-le"), np.uint32)] = symbol
+            # What is left when the class is removed does not belong to it; short strings, as long ones cost far more.
+            remove = normalizers.Replace(Regex(kind + "+"), "").normalize_str
+            of[codes] = True
+            of[np.frombuffer("".join([remove(every[at : at + 4096]) for at in range(0, len(every), 4096)]).encode("utf-32-le"), np.uint32)] = False
+        table[of] = symbol
     return table
 
 

@@ -10,10 +10,12 @@ continued in memory. A shard gives a star for each group it finds, not the group
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.tracks import roots
@@ -90,7 +92,7 @@ def choose(fps: np.ndarray, radius: int) -> tuple[int, int] | None:
 class Tree:
     """Vantage points and boundaries as arrays; nodes without a vantage point are shards."""
 
-    def __init__(self, sample: np.ndarray, total: int, radius: int, shard: int = SHARD):
+    def __init__(self, sample: np.ndarray, total: int, radius: int, shard: int):
         self.radius = radius
         self.point: list[int] = []
         self.mu: list[int] = []
@@ -159,52 +161,82 @@ def link(fps: np.ndarray, radius: int) -> np.ndarray:
     return label
 
 
+def _some(df: DataFrame, share: Column, salt: int) -> DataFrame:
+    # By hash: it balances the trees and decides no link.
+    return df.where(F.pmod(F.xxhash64("fp", F.lit(salt)), F.lit(1 << 20)) < share * (1 << 20) + 1)
+
+
+def _split(heavy: DataFrame, level: int, radius: int) -> DataFrame:
+    """(shard, fp, rep): `heavy` (shard, fp, rep, n), n rows a shard, dealt on by a tree for each shard.
+
+    A tree is fitted to SUBSAMPLE rows in a task of the shard, and goes ahead of the rows to the tasks that deal them: about
+    HEAVY rows each. Neither trees nor shard numbers pass through the driver.
+    """
+    kind, shard = dict(heavy.dtypes)["rep"], SHARD
+
+    def fit(sample: pa.Table) -> pa.Table:
+        n = sample.column("n")[0].as_py()
+        tree = Tree(np.sort(sample.column("fp").to_numpy().view(np.uint64)), n, radius, shard)
+        return pa.table({"shard": sample.column("shard")[:1], "n": pa.array([n], pa.int64()), "tree": pa.array([pickle.dumps((tree.point, tree.mu, tree.child))], pa.binary())})
+
+    trees = _some(heavy, SUBSAMPLE / F.col("n"), level).select("shard", "n", "fp").groupBy("shard").applyInArrow(fit, "shard long, n long, tree binary")
+    parts = F.ceil(F.col("n") / HEAVY)
+    first = trees.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), "tree", F.lit(None).cast("long").alias("fp"), F.lit(None).cast(kind).alias("rep"))
+    rows = heavy.select("shard", F.pmod(F.xxhash64("fp", F.lit(-level)), parts).alias("part"), F.lit(None).cast("binary").alias("tree"), "fp", "rep")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, of = None, None
+        for batch in batches:
+            shard, fps = batch.column(0).to_numpy(), pc.fill_null(batch.column(3), 0).to_numpy().view(np.uint64)
+            is_tree = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.concatenate([[True], np.diff(shard) != 0]))
+            for a, z in zip(cuts, [*cuts[1:], len(shard)], strict=True):
+                old = int(shard[a])
+                if old != of:
+                    tree, of = None, old
+                if is_tree[a:z].any():
+                    tree = object.__new__(Tree)
+                    tree.radius = radius
+                    tree.point, tree.mu, tree.child = pickle.loads(batch.column(2)[a + int(np.argmax(is_tree[a:z]))].as_py())
+                mine = a + np.flatnonzero(~is_tree[a:z])
+                if not len(mine):
+                    continue
+                at, leaf = tree.shards(fps[mine]) if tree and len(tree.point) > 1 else (np.arange(len(mine)), None)
+                take = pa.array(mine[at])
+                # Numbers of a level begin beyond those of the one before.
+                new = np.full(len(mine), old) if leaf is None else leaf + ((old + 1) * (1 << 13) + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(new, pa.int64()), batch.column(3).take(take), batch.column(4).take(take)], ["shard", "fp", "rep"])
+
+    told = first.unionByName(rows).repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("tree").isNull())
+    return told.select("shard", "part", "tree", "fp", "rep").mapInArrow(deal, f"shard long, fp long, rep {kind}")
+
+
 def dealt(nodes: DataFrame, total: int, radius: int) -> DataFrame:
     """(shard, fp, rep): `nodes` (fp, rep) in every shard that they must be in.
 
-    The first tree is fitted to SAMPLE of all fingerprints. Shards that are HEAVY then get a tree each, fitted to
-    SUBSAMPLE of their own, up to three times: so depth grows with the corpus, samples and the driver's share do not.
+    The first tree is fitted to SAMPLE of all fingerprints, about, and that sample is all that reaches the driver. Shards
+    that are HEAVY then get a tree each, up to three times: so depth grows with the corpus.
     """
     kind = nodes.select("rep").dtypes[0][1]
-
-    def some(df: DataFrame, share: Column, salt: int) -> DataFrame:
-        # By hash: it balances the trees and decides no link.
-        return df.where(F.pmod(F.xxhash64("fp", F.lit(salt)), F.lit(1 << 20)) < share * (1 << 20) + 1)
-
-    sample = np.array([r["fp"] for r in some(nodes, F.lit(min(1.0, SAMPLE / max(1, total))), 0).select("fp").limit(2 * SAMPLE).collect()], np.int64).view(np.uint64)
-    trees = {0: Tree(np.sort(sample), total, radius)}
-    now = nodes.select(F.lit(0).cast("long").alias("shard"), "fp", "rep")
-    done = None
-    for level in range(4):
-
-        def deal(batches: Iterator[pa.RecordBatch], trees: dict[int, Tree] = trees, base: int = level) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                shard, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-                order = np.argsort(shard, kind="stable")
-                for mine in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
-                    if len(mine):
-                        old = int(shard[mine[0]])
-                        rows, leaf = trees[old].shards(fps[mine])
-                        take = pa.array(mine[rows])
-                        # Numbers of a level begin beyond those of the one before.
-                        yield pa.RecordBatch.from_arrays([pa.array(leaf + ((old + 1) * (1 << 13) + (1 << 16) if base else 0), pa.int64()), batch.column(1).take(take), batch.column(2).take(take)], ["shard", "fp", "rep"])
-
-        now = staged(now.mapInArrow(deal, f"shard long, fp long, rep {kind}"), "dealt")
-        heavy = {r["shard"]: r["n"] for r in now.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HEAVY).collect()} if level < 3 else {}
-        if not heavy:
-            break
-        rate = F.element_at(F.create_map(*[F.lit(x) for k, n in heavy.items() for x in (k, SUBSAMPLE / n)]), F.col("shard"))
-        taken: dict[int, list[int]] = {}
-        for r in some(now.where(rate.isNotNull()), rate, level + 1).select("shard", "fp").collect():
-            taken.setdefault(r["shard"], []).append(r["fp"])
-        trees = {k: Tree(np.sort(np.array(taken.get(k, []), np.int64).view(np.uint64)), n, radius) for k, n in heavy.items()}
-        trees = {k: t for k, t in trees.items() if len(t.point) > 1}
-        if not trees:
+    sample = np.array([r["fp"] for r in _some(nodes, F.lit(min(1.0, SAMPLE / max(1, total))), 0).select("fp").limit(2 * SAMPLE).collect()], np.int64).view(np.uint64)
+    tree = Tree(np.sort(sample), total, radius, SHARD)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, leaf = tree.shards(batch.column(0).to_numpy().view(np.uint64))
+            take = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), batch.column(0).take(take), batch.column(1).take(take)], ["shard", "fp", "rep"])
+
+    now, done = staged(nodes.select("fp", "rep").mapInArrow(deal, f"shard long, fp long, rep {kind}"), "dealt"), []
+    for level in range(1, 4):
+        sizes = staged(now.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HEAVY), "heavy")
+        if sizes.isEmpty():
             break
-        split = F.col("shard").isin(list(trees))
-        done = now.where(~split) if done is None else done.unionByName(now.where(~split))
-        now = now.where(split)
-    return now if done is None else done.unionByName(now)
+        done.append(now.join(sizes, "shard", "left_anti"))
+        now = staged(_split(now.join(sizes, "shard"), level, radius), "dealt")
+    for part in done:
+        now = now.unionByName(part.select("shard", "fp", "rep"))
+    return now
 
 
 def near_classes(prints: DataFrame, radius: int = 2) -> DataFrame:
@@ -238,14 +270,3 @@ def near_duplicates(df: DataFrame, words: int = 3, radius: int = 2, id_col: str
     prints = staged(fingerprints(df, words, id_col, text_col), "prints")
     known = near_classes(prints, radius)
     return prints.join(known, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
-
-
-def keep_one(df: DataFrame, words: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `df` whose id is the least of its component, once each; rows with a null id are kept as they are."""
-    from pyspark.sql import Window as W
-
-    groups = near_duplicates(df, words, radius, id_col, text_col)
-    stay = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__cairn_id")).distinct()
-    kept = df.join(stay, df[id_col] == stay["__cairn_id"], "left_semi")
-    once = kept.withColumn("__cairn_n", F.row_number().over(W.partitionBy(id_col).orderBy(F.xxhash64(text_col), text_col))).where("__cairn_n = 1").drop("__cairn_n")
-    return once.unionByName(df.where(df[id_col].isNull()))
