@@ -361,29 +361,33 @@ def test_prediction_reads_text_alone(rng):
 # Lines
 
 
-def brute_lines(rows, ratio, least):
+def brute_lines(rows, ratio, least, once):
     pages, on = {}, {}
-    for _, text, _, host, _ in rows:
+    for k, (_, text, _, host, _) in enumerate(rows):
         if text is not None and host is not None:
-            pages.setdefault(host, set()).add(text)
+            page = text if once else k
+            pages.setdefault(host, set()).add(page)
             for line in set(text.split("\n")):
-                on.setdefault((host, line), set()).add(text)
+                on.setdefault((host, line), set()).add(page)
     gone = {k for k, v in on.items() if k[1].strip(" ") and len(v) >= least and len(v) > ratio * len(pages[k[0]])}
-    return sorted((str(d), t if t is None or h is None else "\n".join(x for x in t.split("\n") if (h, x) not in gone)) for d, t, _, h, _ in rows)
+    return sorted(((str(d), t if t is None or h is None else "\n".join(x for x in t.split("\n") if (h, x) not in gone)) for d, t, _, h, _ in rows), key=str)
 
 
 def test_lines_against_brute_force(spark, rng):
     lines = [prose(rng, 3) for _ in range(30)] + ["", " "]
     rows = [(k, "\n".join(rng.choice(lines, 4, p=None)), "en", f"h{min(2, k % 5)}", 1) for k in range(300)] + [(900 + k, "same\nagain", "en", "h9", 1) for k in range(50)]
-    for ratio, least in ((0.1, 5), (0.2, 3), (0.0, 1)):
-        made = line_dedup.drop_boilerplate(spark.createDataFrame(rows, DOC), ratio=ratio, least_pages=least, dropped_col="gone")
-        assert sorted((str(r.doc_id), r.text) for r in made.collect()) == brute_lines(rows, ratio, least)
+    for ratio, least, once in ((0.1, 5, True), (0.2, 3, True), (0.0, 1, False), (0.1, 1, False), (0.3, 1, True)):
+        made = line_dedup.drop_boilerplate(spark.createDataFrame(rows, DOC), ratio=ratio, least_pages=least, same_once=once, dropped_col="gone")
+        assert sorted(((str(r.doc_id), r.text) for r in made.collect()), key=str) == brute_lines(rows, ratio, least, once)
 
 
 def test_lines_odd(spark, odd):
-    made = line_dedup.drop_boilerplate(odd, dropped_col="gone")
+    made = line_dedup.drop_boilerplate(odd, least_pages=5, same_once=True, dropped_col="gone")
     assert made.columns == [*odd.columns, "gone"]
     assert sorted(str(r.text) for r in made.collect()) == sorted(str(t) for (t,) in odd.select("text").collect())
     assert line_dedup.drop_boilerplate(odd.limit(0)).count() == 0
+    by_rule = line_dedup.drop_boilerplate(odd).collect()
+    rows = [(r.doc_id, r.text, None, r.source, None) for r in odd.collect()]
+    assert sorted(map(str, [(str(r.doc_id), r.text) for r in by_rule])) == sorted(map(str, brute_lines(rows, 0.1, 1, False)))
     urls = spark.createDataFrame([("http://A.example.org/x",), ("odd",), (None,)], "url string")
     assert [r[0] for r in urls.select(line_dedup.host_of("url")).collect()] == ["a.example.org", None, None]
