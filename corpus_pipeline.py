@@ -26,8 +26,12 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take boilerplate lines out of the texts, with n_chars to match; a text that was nothing else goes."""
-    cut = line_dedup.drop_boilerplate(docs, dropped_col="__cairn_dropped")
+    """Take boilerplate lines out of the texts, with n_chars to match; a text that was nothing else goes.
+
+    With both guards of the operator: copies of a page count once, as the next stage keeps one of them whole, and a line has to be
+    on five pages, so that a host of a few clean pages keeps them.
+    """
+    cut = line_dedup.drop_boilerplate(docs, least_pages=5, same_once=True, dropped_col="__cairn_dropped")
     changed = F.col("__cairn_dropped") > 0
     cut = cut.where(~changed | (F.trim("text") != ""))
     return cut.withColumn("n_chars", F.when(changed, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(docs.columns)
