@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from ..config import PRESETS, Config
 from ..functions import camera as C, scalars as S
 from ..functions.vectors import norm, rotate, vec
-from ..operators import adjust, cloud, geometry, matching, mesh, neighbors, scene, tracks
+from ..operators import adjust, cloud, geometry, index, matching, mesh, neighbors, scene, tracks
 from ..sources import detect, read_cloud
 from ..sources.writer import write_ply
 from ..streaming import progress
@@ -300,6 +300,15 @@ def image_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return matching.image_pairs(V.features(spark, sf))
 
 
+@query("indexed_nearest")
+def indexed_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each image, how many of the two nearest in every other image the index finds, against the blocked product of all."""
+    features = V.features(spark, sf)
+    made = index.build(features)
+    rows = index.recall(matching.nearest_two_blocked(features), index.search(made, features))
+    return rows.withColumns({"probes": F.lit(made.probes), "lists": F.lit(len(made.centers)), "expected": F.lit(made.recall)})
+
+
 @query("nearest_two", f"WITH {V.MATCHES} SELECT CAST(img AS INT) AS img, feat, CAST(other AS INT) AS other, round(d1, 6) AS d1, round(d2, 6) AS d2, ofeat AS nearest FROM two")
 def nearest_two(spark: SparkSession, sf: str) -> DataFrame:
     return matching.nearest_two_blocked(V.features(spark, sf)).select("img", "feat", "other", r6("d1"), r6("d2"), "nearest")
@@ -307,7 +316,7 @@ def nearest_two(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("knn_ratio", f"WITH {V.MATCHES} SELECT CAST(img AS INT) AS img, feat, CAST(other AS INT) AS other, ofeat FROM directed")
 def knn_ratio(spark: SparkSession, sf: str) -> DataFrame:
-    return matching.ratio_matches(matching.nearest_two(V.features(spark, sf)), V.RATIO)
+    return matching.ratio_matches(matching.nearest_two_blocked(V.features(spark, sf)), V.RATIO)
 
 
 MATCH_ROWS = "CAST(i AS INT) AS i, CAST(j AS INT) AS j, fi, fj"

@@ -310,3 +310,32 @@ def test_percentiles_are_exact(spark, monkeypatch):
             assert v == pytest.approx(np.quantile(values if name[0] == "a" else np.arange(0, len(values), 3), float(name[1:])), abs=1e-9)
     assert cloud.percentiles(df.limit(0), {"x": (F.col("a"), 0.5)}) == {"x": None}
     assert cloud.sparse_bound(df.limit(0).selectExpr("a AS x", "a AS y", "a AS z")).first()["radius"] is None
+
+
+def test_index_finds_the_nearest_of_clustered_descriptors(spark):
+    from cairn.operators import index
+
+    rng = np.random.default_rng(8)
+    middle = rng.normal(0, 1, (40, 16))
+    rows = [(k % 4, k, (middle[rng.integers(40)] + rng.normal(0, 0.15, 16)).astype(np.float32).tolist()) for k in range(1600)]
+    features = spark.createDataFrame([*rows, (9, 5000, None), (8, 5001, rows[0][2])], "img int, feat bigint, desc array<float>")
+    made = index.build(features)
+    assert made.homes.count() == 1601 and made.probes < len(made.centers) / 3 and made.recall >= 0.95
+    usable = features.where("desc IS NOT NULL")
+    rows = index.recall(matching.nearest_two(usable), index.search(made, usable)).collect()
+    assert {r["img"] for r in rows} == {0, 1, 2, 3, 8} and all(r["first"] > 0.9 and r["second"] > 0.9 for r in rows)
+    everything = index.search(made, usable, probes=len(made.centers))
+    key = lambda r: (r["img"], r["feat"], r["other"], round(r["d1"], 9), round(r["d2"], 9))
+    assert sorted(map(key, everything.collect())) == sorted(map(key, matching.nearest_two(usable).collect()))
+    assert index.build(features.limit(0)) is None
+
+
+def test_index_cuts_long_lists(spark, monkeypatch):
+    from cairn.operators import index
+
+    monkeypatch.setattr(index, "PART", 40)
+    rng = np.random.default_rng(9)
+    features = spark.createDataFrame([(k % 3, k, rng.normal(0, 1, 4).tolist()) for k in range(300)], "img int, feat bigint, desc array<float>")
+    made = index.build(features, lists=2)
+    key = lambda r: (r["img"], r["feat"], r["other"], round(r["d1"], 5), round(r["d2"], 5), r["nearest"])
+    assert sorted(map(key, index.search(made, features, probes=2).collect())) == sorted(map(key, matching.nearest_two(features).collect()))
