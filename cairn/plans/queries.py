@@ -18,7 +18,7 @@ from ..functions.vectors import norm, rotate, vec
 from ..operators import adjust, cloud, geometry, index, matching, mesh, neighbors, scene, tracks
 from ..sources import detect, read_cloud
 from ..sources.writer import write_ply
-from ..streaming import progress
+from ..streaming import progress, runs
 from ..tables import shared_dir, staged
 from . import reconstruct, views as V
 
@@ -914,3 +914,26 @@ def log_progress(spark: SparkSession, sf: str) -> DataFrame:
 )
 def cost_ema(spark: SparkSession, sf: str) -> DataFrame:
     return progress.ema(V.table(spark, sf, "events"), "user_id", ["ts", "event_id"], "value").select("user_id", "n", r6("ema"))
+
+
+RUNS_SQL = f"""WITH RECURSIVE {LOG_SQL}, e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+    f(user_id, k, ema) AS (SELECT user_id, k, value FROM e WHERE k = 1 UNION ALL SELECT f.user_id, e.k, 0.7::DOUBLE * f.ema + 0.3::DOUBLE * e.value FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1),
+    cost AS (SELECT user_id, max(k) AS n, round(arg_max(ema, k), 6) AS ema FROM f GROUP BY user_id),
+    stage AS (SELECT user_id, max(event_id) AS event_id FROM events WHERE event_id % 4 <> 3 GROUP BY user_id)
+    SELECT user_id AS run, n, ema, CASE event_id % 4 WHEN 0 THEN 'features' WHEN 1 THEN 'match' WHEN 2 THEN 'dense' END AS stage,
+    CAST(round_even((CASE event_id % 4 WHEN 0 THEN 0.0::DOUBLE + 0.2::DOUBLE * (event_id % 10 / 10.0::DOUBLE) WHEN 1 THEN 0.2::DOUBLE + 0.2::DOUBLE * (event_id % 10 / 10.0::DOUBLE) ELSE 0.7::DOUBLE + 0.22::DOUBLE * (event_id % 10 / 10.0::DOUBLE) END) * 100, 0) AS INT) AS percent
+    FROM cost LEFT JOIN stage USING (user_id)"""
+
+
+@query("run_stream", RUNS_SQL)
+def run_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Costs and stages of runs whose rows arrive in two loads, the stream started again from its checkpoint for the second."""
+    at = f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
+    lines = _log(spark, sf)
+    known = progress.parse(lines).select("event_id", "stage", "percent")
+    events = V.table(spark, sf, "events").select("event_id", F.col("user_id").alias("run"), F.col("event_id").alias("ordinal"), "value").join(known, "event_id", "left").drop("event_id")
+    half = events.agg(F.max("ordinal")).first()[0] // 2
+    for part in (events.where(F.col("ordinal") <= half), events.where(F.col("ordinal") > half)):
+        part.write.mode("append").parquet(f"{at}/in")
+        runs.advance(spark, f"{at}/in", ", ".join(f"{c} {kind}" for c, kind in part.dtypes), f"{at}/state", f"{at}/out")
+    return runs.latest(spark, f"{at}/out").select("run", "n", r6("ema"), "stage", "percent")

@@ -339,3 +339,27 @@ def test_index_cuts_long_lists(spark, monkeypatch):
     made = index.build(features, lists=2)
     key = lambda r: (r["img"], r["feat"], r["other"], round(r["d1"], 5), round(r["d2"], 5), r["nearest"])
     assert sorted(map(key, index.search(made, features, probes=2).collect())) == sorted(map(key, matching.nearest_two(features).collect()))
+
+
+def test_run_state_over_batches_and_restarts(spark, tmp_path):
+    from cairn.streaming import runs
+
+    rng = np.random.default_rng(3)
+    rows = [(f"r{k % 5}" if k % 11 else None, k, None if k % 7 == 0 else float(rng.normal()), ("match" if k % 3 else "dense") if k % 4 else None, k % 100 if k % 4 else None) for k in range(200)]
+    schema = "run string, ordinal bigint, value double, stage string, percent int"
+    paths = [str(tmp_path / n) for n in ("in", "state", "out")]
+    for a, z in ((0, 90), (90, 92), (92, 200)):
+        spark.createDataFrame(rows[a:z], schema).repartition(3).write.mode("append").parquet(paths[0])
+        runs.advance(spark, paths[0], schema, *paths[1:])
+    want = {}
+    for run, _, value, stage, percent in rows:
+        if run is not None:
+            s = want.setdefault(run, [0, None, None, None])
+            if value is not None:
+                s[0], s[1] = s[0] + 1, value if s[1] is None else 0.7 * s[1] + 0.3 * value
+            if stage is not None:
+                s[2:] = stage, percent
+    got = {r["run"]: (r["n"], r["ema"], r["stage"], r["percent"]) for r in runs.latest(spark, paths[2]).collect()}
+    assert got.keys() == want.keys()
+    for run, (n, ema, stage, percent) in want.items():
+        assert got[run][0] == n and abs(got[run][1] - ema) < 1e-12 and got[run][2:] == (stage, percent)
