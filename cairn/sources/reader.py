@@ -1,7 +1,8 @@
 """The `cloud` data source, and read_cloud(), which picks the reader of each format.
 
 Formats of fixed-length records are split into ranges of rows, one partition each; others are one partition a
-file. Only the columns asked for leave the Python worker. Text clouds are read by Spark's own text reader.
+file. Only the columns asked for leave the Python worker. Text clouds, and PLY and PCD files of text, are read by Spark's
+own text reader, in splits.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import ByteType, FloatType, IntegerType, LongType, ShortType, StructField, StructType
 
 from ..operators import cloud as ops
-from . import files, text
+from . import files, lines, text
 from .detect import detect
 from .files import FormatError
 from .records import read_rows, layout_of
@@ -129,6 +130,8 @@ def read_cloud(spark: SparkSession, path: str, fmt: str | None = None, max_point
     fmt = fmt or detect(files.expand(path)[0])
     if fmt == "text":
         out = text.read_text(spark, path)
+    elif fmt in ("ply", "pcd") and all(lines.is_text(p, fmt) for p in files.expand(path)):
+        out = lines.read_lines(spark, files.expand(path), fmt, columns, ORDER, SPARK_TYPES, FILE_ROWS)
     else:
         register(spark)
         reader = spark.read.format("cloud").option("format", fmt)

@@ -275,3 +275,26 @@ def test_sfm_text_and_images(spark, tmp_path):
     images.write_features(listed.where("name = 'a.png'").select("cache_key", "name"), folder)
     hit, miss = images.split_cached(listed, spark.read.parquet(folder))
     assert [r["name"] for r in hit.collect()] == ["a.png"] and [r["name"] for r in miss.collect()] == ["b.JPG"]
+
+
+def test_text_files_are_read_in_splits(spark, tmp_path):
+    """The same rows from many tasks as from the whole file, with other elements before and after, and odd lines."""
+    rng = np.random.default_rng(5)
+    rows = [f"{i} {a:.6f} {b:.6f} {int(c)} {int(d)} {int(e)}" for i, (a, b, c, d, e) in enumerate(np.column_stack([rng.normal(0, 9, (4000, 2)), rng.integers(0, 256, (4000, 3))]))]
+    rows[7], rows[3999] = "1 2", "5 5 5 1 2 3 trailing words"
+    head = "ply\nformat ascii 1.0\ncomment x\nelement other 2\nproperty float q\nelement vertex 4000\nproperty float x\nproperty float y\nproperty float z\nproperty uchar red\nproperty uchar green\nproperty uchar blue\nelement face 1\nproperty list uchar int vertex_indices\nend_header\n"
+    ply = put(tmp_path, "many.ply", head + "0.5\n0.25\n" + "\n".join(rows) + "\n3 0 1 2\n")
+    pcd = put(tmp_path, "many.pcd", "VERSION .7\nFIELDS x y z rgb\nSIZE 4 4 4 4\nTYPE F F F U\nWIDTH 4000\nHEIGHT 1\nDATA ascii\n" + "\n".join(f"{i} 1 2 {(i * 7919) % (1 << 24)}" + ("\n" if i % 500 == 3 else "") for i in range(4000)) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        for path, fmt in ((ply, "ply"), (pcd, "pcd")):
+            made = reader.read_cloud(spark, path)
+            assert made.rdd.getNumPartitions() > 5
+            want = whole.READERS[fmt](path)
+            got = made.orderBy("point_id").toPandas()
+            assert got["point_id"].is_unique and all(np.array_equal(got[c].to_numpy(np.float64), want[c].astype(np.float64)) for c in "xyzrgb")
+        assert reader.read_cloud(spark, ply).where("point_id = 8").first()["x"] == 8.0 and reader.read_cloud(spark, ply, columns=["x"]).columns == ["point_id", "x"]
+        assert reader.read_cloud(spark, f"{ply},{put(tmp_path, 'b.ply', head.replace('4000', '2') + '0' + chr(10) + '0' + chr(10) + chr(10).join(rows[:2]) + chr(10))}").count() == 4001
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
