@@ -43,6 +43,22 @@ def test_plane(spark):
     assert (out.r == out.b).all() and np.abs(out.r - texture(out.x, out.y)).median() < 6
 
 
+def test_depth_ranges_of_all_points(spark):
+    rng = np.random.default_rng(4)
+    x = np.column_stack([rng.uniform(-3, 3, (9000, 2)), rng.uniform(-2, 9, 9000)])
+    cams = spark.createDataFrame([(k, r.ravel().tolist(), t.tolist(), 150.0, 150.0, 80.0, 60.0) for k, (r, t) in enumerate([*poses(), poses()[0]])], "img int, r array<double>, t array<double>, fx double, fy double, cx double, cy double")
+    points = spark.createDataFrame([*((k, *map(float, p)) for k, p in enumerate(x)), (9001, None, 0.0, 0.0)], "pid long, x double, y double, z double").repartition(5)
+    pairs = spark.createDataFrame([(0, 1), (1, 0), (0, 2)], "img int, other int")  # the last two cameras of (0, 2) are in one place
+    rows = stereo.depth_ranges(cams, pairs, points).collect()
+    assert {(r["img"], r["other"]) for r in rows} == {(0, 1), (1, 0)}
+    for r in rows:
+        (ra, ta), (rb, tb) = poses()[r["img"]], poses()[r["other"]]
+        z = (x + ra.T @ ta) @ stereo.rectify(K, ra, ta, K, rb, tb)[1][2]
+        z = z[z > 1e-6]
+        near, far = np.percentile(z, [2, 98])
+        assert r["n"] == len(z) and abs(stereo._depth(r["near"]) / near - 1) < 5e-3 and abs(stereo._depth(r["far"]) / far - 1) < 1e-3
+
+
 def test_views_that_do_not_rectify_give_nothing():
     a = {"K": K, "R": np.eye(3), "t": np.zeros(3), "gray": np.zeros((H, W), np.uint8), "channels": [np.zeros((H, W))] * 3}
     b = a | {"t": np.array([-50.0, 0, 0])}
