@@ -231,6 +231,19 @@ def row_numbers(df: DataFrame, order: list[str], name: str = "__row") -> DataFra
     return ranked.join(F.broadcast(before), "__range").withColumn(name, F.col("__before") + F.col("__rank") - 1).drop("__range", "__rank", "__before")
 
 
+def running_sum(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """`df` with the sum of `value` over all rows up to each in `order`, a unique column of numbers: sums within ranges of it, and those of
+    the ranges before; no task has all rows."""
+    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    key = F.col(order).cast("double")
+    cuts = df.agg(F.percentile_approx(key, F.array(*[F.lit(k / parts) for k in range(1, parts)]), 10_000).alias("__cuts"))
+    ranged = df.crossJoin(F.broadcast(cuts)).withColumn("__range", F.size(F.filter("__cuts", lambda c: c < key))).drop("__cuts")
+    total = ranged.groupBy("__range").agg(F.sum(value).alias("__sum"))
+    before = total.select("__range", F.coalesce(F.sum("__sum").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("__before"))  # a row for each range
+    own = F.sum(value).over(W.partitionBy("__range").orderBy(order))
+    return ranged.join(F.broadcast(before), "__range").withColumn(name, F.col("__before") + own).drop("__range", "__before")
+
+
 def shuffle_prefix(df: DataFrame, n: int, seed: int = 12345, id_col: str = "point_id") -> DataFrame:
     """A uniform sample of n points: the first in the order of a hash of seed and id, a top-n that needs no full sort."""
     return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"))), id_col).limit(n)

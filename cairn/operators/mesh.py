@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.vectors import cross, norm, sub, vec
+from ..tables import staged
+from .cloud import running_sum
 
 
 def fan(polygons: DataFrame, col: str = "idx") -> DataFrame:
@@ -33,25 +35,28 @@ def face_areas(verts: DataFrame, faces: DataFrame) -> DataFrame:
     return face_corners(verts, faces).withColumn("area", F.greatest(norm(cross(sub(b, a), sub(c, a))) / 2, F.lit(1e-12)))
 
 
-def sample_surface(verts: DataFrame, faces: DataFrame, n: int = 300_000, seed: int = 1234) -> DataFrame:
-    """About n points spread over the surface by area; n is at most a million and 200 a face. Colours are interpolated.
+#: Steps of the two coordinates of points within their faces, fixed values: the powers of the number whose cube is itself plus one, inverted.
+SPREAD = (0.7548776662466927, 0.5698402909980532)
 
-    Every face gets the whole points of its share, and one more with the probability of the rest, from a hash of
-    the face: the distribution of independent draws with less variance, and no shuffle to place draws on faces.
-    A mesh without faces gives its vertices.
+
+def sample_surface(verts: DataFrame, faces: DataFrame, n: int = 300_000) -> DataFrame:
+    """(fid, k, x, y, z, ...): about n points spread over the surface by area; n is at most a million and 200 a face. Colours are interpolated.
+
+    The surface is laid out by `fid` and cut into n equal parts; point k, from 0, is in the face that has the middle of
+    part k, so every face has its share, and at a place within it that a sequence of even spread gives for k. A mesh
+    without faces gives its vertices.
     """
     count = faces.count()
     if not count:
         return verts.drop("vid")
     n = min(n, 1_000_000, max(1, 200 * count))
-    areas = face_areas(verts, faces)
+    areas = staged(running_sum(face_areas(verts, faces), "fid", "area", "upto"), "areas")
     total = areas.agg(F.sum("area").alias("total"))
-    unit = lambda *of: (F.pmod(F.xxhash64("fid", *of), F.lit(1 << 53)) + 0.5) / float(1 << 53)
-    share = areas.crossJoin(F.broadcast(total)).withColumn("share", F.lit(float(n)) * F.col("area") / F.col("total"))
-    whole = F.floor("share") + F.when(unit(F.lit(seed)) < F.col("share") - F.floor("share"), 1).otherwise(0)
-    draws = share.withColumn("whole", whole.cast("int")).where("whole > 0").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("whole"))))
-    s, t = unit(F.lit(seed + 1), F.col("k")), unit(F.lit(seed + 2), F.col("k"))
-    draws = draws.withColumn("s0", s).withColumn("t0", t).withColumn("over", F.col("s0") + F.col("t0") > 1)
-    s, t = F.when(F.col("over"), 1 - F.col("s0")).otherwise(F.col("s0")), F.when(F.col("over"), 1 - F.col("t0")).otherwise(F.col("t0"))
+    parts = areas.crossJoin(F.broadcast(total))
+    first, last = (F.ceil(v / F.col("total") * n - 0.5).cast("long") for v in (F.col("upto") - F.col("area"), F.col("upto")))
+    draws = parts.withColumns({"first": F.greatest(first, F.lit(0)), "last": F.least(last, F.lit(n)) - 1}).where("first <= last").withColumn("k", F.explode(F.sequence("first", "last")))
+    s0, t0 = (F.col("k") * step - F.floor(F.col("k") * step) for step in SPREAD)
+    over = s0 + t0 > 1
+    s, t = F.when(over, 1 - s0).otherwise(s0), F.when(over, 1 - t0).otherwise(t0)
     names = [c for c in verts.columns if c != "vid"]
     return draws.select("fid", "k", *[((1 - s - t) * F.col(f"{c}a") + s * F.col(f"{c}b") + t * F.col(f"{c}c")).alias(c) for c in names])

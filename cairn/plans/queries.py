@@ -564,7 +564,18 @@ def _mesh(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return verts, V.table(spark, sf, "customer").select(key.alias("fid"), *[(1 + key * k % 200).alias(c) for c, k in (("a", 1), ("b", 7), ("c", 13))])
 
 
-@query("sample_surface")
+SURFACE_SQL = f"""WITH {MESH_SQL},
+    area AS (SELECT fid, greatest(sqrt((uy * vz - uz * vy) ** 2 + (uz * vx - ux * vz) ** 2 + (ux * vy - uy * vx) ** 2) / 2, 1e-12) AS area FROM e),
+    laid AS (SELECT fid, area, sum(area) OVER (ORDER BY fid) AS upto, sum(area) OVER () AS total FROM area),
+    part AS (SELECT fid, CAST(greatest(ceil((upto - area) / total * 20000 - 0.5::DOUBLE), 0) AS BIGINT) AS a, CAST(least(ceil(upto / total * 20000 - 0.5::DOUBLE), 20000) AS BIGINT) AS z FROM laid),
+    draw AS (SELECT fid, unnest(range(a, z)) AS k FROM part),
+    place AS (SELECT fid, k, k * {mesh.SPREAD[0]!r}::DOUBLE - floor(k * {mesh.SPREAD[0]!r}::DOUBLE) AS s0, k * {mesh.SPREAD[1]!r}::DOUBLE - floor(k * {mesh.SPREAD[1]!r}::DOUBLE) AS t0 FROM draw),
+    w AS (SELECT fid, k, CASE WHEN s0 + t0 > 1 THEN 1 - s0 ELSE s0 END AS s, CASE WHEN s0 + t0 > 1 THEN 1 - t0 ELSE t0 END AS t FROM place)
+    SELECT fid, k, {", ".join(f"round((1 - s - t) * p.{c} + s * q.{c} + t * r.{c}, 6) + 0 AS {c}" for c in "xyz")}
+    FROM w JOIN face USING (fid) JOIN points p ON p.pid = a JOIN points q ON q.pid = b JOIN points r ON r.pid = c"""
+
+
+@query("sample_surface", SURFACE_SQL)
 def sample_surface(spark: SparkSession, sf: str) -> DataFrame:
     return mesh.sample_surface(*_mesh(spark, sf), n=20_000).select("fid", "k", *xyz())
 
