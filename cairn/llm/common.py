@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,7 +32,10 @@ def sized(df: DataFrame, name: str, rows: int = BROADCAST_ROWS, size: int = BROA
 
 
 def balanced(batches: Iterator[pa.RecordBatch], column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of record batches, each of about `most` bytes of the string column, so memory is bounded."""
+    """Slices of record batches, each of about `most` bytes of the string column, so memory is bounded.
+
+    At the end of a task free memory goes back to the system, as the worker stays for tasks that need it elsewhere.
+    """
     for batch in batches:
         at, size = 0, 0
         for row, n in enumerate(pc.binary_length(batch.column(column)).fill_null(0).to_pylist()):
@@ -40,3 +45,11 @@ def balanced(batches: Iterator[pa.RecordBatch], column: int, most: int = 8 << 20
                 at, size = row + 1, 0
         if at < batch.num_rows:
             yield batch.slice(at)
+    release()
+
+
+def release() -> None:
+    """Give free memory of Arrow's pool and of the C library back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
