@@ -245,6 +245,41 @@ def normalize_colors(spark: SparkSession, sf: str) -> DataFrame:
     return cloud.normalize_colors(line)
 
 
+@query(
+    "named_cloud",
+    f"""WITH {V.NUMBERED} SELECT point_id, {", ".join(f"round(CAST(CAST({c} AS REAL) AS DOUBLE), 6) + 0 AS {c}" for c in "xyz")}, CAST(least(r, 255) AS SMALLINT) AS r, CAST(least(g, 255) AS SMALLINT) AS g, CAST(least(b, 255) AS SMALLINT) AS b,
+    round(CAST(CAST(x / 50 AS REAL) AS DOUBLE), 6) + 0 AS opacity FROM numbered""",
+)
+def named_cloud(spark: SparkSession, sf: str) -> DataFrame:
+    """Columns under other names, in other cases and among others, to the stored types."""
+    named = {"POS_X": "x", "position_y": "y", "Pz": "z", "RED": "r", "diffuse_green": "g", "Blue": "b"}
+    df = V.cloud_numbered(spark, sf).select("point_id", *[F.col(c).alias(n) for n, c in named.items()], (F.col("x") / 50).alias("Alpha"), F.lit("x").alias("note"), F.lit(1.0).alias("nx"))
+    out = cloud.finalize(cloud.resolve_columns(df))
+    return out.select("point_id", *[r6(F.col(c).cast("double"), c) for c in ("x", "y", "z", "opacity")], "r", "g", "b")
+
+
+@query("log_scale", "SELECT p_partkey, round(CAST(CAST(greatest(exp(((p_size - 25) / 10.0::DOUBLE + p_size % 7 / 7.0::DOUBLE - p_size % 3) / 3), 1e-6) AS REAL) AS DOUBLE), 5) AS scale FROM part")
+def log_scale(spark: SparkSession, sf: str) -> DataFrame:
+    size = F.col("p_size")
+    logs = V.table(spark, sf, "part").select("p_partkey", ((size - 25) / 10).alias("s0"), (size % 7 / 7).alias("s1"), (-(size % 3)).cast("double").alias("s2"))
+    return cloud.normalize_scale(logs, ["s0", "s1", "s2"], is_log=True).select("p_partkey", (F.round(F.col("scale").cast("double"), 5) + 0.0).alias("scale"))
+
+
+@query(
+    "candidate_gates",
+    """WITH c AS (SELECT p_partkey AS track_id, k + p_size % 5 AS other, p_partkey % 97 AS feat, (p_size + k * 3) % 7 * 1.0::DOUBLE AS error_a, p_partkey % 6 * 1.0::DOUBLE AS error_b,
+    CASE WHEN p_partkey % 50 = 7 THEN 'nan'::DOUBLE ELSE p_partkey % 181 * 1.0::DOUBLE END AS angle FROM part CROSS JOIN range(3) AS t(k)),
+    good AS (SELECT * FROM c WHERE error_a < 4 AND error_b < 4 AND angle > 1.5 AND angle < 178 AND NOT isnan(angle))
+    SELECT track_id, CAST(other AS INT) AS other, feat, error_a, error_b, angle FROM good QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY other, feat) = 1""",
+)
+def candidate_gates(spark: SparkSession, sf: str) -> DataFrame:
+    """New points pass the gates of error and angle, and the lowest other image decides."""
+    key, size, k = F.col("p_partkey"), F.col("p_size"), F.col("k")
+    rows = V.table(spark, sf, "part").select("p_partkey", "p_size", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))
+    made = rows.select(key.alias("track_id"), (k + size % 5).cast("int").alias("other"), (key % 97).alias("feat"), ((size + k * 3) % 7).cast("double").alias("error_a"), (key % 6).cast("double").alias("error_b"), F.when(key % 50 == 7, float("nan")).otherwise((key % 181).cast("double")).alias("angle"))
+    return scene.first_per_track(scene.candidate_points(made, 4.0))
+
+
 @query(
     "relative_scale",
     f"WITH t AS ({ACCT}) SELECT point_id, round(greatest(0.1, least(5.0, v / greatest((SELECT median(v) FROM t), 1e-12))), 6) AS rel_scale FROM t",
