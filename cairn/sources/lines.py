@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import FloatType, LongType, StructField, StructType
 
 from . import files
@@ -24,9 +24,13 @@ SPLIT_BITS = 33
 HEAD = 8
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(n, line): the lines of one file, blank ones too, with their numbers from 0; a count of each split reaches the driver."""
-    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+def numbered_lines(spark: SparkSession, path: str, keep: Column | None = None) -> DataFrame:
+    """(n, line): the lines of a file, blank ones too, with their numbers from 0; a count of each split reaches the driver.
+
+    With `keep`, a condition on `value`, lines that do not meet it are neither given nor counted.
+    """
+    text = spark.read.text(path)
+    rows = (text if keep is None else text.where(keep)).select(F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
     split = F.shiftright("id", SPLIT_BITS)
     counts = dict(rows.groupBy(split.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect())
     before = np.concatenate([[0], np.cumsum([counts.get(s, 0) for s in range(max(counts, default=0) + 1)])]).tolist()

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.cloud import NORMAL, RGB, SYNONYMS, XYZ, normalize_colors, with_stats
 from .files import FormatError
+from .lines import numbered_lines
 
 #: Lines that the driver looks at to learn the columns.
 HEAD = 64
@@ -99,11 +100,9 @@ def read_sfm_cameras(spark: SparkSession, path: str) -> DataFrame:
 def read_sfm_images(spark: SparkSession, path: str) -> DataFrame:
     """(image_id, q array(4), t array(3), camera_id, name, points array of (u, v, point_id)) from images.txt.
 
-    Records are two lines: a pose, then observations, which may be empty, so blank lines count here. A file is
-    numbered in one task: such files are an index of photographs, not bulk data.
+    Records are two lines: a pose, then observations, which may be empty, so blank lines count here.
     """
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line_id"), F.trim("value").alias("line")).where(~F.col("line").startswith("#"))
-    numbered = lines.withColumn("n", F.row_number().over(W.orderBy("line_id")) - 1)
+    numbered = numbered_lines(spark, path, ~F.trim("value").startswith("#")).withColumn("line", F.trim("line"))
     pair = numbered.groupBy(F.floor(F.col("n") / 2).alias("k")).agg(F.max(F.when(F.col("n") % 2 == 0, F.col("line"))).alias("pose"), F.max(F.when(F.col("n") % 2 == 1, F.col("line"))).alias("seen"))
     p, s = F.split("pose", r"\s+"), F.filter(F.split(F.coalesce("seen", F.lit("")), r"\s+"), lambda v: v != "")
     pair = pair.where(F.col("pose") != "").select(p.alias("p"), s.alias("s"))

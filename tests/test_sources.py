@@ -294,6 +294,9 @@ def test_text_files_are_read_in_splits(spark, tmp_path):
             want = whole.READERS[fmt](path)
             got = made.orderBy("point_id").toPandas()
             assert got["point_id"].is_unique and all(np.array_equal(got[c].to_numpy(np.float64), want[c].astype(np.float64)) for c in "xyzrgb")
+        many = "# head\n" + "".join(f"{k} 1 0 0 0 {k} 2 3 1 {k}.jpg\n{'' if k % 3 else f'{k} 6 {k}'}\n" for k in range(1500))
+        images = text.read_sfm_images(spark, put(tmp_path, "images.txt", many)).orderBy("image_id").collect()
+        assert [(r.image_id, r.t[0], len(r.points)) for r in images] == [(k, k, int(k % 3 == 0)) for k in range(1500)]
         assert reader.read_cloud(spark, ply).where("point_id = 8").first()["x"] == 8.0 and reader.read_cloud(spark, ply, columns=["x"]).columns == ["point_id", "x"]
         assert reader.read_cloud(spark, f"{ply},{put(tmp_path, 'b.ply', head.replace('4000', '2') + '0' + chr(10) + '0' + chr(10) + chr(10).join(rows[:2]) + chr(10))}").count() == 4001
     finally:
