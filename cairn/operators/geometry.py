@@ -60,11 +60,16 @@ def _homogeneous(u: np.ndarray) -> np.ndarray:
     return np.hstack([u, np.ones((len(u), 1))])
 
 
+def _least(m: np.ndarray) -> np.ndarray:
+    """The right singular vector of the least singular value; of many rows only their triangular factor, with as few as columns, is decomposed."""
+    return np.linalg.svd(np.linalg.qr(m, mode="r") if len(m) > m.shape[1] else m)[2][-1]
+
+
 def fundamental(u1: np.ndarray, u2: np.ndarray, singular: tuple[float, ...] | None = None) -> np.ndarray:
     """The matrix F with u2' F u1 = 0 of eight or more matches; `singular` (1, 1, 0) makes it an essential one."""
     t1, t2 = _normalizer(u1), _normalizer(u2)
     a, b = _homogeneous(u1) @ t1.T, _homogeneous(u2) @ t2.T
-    f = np.linalg.svd(np.einsum("ni,nj->nij", b, a).reshape(len(a), 9))[2][-1].reshape(3, 3)
+    f = _least(np.einsum("ni,nj->nij", b, a).reshape(len(a), 9)).reshape(3, 3)
     f = t2.T @ f @ t1 if singular else f
     p, s, q = np.linalg.svd(f)
     f = p @ np.diag(singular or (s[0], s[1], 0)) @ q
@@ -263,7 +268,7 @@ def _pose_dlt(x: np.ndarray, a: np.ndarray):
     center, spread = x.mean(0), max(np.abs(x - x.mean(0)).max(), 1e-12)
     h = _homogeneous((x - center) / spread)
     zero = np.zeros_like(h)
-    m = np.linalg.svd(np.vstack([np.hstack([h, zero, -a[:, :1] * h]), np.hstack([zero, h, -a[:, 1:] * h])]))[2][-1].reshape(3, 4)
+    m = _least(np.vstack([np.hstack([h, zero, -a[:, :1] * h]), np.hstack([zero, h, -a[:, 1:] * h])])).reshape(3, 4)
     u, s, v = np.linalg.svd(m[:, :3])
     if s[2] < 1e-9 * s[0]:
         return None
@@ -317,6 +322,11 @@ def absolute_pose(k: np.ndarray, x: np.ndarray, u: np.ndarray, limit: float, see
 # Operators
 
 
+def dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """`rows` in the session's number of partitions by `by`: groups that are small but long to solve are not put together in few tasks."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), *by)
+
+
 def verify_pairs(matches: DataFrame, features: DataFrame, limit: float = 4.0, least: int = 8, seed: int = 42) -> DataFrame:
     """Matches (i, j, fi, fj) that fit their pair's fundamental matrix; pairs with fewer than `least` inliers go.
 

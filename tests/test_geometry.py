@@ -171,3 +171,17 @@ def test_verified_matches_of_all_pairs(spark):
 
     rows = QUERIES["verified_matches"](spark, "/root/testdata/sf0.01").collect()
     assert len(rows) >= 7 and all(r["recall"] > 0.95 and r["precision"] > 0.9 and r["both"] > 0.95 * max(r["kept_4"], r["kept_8"]) for r in rows)
+
+
+def test_many_points_are_solved_in_little_memory():
+    # A full decomposition would hold the square of twice the points: 1.3 TB here.
+    rng = np.random.default_rng(5)
+    x = rng.uniform(-1, 1, (200_000, 3))
+    r, t = G.rotation(np.array([0.1, -0.2, 0.05])), np.array([0.1, 0.0, 6.0])
+    k = np.array([[800.0, 0, 320], [0, 800, 240], [0, 0, 1]])
+    c, d = x @ r.T + t, x + [0, 0, 6.0]
+    u, v = (p[:, :2] / p[:, 2:] * 800 + [320, 240] for p in (c, d))
+    got_r, got_t, mask = G.absolute_pose(k, x, u, 4.0)
+    assert mask.all() and np.allclose(got_r, r, atol=1e-9) and np.allclose(got_t.ravel(), t, atol=1e-8)
+    f = G.fundamental(v, u)
+    assert G.sampson(f, v, u).max() < 1e-6
