@@ -25,6 +25,8 @@ PAIRS = 1 << 16
 OWN = 96
 #: Sums of all: focal diagonal, gradient and their corrections, cost, observations in front, their squared errors.
 ALL = 7
+#: A step that moves cameras by less than this and helps nothing is the last.
+STILL = 1e-13
 
 
 @dataclass
@@ -122,6 +124,29 @@ def _by_key(key: np.ndarray, values: np.ndarray) -> dict[int, np.ndarray]:
     return dict(zip(found.tolist(), np.add.reduceat(values[order], first), strict=True)) if len(key) else {}
 
 
+def _paired(n: int, cam: np.ndarray, point: np.ndarray, count: np.ndarray, left: np.ndarray, right: np.ndarray) -> dict[int, np.ndarray]:
+    """Sums of left times right transposed over the pairs of observations of one point, by i * n + j of their cameras i <= j."""
+    start = np.cumsum(count) - count
+    a = np.repeat(np.arange(len(cam)), count[point])
+    b = start[point[a]] + np.arange(len(a)) - np.repeat(np.cumsum(count[point]) - count[point], count[point])
+    keep = cam[a] <= cam[b]
+    a, b = a[keep], b[keep]
+    return _by_key(cam[a] * n + cam[b], (left[a] @ np.swapaxes(right[b], 1, 2)).reshape(-1, 36))
+
+
+def _dense(n: int, cam: np.ndarray, point: np.ndarray, m: int, left: np.ndarray, right: np.ndarray) -> dict[int, np.ndarray]:
+    """The same where most cameras see most points: one product of matrices with a place for each camera and point."""
+    x, y = np.zeros((n, m, 6, 3)), np.zeros((n, m, 6, 3))
+    np.add.at(x, (cam, point), left)
+    np.add.at(y, (cam, point), right)
+    wide = [np.ascontiguousarray(v.transpose(0, 2, 1, 3)).reshape(6 * n, 3 * m) for v in (x, y)]
+    made = (wide[0] @ wide[1].T).reshape(n, 6, n, 6)
+    seen = np.zeros((n, m), bool)
+    seen[cam, point] = True
+    met = seen.astype(np.float32) @ seen.T.astype(np.float32)
+    return {i * n + j: made[i, :, j].ravel() for i in range(n) for j in range(i, n) if met[i, j]}
+
+
 def sums(cams: Cameras, seen: Seen, damp: float, huber: float, refine_focal: bool) -> dict[tuple[int, int], np.ndarray]:
     """What these points add to the reduced system, by camera numbers i <= j; under (-1, -1) the sums of all."""
     n, out, total = len(cams.names), {}, np.zeros(ALL)
@@ -129,13 +154,8 @@ def sums(cams: Cameras, seen: Seen, damp: float, huber: float, refine_focal: boo
         s = linear(cams, part, damp, huber, refine_focal)
         cam, point, turned = part.cam, part.point, np.swapaxes(s.jp, 1, 2)
         count = np.bincount(point, minlength=len(part.x))
-        start = np.cumsum(count) - count
-        a = np.repeat(np.arange(len(cam)), count[point])
-        b = start[point[a]] + np.arange(len(a)) - np.repeat(np.cumsum(count[point]) - count[point], count[point])
-        keep = cam[a] <= cam[b]
-        a, b = a[keep], b[keep]
         left = s.hpx @ s.inv[point]
-        blocks = _by_key(cam[a] * n + cam[b], (left[a] @ np.swapaxes(s.hpx[b], 1, 2)).reshape(-1, 36))
+        blocks = _dense(n, cam, point, len(part.x), left, s.hpx) if n * n * len(part.x) <= 2 * (count**2).sum() else _paired(n, cam, point, count, left, s.hpx)
         own = _by_key(cam, np.concatenate([
             (turned @ (s.w * s.jp)).reshape(-1, 36), (turned @ (s.w * s.e[:, :, None]))[:, :, 0], (left @ s.gx[point][:, :, None])[:, :, 0],
             (turned @ (s.w * s.jf))[:, :, 0], (left @ s.hfx[point][:, :, None])[:, :, 0],
@@ -214,6 +234,8 @@ def levenberg(cams: Cameras, state, build: Callable, advance: Callable, drop: Ca
                 cams, state, parts, damp = moved, later, new, less
                 break
             drop(later)
+            if np.abs(step).max() <= STILL * max(1.0, np.abs(cams.t).max()):
+                break  # cameras are where rounding leaves them: a shorter step does not help either
             damp *= 5
             parts = build(cams, state, damp)
         if not better or gain < ftol:
@@ -267,7 +289,9 @@ def adjust_scene(intrinsics: dict[int, np.ndarray], poses: dict[int, tuple[np.nd
     rows = points.select("track_id", *[F.col(c).cast("double").alias(c) for c in "xyz"]).join(own, "track_id", "left")
     lists = [F.coalesce(F.col("o").getField(c).cast(f"array<{t}>"), F.array().cast(f"array<{t}>")).alias(c) for c, t in (("img", "int"), ("u", "double"), ("v", "double"))]
     schema = f"track_id {kind}, x double, y double, z double, img array<int>, u array<double>, v array<double>"
-    table = staged(rows.where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL").select("track_id", *"xyz", *lists), "bundle")
+    # Every step works on all files: they are dealt for the cores, not by their bytes.
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    table = staged(rows.where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL").select("track_id", *"xyz", *lists).repartition(parts, "track_id"), "bundle")
 
     def build(cams: Cameras, table: DataFrame, damp: float) -> dict[tuple[int, int], np.ndarray]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

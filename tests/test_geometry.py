@@ -185,3 +185,14 @@ def test_many_points_are_solved_in_little_memory():
     assert mask.all() and np.allclose(got_r, r, atol=1e-9) and np.allclose(got_t.ravel(), t, atol=1e-8)
     f = G.fundamental(v, u)
     assert G.sampson(f, v, u).max() < 1e-6
+
+
+def test_dense_and_paired_sums_are_the_same():
+    rng = np.random.default_rng(9)
+    n, m = 4, 30
+    cam, point = rng.integers(0, n - 1, 90), np.sort(rng.integers(0, m, 90))  # some twice, the last camera never
+    left = rng.normal(size=(90, 6, 3))
+    right = left @ np.diag([1.0, 2.0, 3.0])  # symmetric, as in the Schur complement
+    a = adjust._paired(n, cam, point, np.bincount(point, minlength=m), left, right)
+    b = adjust._dense(n, cam, point, m, left, right)
+    assert a.keys() == b.keys() and all(np.allclose(a[k], b[k], atol=1e-12) for k in a)
