@@ -382,3 +382,14 @@ def test_place_scores_are_means_of_neighbours(spark, monkeypatch):
     few = {r.point_id: r.mean_d for r in neighbors.outlier_scores(df.where("point_id < 3"), 5).collect()}
     small = np.where(np.isinf(d[:3, :3]), 0, d[:3, :3]).sum(1) / 2
     assert max(abs(few[n] - small[n]) for n in range(3)) < 1e-9
+
+
+def test_rows_of_the_blocked_product_do_not_grow_with_blocks(spark):
+    # 40 blocks of an image meet each block of the other: two rows a feature and task, not two for each of 40.
+    rng = np.random.default_rng(2)
+    f = spark.createDataFrame([(n % 2, n, rng.integers(0, 3, 4).astype(float).tolist()) for n in range(400)] + [(2, 1000, [0.0] * 4)], "img int, feat long, desc array<double>")
+    key = lambda r: (r.img, r.feat, r.other, round(r.d1, 9), round(r.d2, 9), r.nearest)
+    assert sorted(map(key, matching.nearest_two_blocked(f, block=5).collect())) == sorted(map(key, matching.nearest_two(f).collect()))
+    x, y = rng.normal(size=(9, 4)), rng.normal(size=(1, 4))
+    feat, d = matching._two_of(x, y, np.array([7]))
+    assert (feat[:, 0] == 7).all() and (feat[:, 1] == matching.NONE).all() and np.isnan(d[:, 1]).all()
