@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.cloud import NORMAL, RGB, XYZ, row_numbers
@@ -63,6 +66,47 @@ def write_ply(df: DataFrame, path: str, order: list[str], binary: bool = True) -
     return total
 
 
+def write_ply_parts(df: DataFrame, folder: str, binary: bool = True) -> int:
+    """A folder of PLY files of at most PART points, each written by the task that has them; returns how many points.
+
+    Nothing passes through the driver, and a task holds one file. A task that runs again writes the same names.
+    """
+    normals, colors = set(NORMAL) <= set(df.columns), set(RGB) <= set(df.columns)
+    names = [*XYZ, *(NORMAL if normals else ()), *(RGB if colors else ())]
+    rows = df.select(*[F.col(c).cast("double" if c not in RGB else "int").alias(c) for c in names])
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, where = locate(folder)
+        system.create_dir(where, recursive=True)
+        held, n, number = [], 0, 0
+
+        def flush() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            with system.open_output_stream(f"{where}/part-{TaskContext.get().partitionId():05d}-{number:05d}.ply") as f:
+                f.write(header(n, normals, colors, binary))
+                f.write(encode({c: table.column(c).to_numpy() for c in names}, normals, colors, binary))
+            return pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, PART):
+                part = batch.slice(at, PART)
+                if held and n + part.num_rows > PART:
+                    yield flush()
+                    held, n, number = [], 0, number + 1
+                held.append(part)
+                n += part.num_rows
+        if n:
+            yield flush()
+
+    total = rows.mapInArrow(put, "n long").agg(F.sum("n")).first()[0] or 0
+    if not total:  # a cloud without points is a file with a header
+        system, where = locate(folder)
+        system.create_dir(where, recursive=True)
+        with system.open_output_stream(f"{where}/part-00000-00000.ply") as f:
+            f.write(header(0, normals, colors, binary))
+    return total
+
+
 def write_cloud(df: DataFrame, path: str, order: list[str], binary: bool = True) -> int:
     if extension(path) != ".ply":
         raise FormatError("clouds are written as .ply only")

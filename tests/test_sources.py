@@ -301,3 +301,14 @@ def test_text_files_are_read_in_splits(spark, tmp_path):
         assert reader.read_cloud(spark, f"{ply},{put(tmp_path, 'b.ply', head.replace('4000', '2') + '0' + chr(10) + '0' + chr(10) + chr(10).join(rows[:2]) + chr(10))}").count() == 4001
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_ply_parts_pass_no_bytes_through_the_driver(spark, tmp_path):
+    from cairn.sources import read_cloud, writer
+
+    df = spark.range(1000).selectExpr("cast(id AS double) AS x", "cast(id * 2 AS double) AS y", "1.5D AS z", "cast(id % 256 AS int) AS r", "1 AS g", "2 AS b").repartition(3)
+    assert writer.write_ply_parts(df, str(tmp_path / "parts")) == 1000
+    back = read_cloud(spark, str(tmp_path / "parts"))
+    assert sorted((r.x, r.y, r.z, r.r, r.g, r.b) for r in back.collect()) == [(n, 2 * n, 1.5, n % 256, 1, 2) for n in range(1000)]
+    assert len(list((tmp_path / "parts").glob("*.ply"))) == 3
+    assert writer.write_ply_parts(df.limit(0), str(tmp_path / "none")) == 0 and read_cloud(spark, str(tmp_path / "none")).count() == 0
