@@ -36,6 +36,8 @@ SYNONYMS = {
 
 #: Accuracy of the sketches that bracket a percentile; rows up to which the bracket is all of them.
 SKETCH, FEW = 10_000, 100_000
+#: Cuts of ranges that are skipped at once.
+WIDE = 16
 
 
 def resolve_columns(df: DataFrame) -> DataFrame:
@@ -216,15 +218,26 @@ def stride_sample(df: DataFrame, step: int | Column, order: list[str]) -> DataFr
     return numbered.where(F.col("__row") % (F.lit(step) if isinstance(step, int) else step) == 0).drop("__row")
 
 
+def _cuts(df: DataFrame, value: Column, parts: int) -> DataFrame:
+    """One row: about the `parts` - 1 percentiles of `value` that cut it into even ranges, and every WIDE-th of them."""
+    cuts = df.agg(F.percentile_approx(value, F.array(*[F.lit(k / parts) for k in range(1, parts)]), 10_000).alias("__cuts"))
+    return cuts.withColumn("__wide", F.filter("__cuts", lambda c, i: i % WIDE == WIDE - 1))
+
+
+def _ranged(df: DataFrame, value: Column, parts: int) -> DataFrame:
+    """`df` with __range, the number of cuts below `value`: every WIDE-th is compared, then those between two of them."""
+    start = F.size(F.filter("__wide", lambda c: c < value)) * WIDE
+    number = start + F.size(F.filter(F.slice("__cuts", start + 1, WIDE), lambda c: c < value))
+    return df.crossJoin(F.broadcast(_cuts(df, value, parts))).withColumn("__range", number).drop("__cuts", "__wide")
+
+
 def row_numbers(df: DataFrame, order: list[str], name: str = "__row") -> DataFrame:
     """Numbers from 0 in `order`, which must be unique: ranks within hashed ranges plus the counts of the ranges before.
 
     Ranges are cut at percentiles of the first column of `order`; equal values of it stay together.
     """
     parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    cuts = df.agg(F.percentile_approx(F.col(order[0]).cast("double"), F.array(*[F.lit(k / parts) for k in range(1, parts)]), 10_000).alias("cuts"))
-    value = F.col(order[0]).cast("double")
-    ranged = df.crossJoin(F.broadcast(cuts)).withColumn("__range", F.size(F.filter("cuts", lambda c: c < value))).drop("cuts")
+    ranged = _ranged(df, F.col(order[0]).cast("double"), parts)
     counts = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("n"))
     before = counts.withColumn("__before", F.coalesce(F.sum("n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
     ranked = ranged.withColumn("__rank", F.row_number().over(W.partitionBy("__range").orderBy(*order)))
@@ -235,9 +248,7 @@ def running_sum(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
     """`df` with the sum of `value` over all rows up to each in `order`, a unique column of numbers: sums within ranges of it, and those of
     the ranges before; no task has all rows."""
     parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    key = F.col(order).cast("double")
-    cuts = df.agg(F.percentile_approx(key, F.array(*[F.lit(k / parts) for k in range(1, parts)]), 10_000).alias("__cuts"))
-    ranged = df.crossJoin(F.broadcast(cuts)).withColumn("__range", F.size(F.filter("__cuts", lambda c: c < key))).drop("__cuts")
+    ranged = _ranged(df, F.col(order).cast("double"), parts)
     total = ranged.groupBy("__range").agg(F.sum(value).alias("__sum"))
     before = total.select("__range", F.coalesce(F.sum("__sum").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("__before"))  # a row for each range
     own = F.sum(value).over(W.partitionBy("__range").orderBy(order))

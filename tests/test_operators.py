@@ -393,3 +393,12 @@ def test_rows_of_the_blocked_product_do_not_grow_with_blocks(spark):
     x, y = rng.normal(size=(9, 4)), rng.normal(size=(1, 4))
     feat, d = matching._two_of(x, y, np.array([7]))
     assert (feat[:, 0] == 7).all() and (feat[:, 1] == matching.NONE).all() and np.isnan(d[:, 1]).all()
+
+
+def test_ranges_compare_few_cuts(spark):
+    df = spark.range(3000).selectExpr("id", "cast(pmod(hash(id), 700) AS double) AS v")
+    parts = 100
+    cuts = cloud._cuts(df, F.col("v"), parts).first()
+    assert len(cuts["__wide"]) == (parts - 1) // cloud.WIDE
+    got = cloud._ranged(df, F.col("v"), parts).select("v", "__range").distinct().collect()
+    assert all(r["__range"] == sum(c < r.v for c in cuts["__cuts"]) for r in got) and len({r["__range"] for r in got}) > parts - 5
