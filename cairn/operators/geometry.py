@@ -118,6 +118,8 @@ REACH = 3.64
 INLIER, LEAST_NOISE = 3.0, 0.05
 #: Samples solved at once, and in all; chance to have drawn a clean one.
 SAMPLES, ROUNDS, CONFIDENCE = 256, 8192, 0.9999
+#: Matches that models of samples are compared on before those that are behind go, and ranges of residuals for that.
+SLICE, LEVELS = 256, 4096
 #: Steps of reweighted fits after a model that beats all before, and at the end.
 POLISH, FINISH = 4, 20
 
@@ -141,17 +143,25 @@ def _marginal() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return r, weight / weight[0], loss / loss[-1]
 
 
+@lru_cache(maxsize=1)
+def _least_loss() -> np.ndarray:
+    """The loss at the lower ends of LEVELS equal ranges of squared residuals, in units of the largest noise, and one beyond them."""
+    r, _, loss = _marginal()
+    return np.append(np.interp(np.sqrt(np.arange(LEVELS) * (REACH**2 / LEVELS)), r, loss), 1.0)
+
+
 def _sampled(u1: np.ndarray, u2: np.ndarray, picks: np.ndarray) -> np.ndarray:
     """Fundamental matrices (b, 3, 3) of samples (b, 8) of normalised matches."""
     a, b = _homogeneous(u1)[picks], _homogeneous(u2)[picks]
-    f = np.linalg.svd(np.einsum("bni,bnj->bnij", b, a).reshape(len(picks), -1, 9))[2][:, -1].reshape(-1, 3, 3)
+    # What eight equations leave is the last column of the orthogonal factor.
+    f = np.linalg.qr((b[:, :, :, None] * a[:, :, None, :]).reshape(len(picks), -1, 9).transpose(0, 2, 1), mode="complete")[0][:, :, -1].reshape(-1, 3, 3)
     p, s, q = np.linalg.svd(f)
     s[:, 2] = 0
     return (p * s[:, None, :]) @ q
 
 
 def _weighted(u1: np.ndarray, u2: np.ndarray, w: np.ndarray) -> np.ndarray:
-    f = np.linalg.svd(np.einsum("ni,nj->nij", _homogeneous(u2), _homogeneous(u1)).reshape(len(u1), 9) * np.sqrt(w)[:, None], full_matrices=False)[2][-1].reshape(3, 3)
+    f = _least((_homogeneous(u2)[:, :, None] * _homogeneous(u1)[:, None, :]).reshape(len(u1), 9) * np.sqrt(w)[:, None]).reshape(3, 3)
     p, s, q = np.linalg.svd(f)
     return p @ np.diag([s[0], s[1], 0]) @ q
 
@@ -207,12 +217,40 @@ def fundamental_ransac(u1: np.ndarray, u2: np.ndarray, limit: float, seed: int)
                 found, least = f, now
         return found, least
 
+    # Terms of the constraint, and of its gradients' squares, for products with many models at once.
+    mixed = (_homogeneous(b)[:, :, None] * _homogeneous(a)[:, None, :]).reshape(n, 9)
+    squares = np.hstack([np.stack([x * x, x * y, y * y, x, y, np.ones(n)], axis=1) for x, y in (a.T, b.T)])
+
+    def ahead(models: np.ndarray) -> np.ndarray:
+        """Which models may have less than the least loss so far: the others exceed it by lower bounds over the first matches already."""
+        grads = []
+        for lines, scale in ((models[:, :2], t2[0, 0]), (models.transpose(0, 2, 1)[:, :2], t1[0, 0])):
+            p, q, c = (lines[:, :, k] * scale for k in range(3))
+            grads += [(v * w).sum(1) * m for v, w, m in ((p, p, 1), (p, q, 2), (q, q, 1), (p, c, 2), (q, c, 2), (c, c, 1))]
+        flat, grads, table = models.reshape(-1, 9).T, np.stack(grads), _least_loss()
+        left, so_far = np.arange(len(models)), np.zeros(len(models))
+        for at in range(0, n if np.isfinite(cost) else 0, SLICE):
+            level = mixed[at : at + SLICE] @ flat[:, left]
+            level *= level
+            level /= np.maximum(squares[at : at + SLICE] @ grads[:, left], 1e-24)
+            level *= LEVELS / limit**2
+            so_far = so_far + table[np.minimum(level, LEVELS).astype(np.int32)].sum(0)
+            keep = so_far < cost * (1 + 1e-9)
+            left, so_far = left[keep], so_far[keep]
+            if not len(left):
+                break
+        return left
+
     while drawn < min(need, ROUNDS):
         # Eight different ones of n: the least eight of random keys would cost n a sample, so repeats are drawn again.
         picks = rng.integers(0, n, (SAMPLES, 8))
         picks = picks[[len({*row}) == 8 for row in picks.tolist()]] if n > 8 else np.arange(8)[None]
-        for f in _sampled(a, b, picks) if len(picks) else ():
-            if (now := total(error(f))) < cost:
+        models = _sampled(a, b, picks) if len(picks) else np.zeros((0, 3, 3))
+        # A few at first, so that most are compared with a loss that is not the first one's.
+        for some in (models[:4], models[4:32], models[32:]):
+            for f in some[ahead(some)]:
+                if (now := total(error(f))) >= cost:
+                    continue
                 f, now = polished(f, POLISH)
                 best, cost = f, now
                 share = min(noise_inliers(error(f), limit).mean() ** 8, 1 - 1e-12)

@@ -196,3 +196,22 @@ def test_dense_and_paired_sums_are_the_same():
     a = adjust._paired(n, cam, point, np.bincount(point, minlength=m), left, right)
     b = adjust._dense(n, cam, point, m, left, right)
     assert a.keys() == b.keys() and all(np.allclose(a[k], b[k], atol=1e-12) for k in a)
+
+
+def test_few_models_are_compared_on_all_matches(monkeypatch):
+    # Thousands of samples are drawn for half wrong matches; most are behind the best so far on the first matches.
+    rng = np.random.default_rng(3)
+    x = rng.uniform(-1, 1, (2000, 3))
+    r, t = G.rotation(np.array([0.02, 0.12, 0.01])), np.array([0.1, 0.0, 6.0])
+    u, v = (p[:, :2] / p[:, 2:] * 800 + [320, 240] + rng.normal(0, 0.5, (2000, 2)) for p in (x + [0, 0, 6.0], x @ r.T + t))
+    bad = rng.random(2000) < 0.5
+    v[bad] = v[bad][rng.permutation(bad.sum())]
+    whole, sampson = [], G.sampson
+    monkeypatch.setattr(G, "sampson", lambda f, a, b: (whole.append(len(a)), sampson(f, a, b))[1])
+    _, mask = G.fundamental_ransac(u, v, 4.0, 7)
+    assert mask[~bad].mean() > 0.98 and mask[bad].mean() < 0.05
+    assert sum(whole) < 300 * 2000
+    # The bound of a loss is never above it.
+    weights, loss = G._marginal()[0], G._marginal()[2]
+    e = rng.uniform(0, 5, 10_000)
+    assert (G._least_loss()[np.minimum(e**2 * G.LEVELS / G.REACH**2, G.LEVELS).astype(int)] <= np.interp(e, weights, loss) + 1e-12).all()
