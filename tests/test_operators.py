@@ -438,3 +438,10 @@ def test_index_asks_for_both_of_the_two_nearest(spark):
     made = index.build(f)
     rows = index.recall(matching.nearest_two_blocked(f), index.search(made, f)).collect()
     assert made.recall >= 0.95 and np.mean([r["second"] for r in rows]) > 0.935
+
+
+def test_blocks_of_an_image_lie_together(spark):
+    # A feature has two rows for each group that holds another image's blocks, so these must not be strewn over all groups.
+    f = features(spark, [40, 40, 40, 40])
+    blocks = matching._blocks(f, 4).withColumn("group", F.spark_partition_id())
+    assert max(r["n"] for r in blocks.groupBy("img").agg(F.countDistinct("group").alias("n")).collect()) <= 5
