@@ -445,3 +445,12 @@ def test_blocks_of_an_image_lie_together(spark):
     f = features(spark, [40, 40, 40, 40])
     blocks = matching._blocks(f, 4).withColumn("group", F.spark_partition_id())
     assert max(r["n"] for r in blocks.groupBy("img").agg(F.countDistinct("group").alias("n")).collect()) <= 5
+
+
+def test_matches_of_both_directions_come_from_one_product(spark):
+    f = features(spark, [40, 30, 20])
+    found = matching.match_all(f, 0.9)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, matching.match_all(f, 0.9, blocked=False).collect())) != []
+    one_way = spark.createDataFrame([(0, 1, 1, 5), (1, 5, 0, 1), (0, 2, 1, 6), (1, 7, 0, 3), (2, 9, 0, None)], "img int, feat long, other int, ofeat long")
+    assert [tuple(r) for r in matching.mutual_matches(one_way).collect()] == [(0, 1, 1, 5)]
