@@ -454,3 +454,27 @@ def test_matches_of_both_directions_come_from_one_product(spark):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, matching.match_all(f, 0.9, blocked=False).collect())) != []
     one_way = spark.createDataFrame([(0, 1, 1, 5), (1, 5, 0, 1), (0, 2, 1, 6), (1, 7, 0, 3), (2, 9, 0, None)], "img int, feat long, other int, ofeat long")
     assert [tuple(r) for r in matching.mutual_matches(one_way).collect()] == [(0, 1, 1, 5)]
+
+
+def test_later_blocks_are_searched_below_the_second_best(spark):
+    # Rows that have two look only at what may be as near: the result is that of all blocks at once, ties and copies included.
+    rng = np.random.default_rng(9)
+    for make in (lambda n: rng.normal(size=(n, 9)), lambda n: rng.integers(0, 2, (n, 4)).astype(float), lambda n: 1e8 + rng.integers(0, 3, (n, 3))):
+        x, y = make(300), make(700)
+        fa, fb = rng.permutation(300), rng.permutation(700)
+        bests = [matching._no_two(300), matching._no_two(700)]
+        for at in range(0, 700, 100):
+            for k in range(0, 300, 60):
+                some = [tuple(v[k : k + 60] for v in bests[0]), tuple(v[at : at + 100] for v in bests[1])]
+                matching._meet(x[k : k + 60], y[at : at + 100], fb[at : at + 100], fa[k : k + 60], some)
+        for got, want in zip(bests, (matching._two_plain(x, y, fb), matching._two_plain(y, x, fa)), strict=True):
+            assert (got[0] == want[0]).all() and np.array_equal(got[1], want[1])
+
+
+def test_a_block_has_one_row_for_an_image(spark):
+    # Not two for each feature: 3 images of 40 features in blocks of 2048 are 6 pairs of a block and an image.
+    plan = matching.nearest_two_blocked(features(spark, [40, 40, 40]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "FlatMapGroupsInArrow" in plan
+    twice = spark.createDataFrame([(k % 2, k // 4, [float(k), 1.0]) for k in range(24)], "img int, feat long, desc array<double>")  # two rows have the same feature
+    key = lambda r: (r.img, r.feat, r.other, r.d1, r.d2, r.nearest)
+    assert sorted(map(key, matching.nearest_two_blocked(twice, block=3).collect())) == sorted(map(key, matching.nearest_two(twice).collect()))
