@@ -286,7 +286,7 @@ def adjust_scene(intrinsics: dict[int, np.ndarray], poses: dict[int, tuple[np.nd
     kind = points.select("track_id").dtypes[0][1]
     cams = Cameras.of(intrinsics, poses)
     own = observations.where(F.col("img").isin([int(c) for c in cams.names])).groupBy("track_id").agg(F.collect_list(F.struct("img", "u", "v")).alias("o"))
-    rows = points.select("track_id", *[F.col(c).cast("double").alias(c) for c in "xyz"]).join(own, "track_id", "left")
+    rows = points.select("track_id", *[F.col(c).cast("double").alias(c) for c in "xyz"]).join(own.hint("merge"), "track_id", "left")
     lists = [F.coalesce(F.col("o").getField(c).cast(f"array<{t}>"), F.array().cast(f"array<{t}>")).alias(c) for c, t in (("img", "int"), ("u", "double"), ("v", "double"))]
     schema = f"track_id {kind}, x double, y double, z double, img array<int>, u array<double>, v array<double>"
     # Every step works on all files: they are dealt for the cores, not by their bytes.

@@ -279,25 +279,52 @@ def fundamental_ransac(u1: np.ndarray, u2: np.ndarray, limit: float, seed: int)
     return t2.T @ best @ t1, mask
 
 
+def normalized(k: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Pixels as places in the plane at depth one."""
+    return ((u - [k[0, 2], k[1, 2]]) / [k[0, 0], k[1, 1]]).astype(float)
+
+
+def depths(r: np.ndarray, t: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Depths in two cameras, the first at the origin, at which the rays of normalised places come nearest to each other."""
+    p, q = _homogeneous(a) @ r.T, _homogeneous(b)
+    pp, qq, pq, pt, qt = (p * p).sum(1), (q * q).sum(1), (p * q).sum(1), p @ t, q @ t
+    det = np.maximum(pp * qq - pq * pq, 1e-24)
+    return (pq * qt - qq * pt) / det, (pp * qt - pq * pt) / det
+
+
+def motions(e: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The four (R, t) of an essential matrix."""
+    p, _, q = np.linalg.svd(e)
+    p, q = p * np.sign(np.linalg.det(p)), q * np.sign(np.linalg.det(q))
+    turn = np.array([[0.0, -1, 0], [1, 0, 0], [0, 0, 1]])
+    return [(r, t) for r in (p @ turn @ q, p @ turn.T @ q) for t in (p[:, 2], -p[:, 2])]
+
+
+def motion_inliers(k1: np.ndarray, k2: np.ndarray, r: np.ndarray, t: np.ndarray, u1: np.ndarray, u2: np.ndarray, limit: float) -> np.ndarray:
+    """Matches that fit the motion from one camera to another within `limit` pixels, and are in front of both."""
+    a, b = normalized(k1, u1), normalized(k2, u2)
+    e = np.array([[0, -t[2], t[1]], [t[2], 0, -t[0]], [-t[1], t[0], 0]]) @ r
+    z1, z2 = depths(r, t, a, b)
+    return (sampson(e, a, b) * (k1[0, 0] + k2[0, 0]) / 2 < limit) & (z1 > 0) & (z2 > 0)
+
+
+def motion_angles(k1: np.ndarray, k2: np.ndarray, r: np.ndarray, t: np.ndarray, u1: np.ndarray, u2: np.ndarray) -> np.ndarray:
+    """Degrees at which the points of matches are seen from the two cameras."""
+    return angles(np.zeros(3), -r.T @ t, triangulate(projection(k1, np.eye(3), np.zeros(3)), projection(k2, r, t), u1, u2))
+
+
 def relative_pose(k1: np.ndarray, k2: np.ndarray, u1: np.ndarray, u2: np.ndarray, limit: float, seed: int = 42):
     """(R, t, inlier mask) of the second camera beside one at the origin; R is None without a solution."""
-    a = ((u1 - [k1[0, 2], k1[1, 2]]) / [k1[0, 0], k1[1, 1]]).astype(float)
-    b = ((u2 - [k2[0, 2], k2[1, 2]]) / [k2[0, 0], k2[1, 1]]).astype(float)
+    a, b = normalized(k1, u1), normalized(k2, u2)
     scale = (k1[0, 0] + k2[0, 0]) / 2
     e, mask = consensus(len(a), 8, seed, lambda i: fundamental(a[i], b[i], (1.0, 1.0, 0.0)), lambda m: sampson(m, a, b) * scale, limit)
-    if e is None or mask.sum() < 8:
-        return None, None, np.zeros(len(a), bool)
-    p, _, q = np.linalg.svd(e)
-    p, q = p * np.sign(np.linalg.det(p)), q * np.sign(np.linalg.det(q))
-    turn = np.array([[0.0, -1, 0], [1, 0, 0], [0, 0, 1]])
-    first = np.hstack([np.eye(3), np.zeros((3, 1))])
     best = (None, None, np.zeros(len(a), bool))
-    for r in (p @ turn @ q, p @ turn.T @ q):
-        for t in (p[:, 2], -p[:, 2]):
-            x = triangulate(first, np.hstack([r, t[:, None]]), a, b)
-            front = mask & (x[:, 2] > 0) & ((x @ r.T + t)[:, 2] > 0)
-            if front.sum() > best[2].sum():
-                best = (r, t, front)
+    if e is None or mask.sum() < 8:
+        return best
+    for r, t in motions(e):
+        front = motion_inliers(k1, k2, r, t, u1, u2, limit)
+        if front.sum() > best[2].sum():
+            best = (r, t, front)
     return best
 
 

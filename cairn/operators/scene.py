@@ -38,8 +38,8 @@ def tracks_without_point(tracks: DataFrame, points: DataFrame) -> DataFrame:
 
 def observation_errors(points: DataFrame, tracks: DataFrame, features: DataFrame | None, cameras: DataFrame) -> DataFrame:
     """(pid, img, feat, error): reprojection error of each observation in a registered image; without `features`, `tracks` has u and v."""
-    rows = points.select("pid", "track_id", "x", "y", "z").join(tracks, "track_id")
-    rows = (rows.join(features.select("img", "feat", "u", "v"), ["img", "feat"]) if features is not None else rows).join(cameras, "img")
+    rows = points.select("pid", "track_id", "x", "y", "z").join(tracks.hint("merge"), "track_id")
+    rows = (rows.join(features.select("img", "feat", "u", "v").hint("merge"), ["img", "feat"]) if features is not None else rows).join(F.broadcast(cameras), "img")
     error = C.reprojection_error(*[F.col(c) for c in CAMERA], vec("x", "y", "z"), F.col("u"), F.col("v"))
     return rows.select("pid", "img", "feat", error.alias("error"))
 

@@ -27,10 +27,10 @@ def roots(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # Large star.
         both = links.select(F.col("hi").alias("at"), F.col("lo").alias("to")).union(links.select(F.col("lo").alias("at"), F.col("hi").alias("to")))
         least = both.groupBy("at").agg(F.min("to").alias("min_to")).select("at", F.least("at", "min_to").alias("root"))
-        raised = both.join(least, "at").where("to > at").select(F.col("to").alias("hi"), F.col("root").alias("lo")).where("hi <> lo").distinct()
+        raised = both.join(least.hint("merge"), "at").where("to > at").select(F.col("to").alias("hi"), F.col("root").alias("lo")).where("hi <> lo").distinct()
         # Small star.
         lowest = raised.groupBy("hi").agg(F.min("lo").alias("root"))
-        moved = raised.join(lowest, "hi").where("lo > root").select(F.col("lo").alias("hi"), F.col("root").alias("lo"))
+        moved = raised.join(lowest.hint("merge"), "hi").where("lo > root").select(F.col("lo").alias("hi"), F.col("root").alias("lo"))
         before, links = links, staged(moved.union(lowest.select("hi", F.col("root").alias("lo"))).distinct(), "links")
         discard(before)
 
@@ -38,7 +38,7 @@ def roots(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the least node reachable, for every node of `edges`."""
     nodes = edges.select(F.col(a).alias("node")).union(edges.select(F.col(b).alias("node"))).where("node IS NOT NULL").distinct()
-    return nodes.join(roots(edges, a, b), "node", "left").select("node", F.coalesce("root", "node").alias("component"))
+    return nodes.join(roots(edges, a, b).hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("component"))
 
 
 def match_components(matches: DataFrame) -> DataFrame:
@@ -56,7 +56,7 @@ def resolve_conflicts(components: DataFrame, min_length: int = 2) -> DataFrame:
     per_image = components.select(F.col("component").alias("track_id"), img.alias("img"), feat.alias("feat"))
     single = per_image.groupBy("track_id", "img").agg(F.count(F.lit(1)).alias("n"), F.min("feat").alias("feat")).where("n = 1")
     long = single.groupBy("track_id").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= max(2, min_length))
-    return single.join(long, "track_id", "left_semi").select("track_id", "img", "feat")
+    return single.join(long.hint("merge"), "track_id", "left_semi").select("track_id", "img", "feat")
 
 
 def build_tracks(matches: DataFrame, min_length: int = 2) -> DataFrame:

@@ -2,7 +2,7 @@
 
 The incremental loop takes one image after the other, as each step needs the one before; what it works on are
 tables. Tracked features and verified matches are staged once, points and lost tracks at each step. A pose is
-solved in the task that has the image's own correspondences, new points where their matches are, and bundle adjustment
+solved in the task that has the image's own correspondences, or in passes over them if they are many (operators/consensus.py), new points where their matches are, and bundle adjustment
 sums up what each point has to say (operators/adjust.py). The driver holds cameras, which are thousands at most,
 and the numbers that rank images; scenes are independent of each other.
 """
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import Config, ratio_threshold
-from ..operators import adjust, cloud, geometry as G, matching, neighbors, scene, stereo, tracks
+from ..operators import adjust, cloud, consensus, geometry as G, matching, neighbors, scene, stereo, tracks
 from ..tables import discard, staged
 
 CAMERAS = "img int, r array<double>, t array<double>, fx double, fy double, cx double, cy double"
@@ -57,10 +57,11 @@ def scene_of(features: DataFrame, matches: DataFrame, track_table: DataFrame, in
     spark = features.sparkSession
     k = {r["img"]: np.array([[r["fx"], 0, r["cx"]], [0, r["fy"], r["cy"]], [0, 0, 1.0]]) for r in intrinsics.collect()}
     at = features.select("img", "feat", F.col("u").cast("double").alias("u"), F.col("v").cast("double").alias("v"))
-    seen = staged(track_table.select("track_id", "img", "feat").join(at, ["img", "feat"]).select("track_id", "img", "feat", "u", "v"), "seen")
-    ends = at.join(track_table.select("track_id", "img", "feat"), ["img", "feat"], "left")
+    # What these tables are made of may say little of their size, as rows are exploded: none of them is broadcast.
+    seen = staged(track_table.select("track_id", "img", "feat").join(at.hint("merge"), ["img", "feat"]).select("track_id", "img", "feat", "u", "v"), "seen")
+    ends = at.join(track_table.select("track_id", "img", "feat").hint("merge"), ["img", "feat"], "left")
     a, b = (ends.select(F.col("img").alias(i), F.col("feat").alias(f"f{i}"), F.col("track_id").alias(f"t{i}"), F.col("u").alias(f"u{i}"), F.col("v").alias(f"v{i}")) for i in "ij")
-    pairs = staged(matches.select("i", "j", "fi", "fj").join(a, ["i", "fi"]).join(b, ["j", "fj"]), "pairs")
+    pairs = staged(matches.select("i", "j", "fi", "fj").join(a.hint("merge"), ["i", "fi"]).join(b.hint("merge"), ["j", "fj"]), "pairs")
     return Scene(k, seen, pairs, staged(spark.createDataFrame([], POINTS), "points"), staged(spark.createDataFrame([], "track_id long"), "lost"))
 
 
@@ -69,9 +70,12 @@ def _arrays(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def score_pairs(s: Scene, cfg: Config) -> DataFrame:
-    """(i, j, n, inliers, angle, r, t) of the pairs with most matches: relative pose and median angle of each, in a task."""
+    """(i, j, n, inliers, angle, r, t) of the pairs with most matches: relative pose and median angle of each, in a task if its matches are few."""
     top = s.pairs.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "i", "j").limit(cfg.init_probe_pairs)
-    rows = s.pairs.join(F.broadcast(top), ["i", "j"]).where(F.col("n") >= cfg.init_min_inliers)  # init_probe_pairs rows
+    pairs = [(r["i"], r["j"], r["n"]) for r in top.collect() if r["n"] >= cfg.init_min_inliers]  # init_probe_pairs rows
+    large = {at: pair for at, pair in enumerate(pairs) if pair[2] > consensus.TASK}
+    small = s.spark.createDataFrame([pair for at, pair in enumerate(pairs) if at not in large], "i int, j int, n long")
+    rows = s.pairs.join(F.broadcast(small), ["i", "j"])
     k, limit, seed = s.intrinsics, cfg.pnp_threshold_px, cfg.seed
 
     def run(pair: pd.DataFrame) -> pd.DataFrame:
@@ -81,11 +85,16 @@ def score_pairs(s: Scene, cfg: Config) -> DataFrame:
         r, t, mask = G.relative_pose(k[i], k[j], a, b, limit, seed)
         if r is None:
             return pd.DataFrame(columns=["i", "j", "n", "inliers", "angle", "r", "t"])
-        x = G.triangulate(G.projection(k[i], np.eye(3), np.zeros(3)), G.projection(k[j], r, t), a[mask], b[mask])
-        angle = float(np.median(G.angles(np.zeros(3), -r.T @ t, x)))
+        angle = float(np.median(G.motion_angles(k[i], k[j], r, t, a[mask], b[mask])))
         return pd.DataFrame({"i": [i], "j": [j], "n": [len(pair)], "inliers": [int(mask.sum())], "angle": [angle], "r": [r.ravel().tolist()], "t": [t.tolist()]})
 
-    return rows.groupBy("i", "j").applyInPandas(run, "i int, j int, n long, inliers long, angle double, r array<double>, t array<double>")
+    schema = "i int, j int, n long, inliers long, angle double, r array<double>, t array<double>"
+    scored = rows.groupBy("i", "j").applyInPandas(run, schema)
+    if not large:
+        return scored
+    keys = s.spark.createDataFrame([(i, j, at) for at, (i, j, _) in large.items()], "i int, j int, key int")
+    many = consensus.relative_poses(s.pairs.join(F.broadcast(keys), ["i", "j"]), {at: n for at, (_, _, n) in large.items()}, {at: (k[i], k[j]) for at, (i, j, _) in large.items()}, limit, seed)
+    return scored.unionByName(s.spark.createDataFrame([(*large[at], n, angle, r.ravel().tolist(), t.tolist()) for at, (r, t, n, angle) in many.items()], schema))
 
 
 def candidates(rows: DataFrame, s: Scene) -> DataFrame:
@@ -114,8 +123,7 @@ def _matches_of(s: Scene, img: int, pairs: DataFrame | None = None) -> DataFrame
     sides = [(F.col("i") == img, "i", "j"), (F.col("j") == img, "j", "i")]
     both = [pairs.where(on).select(F.col(a).alias("new"), F.col(b).alias("other"), F.col(f"f{a}").alias("feat"), F.col(f"t{a}").alias("track_id"), F.col(f"u{a}").alias("ua"), F.col(f"v{a}").alias("va"), F.col(f"u{b}").alias("ub"), F.col(f"v{b}").alias("vb")) for on, a, b in sides]
     rows = both[0].unionByName(both[1]).where("track_id IS NOT NULL")
-    posed = s.spark.createDataFrame([(c,) for c in s.poses], "other int")
-    return rows.join(posed, "other", "left_semi").join(s.points, "track_id", "left_anti").join(s.lost, "track_id", "left_anti")
+    return rows.where(F.col("other").isin([*s.poses])).join(s.points.hint("merge"), "track_id", "left_anti").join(s.lost.hint("merge"), "track_id", "left_anti")
 
 
 def _added(s: Scene, rows: DataFrame, cfg: Config, angles: tuple[float, float] = (1.5, 178.0)) -> None:
@@ -130,23 +138,24 @@ def seed_pair(s: Scene, cfg: Config) -> bool:
         return False
     i, j, r, t = best["i"], best["j"], np.array(best["r"]).reshape(3, 3), np.array(best["t"])
     s.poses |= {i: (np.eye(3), np.zeros(3)), j: (r, t)}
-    k, limit, seed = s.intrinsics, cfg.pnp_threshold_px, cfg.seed
+    k, limit = s.intrinsics, cfg.pnp_threshold_px
 
-    def inliers(pair: pd.DataFrame) -> pd.DataFrame:
-        pair = pair.sort_values(["fi", "fj"])
-        return pair[G.relative_pose(k[i], k[j], *_arrays(pair), limit, seed)[2]]
+    def inliers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.stack([batch.column(c).to_numpy() for c in pair], axis=1) for pair in (("ui", "vi"), ("uj", "vj")))
+            yield batch.filter(pa.array(G.motion_inliers(k[i], k[j], r, t, a, b, limit)))
 
     own = s.pairs.where((F.col("i") == i) & (F.col("j") == j))
-    _added(s, _matches_of(s, j, own.groupBy("i", "j").applyInPandas(inliers, own.schema)), cfg, (-1.0, 181.0))
+    _added(s, _matches_of(s, j, own.mapInArrow(inliers, own.schema)), cfg, (-1.0, 181.0))
     return True
 
 
 def register_next(s: Scene, cfg: Config) -> int | None:
     """Pose of the image that sees most points; one whose pose fails is not tried again."""
-    left = [(c,) for c in s.intrinsics if c not in s.poses and c not in s.failed]
+    left = [c for c in s.intrinsics if c not in s.poses and c not in s.failed]
     if not left:
         return None
-    found = s.seen.join(s.spark.createDataFrame(left, "img int"), "img", "left_semi").join(s.points.select("track_id", "x", "y", "z"), "track_id")
+    found = s.seen.where(F.col("img").isin(left)).join(s.points.select("track_id", "x", "y", "z").hint("merge"), "track_id")
     intrinsics, limit, seed = s.intrinsics, cfg.pnp_threshold_px, cfg.seed
 
     def pose(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -154,10 +163,18 @@ def register_next(s: Scene, cfg: Config) -> int | None:
         r, t, mask = G.absolute_pose(intrinsics[int(key[0])], rows[["x", "y", "z"]].to_numpy(), rows[["u", "v"]].to_numpy(), limit, seed)
         return pd.DataFrame({"r": [r.ravel().tolist()], "t": [t.ravel().tolist()]}) if r is not None and mask.sum() >= 6 else pd.DataFrame(columns=["r", "t"])
 
-    for img in [r["img"] for r in scene.correspondence_rank(found).collect()]:
-        made = found.where(F.col("img") == img).groupBy("img").applyInPandas(pose, "r array<double>, t array<double>").first()
-        if made:
-            s.poses[img] = (np.array(made["r"]).reshape(3, 3), np.array(made["t"]))
+    for img, n in [(r["img"], r["n"]) for r in scene.correspondence_rank(found).collect()]:
+        own = found.where(F.col("img") == img)
+        if n <= consensus.TASK:
+            made = own.groupBy("img").applyInPandas(pose, "r array<double>, t array<double>").first()
+            solved = made and (np.array(made["r"]).reshape(3, 3), np.array(made["t"]))
+        else:
+            rows = staged(own.select(F.col("img").alias("key"), "feat", "x", "y", "z", "u", "v"), "seen_by")
+            solved = consensus.absolute_poses(rows, {img: n}, intrinsics, limit, seed).get(img, (None,))[:2]
+            discard(rows)
+            solved = solved if solved[0] is not None else None
+        if solved:
+            s.poses[img] = solved
             return img
         s.failed.add(img)
     return None
@@ -184,7 +201,7 @@ def drop_outliers(s: Scene, cfg: Config) -> None:
     """Points whose mean error is over twice the limit, or that no camera sees in front of it, are lost for good."""
     named = s.points.select(F.col("track_id").alias("pid"), "track_id", "x", "y", "z")
     kept = staged(scene.filter_points(named, scene.observation_errors(named, s.seen, None, s.cameras()), cfg.max_reproj_px), "kept")
-    before, s.lost = s.lost, staged(s.lost.unionByName(s.points.join(kept, "track_id", "left_anti").select("track_id")), "lost")
+    before, s.lost = s.lost, staged(s.lost.unionByName(s.points.join(kept.hint("merge"), "track_id", "left_anti").select("track_id")), "lost")
     s.replace_points(kept)
     discard(before)
     discard(kept)

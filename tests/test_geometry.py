@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from cairn.config import Config, build_config, ratio_threshold
-from cairn.operators import adjust, geometry as G
+from cairn.operators import adjust, consensus as C, geometry as G
 from cairn.plans import reconstruct as R
 
 K = np.array([[800.0, 0, 320], [0, 800, 240], [0, 0, 1]])
@@ -82,6 +82,46 @@ def test_reconstruction_up_to_similarity(spark, tmp_path):
     assert made["scene"]["n_cameras"] == 6 and (tmp_path / "out" / "dense.ply").exists()
 
 
+def test_passes_over_rows_solve_what_a_task_solves(spark):
+    """Poses and pairs with more rows than a task takes, a quarter of them wrong: as from one task."""
+    x, p, uv = scene(6, 600)
+    rng = np.random.default_rng(5)
+    exact = scene(6, 600, noise=0)[2]
+    bad, off = uv[5].copy(), exact[5].copy()
+    bad[::4] = off[::4] = rng.uniform(0, 640, (150, 2))
+    cameras = {3: (K, K), 8: (K, K)}
+    pairs = spark.createDataFrame([(key, n, n, *map(float, (*exact[0][n], *off[n]))) for key in cameras for n in range(600)], "key int, fi long, fj long, ui double, vi double, uj double, vj double").repartition(3)
+    found = C.relative_poses(pairs, dict.fromkeys(cameras, 600), cameras, 2.0)
+    r, t, mask = G.relative_pose(K, K, exact[0], off, 2.0)
+    angle = np.median(G.motion_angles(K, K, r, t, exact[0][mask], off[mask]))
+    for key in cameras:
+        got = found[key]
+        assert np.abs(got[0] - r).max() < 1e-6 and np.abs(got[1] - t).max() < 1e-6 and got[2] == mask.sum() and abs(got[3] - angle) < 1e-6
+    rows = spark.createDataFrame([(7, n, *map(float, (*x[n], *bad[n]))) for n in range(600)], "key int, feat long, x double, y double, z double, u double, v double").repartition(3)
+    r, t, mask = G.absolute_pose(K, x, bad, 4.0)
+    got = C.absolute_poses(rows, {7: 600}, {7: K}, 4.0)[7]
+    assert np.abs(got[0] - r).max() < 1e-6 and np.abs(got[1] - t).max() < 1e-6 and got[2] == mask.sum()
+    # Places on a line fix no camera.
+    line = rows.selectExpr("key", "feat", "CAST(feat AS double) AS x", "0.0D AS y", "0.0D AS z", "u", "v")
+    assert C.absolute_poses(line, {7: 600}, {7: K}, 4.0).get(7, (None, None, 0))[2] < 60
+
+
+def test_large_scenes_are_solved_in_passes_and_broadcast_nothing(spark, tmp_path, monkeypatch):
+    """Exploded tables look small to the planner: at 900,000 customers the driver ran out of memory."""
+    monkeypatch.setattr(C, "TASK", 50)
+    monkeypatch.setattr(G, "absolute_pose", None)
+    plans = []
+    kept = R.staged
+    monkeypatch.setattr(R, "staged", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or kept(df, name))
+    _, _, features, intrinsics = tables(spark)
+    made = R.reconstruct(spark, features, intrinsics, Config(init_min_inliers=50, refine_intrinsics=False))
+    assert made["cameras"].count() == 6
+    pts = made["points"].toPandas()
+    assert len(pts) > 250 and pts["error"].mean() < 1.0
+    assert {"seen", "pairs", "points", "seen_by"} <= {n for n, _ in plans}
+    assert not [n for n, plan in plans if n in ("seen", "pairs", "seen_by", "points", "lost") and "BroadcastHashJoin" in plan]
+
+
 def test_verification_drops_wrong_matches(spark):
     _, _, features, _ = tables(spark, 2)
     feats = sorted({r.feat for r in features.where("img = 0").collect()} & {r.feat for r in features.where("img = 1").collect()})
